@@ -1,29 +1,36 @@
 """One thin query for each operator, over whole tables, with its SQL where SQL can say it."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import exact, mixing
+from . import exact, mixing, packing, tokencount
 
-TOKENIZERS = "public_tokenizers"
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizer files are; every machine has them at the same place."""
+    import public_tokenizers
 
+    return public_tokenizers.path(name)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.find_duplicates(docs).drop("file", "row")
 
-
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
+def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_source_mix": op7_source_mix,
+    "op8_best_fit_pack": op8_best_fit_pack,
+    "op10_token_count": op10_token_count,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
