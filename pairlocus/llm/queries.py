@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, tokencount
+from . import exact, mixing, packing, tokencount, toxicity
 
 def tokenizer_file(name: str) -> str:
     """Where the public tokenizer files are; every machine has them at the same place."""
@@ -13,6 +13,10 @@ def tokenizer_file(name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.find_duplicates(docs).drop("file", "row")
@@ -27,6 +31,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_best_fit_pack": op8_best_fit_pack,
