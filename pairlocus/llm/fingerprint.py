@@ -5,7 +5,7 @@ characters, and each paragraph's digest (with its number among equal ones) is ad
 cells of a small table: a count, the xor of the digests and the xor of their checks. The
 tables of two versions subtract cell by cell; what both hold cancels, and peeling cells with
 a single digest recovers the digests that differ, and on which side. Where peeling gets stuck
-the two are sketched again, four times as large, until it succeeds.
+the two are sketched again, at least twice as large, until it succeeds.
 
 The likeness of two fingerprints is the share of paragraphs they have in common (Jaccard),
 from the numbers of paragraphs and of recovered differences. The string of a fingerprint is
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .text import small_batches, whole_text
 
-LONGEST = 24
+LONGEST = 32
 #: Cells of each of the three parts of the smallest table.
 SMALLEST = 8
 FIRST_ID = -(2**63)
@@ -65,28 +65,28 @@ def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sketches:
-    """Tables of many sets side by side, each of three parts of ``size`` cells."""
+    """Tables of many sets side by side, each of three parts of its own ``size`` in cells."""
 
-    def __init__(self, keys: np.ndarray, owner: np.ndarray, sets: int, size: int):
-        self.sets, self.size = sets, size
-        cells = 3 * size * sets
+    def __init__(self, keys: np.ndarray, owner: np.ndarray, size: np.ndarray):
+        self.size = size
+        self.ends = np.cumsum(3 * size)
+        cells = int(self.ends[-1]) if len(size) else 0
         self.count = np.zeros(cells, np.int64)
         self.key = np.zeros(cells, np.uint64)
         self.check = np.zeros(cells, np.uint64)
         self.add(keys, owner, np.ones(len(keys), np.int64))
 
-    def places(self, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        first = owner * (3 * self.size)
-        return np.concatenate(
-            [first + n * self.size + (mixed(keys, n) % np.uint64(self.size)).astype(np.int64) for n in range(3)]
-        )
-
     def add(self, keys: np.ndarray, owner: np.ndarray, times: np.ndarray) -> np.ndarray:
-        at = self.places(keys, owner)
-        np.add.at(self.count, at, np.tile(times, 3))
-        np.bitwise_xor.at(self.key, at, np.tile(keys, 3))
-        np.bitwise_xor.at(self.check, at, np.tile(mixed(keys, 3), 3))
-        return at
+        """Add digests to their cells, which are returned."""
+        size, check, places = self.size[owner], mixed(keys, 3), []
+        first, parts = self.ends[owner] - 3 * size, size.astype(np.uint64)
+        for n in range(3):
+            at = first + n * size + (mixed(keys, n) % parts).astype(np.int64)
+            np.add.at(self.count, at, times)
+            np.bitwise_xor.at(self.key, at, keys)
+            np.bitwise_xor.at(self.check, at, check)
+            places.append(at)
+        return np.concatenate(places)
 
     def minus(self, other: "Sketches") -> "Sketches":
         self.count -= other.count
@@ -96,36 +96,32 @@ class Sketches:
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Digests in the one but not the other, their sets and sides; which sets are done."""
-        keys, sets, sides = [], [], []
-        look = np.arange(len(self.count))
+        keys, sets, sides = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        look = np.flatnonzero(np.abs(self.count) == 1)
         while len(look):
             pure = look[(np.abs(self.count[look]) == 1) & (self.check[look] == mixed(self.key[look], 3))]
             if not len(pure):
                 break
-            found = np.stack(((pure // (3 * self.size)).astype(np.uint64), self.key[pure]))
-            order = np.lexsort(found)
-            found = found[:, order]
+            owner = np.searchsorted(self.ends, pure, side="right")
+            order = np.lexsort((self.key[pure], owner))
+            pure, owner = pure[order], owner[order]
+            k = self.key[pure]
             new = np.ones(len(pure), bool)
-            new[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
-            pure = pure[order][new]
-            k, o, s = self.key[pure], pure // (3 * self.size), self.count[pure]
-            look = np.unique(self.add(k, o, -s))
-            keys.append(k), sets.append(o), sides.append(s)
-        left = ((self.count != 0) | (self.key != 0)).reshape(self.sets, -1).any(axis=1)
-        empty = np.zeros(0, np.int64)
-        return (
-            np.concatenate(keys) if keys else empty.astype(np.uint64),
-            np.concatenate(sets) if sets else empty,
-            np.concatenate(sides) if sides else empty,
-            ~left,
-        )
+            new[1:] = (k[1:] != k[:-1]) | (owner[1:] != owner[:-1])
+            k, owner, side = k[new], owner[new], self.count[pure[new]]
+            look = self.add(k, owner, -side)
+            keys.append(k), sets.append(owner), sides.append(side)
+        full = (self.count != 0) | (self.key != 0)
+        begins = self.ends - 3 * self.size
+        left = np.add.reduceat(full, begins) if len(begins) else np.zeros(0)
+        return np.concatenate(keys), np.concatenate(sets), np.concatenate(sides), left == 0
 
     def strings(self) -> list[str]:
         rows = np.dtype([("count", "<i2"), ("key", "<u8"), ("check", "<u2")])
         cells = np.zeros(len(self.count), rows)
         cells["count"], cells["key"], cells["check"] = self.count, self.key, self.check & np.uint64(0xFFFF)
-        data, width = cells.tobytes(), rows.itemsize * 3 * self.size
-        return [base64.b64encode(data[i * width : (i + 1) * width]).decode() for i in range(self.sets)]
+        data, ends = cells.tobytes(), (self.ends * rows.itemsize).tolist()
+        return [base64.b64encode(data[i:j]).decode() for i, j in zip([0, *ends[:-1]], ends, strict=False)]
 
 
 def only(keys: np.ndarray, owner: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,12 +136,13 @@ def only(keys: np.ndarray, owner: np.ndarray, sets: np.ndarray) -> tuple[np.ndar
 def differences(a: tuple, b: tuple, sets: int) -> np.ndarray:
     """How many digests each set of ``a`` and of ``b`` has that the other hasn't."""
     found = np.zeros(sets, np.int64)
-    todo, size = np.arange(sets), SMALLEST
+    most = np.bincount(a[1], minlength=sets) + np.bincount(b[1], minlength=sets)
+    todo, size = np.arange(sets), np.full(sets, SMALLEST)
     while len(todo):
-        one = Sketches(*only(*a, todo), len(todo), size).minus(Sketches(*only(*b, todo), len(todo), size))
-        _, owner, _, done = one.peel()
+        both = Sketches(*only(*a, todo), size).minus(Sketches(*only(*b, todo), size))
+        _, owner, _, done = both.peel()
         found[todo[done]] = np.bincount(owner, minlength=len(todo))[done]
-        todo, size = todo[~done], size * 4
+        todo, size = todo[~done], np.maximum(size[~done] * 2, most[todo[~done]] // 2 + SMALLEST)
     return found
 
 
@@ -165,13 +162,21 @@ def edited(text: str, following: str) -> str:
 def compare(texts: list[str], following: list[str]) -> dict[str, list]:
     """Columns of the texts' fingerprints, against their edited texts and the following ones."""
     new = [edited(t, f) for t, f in zip(texts, following, strict=True)]
-    own, other, edit = digests(texts), digests(following), digests(new)
     n = len(texts)
+    # Most following texts are the next of the texts: each is cut and digested once.
+    extra = [i for i in range(n) if i + 1 == n or following[i] is not texts[i + 1]]
+    keys, owner = digests(texts + [following[i] for i in extra])
+    own = keys[owner < n], owner[owner < n]
+    after = np.concatenate(([-1], np.arange(n - 1), extra))  # whose following text each one is
+    after[[i + 1 for i in extra if i + 1 < n]] = -1
+    other = keys[after[owner] >= 0], after[owner][after[owner] >= 0]
+    edit = digests(new)
+    size = np.full(n, SMALLEST)
     return {
         "n_chars": list(map(len, texts)),
         "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new],
-        "fingerprint": Sketches(*own, n, SMALLEST).strings(),
-        "edited_fingerprint": Sketches(*edit, n, SMALLEST).strings(),
+        "fingerprint": Sketches(*own, size).strings(),
+        "edited_fingerprint": Sketches(*edit, size).strings(),
         "near_edited": likeness(own, edit, n),
         "near_next": likeness(own, other, n),
     }
