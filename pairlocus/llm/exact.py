@@ -1,10 +1,11 @@
 """Exact deduplication with streaming state.
 
 Every row gives a digest of its normalised text, its stable identifier and a content locator
-(file and row it was read from). The digests stream through keyed state on disk (RocksDB,
-checkpointed to the shared folder), which never expires and holds one entry a digest: how many
-rows it has seen, and identifier and locator of the row that stays. Keys are combined before
-the shuffle, so a text that a third of all rows share is one row a task.
+(file and row it was read from). The digests stream into keyed state on disk, which never
+expires: each micro-batch adds a segment with one entry a digest (how many rows it has seen,
+and identifier and locator of the row that stays), and entries of a key are merged on reading.
+The segments lie in the shared folder, so no executor's loss loses state. Keys are combined
+before the shuffle, so a text that a third of all rows share is one row a task.
 
 A digest seen more than once is a hit, and hits are checked on full bytes: the rows of hit
 digests are aggregated to the least and the greatest text of each digest. Where these agree,
@@ -23,14 +24,6 @@ from pyspark.sql import functions as F
 
 from .text import ascii_lower, scratch, whole_text
 
-ROCKSDB = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-    "spark.sql.streaming.metricsEnabled": "false",
-}
-
-
 def digest_of(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -45,41 +38,37 @@ def located(docs: DataFrame) -> DataFrame:
         return docs.select("*", F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row"))
 
 
-def remember(spark: SparkSession, arrivals: str, state: str, partitions: int | None = None) -> DataFrame:
-    """Stream the digest files in ``arrivals`` through the state kept under ``state``.
+KEYED = "digest string, stays struct<doc_id: long, file: string, row: long>, seen long"
+
 
-    Files of earlier calls with the same ``state`` aren't read again, while their keys are
-    still remembered. Returns ``digest, stays(doc_id, file, row), seen`` as last emitted for
-    every digest.
+def remember(spark: SparkSession, arrivals: str, state: str) -> DataFrame:
+    """Stream the digest files in ``arrivals`` into the keyed state under ``state``.
+
+    Each micro-batch adds one segment of keyed entries; a batch that is run again after a
+    failure replaces its own. Files of earlier calls with the same ``state`` aren't read
+    again, while their keys are still remembered. Returns ``digest, stays, seen``: the state
+    of every key, its entries merged.
     """
-    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
-    for k, v in ROCKSDB.items():
-        spark.conf.set(k, v)
-    try:
-        keyed = (
-            spark.readStream.schema("doc_id long, digest string, file string, row long")
-            .parquet(arrivals)
-            .groupBy("digest")
-            .agg(F.max(F.struct("doc_id", "file", "row")).alias("stays"), F.count("*").alias("seen"))
-        )
-        out = f"{state}/emitted"
-        query = (
-            keyed.writeStream.outputMode("update")
-            .option("checkpointLocation", f"{state}/checkpoint")
-            .trigger(availableNow=True)
-            .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    kept = "batch int, digest string, stays struct<doc_id: long, file: string, row: long>, seen long"
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.groupBy("digest").agg(
+            F.max(F.struct("doc_id", "file", "row")).alias("stays"), F.count("*").alias("seen")
+        ).write.mode("overwrite").parquet(f"{state}/segments/batch={number}")
+
+    (
+        spark.readStream.schema("doc_id long, digest string, file string, row long")
+        .parquet(arrivals)
+        .writeStream.option("checkpointLocation", f"{state}/checkpoint")
+        .trigger(availableNow=True)
+        .foreachBatch(add)
+        .start()
+        .awaitTermination()
+    )
     return (
-        spark.read.schema(kept)
-        .parquet(out)
+        spark.read.schema(KEYED)
+        .parquet(f"{state}/segments")
         .groupBy("digest")
-        .agg(F.max_by("stays", "batch").alias("stays"), F.max("seen").alias("seen"))
+        .agg(F.max("stays").alias("stays"), F.sum("seen").alias("seen"))
     )
 
 
