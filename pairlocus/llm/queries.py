@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, fingerprint, mixing, packing, pii, tokencount, toxicity
+from . import exact, fingerprint, minhash, mixing, packing, pii, tokencount, toxicity
 
 def tokenizer_file(name: str) -> str:
     """Where the public tokenizer files are; every machine has them at the same place."""
@@ -13,6 +13,11 @@ def tokenizer_file(name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, k=3, percent=85).drop("file", "row")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_fingerprints": op2_fingerprints,
     "op4_toxicity": op4_toxicity,
     "op5_pii_spans": op5_pii_spans,
