@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, fingerprint, minhash, mixing, packing, pii, tokencount, toxicity
+from . import exact, fingerprint, minhash, mixing, packing, pii, suffixes, tokencount, toxicity
 
 def tokenizer_file(name: str) -> str:
     """Where the public tokenizer files are; every machine has them at the same place."""
@@ -22,6 +22,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_fingerprints": op2_fingerprints,
+    "op3_repeated_passages": op3_repeated_passages,
     "op4_toxicity": op4_toxicity,
     "op5_pii_spans": op5_pii_spans,
     "op6_exact_dedup": op6_exact_dedup,
