@@ -1,27 +1,52 @@
-"""A training-corpus pipeline of five operators; each stage is written and read again."""
+"""A training-corpus pipeline of five operators; each stage is written and read again.
+
+Toxic documents go, of equal and of nearly equal documents one stays, sources are mixed to
+target weights, and what remains is packed into sequences. All stages but the last return the
+columns of documents.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlocus.llm import exact, mixing
+from pairlocus.llm import exact, minhash, mixing, packing, toxicity
+from pairlocus.llm.queries import table, tokenizer_file
 from pairlocus.llm.text import written
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.deduplicated(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("source mix", source_mix)]
+def best_fit_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("source mix", source_mix),
+    ("best-fit pack", best_fit_pack),
+]
 
-#: Scores, sketches, seeded blocks and token ids have no SQL; tests hold it against brute force.
+#: Scores, sketches and token ids have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole documents table of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

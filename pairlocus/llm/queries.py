@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, fingerprint, minhash, mixing, packing, pii, suffixes, tokencount, toxicity
+from . import exact, fingerprint, langid, minhash, mixing, packing, pii, suffixes, tokencount, toxicity
 
 def tokenizer_file(name: str) -> str:
     """Where the public tokenizer files are; every machine has them at the same place."""
@@ -44,6 +44,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_source_mix": op7_source_mix,
     "op8_best_fit_pack": op8_best_fit_pack,
+    "op9_language": op9_language,
     "op10_token_count": op10_token_count,
 }
 
