@@ -1,0 +1 @@
+"""One- and two-locus heterozygosity statistics on Spark DataFrames."""
