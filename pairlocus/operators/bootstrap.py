@@ -123,9 +123,15 @@ def replicates(
 
 def covariances(reps: DataFrame) -> DataFrame:
     """``row, stat_i, stat_j, cov``: sample covariances over replicates, i <= j and i >= j."""
-    a = reps.select("rep", "row", F.col("stat_ord").alias("stat_i"), F.col("value").alias("x"))
-    b = reps.select("rep", "row", F.col("stat_ord").alias("stat_j"), F.col("value").alias("y"))
-    return a.join(b, ["rep", "row"]).groupBy("row", "stat_i", "stat_j").agg(F.covar_samp("x", "y").alias("cov"))
+    pairs = (
+        reps.groupBy("rep", "row")
+        .agg(F.collect_list(F.struct("stat_ord", "value")).alias("s"))  # a row's statistics: few
+        .select("row", "s", F.explode("s").alias("a"))
+        .select("row", "a", F.explode("s").alias("b"))
+    )
+    return pairs.groupBy("row", F.col("a.stat_ord").alias("stat_i"), F.col("b.stat_ord").alias("stat_j")).agg(
+        F.covar_samp("a.value", "b.value").alias("cov")
+    )
 
 
 def replace_denominators(stats: DataFrame, denoms: DataFrame) -> DataFrame:

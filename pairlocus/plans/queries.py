@@ -4,12 +4,13 @@ The SQL is brute force where the query is clever: pair sums are self-joins, look
 joins, so that agreement says something.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genetics as g
 from ..operators import bootstrap as boot
 from ..operators import hstats, intervals, likelihood, maps, pairs, quadrature, views
+from ..scratch import written
 from . import derived as t
 
 QUERIES: dict = {}
@@ -316,7 +317,8 @@ REPS, DRAWS, SEED = 12, 9, 5
 def region_table(spark: SparkSession, d: str) -> DataFrame:
     sites = t.regions(spark, d)
     rows = hstats.region_statistics(sites, sites, t.SAMPLES, t.BP_EDGES, rate="u")
-    return rows.select("region", F.col("bin_id").cast("long").alias("row"), F.col("stat_ord").cast("long").alias("stat_ord"), F.col("num").cast("double").alias("num"), F.coalesce("denom", F.lit(0.0)).alias("denom"))
+    # Resampling reads the regions' rows more than once.
+    return written(rows.select("region", F.col("bin_id").cast("long").alias("row"), F.col("stat_ord").cast("long").alias("stat_ord"), F.col("num").cast("double").alias("num"), F.coalesce("denom", F.lit(0.0)).alias("denom")), "regions")
 
 
 def region_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -396,7 +398,8 @@ def bin_subset(spark: SparkSession, d: str) -> DataFrame:
     SELECT row, round(-((0.5 * mx) * (0.5 * mx) * yy - 2 * (0.5 * mx) * (0.5 * my) * xy + (0.5 * my) * (0.5 * my) * xx) / nullif(xx * yy - xy * xy, 0), 4) AS ll FROM c"""
 )
 def gaussian_bin_ll(spark: SparkSession, d: str) -> DataFrame:
-    reps = boot.subset_statistics(boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED), [0, 4])
+    reps = written(boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED), "replicates")
+    reps = boot.subset_statistics(reps, [0, 4])
     data = reps.groupBy("row", "stat_ord").agg(F.avg("value").alias("mean"))
     model = data.withColumn("mean", F.col("mean") * 0.5)
     ll = likelihood.quadratic_forms(data, model, likelihood.precision_2x2(boot.covariances(reps)))
@@ -664,3 +667,51 @@ def autosomes(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("chr"), (F.col("o_custkey") % 4).cast("string"))).otherwise(F.lit("chrX"))
     rows = t.table(spark, d, "orders").select(name.alias("chrom"))
     return autosomal(rows).select(F.regexp_replace("chrom", "chr", "").cast("long").alias("chrom")).distinct()
+
+
+# Fits: iterative, so there is no SQL; tests hold them against closed forms
+
+
+def fit_problem(spark: SparkSession, d: str):
+    """Means of an expected curve with known size and rate, as if observed, and their likelihood."""
+    import numpy as np
+
+    from ..models import theory
+
+    edges = g.log_edges(-5, -2, 7)
+    epochs = [(2000.0, 8000.0), (0.0, 16000.0)]
+    observed = theory.expected(epochs, 1.2e-8, edges)
+    weight = 1 / (0.05 * observed) ** 2
+
+    def loss(p):
+        if min(p) <= 0:
+            return 1e10
+        mu = theory.expected([(2000.0, float(p[0])), (0.0, float(p[1]))], 1.2e-8, edges)
+        return float((weight * (observed - mu) ** 2).sum())
+
+    return loss, np.array([8000.0, 16000.0])
+
+
+@query()
+def multi_start_fit(spark: SparkSession, d: str) -> DataFrame:
+    from ..models import fitting
+
+    loss, truth = fit_problem(spark, d)
+    n = t.table(spark, d, "nation").select("n_nationkey").limit(4)  # four replicates are the feature
+    factor = F.col("n_nationkey") % 4
+    starts = n.select(
+        F.col("n_nationkey").cast("long").alias("start"),
+        F.array(F.lit(truth[0]) * (0.6 + 0.2 * factor), F.lit(truth[1]) * (1.4 - 0.2 * factor)).alias("x0"),
+    )
+    fits = fitting.fit_starts(starts, loss, "NelderMead", 300)
+    return fits.select("start", F.round(F.col("x")[0], 0).alias("size_1"), F.round(F.col("x")[1], 0).alias("size_2"), "fopt", "num_iter", "func_calls")
+
+
+@query()
+def hessian_uncert(spark: SparkSession, d: str) -> DataFrame:
+    from ..models import fitting
+
+    loss, truth = fit_problem(spark, d)
+    errors = fitting.uncertainties(spark, truth, lambda p, data: -loss(p) / 2, method="FIM")
+    rows = [(f"size_{n + 1}", float(v), float(e)) for n, (v, e) in enumerate(zip(truth, errors, strict=True))]
+    return views.intervals(spark.createDataFrame(rows, "name string, value double, se double"))
