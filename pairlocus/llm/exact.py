@@ -143,4 +143,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         F.col("file").alias("_dfile"), F.col("row").alias("_drow")
     )
     at = (F.col("_file") == F.col("_dfile")) & (F.col("_row") == F.col("_drow"))
-    return located(docs).join(dropped, at, "left_anti").drop("_file", "_row")
+    return located(docs).join(dropped.hint("shuffle_hash"), at, "left_anti").drop("_file", "_row")

@@ -53,8 +53,9 @@ def main_text(page: str) -> str:
 
 def trigram_slots(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed trigrams of all texts in a row, and whose they are."""
-    line = "".join(f"  {' '.join(t.lower().split())} " for t in texts)
-    owner = np.repeat(np.arange(len(texts)), [len(" ".join(t.lower().split())) + 3 for t in texts])
+    spaced = [f"  {x} " if (x := " ".join(t.lower().split())) else "" for t in texts]
+    line = "".join(spaced)
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in spaced])
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(codes) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -219,7 +219,8 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, percent: int, bl
     )
     # A block meets itself in any of its pieces, so pieces of one block alone are left out.
     where = members.select("file", "row", "class")
-    texts = docs.join(where, ["file", "row"]).select("class", "text")
+    # Always by shuffle, the few columns of the members being what tasks hash.
+    texts = docs.join(where.hint("shuffle_hash"), ["file", "row"]).select("class", "text")
 
     def cut(batches):
         for batch in batches:
@@ -298,4 +299,4 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         F.col("file").alias("_dfile"), F.col("row").alias("_drow")
     )
     at = (F.col("_file") == F.col("_dfile")) & (F.col("_row") == F.col("_drow"))
-    return located(docs).join(dropped, at, "left_anti").drop("_file", "_row")
+    return located(docs).join(dropped.hint("shuffle_hash"), at, "left_anti").drop("_file", "_row")

@@ -215,7 +215,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         & (word_count(docs["text"]) == taken["_size"])
     )
     return (
-        docs.join(taken, at)
+        docs.join(taken.hint("shuffle_hash"), at)
         .select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
         .drop("_copy")
     )

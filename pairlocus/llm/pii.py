@@ -177,7 +177,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         len(tail),
         float(tail.isalpha()),
         float("@" in span or "at" in span.lower()),
-        float(before.isdigit() or after.isdigit() or (text[start - 2 : start - 1].isdigit() and before in ".-") or (after in (".", "-") and text[end + 1 : end + 2].isdigit())),
+        float(before.isdigit() or after.isdigit()),
+        float(any(c.isdigit() or c == "+" for c in text[max(0, start - 3) : start])),
+        float(any(c.isdigit() for c in text[end : end + 3])),
     ]
 
 
