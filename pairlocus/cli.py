@@ -3,11 +3,13 @@
 import argparse
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.genetics import haldane_edges
 from .operators import bootstrap, hstats, intervals, maps, views
+from .scratch import written
 from .sources import bed, vcf
 
 
@@ -43,46 +45,103 @@ def parse_h2(spark: SparkSession, a) -> DataFrame:
 
 
 def bootstrap_h2(spark: SparkSession, a) -> DataFrame:
+    """Means over regions and their covariances over replicates, written as Parquet."""
     tables = [bed.read_statistics(spark, p).select("region", "row", "stat_ord", "num", "denom") for p in a.inputs]
-    reps = bootstrap.replicates(bootstrap.combine(*tables), a.num_reps, a.num_samples, seed=a.seed)
+    stats, rates = bootstrap.combine(*tables), bed.read_statistics(spark, a.rates) if a.rates else None
+    reps = bootstrap.replicates(stats, a.num_reps, a.num_samples, rates, a.mean_mut, a.seed)
     bed.write_statistics(reps, f"{a.out}/replicates")
-    bed.write_statistics(bootstrap.region_means(bootstrap.combine(*tables)), f"{a.out}/means")
+    bed.write_statistics(bootstrap.region_means(stats, rates, a.mean_mut), f"{a.out}/means")
     cov = bootstrap.covariances(bed.read_statistics(spark, f"{a.out}/replicates"))
     bed.write_statistics(cov, f"{a.out}/covs")
     return cov
 
 
-def fit_h2(spark: SparkSession, a) -> DataFrame:
-    """Fits sizes and times of a lone population from many starts; prints the best."""
-    import random
+def problem(spark: SparkSession, a):
+    """Graph, parameters, edges, log-likelihood and the samples' demes of the fitting commands."""
+    from .models import composite, graph
 
-    from .models import fitting, graph, theory
-
-    g = graph.read_graph(open(a.graph).read())
-    parameters = graph.read_parameters(open(a.params).read())
+    with open(a.graph) as g, open(a.params) as p:
+        g, parameters = graph.read_graph(g.read()), graph.read_parameters(p.read())
     for w in parameters.warnings:
         print(w)
-    deme = graph.sampled(g)[0]
-    edges = bed.read_edges(spark, a.bins)
-    means = bed.read_statistics(spark, f"{a.data}/means").where("stat_ord = 0").collect()  # a row a bin
-    var = {r["row"]: r["cov"] for r in bed.read_statistics(spark, f"{a.data}/covs").where("stat_i = 0 and stat_j = 0").collect()}
-    keep = [(r["row"] if r["row"] >= 0 else len(edges) - 1, r["mean"], var[r["row"]]) for r in means if a.include_h or r["row"] >= 0]
+    edges, samples = bed.read_edges(spark, a.bins), a.samples or graph.sampled(g)
+    data = composite.observed(
+        bed.read_statistics(spark, f"{a.data}/means"), bed.read_statistics(spark, f"{a.data}/covs"), len(edges) - 1, len(hstats.triangle(len(samples)))
+    )
+    return g, parameters, edges, composite.log_likelihood(g, parameters, samples, edges, a.u, data, bool(a.include_h)), samples
 
-    def loss(p):
-        mu = theory.expected(graph.sizes(graph.with_values(g, parameters, list(p)), deme), a.u, edges)
-        return float(sum((m - mu[k]) ** 2 / v for k, m, v in keep))
 
-    f = fitting.penalised(loss, parameters.lower, parameters.upper, parameters.greater)
+def fit_h2(spark: SparkSession, a) -> DataFrame:
+    """Fits a graph's parameters (and the rate, if none is given) from many starts; writes the best."""
+    import random
+
+    from .models import composite, fitting, graph
+
+    g, parameters, _, ll, _ = problem(spark, a)
+    f = fitting.penalised(lambda p: -ll(p), *composite.bounds(parameters, a.u), parameters.greater)
     rng, first = random.Random(a.seed), graph.get_values(g, parameters)
     starts = [first] + [graph.perturbed(first, parameters, a.perturb, rng) for _ in range(a.starts - 1)]
-    table = spark.createDataFrame(list(enumerate(starts)), "start long, x0 array<double>")
-    best = fitting.best_fit(fitting.fit_starts(table, f, a.method, a.max_iter)).first()
-    info = {"method": a.method, "fopt": -best["fopt"], "num_iter": best["num_iter"], "func_calls": best["func_calls"], "u": a.u}
-    text = graph.write_graph(graph.with_values(g, parameters, best["x"]), info)
+    rate = [] if a.u is not None else [composite.RATE_START]
+    table = spark.createDataFrame([(n, [*s, *rate]) for n, s in enumerate(starts)], "start long, x0 array<double>")
+    fits = written(fitting.fit_starts(table, f, a.method, a.max_iter), "fits")
+    best = fitting.best_fit(fits).first()
+    values, u = (best["x"], a.u) if a.u is not None else (best["x"][:-1], best["x"][-1])
+    info = {"method": a.method, "fopt": -best["fopt"], "num_iter": best["num_iter"], "func_calls": best["func_calls"], "u": u}
     with open(a.out, "w") as out:
-        out.write(text)
+        out.write(graph.write_graph(graph.with_values(g, parameters, values), info))
     print(json.dumps(info))
-    return table
+    return fits
+
+
+def compute_uncerts(spark: SparkSession, a) -> DataFrame:
+    """Standard errors and 95 % intervals of a fitted graph's parameters."""
+    from .models import composite, fitting, graph
+
+    if a.u is None:
+        with open(a.graph) as text:
+            a.u = graph.read_graph(text.read()).get("metadata", {}).get("opt_info", {}).get("u")
+    if a.u is None:
+        raise ValueError("neither the command nor the graph gives a mutation rate")
+    g, parameters, edges, ll, samples = problem(spark, a)
+    reps = None
+    if a.uncert_method == "GIM":
+        table = bed.read_statistics(spark, f"{a.data}/replicates")
+        bins, statistics = len(edges) - 1, len(hstats.triangle(len(samples)))
+        names = [r["rep"] for r in table.select("rep").distinct().orderBy("rep").collect()]
+        reps = [composite.rows_of(table.where(F.col("rep") == n), "value", bins, statistics) for n in names]
+    p = graph.get_values(g, parameters)
+    errors = fitting.uncertainties(spark, p, ll, reps, method=a.uncert_method)
+    rows = [(n, float(v), float(e)) for n, v, e in zip(parameters.names, p, errors, strict=True)]
+    out = views.intervals(spark.createDataFrame(rows, "name string, value double, se double"))
+    bed.write_statistics(out, a.out)
+    return out
+
+
+def plot_params(spark: SparkSession, a) -> DataFrame:
+    """Parameters of fitted graphs and their correlations, over fits of at least ``--min_ll``."""
+    from .models import graph
+
+    with open(a.params) as text:
+        parameters = graph.read_parameters(text.read())
+    names = a.names or parameters.names
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text in batch["value"].to_pylist():
+                g = graph.read_graph(text)
+                known = dict(zip(parameters.names, graph.get_values(g, parameters), strict=True))
+                rows.append({n: known[n] for n in names} | {"ll": g.get("metadata", {}).get("opt_info", {}).get("fopt")})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.float64()) for n in [*names, "ll"]]))
+
+    schema = ", ".join(f"`{n}` double" for n in [*names, "ll"])
+    fits = spark.read.text(a.graphs, wholetext=True).mapInArrow(run, schema)
+    if a.min_ll is not None:
+        fits = fits.where(F.col("ll") >= a.min_ll)
+    bed.write_statistics(fits, f"{a.out}/fits")
+    out = views.parameter_correlations(bed.read_statistics(spark, f"{a.out}/fits"), names)
+    bed.write_statistics(out, f"{a.out}/correlations")
+    return out
 
 
 def setup_regions(spark: SparkSession, a) -> DataFrame:
@@ -127,9 +186,16 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     command(parse_h2, ("--vcf", str, ...), ("--bed", str, ...), ("--rec_map", str, None), ("--mut_map", str, None), ("--pops", str, None), ("--regions", str, ...), ("--bins", str, ...), ("--min_reg_len", int, None), ("--compute_denom", int, 1), ("--chrom", str, ...), ("--out", str, ...))
-    c = command(bootstrap_h2, ("--out", str, ...), ("--num_reps", int, None), ("--num_samples", int, None), ("--seed", int, 0))
+    c = command(bootstrap_h2, ("--out", str, ...), ("--num_reps", int, None), ("--num_samples", int, None), ("--seed", int, 0), ("--rates", str, None), ("--mean_mut", float, None))
     c.add_argument("--inputs", nargs="+", required=True)
-    command(fit_h2, ("--data", str, ...), ("--graph", str, ...), ("--params", str, ...), ("--bins", str, ...), ("--u", float, ...), ("--out", str, ...), ("--perturb", float, 1.0), ("--starts", int, 8), ("--method", str, "NelderMead"), ("--max_iter", int, 500), ("--include_h", int, 0), ("--seed", int, 0))
+    model = (("--data", str, ...), ("--graph", str, ...), ("--params", str, ...), ("--bins", str, ...), ("--u", float, None), ("--out", str, ...), ("--include_h", int, 0))
+    c = command(fit_h2, *model, ("--perturb", float, 1.0), ("--starts", int, 8), ("--method", str, "NelderMead"), ("--max_iter", int, 500), ("--seed", int, 0))
+    c.add_argument("--samples", nargs="+")
+    c = command(compute_uncerts, *model, ("--uncert_method", str, "GIM"))
+    c.add_argument("--samples", nargs="+")
+    c = command(plot_params, ("--params", str, ...), ("--out", str, ...), ("--min_ll", float, None))
+    c.add_argument("--graphs", nargs="+", required=True)
+    c.add_argument("--names", nargs="+")
     command(setup_regions, ("--chrom", str, ...), ("--centromere", int, ...), ("--end", int, ...), ("--size", int, ...), ("--out", str, ...))
     command(parse_mut_vcf, ("--input", str, ...), ("--out", str, ...), ("--bed", str, None))
     command(parse_vcf_coverage, ("--vcf", str, ...), ("--out", str, ...))

@@ -28,10 +28,10 @@ def intervals(estimates: DataFrame, confidence: float = 0.95) -> DataFrame:
 
 
 def parameter_correlations(fits: DataFrame, names: list[str], score: str = "ll", least: float | None = None) -> DataFrame:
-    """``param_i, param_j, rho`` for all i < j, over fits of at least ``least``."""
+    """``param_i, param_j, rho`` for all i < j, over fits of at least ``least``; null where one is constant."""
     kept = fits if least is None else fits.where(F.col(score) >= least)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    wide = kept.agg(*[F.corr(a, b).alias(f"r{n}") for n, (a, b) in enumerate(pairs)])
+    wide = kept.agg(*[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{n}") for n, (a, b) in enumerate(pairs)])
     return wide.select(
         F.explode(
             F.array(
