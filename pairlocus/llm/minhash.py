@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ``component_id`` is the least id that links lead to; ``kept`` holds for one row of each
     component, the one with that id, and for every row without words.
     """
-    small_batches(docs.sparkSession)
+    # Words are objects and several arrays of numbers: some thirty times a batch's bytes.
+    small_batches(docs.sparkSession, 1000, 4)
     rows = located(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("_file").alias("file"),

@@ -210,7 +210,7 @@ def drawn_labels(labels: DataFrame, fit_rows: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, bits: int = 22) -> Model:
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark, 1000, 4)
     drawn = F.broadcast(drawn_labels(labels, fit_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text(docs).alias("text"))
     counted = texts.join(drawn.where(~F.col("curve")).drop("curve"), "_id", "left")
