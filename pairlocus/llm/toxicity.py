@@ -13,8 +13,12 @@ from 0 to 1.
 
 Labels come from rows whose crc32(doc_id) mod 5 is not 0: remainders 1 to 3 for the counts, 4
 for the curve, each about ``fit_rows`` rows at most, drawn by a hash of the identifier. All
-other counts are over all documents. The n-gram tables stay distributed; what is broadcast
-is one number for each of 2^``bits`` hashed n-grams.
+other counts are over all documents. The n-gram tables stay distributed and exact, each n-gram
+by its whole 64-bit hash. Only the evidence of n-grams that make up 2^-``bits`` of all n-grams,
+of the texts or of the distinct words, is broadcast (at most 2 * 2^``bits`` of them). Words that
+have another n-gram are joined with it once for each distinct word, and then with the documents
+that have the word; as such a word is rare, no key of these joins is hot. Equal texts are scored
+once, by their MD5.
 
 Nulls: a null text counts as empty; a text without words has the evidence 0; a null identifier
 has no label and counts as held out; a null label is none, and of repeated ones the greatest
@@ -64,37 +68,46 @@ def word_grams(words: pa.Array) -> tuple[str, np.ndarray, np.ndarray, np.ndarray
     return line, ends[real], hashes[real], word[real]
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """``gram, toxic, ordinary`` of ``docs(text, toxic)``: a row for each distinct n-gram.
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, times, toxic, ordinary`` of ``docs(text, toxic)``: a row for each distinct word.
 
-    Rows without a label still show which n-grams there are.
+    Rows without a label still show which words there are.
     """
 
     def run(batches):
-        seen = [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
-        text_of: dict[int, str] = {}
         for batch in batches:
             label = batch["toxic"].fill_null(-1).to_numpy(zero_copy_only=False)
             words, codes, offsets = coded_words(batch["text"])
             by_word = np.repeat(label, np.diff(offsets))
-            line, ends, hashes, word = word_grams(words)
-            counts = [np.bincount(codes[by_word == c], minlength=len(words))[word] for c in (1, 0)]
+            counts = [np.bincount(x, minlength=len(words)) for x in (codes, codes[by_word == 1], codes[by_word == 0])]
+            yield pa.RecordBatch.from_arrays([words, *map(pa.array, counts)], ["word", "times", "toxic", "ordinary"])
+
+    found = docs.select("text", "toxic").mapInArrow(run, "word string, times long, toxic long, ordinary long")
+    return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("times", "toxic", "ordinary")])
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """``gram, times, kinds, toxic, ordinary`` of ``word_counts``: a row for each distinct n-gram.
+
+    ``times`` counts all words that have it, ``kinds`` distinct ones.
+    """
+
+    def run(batches):
+        for batch in batches:
+            line, ends, hashes, word = word_grams(batch["word"])
             grams, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            for h, e in zip(grams.tolist(), ends[first].tolist(), strict=True):
-                if h not in text_of:
-                    text_of[h] = line[e - ORDER + 1 : e + 1]
-            new = [np.bincount(inverse, c, len(grams)) for c in counts]
-            both, inverse = np.unique(np.concatenate((seen[0], grams)), return_inverse=True)
-            seen = [both, *(np.bincount(inverse, np.concatenate(x), len(both)) for x in zip(seen[1:], new, strict=True))]
-        for i in range(0, len(seen[0]), 50_000):
-            part = [x[i : i + 50_000] for x in seen]
+            by_word = [batch["times"].to_numpy(), np.ones(len(batch)), batch["toxic"].to_numpy(), batch["ordinary"].to_numpy()]
+            counts = [np.bincount(inverse, c[word], len(grams)) for c in by_word]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([text_of[h] for h in part[0].tolist()]), pa.array(part[1].astype(np.int64)), pa.array(part[2].astype(np.int64))],
-                ["gram", "toxic", "ordinary"],
+                [
+                    pa.array([line[e - ORDER + 1 : e + 1] for e in ends[first].tolist()], pa.string()),
+                    *[pa.array(c.astype(np.int64)) for c in counts],
+                ],
+                ["gram", "times", "kinds", "toxic", "ordinary"],
             )
 
-    found = docs.select("text", "toxic").mapInArrow(run, "gram string, toxic long, ordinary long")
-    return found.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = words.mapInArrow(run, "gram string, times long, kinds long, toxic long, ordinary long")
+    return found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("times", "kinds", "toxic", "ordinary")])
 
 
 def shared_backoff(grams: DataFrame) -> DataFrame:
@@ -121,11 +134,9 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
 
 
 def evidence(grams: DataFrame) -> DataFrame:
-    """``gram, llr``: log-likelihood of each n-gram's last character, toxic less ordinary."""
+    """``grams`` with ``llr``: log-likelihood of each n-gram's last character, toxic less ordinary."""
     both = grams.select(
-        "gram",
-        "toxic",
-        "ordinary",
+        *grams.columns,
         F.substring("gram", 1, ORDER - 1).alias("head"),
         F.substring("gram", 2, ORDER - 1).alias("tail"),
     ).join(shared_backoff(grams).select(F.col("gram").alias("tail"), "p"), "tail")
@@ -141,27 +152,172 @@ def evidence(grams: DataFrame) -> DataFrame:
         )
         return F.when(F.col(f"{c}_all") > 0, F.try_divide(known, F.col(f"{c}_all"))).otherwise(F.col("p"))
 
-    return both.select("gram", (F.ln(probability("toxic")) - F.ln(probability("ordinary"))).alias("llr"))
+    kept = [c for c in grams.columns if c not in ("toxic", "ordinary")]
+    return both.select(*kept, (F.ln(probability("toxic")) - F.ln(probability("ordinary"))).alias("llr"))
+
+
+def hashed(grams: DataFrame) -> DataFrame:
+    """``hash, times, kinds, llr``: each n-gram by its whole hash."""
+
+    def run(batches):
+        for batch in batches:
+            line = "".join(batch["gram"].to_pylist())
+            codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, ORDER)
+            hashes = np.zeros(len(codes), np.uint64)
+            for k in range(ORDER):
+                hashes = (hashes ^ codes[:, k]) * MIX
+                hashes ^= hashes >> np.uint64(29)
+            columns = [pa.array(hashes.view(np.int64)), batch["times"], batch["kinds"], batch["llr"]]
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "times", "kinds", "llr"])
+
+    return grams.select("gram", "times", "kinds", "llr").mapInArrow(run, "hash long, times long, kinds long, llr double")
+
+
+class Evidence:
+    """The evidence of some n-grams by their whole hashes."""
+
+    def __init__(self, grams: pa.Table):
+        hashes = grams["hash"].to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = np.append(hashes[order], np.uint64(0))
+        self.values = np.append(grams["llr"].to_numpy()[order], 0.0)
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sum for each word; the words and hashes of the n-grams that aren't among these."""
+        _, _, hashes, word = word_grams(words)
+        place = np.searchsorted(self.hashes[:-1], hashes)
+        found = self.hashes[place] == hashes
+        found &= place < len(self.hashes) - 1
+        sums = np.bincount(word, np.where(found, self.values[place], 0.0), len(words))
+        return sums, word[~found], hashes[~found]
+
+
+def word_evidence(words: DataFrame, common, others: DataFrame) -> DataFrame:
+    """``word_id, llr``: the evidence of each distinct word that has n-grams beside the common ones.
+
+    ``common`` is a broadcast Evidence, ``others(hash, llr)`` the rest.
+    """
+
+    def run(batches):
+        for batch in batches:
+            sums, word, hashes = common.value.of_words(batch["word"])
+            have = np.unique(word)
+            none = np.zeros(len(word))
+            ids = batch["word_id"]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.take(pa.array(np.concatenate((have, word)))),
+                    pa.concat_arrays([ids.take(pa.array(have)), pa.array(hashes.view(np.int64))]),
+                    pa.array(np.concatenate((sums[have], none)), mask=np.concatenate((have < 0, none == 0))),
+                ],
+                ["word_id", "hash", "sum"],
+            )
+
+    # One row with the common n-grams of each such word, spread by its own hash, and one for each other n-gram.
+    found = words.select(F.xxhash64("word").alias("word_id"), "word").mapInArrow(run, "word_id long, hash long, sum double")
+    return found.join(others, "hash", "left").groupBy("word_id").agg(F.sum(F.coalesce("sum", "llr", F.lit(0.0))).alias("llr"))
+
+
+def text_key(docs: DataFrame) -> Column:
+    return F.unhex(F.md5(whole_text(docs)))
+
+
+def features(docs: DataFrame, common, by_word: DataFrame) -> DataFrame:
+    """``key, mean, most, words``, a row for each distinct text.
+
+    Evidence by word, of its most toxic word, and log of its words. ``common`` gives the
+    evidence of words of common n-grams; all others are joined with ``by_word``.
+    """
+
+    def run(batches):
+        for batch in batches:
+            words, codes, offsets = coded_words(batch["text"])
+            sums, other, _ = common.value.of_words(words)
+            known = np.ones(len(words), bool)
+            known[other] = False
+            llr, known = sums[codes], known[codes]
+            n = len(offsets) - 1
+            doc = np.repeat(np.arange(n), np.diff(offsets))
+            total = np.bincount(doc[known], llr[known], n)
+            times = np.bincount(doc[known], minlength=n)
+            most = np.full(n, -np.inf)
+            np.maximum.at(most, doc[known], llr[known])
+            pairs, count = np.unique(doc[~known] * max(len(words), 1) + codes[~known], return_counts=True)
+            rare, word = np.divmod(pairs, max(len(words), 1))
+            none = np.zeros(len(count))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["key"].take(pa.array(np.concatenate((np.arange(n), rare)))),
+                    pa.concat_arrays([pa.nulls(n, pa.string()), words.take(pa.array(word))]),
+                    pa.array(np.concatenate((times, count))),
+                    pa.array(np.concatenate((total, none))),
+                    pa.array(np.concatenate((most, none)), mask=np.concatenate((times == 0, none == 0))),
+                ],
+                ["key", "word", "times", "total", "most"],
+            )
+
+    # A row with the common words of each text, spread by the text's key, and one for each other word.
+    rows = docs.select(text_key(docs).alias("key"), whole_text(docs).alias("text")).mapInArrow(
+        run, "key binary, word string, times long, total double, most double"
+    )
+    first = F.col("word").isNull()
+    rows = rows.select(
+        "key",
+        F.when(first, F.xxhash64("key")).otherwise(F.xxhash64("word")).alias("word_id"),
+        first.alias("first"),
+        "times",
+        "total",
+        "most",
+    )
+    llr = F.coalesce(F.col("llr"), F.lit(0.0))
+    # Equal texts multiply the rows of their key.
+    found = (
+        rows.join(by_word, "word_id", "left")
+        .groupBy("key")
+        .agg(
+            F.sum(F.when(F.col("first"), F.col("total")).otherwise(F.col("times") * llr)).alias("total"),
+            F.max(F.when(F.col("first"), F.col("most")).otherwise(llr)).alias("most"),
+            F.sum("times").alias("times"),
+            F.sum(F.col("first").cast("long")).alias("texts"),
+        )
+    )
+    return found.select(
+        "key",
+        (F.col("total") / F.greatest("times", F.lit(1))).alias("mean"),
+        F.coalesce("most", F.lit(0.0)).alias("most"),
+        F.log1p(F.col("times") / F.col("texts")).alias("words"),
+    )
 
 
 class Model:
-    """Evidence by hashed n-gram, and the curve; small and of fixed size."""
+    """Evidence by n-gram and the features of the texts fitted on, both distributed; the curve."""
+
+    def __init__(self, grams: DataFrame, texts: DataFrame, weights: np.ndarray):
+        self.grams, self.texts, self.weights = grams, texts, weights
+
+    def scores(self) -> DataFrame:
+        """``key, score``: a row for each distinct text."""
+        w = [float(x) for x in self.weights]
+        z = F.lit(w[0]) + w[1] * F.col("mean") + w[2] * F.col("most") + w[3] * F.col("words")
+        return self.texts.select("key", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
+
+
+class Scorer:
+    """The evidence of a model whose n-grams fit into one worker, for texts it wasn't fitted on."""
 
-    def __init__(self, table: np.ndarray, weights: np.ndarray | None = None):
-        self.table, self.weights = table, weights
+    def __init__(self, model: Model):
+        self.grams, self.weights = Evidence(model.grams.where("llr != 0").select("hash", "llr").toArrow()), model.weights
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """For each text: evidence by word, of its most toxic word, and log of its words."""
         words, codes, offsets = coded_words(texts)
-        _, _, hashes, word = word_grams(words)
-        values = self.table[(hashes & np.uint64(len(self.table) - 1)).astype(np.int64)].astype(np.float64)
-        per_word = np.bincount(word, values, len(words))[codes]
-        sums = np.concatenate(([0.0], np.cumsum(per_word)))
+        per_word = self.grams.of_words(words)[0][codes]
         n = np.diff(offsets)
+        sums = np.bincount(np.repeat(np.arange(len(n)), n), per_word, len(n))
         most = np.zeros(len(n))
         if len(per_word):
             most[n > 0] = np.maximum.reduceat(per_word, offsets[:-1][n > 0])
-        return np.column_stack(((sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1), most, np.log1p(n)))
+        return np.column_stack((sums / np.maximum(n, 1), most, np.log1p(n)))
 
     def score(self, texts: pa.Array) -> np.ndarray:
         w = self.weights
@@ -209,61 +365,34 @@ def drawn_labels(labels: DataFrame, fit_rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, bits: int = 22) -> Model:
-    spark = docs.sparkSession
-    small_batches(spark, 1000, 4)
+    small_batches(docs.sparkSession, 1000, 4)
     drawn = F.broadcast(drawn_labels(labels, fit_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text(docs).alias("text"))
     counted = texts.join(drawn.where(~F.col("curve")).drop("curve"), "_id", "left")
-    grams = written(gram_counts(counted), "toxicity-grams")
-    table = np.zeros(1 << bits, np.float32)
-    slots = slot_values(evidence(grams), bits)
-    for batch in slots.toArrow().to_batches():
-        table[batch["slot"].to_numpy()] = batch["llr"].to_numpy()
-    model = Model(table)
-    shared = spark.sparkContext.broadcast(model)
-
-    def measure(batches):
-        for batch in batches:
-            x = shared.value.evidence(batch["text"])
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c) for c in x.T.copy()], batch["toxic"]], ["mean", "most", "words", "toxic"]
-            )
-
+    words = written(word_counts(counted), "toxicity-words")
+    counts = written(gram_counts(words), "toxicity-grams")
+    grams = written(hashed(evidence(counts)), "toxicity-evidence")
+    every = grams.agg(F.sum("times").alias("times"), F.sum("kinds").alias("kinds")).first()
+    share = [F.col(c) >= (every[c] or 0) / (1 << bits) for c in ("times", "kinds")]
+    common = Evidence(grams.where(share[0] | share[1]).select("hash", "llr").toArrow())
+    common = docs.sparkSession.sparkContext.broadcast(common)
+    others = grams.where(~(share[0] | share[1]) & (F.col("llr") != 0)).select("hash", "llr")
+    by_word = written(word_evidence(words, common, others), "toxicity-by-word")
+    found = written(features(docs, common, by_word), "toxicity-features")
     rows = (
-        texts.join(drawn.where("curve").drop("curve"), "_id")
-        .select("text", "toxic")
-        .mapInArrow(measure, "mean double, most double, words double, toxic int")
+        docs.select(F.col("doc_id").cast("long").alias("_id"), text_key(docs).alias("key"))
+        .join(drawn.where("curve").drop("curve"), "_id")
+        .join(found, "key")
+        .select("mean", "most", "words", "toxic")
         .toArrow()
     )
     x = np.column_stack([rows[c].to_numpy() for c in ("mean", "most", "words")])
-    model.weights = curve(x, rows["toxic"].to_numpy().astype(float))
-    return model
-
-
-def slot_values(grams: DataFrame, bits: int) -> DataFrame:
-    """``slot, llr``: at most 2^bits rows, n-grams that share a slot having their mean."""
-
-    def run(batches):
-        for batch in batches:
-            line = "".join(batch["gram"].to_pylist())
-            codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, ORDER)
-            hashes = np.zeros(len(codes), np.uint64)
-            for k in range(ORDER):
-                hashes = (hashes ^ codes[:, k]) * MIX
-                hashes ^= hashes >> np.uint64(29)
-            slots = (hashes & np.uint64((1 << bits) - 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), batch["llr"]], ["slot", "llr"])
-
-    return (
-        grams.mapInArrow(run, "slot int, llr double")
-        .groupBy("slot")
-        .agg(F.avg("llr").cast("float").alias("llr"))
-    )
+    return Model(grams, found, curve(x, rows["toxic"].to_numpy().astype(float)))
 
 
 def scorer(spark: SparkSession, model: Model):
     """A column function from text to score, over Arrow batches."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(Scorer(model))
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
@@ -274,15 +403,17 @@ def scorer(spark: SparkSession, model: Model):
 
 def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``doc_id, held_out, score, predicted``: one row for each row of ``docs``."""
-    score = scorer(docs.sparkSession, fit(docs, labels, **options))
-    return docs.select(
+    model = fit(docs, labels, **options)
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (remainder(F.col("doc_id")) == 0).alias("held_out"),
-        score(whole_text(docs)).alias("score"),
-    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        text_key(docs).alias("key"),
+    )
+    return rows.join(model.scores(), "key").drop("key").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
-    score = scorer(docs.sparkSession, fit(docs, labels, **options))
-    return docs.where(score(whole_text(docs)) < 0.5)
+    scores = fit(docs, labels, **options).scores()
+    toxic = written(scores.where("score >= 0.5").select("key"), "toxicity-toxic")
+    return docs.join(toxic, text_key(docs) == toxic["key"], "left_anti")

@@ -70,3 +70,20 @@ def test_odd_rows_and_labels(spark, make_docs, odd_rows):
     out = toxicity.scored(make_docs(odd_rows), labels, bits=12).collect()
     assert len(out) == len(odd_rows) and all(0 <= r.score <= 1 for r in out)
     assert toxicity.scored(make_docs([]), labels.limit(0), bits=12).count() == 0
+
+
+def test_every_ngram_keeps_its_own_evidence(labelled, make_docs):
+    """However few n-grams are broadcast and however many n-grams carry nothing, none are averaged."""
+    docs, labels, truth = labelled
+    rng = random.Random(3)
+    junk = [(10_000 + i, " ".join("".join(rng.choices("0123456789abcdef", k=16)) for _ in range(60))) for i in range(300)]
+    out = {}
+    for bits in (2, 18):
+        model = toxicity.fit(docs.unionByName(make_docs(junk)), labels, bits=bits)
+        score = toxicity.scorer(docs.sparkSession, model)
+        joined = docs.select("doc_id", "text", toxicity.text_key(docs).alias("key")).join(model.scores(), "key")
+        rows = joined.select("doc_id", "score", score(F.col("text")).alias("alone")).collect()
+        assert len(rows) == len(truth) and all(abs(r.score - r.alone) < 1e-9 for r in rows)
+        out[bits] = {r.doc_id: r.score for r in rows}
+    assert max(abs(out[2][i] - out[18][i]) for i in truth) < 1e-9
+    assert np.mean([(out[2][i] >= 0.5) == t for i, t in truth.items()]) > 0.97
