@@ -70,17 +70,24 @@ def numbered(regions: DataFrame) -> DataFrame:
     )
 
 
-def draws(regions: DataFrame, reps: int, samples: int, seed: int = 0) -> DataFrame:
-    """``rep, draw, region_ord``: seeded draws with replacement, the same in any engine."""
+def draws(regions: DataFrame, reps: int, samples: int, seed: int = 0, generator: str = "hash") -> DataFrame:
+    """``rep, draw, region_ord``: seeded draws with replacement, a hash of seed, rep and draw.
+
+    The generator ``progression`` is the formula of FIXTURES.md, which other engines can repeat.
+    Its draws aren't independent and give wrong variances: it only serves to compare with SQL.
+    """
     spark = regions.sparkSession
     n = regions.agg(F.count("*").alias("n"))
-    mixed = (F.col("rep") * 7919 + F.col("draw") * 104729 + F.lit(seed)) % 1000003
+    mixed = {
+        "hash": F.xxhash64(F.lit(seed).cast("long"), "rep", "draw"),
+        "progression": (F.col("rep") * 7919 + F.col("draw") * 104729 + F.lit(seed)) % 1000003,
+    }[generator]
     return (
         spark.range(reps)
         .withColumnRenamed("id", "rep")
         .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
         .crossJoin(F.broadcast(n))  # one row
-        .select("rep", "draw", (mixed % F.col("n")).alias("region_ord"))
+        .select("rep", "draw", F.pmod(mixed, F.col("n")).alias("region_ord"))
     )
 
 
@@ -91,6 +98,7 @@ def replicates(
     rates: DataFrame | None = None,
     target: float | None = None,
     seed: int = 0,
+    generator: str = "hash",
 ) -> DataFrame:
     """``rep, row, stat_ord, value``: ratios of sums over drawn regions.
 
@@ -103,7 +111,7 @@ def replicates(
         n = regions.count()
         reps, samples = reps or n, samples or n
     drawn = (
-        draws(regions, reps, samples, seed)
+        draws(regions, reps, samples, seed, generator)
         .groupBy("rep", "region_ord")
         .agg(F.count("*").alias("times"))
         .join(regions, "region_ord")

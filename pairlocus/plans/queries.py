@@ -312,6 +312,8 @@ RATES = f"rates AS (SELECT chrom || '_' || (pos // {t.REGION}) AS region, count(
 FACTOR = "factor AS (SELECT (sum(num_sites * mean_mut) / sum(num_sites)) * (sum(num_sites * mean_mut) / sum(num_sites)) AS f FROM rates)"
 BASE = f"WITH {SITES}, {LONG}, {BP}, {REGIONS}, {RATES}, {FACTOR}"
 REPS, DRAWS, SEED = 12, 9, 5
+#: The draws that SQL can repeat.
+GENERATOR = "progression"
 
 
 def region_table(spark: SparkSession, d: str) -> DataFrame:
@@ -356,18 +358,18 @@ COV = """ SELECT a.row AS row, CAST(a.stat_ord AS BIGINT) AS stat_i, CAST(b.stat
 
 @query(BOOT.replace("DENOM", "denom") + " SELECT rep, row, CAST(stat_ord AS BIGINT) AS stat_ord, round(value, 9) AS value FROM reps")
 def bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
-    return boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED).withColumn("value", F.round("value", 9))
+    return boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED, generator=GENERATOR).withColumn("value", F.round("value", 9))
 
 
 @query(BOOT.replace("DENOM", "denom") + COV)
 def bootstrap_cov(spark: SparkSession, d: str) -> DataFrame:
-    reps = boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED)
+    reps = boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED, generator=GENERATOR)
     return boot.covariances(reps).withColumn("cov", F.round("cov", 9) + 0.0)
 
 
 @query(BOOT.replace("DENOM", SCALED) + COV)
 def bootstrap_cov_mut(spark: SparkSession, d: str) -> DataFrame:
-    reps = boot.replicates(region_table(spark, d), REPS, DRAWS, region_rates(spark, d), seed=SEED)
+    reps = boot.replicates(region_table(spark, d), REPS, DRAWS, region_rates(spark, d), seed=SEED, generator=GENERATOR)
     return boot.covariances(reps).withColumn("cov", F.round("cov", 9) + 0.0)
 
 
@@ -378,7 +380,7 @@ def bootstrap_cov_mut(spark: SparkSession, d: str) -> DataFrame:
     WHERE a.stat_ord IN (0, 4) AND b.stat_ord IN (0, 4) GROUP BY a.row, a.stat_ord, b.stat_ord"""
 )
 def cov_submatrix(spark: SparkSession, d: str) -> DataFrame:
-    reps = boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED)
+    reps = boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED, generator=GENERATOR)
     cov = boot.subset_statistics(boot.covariances(reps), [4, 0])
     return long(cov, "stat_i", "stat_j").withColumn("cov", F.round("cov", 9) + 0.0)
 
@@ -398,7 +400,7 @@ def bin_subset(spark: SparkSession, d: str) -> DataFrame:
     SELECT row, round(-((0.5 * mx) * (0.5 * mx) * yy - 2 * (0.5 * mx) * (0.5 * my) * xy + (0.5 * my) * (0.5 * my) * xx) / nullif(xx * yy - xy * xy, 0), 4) AS ll FROM c"""
 )
 def gaussian_bin_ll(spark: SparkSession, d: str) -> DataFrame:
-    reps = written(boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED), "replicates")
+    reps = written(boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED, generator=GENERATOR), "replicates")
     reps = boot.subset_statistics(reps, [0, 4])
     data = reps.groupBy("row", "stat_ord").agg(F.avg("value").alias("mean"))
     model = data.withColumn("mean", F.col("mean") * 0.5)

@@ -99,3 +99,13 @@ def test_views(spark):
     assert (q.q1, q.median, q.q3) == tuple(np.percentile(x, [25, 50, 75]))
     arms = spark.createDataFrame([(1, "l", 0.5), (1, "r", 0.25)], "chrom long, arm string, mean double")
     assert views.cross_product(arms, ["chrom"], "l", "r").first()["cross"] == 0.125
+
+
+@pytest.mark.parametrize("n", [20, 100])
+def test_draws_give_the_variance_of_a_mean(spark, n):
+    values = np.arange(n) + np.random.default_rng(4).normal(0, n / 10, n)
+    df = spark.createDataFrame([(f"r{i:03d}", 0, 0, float(v), 1.0) for i, v in enumerate(values)], STATS)
+    means = [r.value for r in bootstrap.replicates(df, 600, n, seed=1).collect()]
+    assert np.var(means) == pytest.approx(values.var() / n, rel=0.25)
+    drawn = [len({r.region_ord for r in bootstrap.draws(bootstrap.numbered(df), 40, n).collect() if r.rep == k}) for k in range(3)]
+    assert all(d < n for d in drawn)
