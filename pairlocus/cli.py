@@ -13,6 +13,32 @@ from .scratch import written
 from .sources import bed, vcf
 
 
+def layered(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows as ``chrom, start, end, layer, region``, and ``layer, low, high`` of the layers.
+
+    A layer's windows have one ``r_end`` and don't overlap, so that each left site is in one of
+    them at most. The windows of a chromosome are a short list by their nature.
+    """
+    rows, layers = [], []
+    for w in windows.distinct().orderBy("r_end", "start", "l_end").collect():
+        n = next((n for n, (_, high, end) in enumerate(layers) if high == w.r_end and end <= w.start), len(layers))
+        low = w.start if n == len(layers) else layers[n][0]
+        layers[n : n + 1] = [(low, w.r_end, w.l_end)]
+        rows.append((w.chrom, w.start, w.l_end, n, f"{w.chrom}_{w.start}"))
+    spark = windows.sparkSession
+    return (
+        spark.createDataFrame(rows, "chrom string, start long, end long, layer int, region string"),
+        spark.createDataFrame([(n, low, high) for n, (low, high, _) in enumerate(layers)], "layer int, low long, high long"),
+    )
+
+
+def in_windows(points: DataFrame, named: DataFrame, layers: DataFrame) -> DataFrame:
+    """Points by layer up to its ``r_end``; ``first`` for those in a window, with its region."""
+    near = points.crossJoin(F.broadcast(layers)).where("pos >= low and pos < high").drop("low", "high")
+    found = intervals.locate(points.select("chrom", "pos").distinct(), named).select("chrom", "pos", "layer", "region")
+    return near.join(found, ["chrom", "pos", "layer"], "left").withColumn("first", F.col("region").isNotNull())
+
+
 def parse_h2(spark: SparkSession, a) -> DataFrame:
     """Region statistics of a variant file, written as Parquet."""
     edges = bed.read_edges(spark, a.bins)
@@ -30,15 +56,13 @@ def parse_h2(spark: SparkSession, a) -> DataFrame:
         at, steps = "cm", haldane_edges(edges)
     if a.mut_map:
         covered = maps.step_lookup(covered, bed.read_bedgraph(spark, a.mut_map)).where("u is not null")
-    named = windows.select(
-        "chrom", "start", F.col("l_end").alias("end"), F.concat_ws("_", "chrom", F.col("start").cast("string")).alias("region")
-    )
+    named, layers = layered(windows)
 
     def placed(df: DataFrame) -> DataFrame:
-        return intervals.locate(df, named).drop("start", "end")
+        return in_windows(df, named, layers)
 
     stats = hstats.region_statistics(
-        placed(sites), placed(covered), len(wanted), steps, at, "u" if a.mut_map else None
+        placed(sites), placed(covered), len(wanted), steps, at, "u" if a.mut_map else None, ["chrom", "layer"], "first"
     )
     bed.write_statistics(stats.withColumn("row", F.col("bin_id")), a.out, "chrom")
     return stats
@@ -169,6 +193,8 @@ def plot_h2(spark: SparkSession, a) -> DataFrame:
     """The table behind the figure."""
     edges = bed.read_edges(spark, a.bins)
     out = views.curves(bed.read_statistics(spark, f"{a.data}/means"), bed.read_statistics(spark, f"{a.data}/covs"), edges)
+    if a.out:
+        bed.write_statistics(out, a.out)
     out.orderBy("stat_ord", "row").show(200)
     return out
 
@@ -199,7 +225,7 @@ def parser() -> argparse.ArgumentParser:
     command(setup_regions, ("--chrom", str, ...), ("--centromere", int, ...), ("--end", int, ...), ("--size", int, ...), ("--out", str, ...))
     command(parse_mut_vcf, ("--input", str, ...), ("--out", str, ...), ("--bed", str, None))
     command(parse_vcf_coverage, ("--vcf", str, ...), ("--out", str, ...))
-    command(plot_h2, ("--data", str, ...), ("--bins", str, ...))
+    command(plot_h2, ("--data", str, ...), ("--bins", str, ...), ("--out", str, None))
     return p
 
 

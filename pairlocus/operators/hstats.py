@@ -117,17 +117,21 @@ def means(nums: DataFrame, denoms: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def region_statistics(
-    sites: DataFrame, covered: DataFrame, populations: int, edges: Sequence[float], at: str = "pos", rate: str | None = None
+    sites: DataFrame, covered: DataFrame, populations: int, edges: Sequence[float], at: str = "pos", rate: str | None = None,
+    by: Sequence[str] = ("chrom",), left: str | None = None,
 ) -> DataFrame:
     """``chrom, region, row_kind, bin_id, stat_ord, num, denom``: H2 rows by bin and one H row.
 
     ``region`` is a column of both inputs: the region of a pair is that of its first site, and
-    its second site may lie beyond. The H row has bin_id -1.
+    its second site may lie beyond. The H row has bin_id -1. Pairs are made within ``by``; the
+    boolean column ``left`` marks the sites of regions, if others are second sites only.
     """
     key = ["region"]
-    h2 = two_locus(sites, populations, edges, ["chrom"], at, left_by=key)
-    d2 = pair_denominators(covered, edges, ["chrom"], at, left_by=key, rate=rate)
-    h2 = h2.join(d2, ["chrom", "region", "bin_id"], "left").select(
+    h2 = two_locus(sites, populations, edges, by, at, left, left_by=key)
+    d2 = pair_denominators(covered, edges, by, at, left, left_by=key, rate=rate)
+    if left:
+        sites, covered = sites.where(left), covered.where(left)
+    h2 = h2.join(d2, [*by, "region", "bin_id"], "left").select(
         "chrom", "region", F.lit("H2").alias("row_kind"), "bin_id", "stat_ord", "num", F.col("denom").cast("double").alias("denom")
     )
     h = one_locus(sites, populations, ["chrom", "region"])

@@ -113,3 +113,31 @@ def test_a_fitted_rate(spark, fitted):
     cli.main(["fit_h2", "--data", f"{d}/data", "--params", f"{d}/params", "--bins", f"{d}/bins", "--graph", f"{d}/start", "--out", f"{d}/fit.yaml", "--include_h", "1", "--starts", "1", "--max_iter", "80"])
     found = graph.read_graph((d / "fit.yaml").read_text())["metadata"]["opt_info"]["u"]
     assert 1e-8 <= found <= 1.6e-8 and found == pytest.approx(u, rel=0.1)
+
+
+def test_windows_reach_to_their_right_ends(spark, files):
+    """Some tiles only, two arms, and overlapping windows: all pairs up to r_end, and no others."""
+    d, _ = files
+    windows = [(0, 300, 1800), (200, 500, 1800), (1800, 2100, 4000), (2050, 2300, 3000)]
+    (d / "some").write_text("\n".join(" ".join(map(str, w)) for w in windows))
+    (d / "bp").write_text("0 10 300 2500")
+    cli.main(["parse_h2", "--vcf", f"{d}/v.vcf.gz", "--bed", f"{d}/m.bed", "--regions", f"{d}/some", "--bins", f"{d}/bp", "--chrom", "1", "--out", f"{d}/some_stats"])
+    rows = spark.read.parquet(f"{d}/some_stats").collect()
+    lines = gzip.decompress((d / "v.vcf.gz").read_bytes()).decode().splitlines()[3:]
+    het = {int(f[1]) - 1: f[9] in ("0/1", "1/0") for f in (line.split("\t") for line in lines)}
+    covered = [p for p in range(4000) if p < 1500 or p >= 2000]
+    edges = [0, 10, 300, 2500]
+    for start, l_end, r_end in windows:
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+            pairs = [(p, q) for p in covered if start <= p < l_end for q in range(p + max(lo, 1), min(p + hi, r_end)) if q < 1500 or q >= 2000]
+            found = [r for r in rows if r.region == f"1_{start}" and r.row == k and r.stat_ord == 0]
+            # Regions without a difference have no rows of pairs.
+            assert len(found) == any(het.get(p, False) for p in covered if start <= p < l_end)
+            assert all(r.denom == len(pairs) and r.num == sum(het.get(p, False) and het.get(q, False) for p, q in pairs) for r in found)
+        found = [r for r in rows if r.region == f"1_{start}" and r.row == -1 and r.stat_ord == 0]
+        assert len(found) == any(start <= p < l_end for p in het if p in covered)
+        assert all(r.denom == sum(start <= p < l_end for p in covered) for r in found)
+    assert len({r.region for r in rows if r.row == 2 and r.stat_ord == 0}) >= 2
+    cli.main(["bootstrap_h2", "--inputs", f"{d}/some_stats", "--out", f"{d}/some_boot"])
+    cli.main(["plot_h2", "--data", f"{d}/some_boot", "--bins", f"{d}/bp", "--out", f"{d}/curves"])
+    assert spark.read.parquet(f"{d}/curves").count() > 0
