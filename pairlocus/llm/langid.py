@@ -27,6 +27,7 @@ from .text import small_batches, whole_text, written
 
 #: Elements whose content isn't the page's own text.
 ASIDE = ("script", "style", "nav", "footer", "head", "aside", "noscript")
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 TAG = re.compile(r"<[^<>]*+>")
 COMMENT = re.compile(r"<!--")
 DECLARED = re.compile(r"<html\b[^<>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
@@ -36,15 +37,45 @@ SUFFIXES = {"at": "de", "ch": "de", "uk": "en", "us": "en", "au": "en", "ie": "e
 TEMPER = 0.1
 
 
+#: What may stand in <head>; any other element ends one that isn't closed.
+IN_HEAD = ("title", "meta", "link", "base", "script", "style", "noscript", "template")
+#: Elements of which all that follows is content if they aren't closed.
+RAW = ("script", "style", "noscript")
+IN_TAG = re.compile(r"<(!--|/head\b|/?body\b|[a-z][a-z0-9]*)")
+
+
+def head_end(lower: str, at: int) -> int:
+    """Where the head ends that begins before ``at``: its end tag, or what can't stand in it."""
+    while m := IN_TAG.search(lower, at):
+        close = "-->" if m[1] == "!--" else f"</{m[1]}" if m[1] in ("title", "template", *RAW) else None
+        if close is None and m[1] not in IN_HEAD:
+            return m.start()
+        at = m.end() if close is None else lower.find(close, m.end())
+        if at < 0:
+            break
+    return len(lower)
+
+
 def main_text(page: str) -> str:
-    """Text outside of tags, comments and aside elements, in time linear in the page."""
-    lower, kept, at = page.lower(), [], 0
+    """Text outside of tags, comments and aside elements, in time linear in the page.
+
+    A head that isn't closed ends where HTML ends it; of other elements that aren't closed only
+    comments and raw text hide what follows.
+    """
+    # Lower-case of A-Z only, as other letters may change their number.
+    lower, kept, at, open_ended = page.translate(LOWER), [], 0, set()
     opens = re.compile(r"<(?:!--|(" + "|".join(ASIDE) + r")\b)")
     while m := opens.search(lower, at):
         kept.append(page[at : m.start()])
+        if m[1] == "head":
+            at = head_end(lower, m.end())
+            continue
         close = "-->" if m[1] is None else f"</{m[1]}"
-        end = lower.find(close, m.end())
+        end = -1 if close in open_ended else lower.find(close, m.end())
         at = len(page) if end < 0 else end
+        if end < 0 and m[1] is not None and m[1] not in RAW:
+            open_ended.add(close)
+            at = lower.find(">", m.end()) + 1 or len(page)
         if m[1] is None and end >= 0:
             at = end + 3
     kept.append(page[at:])
@@ -66,11 +97,17 @@ def trigram_slots(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, fit_rows: int = 20_000, bits: int = 16) -> tuple[list[str], np.ndarray]:
-    """Languages, and log-probabilities of the hashed trigrams of each, one row a language."""
+    """Languages, and log-probabilities of the hashed trigrams of each, one row a language.
+
+    About ``fit_rows`` documents of each language are drawn, or all that there are.
+    """
     small_batches(docs.sparkSession, 2000)
-    known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != ""))
-    share = min(1.0, fit_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "")).withColumn("lang", F.lower("lang"))
+    sizes = known.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("n"))
+    # One row a language.
+    drawn = known.join(F.broadcast(sizes), F.col("lang") == F.col("of_lang")).where(
+        F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < F.lit(fit_rows) / F.greatest("n", F.lit(fit_rows)) * (1 << 20)
+    )
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
@@ -90,7 +127,7 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, bits: int = 16) -> tuple[list[s
             )
 
     counted = (
-        drawn.select(F.lower("lang").alias("lang"), whole_text(docs).alias("text"))
+        drawn.select("lang", whole_text(drawn).alias("text"))
         .mapInArrow(run, "lang string, slot long, n long")
         .groupBy("lang", "slot")
         .agg(F.sum("n").alias("n"))
@@ -113,7 +150,7 @@ def page_evidence(pages: DataFrame, languages: list[str], table: np.ndarray) ->
             own = batch["html"].to_pylist()
             slots, owner = trigram_slots([main_text(p) for p in own], bits)
             ll = np.column_stack([np.bincount(owner, row[slots], len(own)) for row in shared.value]) * TEMPER
-            declared = [m[1].lower() if (m := DECLARED.search(p[:4096])) else None for p in own]
+            declared = [m[1].lower() if (m := DECLARED.search(p)) else None for p in own]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["page_id"],

@@ -54,3 +54,24 @@ def test_main_text():
     page = "<html><head>no</head><p>yes &amp; <b>so</b><!-- no --><nav>no<ul>no</nav>too<style>no</style></html><script>no"
     assert langid.main_text(page).split() == ["yes", "&", "so", "too"]
     assert words(random.Random(1), 1)
+
+
+def test_every_language_is_in_the_model(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, "en", 20), "en") for i in range(3000)] + [(5000, prose(rng, "de", 20), "de")]
+    languages, _ = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=30)
+    assert languages == ["de", "en"]
+
+
+def test_declared_language_after_a_long_comment(spark, corpus):
+    pages = [(1, "http://h.example/", "<!--" + " x" * 9000 + "--><html lang='fr'><body>")]
+    (row,) = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), corpus).collect()
+    assert row.declared == "fr"
+
+
+def test_elements_that_are_not_closed():
+    page = "<head><meta charset=x><title>no</title><script>if (a<b) no</script><!-- <p>no --><link href=y>"
+    assert langid.main_text(page + "<body><p>yes").split() == ["yes"]
+    assert langid.main_text(page + "<p>yes<nav>no</nav>too").split() == ["yes", "too"]
+    assert langid.main_text("<p>yes<NAV class=no>links<p>stay").split() == ["yes", "links", "stay"]
+    assert langid.main_text("\u0130" * 9 + "<p>yes<script>no</script>too").split()[-2:] == ["yes", "too"]
