@@ -105,8 +105,6 @@ WRITTEN = re.compile(
 DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?\[\.\] ?|\.)[0-9]{1,3}(?: ?\[\.\] ?|\.)[0-9]{1,3}(?: ?\[\.\] ?|\.)[0-9]{1,3}(?![0-9])")
 NUMBERS = re.compile(r"[0-9]++(?:[ .\-()/]{1,2}[0-9]++)*+")
 GROUP = re.compile(r"[0-9]+")
-#: Numbers are written in so many groups at most: a card in fours or a phone in pairs.
-MOST_GROUPS = 8
 
 
 def candidates(text: str) -> list[Span]:
@@ -120,14 +118,14 @@ def candidates(text: str) -> list[Span]:
         groups = [(m.start() + g.start(), m.start() + g.end()) for g in GROUP.finditer(m[0])]
         for i in range(len(groups)):
             total = 0
-            for j in range(i, min(i + MOST_GROUPS, len(groups))):
+            for j in range(i, len(groups)):
                 total += groups[j][1] - groups[j][0]
                 if total > 19:
                     break
                 start, end = groups[i][0], groups[j][1]
                 if 13 <= total and luhn(digits_of(text[start:end])):
                     spans.append(("card", start, end))
-                if 7 <= total <= 15 and (j - i < 5 or text[start - 1 : start] == "+"):
+                if 7 <= total <= 15:
                     if start and text[start - 1] == "(":
                         start -= 1
                     if start and text[start - 1] == "+":
@@ -346,7 +344,7 @@ def joined(spans: list[Span]) -> str:
 
 
 #: What a text must hold to have a candidate.
-SIGNS = r"[0-9@]|\(at\)|\[at\]|\{at\}|\(AT\)|\[AT\]|\{AT\}"
+SIGNS = r"(?i)[0-9@]|\(at\)|\[at\]|\{at\}"
 
 
 def detect(docs: DataFrame) -> DataFrame:

@@ -86,3 +86,17 @@ def test_redacted(make_docs):
     out = pii.redacted(docs)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "to <email> now", 2: ""}
+
+
+def test_candidates_of_any_case_and_grouping(spark, make_docs):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    mixed = "write to jane (At) example (Dot) com"
+    assert pc.match_substring_regex(pa.array([mixed]), pii.SIGNS).to_pylist() == [True]
+    (row,) = pii.detect(make_docs([(1, mixed)])).collect()
+    ((_, spans),) = pii.find_spans([mixed], pii.trained())
+    assert row.spans == pii.joined(spans)
+    digits = " ".join("4111111111111111")
+    assert ("card", 2, 2 + len(digits)) in pii.candidates("7 " + digits)
+    assert ("phone", 5, 24) in pii.candidates("call 0 1 2 3 4 5 6 7 8 9")
