@@ -6,16 +6,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
 
-    Where the session names no such folder (tests on one machine) a temporary one is set.
+    Where the session names none a temporary one is set, but only if all tasks run on this
+    machine: elsewhere executors couldn't read what others write there.
     """
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='pairlocus-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder."""
+    return f"{shared_folder(spark)}/pairlocus/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -27,3 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Remove the folder of a table that ``written`` made and nothing reads any more."""
+    spark, base = df.sparkSession, f"{shared_folder(df.sparkSession)}/pairlocus/"
+    folders = {base + f.split("/pairlocus/", 1)[1].split("/", 1)[0] for f in df.inputFiles() if "/pairlocus/" in f}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Remove all tables that ``written`` made in the shared folder, once results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pairlocus")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
