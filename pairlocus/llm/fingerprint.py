@@ -222,11 +222,10 @@ def neighboured(docs: DataFrame, rows_a_part: int = 5000, most_parts: int = 2000
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``, as ``compare`` has it, with ``doc_id``."""
-    small_batches(docs.sparkSession, 2000)
 
     def run(batches):
         held = None  # the last document so far, whose next hasn't come
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = list(zip(*(batch[c].to_pylist() for c in ("part", "guest", "doc_id", "text")), strict=True))
             pairs = []
             for row in rows:

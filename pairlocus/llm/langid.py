@@ -101,7 +101,6 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, bits: int = 16) -> tuple[list[s
 
     About ``fit_rows`` documents of each language are drawn, or all that there are.
     """
-    small_batches(docs.sparkSession, 2000)
     known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "")).withColumn("lang", F.lower("lang"))
     sizes = known.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("n"))
     # One row a language.
@@ -111,7 +110,7 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, bits: int = 16) -> tuple[list[s
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small_batches(batches):
             langs = batch["lang"].to_pylist()
             slots, owner = trigram_slots(batch["text"].to_pylist(), bits)
             names = np.array(langs, object)
@@ -146,7 +145,7 @@ def page_evidence(pages: DataFrame, languages: list[str], table: np.ndarray) ->
     bits = int(table.shape[1]).bit_length() - 1
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, "html"):
             own = batch["html"].to_pylist()
             slots, owner = trigram_slots([main_text(p) for p in own], bits)
             ll = np.column_stack([np.bincount(owner, row[slots], len(own)) for row in shared.value]) * TEMPER
@@ -249,7 +248,7 @@ def identify(pages: DataFrame, docs: DataFrame, strength: float = 4.0, **options
         "host",
         "declared",
         "addressed",
-        F.element_at(names, F.col("vote") + 1).alias("text_lang"),
+        F.get(names, F.col("vote")).alias("text_lang"),
         F.element_at(names, F.array_position("total", F.col("top")).cast("int")).alias("lang"),
         (1 / weight).alias("probability"),
     )

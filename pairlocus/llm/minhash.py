@@ -10,26 +10,34 @@ as concentrated as for independent coordinates.
 
 Bands of coordinates give bucket keys. Documents with equal sets are one class from the start
 and only one row of a class goes on, so a group of copies costs one row. Classes that meet in
-a bucket are a cluster, through bucket hubs; every pair of a cluster is verified on the full
-sets inside a task, by counts of common shingles, and only the links that connect it are
-written. The set of a class is made again for this, for clusters only. Components follow from
-the links.
+a bucket are a cluster, through bucket hubs. The sets of a cluster are made again and verified
+in whole numbers of common shingles: a cluster that fits into a block (by the sizes of its sets)
+in one piece; of a larger one each class against a hub first, and then only those that aren't
+linked with the hub against those of the cluster whose sizes allow a link, in pieces of two
+blocks. A group of near copies thus costs a pass, not all its pairs, and no link between classes
+of different components is left out. Only links that connect a piece are written. Components
+follow from the links.
 
 Nulls: a null or wordless text has the empty set and is linked with nothing. Rows are what is
 linked: rows that repeat an id are compared by their own texts. A null id takes part, and is a
-component's id only where no row has another. Empty tables give no rows.
+component's id only where no row has another. Empty tables give no rows. Other columns of
+``docs`` may have any name.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact import located
-from .text import small_batches, whole_text, written
+from .text import hot_join, located, numbered, removed, small_batches, whole_text, written
 
-SIZE, BANDS, ROWS = 125, 25, 5
+#: A pair at 0.8 misses all bands once in 17,000 times, one at 0.85 once in 4 million.
+SIZE, BANDS, ROWS = 192, 32, 6
+#: Shingles of a block of classes, each class counting for some more.
+BLOCK, CLASS_COST = 1 << 20, 1000
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -102,22 +110,22 @@ def band_keys(cells: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 def linked_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the first one that verified links lead to, by intersections of full sets."""
     m = len(sets)
-    size = np.array([len(s) for s in sets], np.float32)
+    size = np.array([len(s) for s in sets], np.int64)
     tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), size.astype(np.int64))
+    owner = np.repeat(np.arange(m), size)
     shared = np.bincount(inverse, minlength=len(tokens)) > 1
     column = (np.cumsum(shared) - 1)[inverse]
     keep = shared[inverse]
     column, owner = column[keep], owner[keep]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    common = np.zeros((m, m), np.float32)
-    width = 4096
+    common = np.zeros((m, m), np.int64)
+    width = 4096  # whole numbers up to this are exact in the products of one step
     for start in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, (start, start + width))
         part = np.zeros((m, width), np.float32)
         part[owner[a:b], column[a:b] - start] = 1
-        common += part @ part.T
+        common += (part @ part.T).astype(np.int64)
     near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     root = np.full(m, -1)
     for i in range(m):
@@ -135,8 +143,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """``node, label`` of ``edges(a, b)``: the least node each one is connected with.
 
     Large-star and small-star steps in turn, each round written to the shared folder, until
-    the edges stay the same. Nodes of high degree are aggregated before they are shuffled and
-    joined on keys that adaptive execution can split.
+    the edges stay the same. Edges of a node of high degree stay where they are.
     """
 
     def summary(df):
@@ -147,10 +154,9 @@ def connected(edges: DataFrame) -> DataFrame:
     before = summary(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        )
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("degree"))
+        least = written(least.select("a", F.least("a", "m").alias("m"), "degree"), "edges-least")
+        large = written(hot_join(both.where("b > a"), least, "a", "degree").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges-large")
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(lower, "a")
@@ -159,8 +165,10 @@ def connected(edges: DataFrame) -> DataFrame:
             .where("a != b")
             .distinct()
         )
-        edges = written(small, "edges")
-        after = summary(edges)
+        new = written(small, "edges")
+        for old in (edges, least, large):
+            removed(old)
+        edges, after = new, summary(new)
         if after == before:
             break
         before = after
@@ -171,7 +179,8 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, file, row, n, class, bands`` for each row of ``docs``; empty sets have no class."""
 
     def run(batches):
-        for batch in batches:
+        # Words are objects and several arrays of numbers: some thirty times a batch's bytes.
+        for batch in small_batches(batches, rows=1000, mb=4):
             sets, begin = shingle_sets(batch["text"].to_pylist(), k)
             n = np.diff(begin)
             keys = band_keys(sketches(sets, begin))
@@ -182,7 +191,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 ["doc_id", "file", "row", "n", "class", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, file string, row long, n long, class binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, file long, row long, n long, class binary, bands array<long>")
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
@@ -195,109 +204,162 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     return labels.unionByName(heads).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
 
 
-def verified_links(docs: DataFrame, members: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
+def piece_links(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that connect the classes of each piece of ``rows(cluster, piece, class, set)``."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        names = table["class"].to_pylist()
+        root = linked_roots([np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()], percent)
+        found = [(names[i], names[r]) for i, r in enumerate(root.tolist()) if r != i]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return rows.groupBy("cluster", "piece").applyInArrow(verify, "a binary, b binary")
+
+
+def hub_links(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: classes of ``rows(cluster, chunk, class, hub, set)`` that are linked with their cluster's hub.
+
+    Every chunk of a cluster has a row of the hub.
+    """
+
+    def verify(table: pa.Table) -> pa.Table:
+        hub = table["hub"][0].as_py()
+        names = table["class"].to_pylist()
+        sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
+        own = sets[names.index(hub)]
+        found = []
+        for name, other in zip(names, sets, strict=True):
+            common = len(np.intersect1d(own, other, assume_unique=True))
+            if name != hub and 100 * common >= percent * (len(own) + len(other) - common):
+                found.append(name)
+        return pa.table({"a": pa.array(found, pa.binary()), "b": pa.array([hub] * len(found), pa.binary())})
+
+    return rows.groupBy("cluster", "chunk").applyInArrow(verify, "a binary, b binary")
+
+
+def verified_links(docs: DataFrame, members: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between classes that connect all that are linked, verified on full sets.
 
-    ``members(class, cluster, file, row)`` has one row of ``docs`` for each class. A cluster is
-    checked in one piece, or, beyond ``block`` classes, in pieces of two blocks each, so that
-    every pair of its classes meets in one piece and no piece grows with the cluster.
+    ``members(class, cluster, n, file, row)`` has one row of ``docs(file, row, text)`` for each
+    class. No piece has more than two blocks, but for a single set that is larger.
     """
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = (
-        members.join(sizes, "cluster")
-        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        .withColumn(
-            "piece",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0), F.col("blocks") - 1),
-                    lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")),
-                )
-            ),
-        )
-        .where((F.col("blocks") == 1) | (F.col("piece.i") != F.col("piece.j")))
-    )
-    # A block meets itself in any of its pieces, so pieces of one block alone are left out.
     where = members.select("file", "row", "class")
-    # Always by shuffle, the few columns of the members being what tasks hash.
     texts = docs.join(where.hint("shuffle_hash"), ["file", "row"]).select("class", "text")
 
     def cut(batches):
-        for batch in batches:
+        for batch in small_batches(batches, rows=1000, mb=4):
             sets, begin = shingle_sets(batch["text"].to_pylist(), k)
             data = [sets[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch["class"], pa.array(data, pa.binary())], ["class", "set"])
 
     sets = written(texts.mapInArrow(cut, "class binary, set binary"), "near-sets")
+    cost = F.sum(F.col("n") + CLASS_COST)
+    clusters = written(
+        members.groupBy("cluster").agg(
+            F.count("*").alias("classes"), F.min("class").alias("hub"), F.ceil(cost / block).cast("int").alias("chunks")
+        ),
+        "near-clusters",
+    )
+    dealt = written(hot_join(members.select("class", "cluster", "n"), clusters, "cluster", "classes"), "near-dealt")
+    one_piece = dealt.where("chunks = 1").join(sets, "class").select("cluster", F.lit(0).alias("piece"), "class", "set")
+    links = piece_links(one_piece, percent)
+    large = dealt.where("chunks > 1")
+    if large.isEmpty():
+        return links
+
+    own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    chunked = large.withColumn("chunk", F.explode(F.when(F.col("class") == F.col("hub"), every).otherwise(F.array(own))))
+    to_hub = written(hub_links(chunked.join(sets, "class").select("cluster", "chunk", "class", "hub", "set"), percent), "near-hubs")
+    # Linked sets have sizes in the same or the next band.
+    width = math.log(100 / percent) * (1 + 1e-9)
+    left = (
+        large.join(to_hub.select(F.col("a").alias("class"), F.lit(True).alias("near")), "class", "left")
+        .withColumn("near", F.col("near").isNotNull() | (F.col("class") == F.col("hub")))
+        .withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+        .drop("chunks", "classes", "hub")
+    )
+    left = written(left, "near-left")
+    groups = left.groupBy("cluster", "band", "near").agg(F.count("*").alias("rows"), F.ceil(cost / block).cast("int").alias("blocks"))
+    # At most two rows a band, and bands are logarithms of sizes.
+    listed = groups.groupBy("cluster").agg(F.collect_list(F.struct("band", "near", "blocks")).alias("groups"), F.sum("rows").alias("classes"))
+    mine = F.filter("groups", lambda g: (g["band"] == F.col("band")) & (g["near"] == F.col("near")))[0]["blocks"]
+    partners = F.filter("groups", lambda g: (F.abs(g["band"] - F.col("band")) <= 1) & ~(g["near"] & F.col("near")))
+    blocks = F.flatten(
+        F.transform(
+            partners,
+            lambda g: F.transform(
+                F.sequence(F.lit(0), g["blocks"] - 1), lambda j: F.struct(g["band"].alias("band"), g["near"].alias("near"), j.alias("block"))
+            ),
+        )
+    )
+    paired = (
+        hot_join(left, written(listed, "near-groups"), "cluster", "classes")
+        .withColumn("own", F.struct("band", "near", F.pmod(F.xxhash64("class"), mine).cast("int").alias("block")))
+        .withColumn("other", F.explode(blocks))
+        .select("class", "cluster", F.struct(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("piece"))
+    )
+    rest = piece_links(paired.join(sets, "class").select("cluster", "piece", "class", "set"), percent)
+    return links.unionByName(to_hub).unionByName(rest)
 
-    def verify(table: pa.Table) -> pa.Table:
-        names = table["class"].to_pylist()
-        root = linked_roots([np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()], percent)
-        found = [(names[i], names[r]) for i, r in enumerate(root.tolist()) if r != i]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
-
-    pieces = dealt.select("class", "cluster", "piece").join(sets, "class").select("cluster", "piece", "class", "set")
-    return pieces.groupBy("cluster", "piece").applyInArrow(verify, "a binary, b binary")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, file, row, n_shingles, component_id, kept``: one row for each row of ``docs``.
 
-    ``component_id`` is the least id that links lead to; ``kept`` holds for one row of each
-    component, the one with that id, and for every row without words.
-    """
-    # Words are objects and several arrays of numbers: some thirty times a batch's bytes.
-    small_batches(docs.sparkSession, 1000, 4)
-    rows = located(docs).select(
+def components(rows: DataFrame, at: str, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """``near_duplicates`` of rows that ``located`` gave."""
+    texts = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("_file").alias("file"),
-        F.col("_row").alias("row"),
-        whole_text(docs).alias("text"),
+        F.col(f"`{at}`.file").alias("file"),
+        F.col(f"`{at}`.row").alias("row"),
+        whole_text(rows).alias("text"),
     )
-    drawn = written(sketched(rows, k), "near-sketches")
-    classes = (
+    drawn = written(sketched(texts, k), "near-sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+    classes = written(
         drawn.where("class is not null")
         .groupBy("class")
-        .agg(F.min(F.struct("file", "row")).alias("at"), F.any_value("bands").alias("bands"))
-    )
-    classes = written(classes, "near-classes")
-    clusters = candidate_clusters(classes)
-    members = written(
-        classes.join(clusters, "class").select("class", "cluster", "at.file", "at.row"), "near-members"
-    )
-    labels = connected(verified_links(rows, members, k, percent)).select(F.col("node").alias("class"), "label")
-    grouped = (
-        drawn.drop("bands")
-        .join(labels, "class", "left")
-        .withColumn("label", F.coalesce("label", "class"))
-    )
-    heads = (
-        grouped.where("label is not null")
-        .groupBy("label")
         .agg(
-            F.min("doc_id").alias("least"),
-            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")).alias("first"),
+            F.min(F.struct("file", "row")).alias("at"),
+            F.any_value("bands").alias("bands"),
+            F.any_value("n").alias("n"),
+            F.min(first).alias("first"),
             F.count("*").alias("rows"),
-        )
-        .where("rows > 1")
+        ),
+        "near-classes",
     )
-    return grouped.join(heads, "label", "left").select(
+    clusters = candidate_clusters(classes)
+    members = written(classes.join(clusters, "class").select("class", "cluster", "n", "at.file", "at.row"), "near-members")
+    labels = connected(verified_links(texts.drop("doc_id"), members, k, percent, block))
+    heads = labels.select(F.col("label").alias("node"), "label").distinct()
+    labels = written(labels.unionByName(heads).select(F.col("node").alias("class"), "label"), "near-labels")
+    # Only classes go on to components; each row is joined with its class once, at the end.
+    linked = written(classes.select("class", "first", "rows").join(labels, "class"), "near-linked")
+    tops = written(linked.groupBy("label").agg(F.min("first").alias("top"), F.count("*").alias("classes")), "near-tops")
+    linked = hot_join(linked, tops, "label", "classes").select("class", "top")
+    by_class = written(
+        classes.select("class", "first", "rows").join(linked, "class", "left").select("class", "rows", F.coalesce("top", "first").alias("top")), "near-components"
+    )
+    here = (F.col("file") == F.col("top.file")) & (F.col("row") == F.col("top.row"))
+    return hot_join(drawn.drop("bands"), by_class, "class", "rows").select(
         "doc_id",
         "file",
         "row",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-        (
-            F.col("rows").isNull()
-            | ((F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row")))
-        ).alias("kept"),
+        F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"),
+        (F.col("top").isNull() | here).alias("kept"),
     )
 
 
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """``doc_id, file, row, n_shingles, component_id, kept``: one row for each row of ``docs``.
+
+    ``component_id`` is the least id that links lead to; ``kept`` holds for one row of each
+    component, one with that id, and for every row without words.
+    """
+    return components(*located(docs), k, percent, block)
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` but for near duplicates: one of each component, with all columns."""
-    dropped = near_duplicates(docs, k, percent).where(~F.col("kept")).select(
-        F.col("file").alias("_dfile"), F.col("row").alias("_drow")
-    )
-    at = (F.col("_file") == F.col("_dfile")) & (F.col("_row") == F.col("_drow"))
-    return located(docs).join(dropped.hint("shuffle_hash"), at, "left_anti").drop("_file", "_row")
+    rows, at = located(docs)
+    dropped = written(components(rows, at, k, percent).where(~F.col("kept")).select("file", "row", F.lit(1).alias("n")), "near-dropped")
+    found, n = numbered(rows, at, dropped, 1)
+    return found.where(F.col(n) == 0).drop(at, n)

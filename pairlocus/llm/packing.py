@@ -141,10 +141,9 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataF
     Only documents of more than ``capacity`` ids, the separator 0 included, are cut; all
     their pieces but the first are full.
     """
-    small_batches(docs.sparkSession, 2000, 8)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, at = token_ids(batch["text"], tokenizer_path)
             out = defaultdict(list)
             for n, doc_id in enumerate(batch["doc_id"].to_pylist()):

@@ -350,12 +350,11 @@ SIGNS = r"(?i)[0-9@]|\(at\)|\[at\]|\{at\}"
 def detect(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``: one row for each row."""
     spark = docs.sparkSession
-    small_batches(spark)
     models = spark.sparkContext.broadcast(trained())
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, rows=4000, mb=16):
             may = pc.match_substring_regex(batch["text"], SIGNS)
             some = np.flatnonzero(may.to_numpy(zero_copy_only=False))
             counts = np.zeros((len(KINDS), len(batch)), np.int64)

@@ -1,6 +1,7 @@
 """One thin query for each operator, over whole tables, with its SQL where SQL can say it."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact, fingerprint, langid, minhash, mixing, packing, pii, suffixes, tokencount, toxicity
 
@@ -14,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return minhash.near_duplicates(docs, k=3, percent=85).drop("file", "row")
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("file", "row")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +36,7 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact.find_duplicates(docs).drop("file", "row")
+    return exact.find_duplicates(table(spark, sf_dir, "documents")).drop("file", "row")
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")

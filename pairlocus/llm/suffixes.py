@@ -138,7 +138,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     Every word of a stretch lies in a run of SHORTEST words that another document has too.
     """
-    small_batches(docs.sparkSession, 2000)
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), whole_text(docs).alias("text")
     )

@@ -165,11 +165,10 @@ def count_batch(texts: pa.Array, model: PieceModel) -> np.ndarray:
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit``: one row for each row of ``docs``."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         model = piece_model(model_path)
-        for batch in batches:
+        for batch in small_batches(batches, rows=4000, mb=16):
             texts = batch["text"]
             tokens = count_batch(texts, model)
             yield pa.RecordBatch.from_arrays(

@@ -75,7 +75,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, rows=1000, mb=4):
             label = batch["toxic"].fill_null(-1).to_numpy(zero_copy_only=False)
             words, codes, offsets = coded_words(batch["text"])
             by_word = np.repeat(label, np.diff(offsets))
@@ -230,7 +230,7 @@ def features(docs: DataFrame, common, by_word: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, rows=1000, mb=4):
             words, codes, offsets = coded_words(batch["text"])
             sums, other, _ = common.value.of_words(words)
             known = np.ones(len(words), bool)
@@ -365,7 +365,6 @@ def drawn_labels(labels: DataFrame, fit_rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, bits: int = 22) -> Model:
-    small_batches(docs.sparkSession, 1000, 4)
     drawn = F.broadcast(drawn_labels(labels, fit_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text(docs).alias("text"))
     counted = texts.join(drawn.where(~F.col("curve")).drop("curve"), "_id", "left")

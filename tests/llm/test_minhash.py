@@ -57,13 +57,39 @@ def test_components(make_docs, odd_rows, seed, k, percent):
     assert set(kept.values()) == {1}
 
 
-def test_large_clusters_are_cut_in_blocks(make_docs, monkeypatch):
+@pytest.mark.parametrize("block", [1500, 4000])
+def test_large_clusters_are_cut_in_blocks(make_docs, block):
     rows = families(5, 12)
-    monkeypatch.setattr(minhash.verified_links, "__defaults__", (3,))
-    out = minhash.near_duplicates(make_docs(rows), 3, 85).collect()
+    # Many near copies of one text, some of which are linked over others only.
+    rng = random.Random(9)
+    text = words(rng, 200)
+    for n in range(40):
+        own = list(text)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(200)] = words(rng, 1)[0]
+        rows.append((len(rows), " ".join(own + words(rng, n // 4))))
+    out = minhash.near_duplicates(make_docs(rows), 3, 85, block).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, 3, 85)
 
 
+def test_links_at_the_threshold_are_found():
+    """Bands find nearly all pairs at 0.85, and the count of common shingles is exact for large sets."""
+    rng = np.random.default_rng(3)
+    missed = 0
+    for _ in range(300):
+        common = rng.integers(1, 2**63, 170, np.int64).astype(np.uint64)
+        a, b = (np.unique(np.concatenate((common, rng.integers(1, 2**63, 15, np.int64).astype(np.uint64)))) for _ in "ab")
+        keys = minhash.band_keys(minhash.sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])))
+        missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
+    n = 1_000_000
+    whole = np.arange(1, 2 * n, dtype=np.uint64)
+    # 850,001 of 1,000,001 and 849,999 of 1,000,000: one side of the threshold each.
+    near, far = whole[:850_001], whole[:849_999]
+    assert minhash.linked_roots([whole[:1_000_000], near], 85).tolist() == [0, 0]
+    assert minhash.linked_roots([whole[:1_000_000], far], 85).tolist() == [0, 1]
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     whole = np.unique(rng.integers(1, 2**63, 400, np.int64).astype(np.uint64))
@@ -85,3 +111,13 @@ def test_one_of_each(make_docs, odd_rows):
     assert left.columns == docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [1, 3, 4, None, None, 5, 6, 7, 8]))
     assert minhash.one_of_each(make_docs([])).count() == 0
+
+
+def test_kept_of_the_query_is_by_id(spark, tmp_path):
+    """Of rows that repeat an id all are kept or none, as the query's contract has it."""
+    rows = [(7, "a b c d"), (7, "a b c d"), (9, "A B C D"), (3, ""), (3, ""), (None, "x y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from pairlocus.llm import queries
+
+    out = sorted(((r.doc_id, r.component_id, r.kept) for r in queries.op1_minhash(spark, str(tmp_path)).collect()), key=str)
+    assert out == sorted([(7, 7, True), (7, 7, True), (9, 7, False), (3, 3, True), (3, 3, True), (None, None, True)], key=str)
