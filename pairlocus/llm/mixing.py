@@ -7,19 +7,21 @@ need per word, prefix sums of limits, one level).
 
 Blocks follow: targets are turned into whole numbers of blocks of ``block`` words by highest
 quotients, first over sources, then over the shards of each source. A source has as many
-shards as its words fill, so that a source with a third of all rows is many shards. Inside a
-shard the documents lie in a seeded order and their words form one line of blocks; a quota of
-q blocks of n takes every block q div n times and the first q mod n of that order once more.
-What a document gives is the overlap of its stretch with those blocks.
-
-Nulls: a null text has no words; a null source is a source of its own, last; null or repeated
-document ids are rows like others. Empty tables give no rows.
+shards as its words fill, so that a source with a third of all rows is many shards, but at most
+``most_shards``, which then grow, so that a source's shards are ranked by one task whatever the
+input. Inside a shard the documents lie in a seeded order and their words form one line of
+blocks; a quota of q blocks of n takes every block q div n times and the first q mod n of that
+order once more. What a document gives is the overlap of its stretch with those blocks.
+
+Nulls: a null text has no words; a null source is a source of its own, last; a row without an
+id is dealt to a shard by its text. Null or repeated document ids are rows like others. Empty
+tables give no rows. Other columns of ``docs`` may have any name.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import word_count, written
+from .text import located, numbered, whole_text, word_count, written
 
 WEIGHTS = (5, 2, 1)
 
@@ -107,62 +109,50 @@ def sainte_lague(df: DataFrame, group: list[str], key: str, votes: str, seats: s
     )
 
 
-def seeded(seed: int, *parts: str) -> Column:
-    """A number in [0, 2^32) from a seed and columns; MD5, so that any engine agrees."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(p).cast("string"), F.lit("?")) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+def seeded(seed: int, key: Column) -> Column:
+    """A number in [0, 2^32) from a seed and a string; MD5, so that any engine agrees."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 8), 16, 10).cast("long")
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    share: float = 1.5,
-    limit: int = 2,
-    block: int = 32,
-    shard_words: int = 1 << 20,
-    seed: int = 7,
+def mixed_rows(
+    docs: DataFrame, at: str, weights: tuple[int, ...], share: float, limit: int, block: int, shard_words: int, most_shards: int, seed: int
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken``: one row for each row of docs.
-
-    ``taken`` is the number of words the mix takes of the document, repeats counted, at most
-    ``limit`` times its size. Equal inputs give equal results whatever their partitioning.
-    """
+    """``mix`` of rows that ``located`` gave, with their places."""
     sizes = written(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
+            F.when(F.col("doc_id").isNull(), F.md5(whole_text(docs))).alias("by_text"),
+            F.col(f"`{at}`.file").alias("file"),
+            F.col(f"`{at}`.row").alias("row"),
         ),
         "mix-sizes",
     )
     sources = source_targets(
         sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit
     ).withColumn("seats", F.round(F.col("total") / block).cast("long"))
+    shards = F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)), F.lit(most_shards))
     sources = sainte_lague(
         sources.withColumn("_all", F.lit(0)), ["_all"], "source", "target", "seats"
-    ).select(
-        "source",
-        "source_size",
-        "target",
-        "quota",
-        F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long").alias("shards"),
-    )
+    ).select("source", "source_size", "target", "quota", shards.cast("long").alias("shards"))
     sources = written(sources, "mix-sources")
     dealt = (
         sizes.alias("d")
         .join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.shards", "s.quota")
-        .withColumn("at", seeded(seed, "doc_id"))
+        .select("d.*", "s.source_size", "s.target", "s.shards", "s.quota")
+        .withColumn("at", seeded(seed, F.coalesce(F.col("doc_id").cast("string"), "by_text")))
         .withColumn("shard", F.col("at") % F.col("shards"))
+        .drop("by_text")
     )
-    shards = dealt.groupBy("source", "shard").agg(
+    by_shard = dealt.groupBy("source", "shard").agg(
         F.sum("size").alias("words"), F.max("quota").alias("seats")
     )
-    shards = sainte_lague(shards, ["source"], "shard", "words", "seats").select(
+    by_shard = sainte_lague(by_shard, ["source"], "shard", "words", "seats").select(
         F.col("source").alias("of"), F.col("shard").alias("part"), "words", F.col("quota").alias("q")
     )
     line = Window.partitionBy("source", "shard").orderBy(
-        "at", F.col("doc_id").asc_nulls_first(), "size"
+        "at", F.col("doc_id").asc_nulls_first(), "size", "file", "row"
     )
     placed = dealt.withColumn(
         "stop", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))
@@ -170,16 +160,11 @@ def mix(
     blocks = F.greatest(F.ceil(F.col("words") / block), F.lit(1)).cast("long")
     quota = F.least(F.col("q"), blocks * limit)
     joined = placed.join(
-        shards,
-        placed["source"].eqNullSafe(shards["of"]) & (placed["shard"] == shards["part"]),
+        by_shard,
+        placed["source"].eqNullSafe(by_shard["of"]) & (placed["shard"] == by_shard["part"]),
         "left",
     ).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        "stop",
+        *["doc_id", "source", "size", "source_size", "target", "stop", "file", "row"],
         F.floor(quota / blocks).cast("long").alias("times"),
         F.least((quota % blocks) * block, F.col("words")).alias("once_more"),
     )
@@ -188,34 +173,47 @@ def mix(
         start, F.col("once_more")
     )
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "file", "row"
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = 1.5,
+    limit: int = 2,
+    block: int = 32,
+    shard_words: int = 1 << 20,
+    most_shards: int = 1 << 16,
+    seed: int = 7,
+) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken``: one row for each row of docs.
+
+    ``taken`` is the number of words the mix takes of the document, repeats counted, at most
+    ``limit`` times its size. Equal inputs give equal results whatever their partitioning.
+    """
+    return mixed_rows(*located(docs), weights, share, limit, block, shard_words, most_shards, seed).drop("file", "row")
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = 1.5,
+    limit: int = 2,
+    block: int = 32,
+    shard_words: int = 1 << 20,
+    most_shards: int = 1 << 16,
+    seed: int = 7,
+) -> DataFrame:
     """The documents of the mix: each row as many times as the mix takes it, in whole copies.
 
-    Only the document at the end of a shard's extra blocks is taken in part; it is rounded to
-    the nearer number of copies. Keeps all columns of ``docs``. Rows are told apart by document
-    id and source; equal rows share what their kind was given, rounded up.
+    Only documents at the ends of a shard's extra blocks are taken in part; each is rounded to
+    the nearer number of copies, so that a source is within a document of its target in every
+    shard. Keeps all columns of ``docs``.
     """
-    taken = (
-        mix(docs, **options)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-        .agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
-        .withColumn(
-            "_copies",
-            F.ceil(F.round(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1))) / F.col("_rows")).cast("int"),
-        )
-        .where(F.col("_copies") > 0)
-    )
-    at = (
-        docs["doc_id"].cast("long").eqNullSafe(taken["_id"])
-        & docs["source"].cast("string").eqNullSafe(taken["_source"])
-        & (word_count(docs["text"]) == taken["_size"])
-    )
-    return (
-        docs.join(taken.hint("shuffle_hash"), at)
-        .select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-        .drop("_copy")
-    )
+    rows, at = located(docs)
+    taken = mixed_rows(rows, at, weights, share, limit, block, shard_words, most_shards, seed)
+    copies = taken.select("file", "row", F.round(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("n"))
+    found, n = numbered(rows, at, written(copies.where("n > 0"), "mix-copies"), limit)
+    again = F.explode(F.sequence(F.lit(1), F.col(n)))
+    return found.where(F.col(n) > 0).withColumn(n, again).drop(at, n)

@@ -76,4 +76,34 @@ ORACLE_SQL = {
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept,
                sha256(t) AS text_sha256
         FROM r""",
+    # Quotients are ranked one by one, documents lie on one line a shard.
+    "op7_source_mix": """
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                          CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 8) AS BIGINT) AS drawn FROM documents),
+             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+                   FROM d GROUP BY source),
+             -- Sources fill up by falling need; one level of words a weight holds for those that don't.
+             f AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS most, sum(source_size) OVER () * 1.5::DOUBLE AS total,
+                          row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS place FROM s),
+             g AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                             / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+             h AS (SELECT *, CASE WHEN most <= weight * level THEN most
+                             ELSE weight * (SELECT level FROM g AS o WHERE o.most > o.weight * o.level ORDER BY place LIMIT 1) END AS target FROM g),
+             q AS (SELECT source, target, CAST(round(total / 32) AS BIGINT) AS seats, unnest(generate_series(1, CAST(2 * target / 32 AS BIGINT) + 2)) AS k FROM h WHERE target > 0),
+             won AS (SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (k - 0.5::DOUBLE) DESC, source NULLS LAST, k) AS n FROM q) AS x
+                     WHERE n <= seats GROUP BY source),
+             t AS (SELECT h.source, source_size, target, coalesce(quota, 0) AS quota, least(greatest(CAST(ceil(source_size / 1048576) AS BIGINT), 1), 65536) AS shards
+                   FROM h LEFT JOIN won ON won.source IS NOT DISTINCT FROM h.source),
+             p AS (SELECT d.*, source_size, target, quota, drawn % shards AS shard FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+             w AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words, max(quota) AS seats FROM p GROUP BY source, shard),
+             r AS (SELECT source, shard, seats, CAST(words AS DOUBLE) AS votes, unnest(generate_series(1, CAST(3 * words / 32 AS BIGINT) + 2)) AS k FROM w WHERE words > 0),
+             got AS (SELECT source, shard, count(*) AS q FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY votes / (k - 0.5::DOUBLE) DESC, shard, k) AS n FROM r) AS x
+                     WHERE n <= seats GROUP BY source, shard),
+             b AS (SELECT w.source, w.shard, words, greatest((words + 31) // 32, 1) AS blocks, least(coalesce(q, 0), 2 * greatest((words + 31) // 32, 1)) AS quota
+                   FROM w LEFT JOIN got ON got.source IS NOT DISTINCT FROM w.source AND got.shard = w.shard),
+             l AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY drawn, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stop FROM p)
+        SELECT doc_id, size, source_size, target,
+               CAST(size * (b.quota // blocks) + least(stop, least((b.quota % blocks) * 32, words)) - least(stop - size, least((b.quota % blocks) * 32, words)) AS BIGINT) AS taken
+        FROM l JOIN b ON b.source IS NOT DISTINCT FROM l.source AND b.shard = l.shard""",
 }
