@@ -1,7 +1,9 @@
 """Tables written to the folder that the cluster shares, in place of cached or local ones."""
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder."""
-    return f"{shared_folder(spark)}/pairlocus/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/pairlocus/{name}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,16 +46,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def removed(df: DataFrame) -> None:
     """Remove the folder of a table that ``written`` made and nothing reads any more."""
-    spark, base = df.sparkSession, f"{shared_folder(df.sparkSession)}/pairlocus/"
-    folders = {base + f.split("/pairlocus/", 1)[1].split("/", 1)[0] for f in df.inputFiles() if "/pairlocus/" in f}
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    base = f"{shared_folder(df.sparkSession)}/pairlocus/"
+    for folder in {base + f.split("/pairlocus/", 1)[1].split("/", 1)[0] for f in df.inputFiles() if "/pairlocus/" in f}:
+        deleted(df.sparkSession, folder)
 
 
-def cleared(spark: SparkSession) -> None:
-    """Remove all tables that ``written`` made in the shared folder, once results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/pairlocus")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end all folders that are made inside; results have to be stored by then."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not made]
+        for folder in made:
+            deleted(spark, folder)
