@@ -48,6 +48,15 @@ def tokenizer(path: str):
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
+    cut, merges = model["pre_tokenizer"] or {}, model["model"]
+    if (
+        model["normalizer"] is not None
+        or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True)
+        or merges["type"] != "BPE"
+        or any(merges.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"])
+    ):
+        raise ValueError(f"not a plain byte-level BPE file: {path}")
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     others = [b for b in range(256) if b not in plain]
     byte = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
@@ -249,9 +258,11 @@ def ranked(pieces: DataFrame, salts: int) -> DataFrame:
     """Add ``rank``: each piece's number, from 0, among those of its length.
 
     A length that very many pieces share is counted in ``salts`` groups, which begin where
-    the ones before end.
+    the ones before end. Groups go by the place of a piece in the written table, so that
+    repeated rows are spread too.
     """
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    salted = pieces.select("*", F.xxhash64(place).alias("place")).withColumn("salt", F.pmod("place", F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     begins = (
         salted.groupBy("length", "salt")
@@ -259,12 +270,12 @@ def ranked(pieces: DataFrame, salts: int) -> DataFrame:
         .withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0)))
         .drop("rows")
     )
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("place", "doc_id", "piece")
     return (
-        salted.withColumn("place", F.row_number().over(own))
+        salted.withColumn("number", F.row_number().over(own))
         .join(begins, ["length", "salt"])
-        .withColumn("rank", F.col("first") + F.col("place") - 1)
-        .drop("salt", "first", "place")
+        .withColumn("rank", F.col("first") + F.col("number") - 1)
+        .drop("salt", "first", "place", "number")
     )
 
 

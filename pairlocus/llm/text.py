@@ -10,10 +10,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import removed, scratch, written
+from ..scratch import removed, scratch, temporary, written
 
 __all__ = [
-    "WORD", "ascii_lower", "free_name", "hot_join", "located", "numbered", "removed", "scratch", "small_batches", "whole_text", "word_count", "written",
+    "WORD", "ascii_lower", "free_name", "hot_join", "located", "numbered", "removed", "scratch", "small_batches", "temporary", "whole_text", "word_count", "written",
 ]
 
 #: A word of the operators' contracts: a run of anything but ASCII white space.

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import small_batches, whole_text, written
+from .text import hot_join, located, numbered, small_batches, whole_text, written
 
 ORDER = 5
 #: Signs for the ends of a word.
@@ -46,8 +46,11 @@ def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of a batch; the words of all texts as numbers; where each text begins."""
     words = pc.utf8_split_whitespace(pc.utf8_lower(pc.utf8_trim_whitespace(texts)))
     offsets = words.offsets.to_numpy().astype(np.int64)
-    coded = words.flatten().dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), offsets - offsets[0]
+    every = words.flatten()
+    real = pc.greater(pc.binary_length(every), 0)  # a text without words is split into an empty one
+    counts = np.diff(offsets) - np.add.reduceat(np.append(~real.to_numpy(zero_copy_only=False), 0), offsets[:-1] - offsets[0]) if len(texts) else np.diff(offsets)
+    coded = every.filter(real).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.concatenate(([0], np.cumsum(counts)))
 
 
 def word_grams(words: pa.Array) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
@@ -223,9 +226,9 @@ def text_key(docs: DataFrame) -> Column:
 
 
 def features(docs: DataFrame, common, by_word: DataFrame) -> DataFrame:
-    """``key, mean, most, words``, a row for each distinct text.
+    """``key, mean, most, words, texts``, a row for each distinct text.
 
-    Evidence by word, of its most toxic word, and log of its words. ``common`` gives the
+    ``texts`` is how many rows have it. Evidence by word, of its most toxic word, and log of its words. ``common`` gives the
     evidence of words of common n-grams; all others are joined with ``by_word``.
     """
 
@@ -256,27 +259,23 @@ def features(docs: DataFrame, common, by_word: DataFrame) -> DataFrame:
                 ["key", "word", "times", "total", "most"],
             )
 
-    # A row with the common words of each text, spread by the text's key, and one for each other word.
+    # A row with the common words of each text, and one for each other word.
     rows = docs.select(text_key(docs).alias("key"), whole_text(docs).alias("text")).mapInArrow(
         run, "key binary, word string, times long, total double, most double"
     )
     first = F.col("word").isNull()
-    rows = rows.select(
-        "key",
-        F.when(first, F.xxhash64("key")).otherwise(F.xxhash64("word")).alias("word_id"),
-        first.alias("first"),
-        "times",
-        "total",
-        "most",
-    )
+    rows = written(rows.select("key", F.xxhash64("word").alias("word_id"), first.alias("first"), "times", "total", "most"), "toxicity-by-text")
     llr = F.coalesce(F.col("llr"), F.lit(0.0))
+    rare = rows.where(~F.col("first")).join(by_word, "word_id", "left").withColumns({"total": F.col("times") * llr, "most": llr})
     # Equal texts multiply the rows of their key.
     found = (
-        rows.join(by_word, "word_id", "left")
+        rows.where("first")
+        .select("key", "first", "times", "total", "most")
+        .unionByName(rare.select("key", "first", "times", "total", "most"))
         .groupBy("key")
         .agg(
-            F.sum(F.when(F.col("first"), F.col("total")).otherwise(F.col("times") * llr)).alias("total"),
-            F.max(F.when(F.col("first"), F.col("most")).otherwise(llr)).alias("most"),
+            F.sum("total").alias("total"),
+            F.max("most").alias("most"),
             F.sum("times").alias("times"),
             F.sum(F.col("first").cast("long")).alias("texts"),
         )
@@ -286,6 +285,7 @@ def features(docs: DataFrame, common, by_word: DataFrame) -> DataFrame:
         (F.col("total") / F.greatest("times", F.lit(1))).alias("mean"),
         F.coalesce("most", F.lit(0.0)).alias("most"),
         F.log1p(F.col("times") / F.col("texts")).alias("words"),
+        "texts",
     )
 
 
@@ -296,10 +296,10 @@ class Model:
         self.grams, self.texts, self.weights = grams, texts, weights
 
     def scores(self) -> DataFrame:
-        """``key, score``: a row for each distinct text."""
+        """``key, score, texts``: a row for each distinct text, with the number of rows that have it."""
         w = [float(x) for x in self.weights]
         z = F.lit(w[0]) + w[1] * F.col("mean") + w[2] * F.col("most") + w[3] * F.col("words")
-        return self.texts.select("key", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
+        return self.texts.select("key", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"), "texts")
 
 
 class Scorer:
@@ -408,11 +408,17 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         (remainder(F.col("doc_id")) == 0).alias("held_out"),
         text_key(docs).alias("key"),
     )
-    return rows.join(model.scores(), "key").drop("key").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    found = hot_join(written(rows, "toxicity-keys"), written(model.scores(), "toxicity-scores"), "key", "texts")
+    return found.drop("key", "texts").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
     scores = fit(docs, labels, **options).scores()
     toxic = written(scores.where("score >= 0.5").select("key"), "toxicity-toxic")
-    return docs.join(toxic, text_key(docs) == toxic["key"], "left_anti")
+    rows, at = located(docs)
+    # Keys and places are joined, the rows' texts stay where they are.
+    places = rows.select(text_key(rows).alias("key"), F.col(f"`{at}`.file").alias("file"), F.col(f"`{at}`.row").alias("row"))
+    gone = written(places.join(toxic, "key", "left_semi").select("file", "row", F.lit(1).alias("n")), "toxicity-rows")
+    found, n = numbered(rows, at, gone, 1)
+    return found.where(F.col(n) == 0).drop(at, n)

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -68,5 +69,15 @@ def test_packed_documents(make_docs, odd_rows):
     assert len(places) <= 1.05 * sum(r.length for r in out) / 64 + 1
 
 
+def test_other_files_are_refused(tmp_path):
+    """The ids come from the file's ranks, which is right only for plain byte-level files."""
+    with open(PATH, encoding="utf-8") as f:
+        model = json.load(f)
+    for n, change in enumerate(({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}})):
+        (tmp_path / f"{n}.json").write_text(json.dumps(model | change))
+        with pytest.raises(ValueError):
+            packing.tokenizer(f"{tmp_path}/{n}.json")
+
+
 def test_empty(make_docs):
     assert packing.pack(make_docs([]), PATH).count() == 0

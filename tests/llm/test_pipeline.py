@@ -54,6 +54,24 @@ def test_stages_follow_each_other(spark, tmp_path, make_docs):
     assert kept[0] > kept[1] > kept[2] > kept[3]
 
 
+def test_odd_rows_and_empty_tables(spark, tmp_path, make_docs, odd_rows):
+    """Every stage takes nulls, empty and repeated rows and clashing columns, and empty tables."""
+    rows = odd_rows * 2 + [(50 + i, f"word{i} and others", None if i % 2 else "s") for i in range(20)]
+    for name, some in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        make_docs(some).write.parquet(str(folder / "documents.parquet"))
+        labels = [(i, 1, i % 2) for i in range(60)] + [(None, None, None)] if some else []
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            stage(spark, docs, str(folder)).write.parquet(str(folder / f"stage{number}"))
+            columns, docs = docs.columns, spark.read.parquet(str(folder / f"stage{number}"))
+            assert docs.columns == columns
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert bool(out) == bool(some)
+        assert len({r.doc_id for r in out}) == docs.select("doc_id").distinct().count()
+
+
 def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names

@@ -1,5 +1,9 @@
+import functools
+import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,3 +91,61 @@ def test_every_ngram_keeps_its_own_evidence(labelled, make_docs):
         out[bits] = {r.doc_id: r.score for r in rows}
     assert max(abs(out[2][i] - out[18][i]) for i in truth) < 1e-9
     assert np.mean([(out[2][i] >= 0.5) == t for i, t in truth.items()]) > 0.97
+
+
+def plain_evidence(texts):
+    """{5-gram: toxic less ordinary log-likelihood} of (text, label) by plain interpolated Kneser-Ney."""
+    d = toxicity.DISCOUNT
+    grams = {1: Counter(), 0: Counter(), None: Counter()}
+    for text, label in texts:
+        for word in text.lower().split():
+            padded = toxicity.START * 4 + word + toxicity.STOP
+            grams[label].update(padded[i : i + 5] for i in range(len(padded) - 4))
+    types = set().union(*grams.values())
+
+    @functools.cache
+    def continuations(n):
+        wider = {g[4 - n :] for g in types}
+        found = Counter(w[1:] for w in wider)
+        heads, kinds = Counter(), Counter()
+        for g, k in found.items():
+            heads[g[:-1]] += k
+            kinds[g[:-1]] += 1
+        return found, heads, kinds
+
+    @functools.cache
+    def lower(gram):
+        if not gram:
+            return 1 / toxicity.ALPHABET
+        found, heads, kinds = continuations(len(gram))
+        return (max(found[gram] - d, 0) + d * kinds[gram[:-1]] * lower(gram[1:])) / heads[gram[:-1]]
+
+    def top(gram, label):
+        same = {g: n for g, n in grams[label].items() if g[:4] == gram[:4]}
+        if not same:
+            return lower(gram[1:])
+        return (max(grams[label][gram] - d, 0) + d * len(same) * lower(gram[1:])) / sum(same.values())
+
+    return {g: math.log(top(g, 1)) - math.log(top(g, 0)) for g in types}
+
+
+def test_evidence_equals_plain_kneser_ney(spark, make_docs):
+    rng = random.Random(6)
+    vocabulary = words(rng, 60)
+    texts = [(" ".join(rng.choices(vocabulary + RUDE[: 4 * (i % 3 == 0)], k=rng.randint(0, 30))), [1, 0, 0, None][i % 4]) for i in range(60)]
+    want = plain_evidence(texts)
+    rows = spark.createDataFrame(texts, "text string, toxic int")
+    grams = toxicity.evidence(toxicity.gram_counts(toxicity.word_counts(rows)))
+    got = {r.gram: r.llr for r in grams.select("gram", "llr").collect()}
+    assert set(got) == set(want) and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    # The features of whole documents, from a model of labelled ones.
+    docs = make_docs([(i, t) for i, (t, _) in enumerate(texts)])
+    labels = spark.createDataFrame([(i, 1, t) for i, (_, t) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    counted = [(t, y if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3) else None) for i, (t, y) in enumerate(texts)]
+    llr = plain_evidence(counted)
+    found = {bytes(r.key): r for r in toxicity.fit(docs, labels, bits=4).texts.collect()}
+    for text, _ in texts:
+        by_word = [sum(llr[p[i : i + 5]] for i in range(len(p) - 4)) for w in text.split() if (p := toxicity.START * 4 + w + toxicity.STOP)]
+        r = found[hashlib.md5(text.encode()).digest()]
+        assert r.mean == pytest.approx(sum(by_word) / max(len(by_word), 1), abs=1e-9)
+        assert r.most == pytest.approx(max(by_word, default=0.0), abs=1e-9) and r.words == pytest.approx(math.log1p(len(by_word)))
