@@ -2,14 +2,21 @@
 
 Toxic documents go, of equal and of nearly equal documents one stays, sources are mixed to
 target weights, and what remains is packed into sequences. All stages but the last return the
-columns of documents.
+columns of documents, whatever further ones there are.
+
+Nulls: a null text counts as empty, a null source is a source of its own, rows without an id or
+with a repeated one are rows like others (a row without an id has no label). A document without
+words can't be taken by the mix. Empty tables give empty results.
+
+Stages move keys and places of rows; texts stay where they are until the rows that stay are
+written.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlocus.llm import exact, minhash, mixing, packing, toxicity
 from pairlocus.llm.queries import table, tokenizer_file
-from pairlocus.llm.text import written
+from pairlocus.llm.text import scratch, temporary
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +55,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, f"pipeline-{name.replace(' ', '-')}")
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
