@@ -1,23 +1,26 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraphs.
 
-A text is cut into paragraphs at line and sentence ends, long ones every ``LONGEST``
-characters, and each paragraph's digest (with its number among equal ones) is added to three
-cells of a small table: a count, the xor of the digests and the xor of their checks. The
-tables of two versions subtract cell by cell; what both hold cancels, and peeling cells with
-a single digest recovers the digests that differ, and on which side. Where peeling gets stuck
-the two are sketched again, at least twice as large, until it succeeds.
+A text is cut into paragraphs at line and sentence ends; those of more than ``LONGEST``
+characters are cut further behind words that their own letters select, so that an edit changes
+the paragraphs it touches and no others. Each paragraph's digest (with its number among equal
+ones) is added to three cells of a small table: a count, the xor of the digests and the xor of
+their checks. The tables of two versions subtract cell by cell; what both hold cancels, and
+peeling cells with a single digest recovers the digests that differ, and on which side. Where
+peeling gets stuck the two are sketched again, at least twice as large, until it succeeds.
 
 The likeness of two fingerprints is the share of paragraphs they have in common (Jaccard),
 from the numbers of paragraphs and of recovered differences. The string of a fingerprint is
 its smallest table.
 
 Nulls: a null text counts as empty, and empty texts are alike (1); a null document id comes
-before all others. Rows that repeat an id follow each other in the order of their texts; a
-single row is its own next. Empty tables give no rows.
+before all others. Rows that repeat an id, or have none, follow each other in the order in which
+they are stored; a single row is its own next. Empty tables give no rows. Other columns of
+``docs`` may have any name.
 """
 
 import base64
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import small_batches, whole_text
+from .text import located, small_batches, whole_text
 
-LONGEST = 32
+#: Longer paragraphs are cut behind about one word in CUT.
+LONGEST, CUT = 64, 4
 #: Cells of each of the three parts of the smallest table.
 SMALLEST = 8
 FIRST_ID = -(2**63)
@@ -41,11 +45,23 @@ def mixed(x: np.ndarray, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def cut_by_words(paragraph: str) -> list[str]:
+    """Parts of a long paragraph, behind words whose check sum selects them; only longer words are cut by length."""
+    parts, start, end, crc = [], 0, 0, zlib.crc32
+    for word in paragraph.split(" "):
+        end += len(word) + 1
+        if crc(word.encode()) % CUT == 0:
+            parts.append(paragraph[start:end])
+            start = end
+    parts.append(paragraph[start:])
+    return [p[i : i + 4 * LONGEST] for p in parts for i in range(0, len(p), 4 * LONGEST)]
+
+
 def paragraphs(text: str) -> list[str]:
-    """Parts of a text at line and sentence ends, at most LONGEST characters each."""
+    """Parts of a text at line and sentence ends, and of long ones."""
     parts = text.replace(". ", ".\n").split("\n")
     if max(map(len, parts)) > LONGEST:
-        parts = [p[i : i + LONGEST] for p in parts for i in range(0, len(p), LONGEST)]
+        parts = [q for p in parts for q in (cut_by_words(p) if len(p) > LONGEST else (p,))]
     return [p for p in parts if p]
 
 
@@ -133,22 +149,26 @@ def only(keys: np.ndarray, owner: np.ndarray, sets: np.ndarray) -> tuple[np.ndar
     return keys[mine], number[owner[mine]]
 
 
-def differences(a: tuple, b: tuple, sets: int) -> np.ndarray:
-    """How many digests each set of ``a`` and of ``b`` has that the other hasn't."""
-    found = np.zeros(sets, np.int64)
+def differences(a: tuple, b: tuple, sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The digests that one of the sets of ``a`` and ``b`` has and the other hasn't: digest, set, side.
+
+    The side is 1 where ``a`` has it, -1 where ``b`` has.
+    """
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     most = np.bincount(a[1], minlength=sets) + np.bincount(b[1], minlength=sets)
     todo, size = np.arange(sets), np.full(sets, SMALLEST)
     while len(todo):
         both = Sketches(*only(*a, todo), size).minus(Sketches(*only(*b, todo), size))
-        _, owner, _, done = both.peel()
-        found[todo[done]] = np.bincount(owner, minlength=len(todo))[done]
+        keys, owner, sides, done = both.peel()
+        final = done[owner]
+        out.append((keys[final], todo[owner[final]], sides[final]))
         todo, size = todo[~done], np.maximum(size[~done] * 2, most[todo[~done]] // 2 + SMALLEST)
-    return found
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def likeness(a: tuple, b: tuple, sets: int) -> np.ndarray:
     n = np.bincount(a[1], minlength=sets), np.bincount(b[1], minlength=sets)
-    common = (n[0] + n[1] - differences(a, b, sets)) / 2
+    common = (n[0] + n[1] - np.bincount(differences(a, b, sets)[1], minlength=sets)) / 2
     every = n[0] + n[1] - common
     return np.where(every > 0, common / np.maximum(every, 1), 1.0)
 
@@ -182,41 +202,77 @@ def compare(texts: list[str], following: list[str]) -> dict[str, list]:
     }
 
 
-def neighboured(docs: DataFrame, rows_a_part: int = 5000, most_parts: int = 2000) -> DataFrame:
-    """``part, guest, doc_id, text``: documents in parts by ascending id, ordered within.
+ORDER = ["key", "file", "row"]
+
+
+def part_of(firsts: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """The part of each row: the last one whose first row isn't behind it, by ORDER.
+
+    ``firsts`` are the columns of the parts' first rows, ascending. Where parts begin with the
+    same value the next column decides.
+    """
+    low = np.searchsorted(firsts[0], columns[0], side="left")
+    high = np.searchsorted(firsts[0], columns[0], side="right")
+    out = np.maximum(high - 1, 0)
+    if len(firsts) > 1:
+        for first in np.unique(low[high > low]):
+            rows = np.flatnonzero((low == first) & (high > low))
+            stop = high[rows[0]]
+            own = [c[rows] for c in columns[1:]]
+            within = part_of([f[first:stop] for f in firsts[1:]], own)
+            # Rows before all of these belong to the part before them.
+            before = np.zeros(len(rows), bool)
+            tied = np.ones(len(rows), bool)
+            for f, c in zip(firsts[1:], own, strict=True):
+                before |= tied & (c < f[first])
+                tied &= c == f[first]
+            out[rows] = np.maximum(first + within - before, 0)
+    return out
+
+
+def neighboured(docs: DataFrame, rows_a_part: int = 50_000, least_parts: int = 64) -> DataFrame:
+    """``part, guest, doc_id, text``: documents in parts by ascending id, ordered within; a part a partition.
 
     The first document of each part also comes, as a guest, at the end of the part before
-    (of the last one, for the first), so that each document's next is in its own part. Only
-    numbers, at most one a part, pass through the driver.
+    (of the last one, for the first), so that each document's next is in its own part. Ids and
+    places are dealt by ranges first; of them the first one of each part passes through the
+    driver and is broadcast: 24 bytes for ``rows_a_part`` rows. Rows that share an id are dealt
+    by their places.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
-    key = F.coalesce("doc_id", F.lit(FIRST_ID))
-    ids = rows.select(key.alias("key"))
-    parts = min(most_parts, max(1, -(-ids.count() // rows_a_part)))
-    quantiles = [i / parts for i in range(1, parts)]
-    cuts = sorted({int(c) for c in ids.approxQuantile("key", quantiles, 0.2 / parts)}) if quantiles else []
-
-    def part_of(value):
-        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= value)) if cuts else F.lit(0)
-
-    part = part_of(key)
-    least = ids.groupBy(part_of(F.col("key")).alias("part")).agg(F.min("key").alias("first")).collect()
-    firsts = sorted((r["part"], r["first"]) for r in least)
-    hosts = spark.createDataFrame(
-        [(first, firsts[n - 1][0]) for n, (_, first) in enumerate(firsts)], "first long, host int"
+    rows, at = located(docs)
+    rows = rows.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("key"),
+        F.col(f"`{at}`.file").alias("file"),
+        F.col(f"`{at}`.row").alias("row"),
+        whole_text(rows).alias("text"),
     )
-    places = F.array(F.struct(part.alias("part"), F.lit(False).alias("guest")))
-    guests = F.when(
-        F.col("host").isNotNull(),
-        F.array_append(places, F.struct(F.col("host").alias("part"), F.lit(True).alias("guest"))),
-    ).otherwise(places)
+    count = rows.count()
+    parts = max(1, -(-count // rows_a_part), min(least_parts, -(-count // 500)))
+    least = rows.select(*ORDER).repartitionByRange(parts, *ORDER).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*ORDER)).alias("first"))
+    firsts = np.array(sorted(tuple(r["first"]) for r in least.collect()), np.int64).reshape(-1, 3)
+    shared, parts = spark.sparkContext.broadcast(firsts), max(1, len(firsts))
+
+    @F.arrow_udf("struct<part: int, first: boolean>")
+    def dealt(key: pa.Array, file: pa.Array, row: pa.Array) -> pa.Array:
+        own, begins = [c.to_numpy() for c in (key, file, row)], shared.value
+        part = part_of(list(begins.T), own)
+        first = (np.column_stack(own) == begins[part]).all(axis=1)
+        return pa.StructArray.from_arrays([pa.array(part.astype(np.int32)), pa.array(first)], ["part", "first"])
+
+    def place(part, guest):
+        return F.struct(part.cast("int").alias("part"), F.lit(guest).alias("guest"))
+
+    own = F.col("dealt.part")
+    places = F.when(F.col("dealt.first"), F.array(place(own, False), place(F.pmod(own - 1, F.lit(parts)), True))).otherwise(F.array(place(own, False)))
     return (
-        rows.join(F.broadcast(hosts), key == F.col("first"), "left")
-        .select("doc_id", "text", F.explode(guests).alias("place"))
-        .select("place.part", "place.guest", "doc_id", "text")
-        .repartition(max(len(firsts), 1), "part")
-        .sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
+        rows.withColumn("dealt", dealt(*ORDER))
+        .select("doc_id", *ORDER, "text", F.explode(places).alias("place"))
+        .select("place.part", "place.guest", "doc_id", *ORDER, "text")
+        .repartitionById(parts, F.col("part"))
+        .sortWithinPartitions("guest", *ORDER)
+        .select("part", "guest", "doc_id", "text")
     )
 
 
@@ -226,12 +282,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         held = None  # the last document so far, whose next hasn't come
         for batch in small_batches(batches):
-            rows = list(zip(*(batch[c].to_pylist() for c in ("part", "guest", "doc_id", "text")), strict=True))
             pairs = []
-            for row in rows:
-                if held is not None and held[0] == row[0]:
-                    pairs.append((held[2], held[3], row[3]))
-                held = None if row[1] else row
+            for row in zip(*(batch[c].to_pylist() for c in ("guest", "doc_id", "text")), strict=True):
+                if held is not None:
+                    pairs.append((held[1], held[2], row[2]))
+                held = row
             if pairs:
                 ids, texts, following = map(list, zip(*pairs, strict=True))
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64())} | compare(texts, following))
@@ -241,3 +296,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
         " near_edited double, near_next double",
     )
+
+
+def changed_paragraphs(versions: DataFrame) -> DataFrame:
+    """``doc_id, digest, side``: the paragraph digests that differ between two versions of a text.
+
+    ``versions`` has ``doc_id, text, new_text``; the side is ``old`` for digests that only the
+    text has and ``new`` for those that only the new text has. ``paragraph_digests`` tells which
+    paragraphs they are.
+    """
+
+    def run(batches):
+        for batch in small_batches(batches):
+            old, new = (digests(batch[c].to_pylist()) for c in ("text", "new_text"))
+            keys, owner, sides = differences(old, new, len(batch))
+            names = pa.array(["old", "new"]).take(pa.array((sides < 0).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(owner)), pa.array(keys.view(np.int64)), names], ["doc_id", "digest", "side"])
+
+    texts = [F.coalesce(versions[c].cast("string"), F.lit("")).alias(c) for c in ("text", "new_text")]
+    return versions.select(F.col("doc_id").cast("long").alias("doc_id"), *texts).mapInArrow(run, "doc_id long, digest long, side string")
+
+
+def paragraph_digests(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest, paragraph``: every paragraph of ``docs`` by its digest."""
+
+    def run(batches):
+        for batch in small_batches(batches):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                parts = numbered_paragraphs(text)
+                keys = pa.array(np.array([k for k, _ in parts], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(parts), pa.int64()), keys, pa.array([p for _, p in parts], pa.string())], ["doc_id", "digest", "paragraph"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, digest long, paragraph string")
+
+
+def numbered_paragraphs(text: str) -> list[tuple[int, str]]:
+    """The paragraphs of one text with the digests that ``digests`` gives them."""
+    parts, seen = [], {}
+    for p in paragraphs(text):
+        seen[p] = seen.get(p, -1) + 1
+        h = np.array([xxhash.xxh3_64_intdigest(p)], np.uint64) + np.uint64(seen[p]) * _M[3]
+        parts.append((int(mixed(h, 0)[0]), p))
+    return parts

@@ -5,8 +5,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import words
+from pyspark.sql import functions as F
 
 from pairlocus.llm import fingerprint as fp
+from pairlocus.llm.text import located
 
 
 def jaccard(a, b):
@@ -46,22 +48,48 @@ def test_against_brute_force(make_docs):
     assert out[rows[10][0]].fingerprint == out[rows[11][0]].fingerprint
 
 
-def test_parts_make_no_difference(make_docs):
-    docs = make_docs([(i, f"text {i}. and more {i % 3}") for i in range(50)])
-    whole = sorted(map(str, fp.fingerprints(docs).collect()))
-    order = lambda r: (r.doc_id is not None, r.doc_id or 0)
-    rows = fp.neighboured(docs, rows_a_part=7).collect()
-    assert sorted(r.doc_id for r in rows if not r.guest) == list(range(50))
-    parts = {}
-    for r in rows:
-        parts.setdefault(r.part, []).append(r)
-    assert len(parts) > 3
-    following = {}
-    for own in parts.values():
-        own.sort(key=lambda r: (r.guest, order(r)))
-        following |= {a.doc_id: b.doc_id for a, b in zip(own, own[1:]) if not a.guest}
-    assert following == {i: (i + 1) % 50 for i in range(50)}
-    assert len(whole) == 50
+@pytest.mark.parametrize("ids", [list(range(50)), [7] * 50, [None] * 20 + [3] * 20 + [9, 9, 10, 11, 11, 11, 11, 12, 13, 14]])
+def test_parts_make_no_difference(make_docs, ids):
+    """Each row is followed by the next one by id, then by place, whatever the parts; no part has much more than its share."""
+    docs = make_docs([(i, f"text {n}. and more {n % 3}") for n, i in enumerate(ids)])
+    placed, at = located(docs)
+    order = [(r.doc_id if r.doc_id is not None else fp.FIRST_ID, *r[at], r.text) for r in placed.collect()]
+    want = Counter((a[-1], b[-1]) for a, b in zip(sorted(order), sorted(order)[1:] + sorted(order)[:1]))
+    for size in (7, 1000):
+        parts = {}
+        for r in fp.neighboured(docs, size, 1).collect():
+            parts.setdefault(r.part, []).append(r)
+        assert len(parts) > 3 if size == 7 else len(parts) == 1
+        assert max(map(len, parts.values())) <= 3 * size
+        assert all([r.guest for r in own] == [False] * (len(own) - 1) + [True] for own in parts.values())
+        assert Counter((a.text, b.text) for own in parts.values() for a, b in zip(own, own[1:])) == want
+
+
+def test_an_edit_changes_what_it_touches():
+    """One letter put into a long sentence changes one or two of its paragraphs."""
+    rng = random.Random(4)
+    text = " ".join(words(rng, 400))
+    old, new = Counter(fp.paragraphs(text)), Counter(fp.paragraphs(text[:900] + "x" + text[900:]))
+    assert sum((old - new).values()) <= 2 and sum((new - old).values()) <= 2 and len(old) > 50
+    assert "".join(fp.paragraphs("y" * 5000 + " z. " + text)).replace(" ", "") == ("y" * 5000 + "z." + text).replace(" ", "")
+
+
+def test_recovered_paragraphs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(30):
+        old = [" ".join(words(rng, rng.randint(1, 30))) for _ in range(rng.randint(0, 40))]
+        new = [p for p in old if rng.random() > 0.2] + [" ".join(words(rng, 5)) for _ in range(rng.randint(0, 9))]
+        rows.append((i, "\n".join(old + old[:1]), "\n".join(new)))
+    rows.append((None, None, "only new"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, new_text string")
+    paragraph = {(r.doc_id, r.digest): r.paragraph for c in ("text", "new_text") for r in fp.paragraph_digests(df.select("doc_id", F.col(c).alias("text"))).collect()}
+    got = Counter((r.doc_id, r.side, paragraph[r.doc_id, r.digest]) for r in fp.changed_paragraphs(df).collect())
+    want = Counter()
+    for i, old, new in rows:
+        a, b = Counter(fp.paragraphs(old or "")), Counter(fp.paragraphs(new or ""))
+        want.update({(i, "old", p): n for p, n in (a - b).items()} | {(i, "new", p): n for p, n in (b - a).items()})
+    assert got == want
 
 
 def test_odd_rows(make_docs, odd_rows):
