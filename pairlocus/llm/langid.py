@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import small_batches, whole_text, written
+from .text import hot_join, small_batches, whole_text, written
 
 #: Elements whose content isn't the page's own text.
 ASIDE = ("script", "style", "nav", "footer", "head", "aside", "noscript")
@@ -192,26 +192,28 @@ def identify(pages: DataFrame, docs: DataFrame, strength: float = 4.0, **options
     best = F.when(
         F.array_max("text") > F.array_min("text"), F.array_position("text", F.array_max("text")).cast("int") - 1
     )
-    seen = written(page_evidence(pages, languages, table).withColumn("vote", best), "lang-pages")
+    seen = page_evidence(pages, languages, table).withColumn("vote", best).withColumn("site", F.coalesce("host", F.lit("")))
+    seen = written(seen, "lang-pages", 2000, 8)
 
     def votes(by: list[str], prefix: str) -> DataFrame:
         counts = [F.coalesce(F.sum((F.col("vote") == i).cast("double")), F.lit(0.0)) for i in range(n)]
-        return seen.groupBy(*[F.col(c).alias(f"{prefix}_{c}") for c in by]).agg(F.array(*counts).alias(prefix))
+        return seen.groupBy(*[F.col(c).alias(f"{prefix}_{c}") for c in by]).agg(F.array(*counts).alias(prefix), F.count("*").alias(f"{prefix}_pages"))
 
     def prior(counts: Column, wider: Column) -> Column:
         total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(counts, wider, lambda c, w: (c + w * strength) / (total + strength))
 
     even = F.array(*[F.lit(1.0 / n)] * n)
+    # The suffix is a part of the host: a row a host.
     priors = (
-        votes(["host", "suffix"], "of_host")
+        votes(["site", "suffix"], "of_host")
         .join(votes(["suffix"], "of_suffix"), F.col("of_host_suffix").eqNullSafe(F.col("of_suffix_suffix")))
         .crossJoin(F.broadcast(votes([], "of_all")))
         .select(
-            "of_host_host",
-            "of_host_suffix",
+            F.col("of_host_site").alias("site"),
             F.col("of_host").alias("votes"),
             prior(F.col("of_suffix"), prior(F.col("of_all"), even)).alias("wider"),
+            F.col("of_host_pages").alias("site_pages"),
         )
     )
     every = F.array(*[F.coalesce(F.sum((F.col("vote") == i).cast("double")), F.lit(0.0)) for i in range(n)])
@@ -228,9 +230,7 @@ def identify(pages: DataFrame, docs: DataFrame, strength: float = 4.0, **options
             f"{kind}_is",
             F.zip_with(f"{kind}_votes", f"{kind}_all", lambda v, a: F.ln((v + 0.5) / (a + 0.5 * (n + 1)))).alias(f"{kind}_ll"),
         )
-    joined = seen.join(
-        priors, F.col("host").eqNullSafe(F.col("of_host_host")) & F.col("suffix").eqNullSafe(F.col("of_host_suffix"))
-    )
+    joined = hot_join(seen, written(priors, "lang-priors"), "site", "site_pages")
     for kind, rows in trust.items():
         key = F.when(F.array_contains(names, F.col(kind)), F.col(kind)).when(F.col(kind).isNotNull(), F.lit("?"))
         # At most one row a language: small whatever the number of pages.

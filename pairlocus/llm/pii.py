@@ -7,9 +7,14 @@ overlap first. Spans that the base patterns find and validate always stay; the t
 the patterns miss, such as a card that a stray number precedes, a phone without its plus, an
 address written with (at) and (dot).
 
-The trees are fitted on the driver on ``examples`` synthetic snippets (a documented, fixed
-bound), written from the formats below with look-alikes (keys, versions, order numbers,
-dates, failed checksums) as negatives. Detection reads every whole text.
+The trees are fitted on the driver on two bounded sets. One has ``examples`` synthetic snippets,
+written from the formats below with look-alikes (keys, versions, order numbers, dates, failed
+checksums) as negatives. The other has up to ``fit_rows`` places of the documents themselves,
+drawn by a hash: spans that the base rules validate, written in a form they miss (no plus, (at)
+and (dot), a stray number before), are positives where they stand, and numbers that fail the
+rules' checks or lie in keys are negatives. A third of either set is kept from the trees; a
+kind's threshold has the asked precision on both thirds, and ``calibration`` reports precision
+and recall there. Detection reads every whole text.
 
 Patterns are matched in time linear in a text: starts inside a run that has already failed
 are skipped by possessive repeats and look-behinds, which changes no match.
@@ -294,28 +299,136 @@ def example(rng: random.Random) -> tuple[str, list[Span]]:
     return text, [(kind, len(lead), len(lead) + len(thing))] if kind else []
 
 
-@functools.cache
-def trained(examples: int = 6000, seed: int = 5, precision: float = 0.97) -> dict[str, tuple[Trees, float]]:
-    """Trees and threshold of each kind, from synthetic snippets; two in three are for the trees."""
+def rewritten(kind: str, span: str, rng: random.Random) -> tuple[str, int]:
+    """A validated span in a form that the base rules miss, and where it begins in what is returned."""
+    if kind == "email":
+        at, dot = rng.choice(((" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] ")))
+        name, domain = span.split("@", 1)
+        return name + at + domain.replace(".", dot), 0
+    if kind == "ip":
+        return span.replace(".", "[.]"), 0
+    if kind == "card":
+        number = digits_of(span)
+        stray = f"{rng.randint(1, 99)} "
+        return stray + " ".join(number[i : i + 4] for i in range(0, len(number), 4)), len(stray)
+    number = span.lstrip("+")
+    return rng.choice((number, number.split(" ", 1)[-1])), 0
+
+
+def fails_checks(text: str, start: int, end: int) -> bool:
+    """Whether a run of digits is surely none of the kinds: in a key or word, or of a card's length but failing its sum."""
+    inside = text[start - 1 : start].isalnum() or text[end : end + 1].isalnum()
+    number = digits_of(text[start:end])
+    return inside or (13 <= len(number) <= 19 and not luhn(number))
+
+
+#: Characters kept on either side of a place.
+AROUND = 80
+
+
+def places(text: str) -> list[tuple[str, str, int, int]]:
+    """``window, kind, start, end`` of validated spans and, with kind none, of numbers that fail the checks."""
+    base = base_spans(text)
+    found = list(base)
+    taken = sorted((s, e) for _, s, e in base)
+    for m in NUMBERS.finditer(text):
+        if all(e <= m.start() or m.end() <= s for s, e in taken) and fails_checks(text, *m.span()):
+            found.append(("none", *m.span()))
+    out = []
+    for kind, start, end in found:
+        if end - start <= AROUND:
+            low = max(0, start - AROUND)
+            out.append((text[low : end + AROUND], kind, start - low, end - low))
+    return out
+
+
+def drawn_places(docs: DataFrame, fit_rows: int) -> list[tuple[str, str, int, int]]:
+    """At most ``fit_rows`` places of the documents, those of the least hashes."""
+
+    def run(batches):
+        for batch in small_batches(batches, rows=4000, mb=16):
+            found = [p for t in batch["text"].to_pylist() for p in places(t)]
+            columns = zip(*found, strict=True) if found else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["window", "kind", "start", "end"])
+
+    texts = docs.select(whole_text(docs).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    rows = texts.mapInArrow(run, "window string, kind string, start int, end int").distinct()
+    drawn = rows.orderBy(F.xxhash64("window", "start"), "window", "start", "end", "kind").limit(fit_rows).collect()
+    return [tuple(r) for r in drawn]
+
+
+def examined(text: str, truth: list[Span], kinds=KINDS, within: tuple[int, int] | None = None):
+    """``kind, label, features`` of a text's candidates, or of those that overlap ``within``."""
+    for kind, start, end in candidates(text):
+        if kind in kinds and (within is None or (start < within[1] and within[0] < end)):
+            yield kind, float((kind, start, end) in truth), features(text, kind, start, end)
+
+
+class Calibrated(dict):
+    """Trees and threshold of each kind; ``report`` has what the kept third of the documents' places gave."""
+
+    report: list[tuple[str, float, float, float, int]] = []
+
+
+def threshold_of(p: np.ndarray, truth: np.ndarray, precision: float) -> float:
+    """The least probability from which on the asked share of candidates are right."""
+    order = np.argsort(-p, kind="stable")
+    right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
+    good = np.flatnonzero(right >= precision)
+    return float(p[order][good[-1]]) if len(good) else 1.0
+
+
+def trained(examples: int = 6000, seed: int = 5, precision: float = 0.97, drawn: tuple = ()) -> Calibrated:
+    """Trees and thresholds from synthetic snippets and from ``drawn_places``; two in three are for the trees."""
     rng = random.Random(seed)
     rows: dict[str, list] = {k: [] for k in KINDS}
     for n in range(examples):
         text, spans = example(rng)
-        for kind, start, end in candidates(text):
-            rows[kind].append((n % 3 > 0, float((kind, start, end) in spans), features(text, kind, start, end)))
-    models = {}
+        for kind, y, x in examined(text, spans):
+            rows[kind].append((n % 3 > 0, False, y, x))
+    for n, (window, kind, start, end) in enumerate(drawn):
+        text, truth = window, []
+        if kind != "none":
+            new, at = rewritten(kind, window[start:end], rng)
+            text, truth = window[:start] + new + window[end:], [(kind, start + at, start + len(new))]
+            end = start + len(new)
+        for k, y, x in examined(text, truth, KINDS if kind == "none" else (kind,), (start, end)):
+            rows[k].append((n % 3 > 0, True, y, x))
+    models = Calibrated()
+    models.report = []
     for kind, found in rows.items():
-        use, y, x = (np.array(c) for c in zip(*found, strict=True))
+        use, own, y, x = (np.array(c) for c in zip(*found, strict=True))
         trees = Trees().fit(x[use], y[use])
-        p, truth = trees.probability(x[~use]), y[~use]
-        order = np.argsort(-p)
-        right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(right >= precision)
-        threshold = float(p[order][good[-1]]) if len(good) else 1.0
-        models[kind] = (trees, max(threshold, 0.5))
+        p = trees.probability(x)
+        sets = [~use & ~own, ~use & own]
+        threshold = max([0.5, *[threshold_of(p[s], y[s], precision) for s in sets if y[s].any()]])
+        models[kind] = (trees, threshold)
+        taken, truth = p[sets[1]] >= threshold, y[sets[1]] == 1
+        right = int((taken & truth).sum())
+        models.report.append((kind, threshold, right / max(int(taken.sum()), 1), right / max(int(truth.sum()), 1), int(truth.sum())))
     return models
 
 
+@functools.cache
+def from_snippets() -> Calibrated:
+    return trained()
+
+
+FIT_ROWS = 3000
+
+
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Calibrated:
+    """Trees and thresholds for these documents; from the snippets alone where no place is drawn."""
+    drawn = drawn_places(docs, fit_rows)
+    return trained(drawn=tuple(drawn)) if drawn else from_snippets()
+
+
+def calibration(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``kind, threshold, precision, recall, spans``: on the places of ``docs`` that the trees haven't seen."""
+    report = fit(docs, fit_rows).report
+    return docs.sparkSession.createDataFrame(report, "kind string, threshold double, precision double, recall double, spans long")
+
+
 def find_spans(texts: list[str], models: dict[str, tuple[Trees, float]]) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and all spans of each text; candidates of a batch are scored together."""
     base = [base_spans(t) if t else [] for t in texts]
@@ -347,10 +460,10 @@ def joined(spans: list[Span]) -> str:
 SIGNS = r"(?i)[0-9@]|\(at\)|\[at\]|\{at\}"
 
 
-def detect(docs: DataFrame) -> DataFrame:
+def detect(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``: one row for each row."""
     spark = docs.sparkSession
-    models = spark.sparkContext.broadcast(trained())
+    models = spark.sparkContext.broadcast(fit(docs, fit_rows))
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
@@ -376,9 +489,9 @@ def detect(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``docs`` with its text's spans replaced by ``<kind>``; all columns stay."""
-    models = docs.sparkSession.sparkContext.broadcast(trained())
+    models = docs.sparkSession.sparkContext.broadcast(fit(docs, fit_rows))
 
     @F.arrow_udf("string")
     def redact(texts: pa.Array) -> pa.Array:

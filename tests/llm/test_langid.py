@@ -1,5 +1,8 @@
+import math
 import random
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from conftest import words
 
@@ -75,3 +78,58 @@ def test_elements_that_are_not_closed():
     assert langid.main_text(page + "<p>yes<nav>no</nav>too").split() == ["yes", "too"]
     assert langid.main_text("<p>yes<NAV class=no>links<p>stay").split() == ["yes", "links", "stay"]
     assert langid.main_text("\u0130" * 9 + "<p>yes<script>no</script>too").split()[-2:] == ["yes", "too"]
+
+
+def plain_fusion(rows, languages, strength=4.0):
+    """Priors, trust and fusion of ``page_evidence`` rows in plain Python: page to (language, probability)."""
+    n = len(languages)
+    votes = [int(np.argmax(r.text)) if max(r.text) > min(r.text) else None for r in rows]
+
+    def counted(of):
+        out = defaultdict(lambda: [0.0] * n)
+        for r, v in zip(rows, votes, strict=True):
+            if v is not None:
+                out[of(r)][v] += 1
+        return out
+
+    def prior(counts, wider):
+        return [(c + strength * w) / (sum(counts) + strength) for c, w in zip(counts, wider, strict=True)]
+
+    hosts, suffixes, every = counted(lambda r: r.host), counted(lambda r: r.suffix), counted(lambda r: 0)[0]
+    kind = lambda x: x if x in languages else "?"
+    trust = {}
+    for c in ("declared", "addressed"):
+        by = counted(lambda r: kind(r[c]) if r[c] is not None else None)  # noqa: B023
+        by.pop(None, None)
+        whole = [sum(v[i] for v in by.values()) for i in range(n)]
+        trust[c] = lambda x, by=by, whole=whole: [math.log((by[x][i] + 0.5) / (whole[i] + 0.5 * (n + 1))) for i in range(n)]
+    out = {}
+    for r, v in zip(rows, votes, strict=True):
+        others = [c - (i == v) for i, c in enumerate(hosts[r.host])]
+        logs = prior(others, prior(suffixes[r.suffix], prior(every, [1 / n] * n)))
+        total = [t + math.log(p) for t, p in zip(r.text, logs, strict=True)]
+        for c in trust:
+            if r[c] is not None:
+                total = [a + b for a, b in zip(total, trust[c](kind(r[c])), strict=True)]
+        best = max(range(n), key=lambda i: (total[i], -i))
+        out[r.page_id] = (languages[best], 1 / sum(math.exp(t - total[best]) for t in total), None if v is None else languages[v])
+    return out
+
+
+def test_fusion_equals_plain_python(spark, corpus):
+    rng = random.Random(6)
+    rows = []
+    for i in range(250):
+        lang = rng.choice(list(SOUNDS))
+        declared = rng.choice([f'<html lang="{lang}">', f'<html lang="{rng.choice(["en", "xx"])}">', "<html>"])
+        url = rng.choice([None, f"https://{rng.choice('ab')}.example.{rng.choice(['de', 'fr', 'com'])}/{rng.choice(['', 'fr/x', 'x'])}", "https://hot.example.org/"])
+        rows.append((i, url, f"{declared}<p>{prose(rng, lang, rng.choice([0, 0, 2, 30]))}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    languages, table = langid.fit(corpus)
+    want = plain_fusion(langid.page_evidence(pages, languages, table).collect(), languages)
+    got = {r.page_id: r for r in langid.identify(pages, corpus).collect()}
+    assert set(got) == set(want)
+    for i, (lang, p, text_lang) in want.items():
+        assert got[i].text_lang == text_lang
+        assert got[i].probability == pytest.approx(p, rel=1e-6)
+        assert got[i].lang == lang
