@@ -35,14 +35,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int, mb: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes for what runs inside."""
+    limits = {BATCH_ROWS: str(rows), BATCH_BYTES: str(mb << 20)}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str, batch_rows: int = 10_000, batch_mb: int = 16) -> DataFrame:
     """Write a DataFrame as Parquet into the shared folder and read it again.
 
-    Cuts the lineage in a way that outlives lost executors, and is read by column.
+    Cuts the lineage in a way that outlives lost executors, and is read by column. Arrow
+    batches on the way are limited, for the time of writing only.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with batches_of(spark, batch_rows, batch_mb):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
