@@ -37,7 +37,7 @@ from .text import hot_join, located, numbered, removed, small_batches, whole_tex
 #: A pair at 0.8 misses all bands once in 17,000 times, one at 0.85 once in 4 million.
 SIZE, BANDS, ROWS = 192, 32, 6
 #: Shingles of a block of classes, each class counting for some more.
-BLOCK, CLASS_COST = 1 << 20, 1000
+BLOCK, CLASS_COST = 1 << 19, 1000
 _M = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -175,6 +175,10 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def set_bytes(sets: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    return [sets[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)]
+
+
 def sketched(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, file, row, n, class, bands`` for each row of ``docs``; empty sets have no class."""
 
@@ -184,7 +188,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
             sets, begin = shingle_sets(batch["text"].to_pylist(), k)
             n = np.diff(begin)
             keys = band_keys(sketches(sets, begin))
-            names = [xxhash.xxh3_128_digest(sets[a:b].tobytes()) if b > a else None for a, b in zip(begin, begin[1:], strict=False)]
+            names = [xxhash.xxh3_128_digest(s) if s else None for s in set_bytes(sets, begin)]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["file"], batch["row"], pa.array(n, pa.int64()), pa.array(names, pa.binary()), bands],
@@ -195,23 +199,39 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """``class, cluster``: classes that meet in a bucket, directly or by others."""
-    members = classes.select("class", F.explode("bands").alias("key")).repartition("key")
-    hubs = members.groupBy("key").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = members.join(hubs, "key").where(F.col("class") != F.col("hub"))
-    labels = connected(met.select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
+    """``node, cluster``: classes that meet in a bucket, directly or by others.
+
+    A node is a 64-bit hash of the class; two classes of one node are candidates like others.
+    """
+    members = classes.select(F.xxhash64("class").alias("node"), F.explode("bands").alias("key")).repartition("key")
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = members.join(hubs, "key").where(F.col("node") != F.col("hub"))
+    labels = connected(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     heads = labels.select(F.col("label").alias("node"), "label").distinct()
-    return labels.unionByName(heads).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
+    return labels.unionByName(heads).select("node", F.col("label").alias("cluster"))
+
+
+def links_of(names: list[bytes], sets: list[np.ndarray], percent: int) -> pa.Table:
+    root = linked_roots(sets, percent)
+    found = [(names[i], names[r]) for i, r in enumerate(root.tolist()) if r != i]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+
+def cluster_links(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b``: links that connect the classes of each cluster of ``rows(cluster, class, text)``."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        sets, begin = shingle_sets(table["text"].to_pylist(), k)
+        return links_of(table["class"].to_pylist(), [sets[a:b] for a, b in zip(begin, begin[1:], strict=False)], percent)
+
+    return rows.groupBy("cluster").applyInArrow(verify, "a binary, b binary")
 
 
 def piece_links(rows: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links that connect the classes of each piece of ``rows(cluster, piece, class, set)``."""
 
     def verify(table: pa.Table) -> pa.Table:
-        names = table["class"].to_pylist()
-        root = linked_roots([np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()], percent)
-        found = [(names[i], names[r]) for i, r in enumerate(root.tolist()) if r != i]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+        return links_of(table["class"].to_pylist(), [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()], percent)
 
     return rows.groupBy("cluster", "piece").applyInArrow(verify, "a binary, b binary")
 
@@ -237,22 +257,20 @@ def hub_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("cluster", "chunk").applyInArrow(verify, "a binary, b binary")
 
 
-def verified_links(docs: DataFrame, members: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+def verified_links(rows: DataFrame, at: str, members: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between classes that connect all that are linked, verified on full sets.
 
-    ``members(class, cluster, n, file, row)`` has one row of ``docs(file, row, text)`` for each
-    class. No piece has more than two blocks, but for a single set that is larger.
+    ``members(class, cluster, n, file, row)`` has one row of ``located`` ``rows`` for each
+    class; only those rows' texts move. No piece has more than two blocks, but for a single set
+    that is larger.
     """
-    where = members.select("file", "row", "class")
-    texts = docs.join(where.hint("shuffle_hash"), ["file", "row"]).select("class", "text")
 
-    def cut(batches):
-        for batch in small_batches(batches, rows=1000, mb=4):
-            sets, begin = shingle_sets(batch["text"].to_pylist(), k)
-            data = [sets[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch["class"], pa.array(data, pa.binary())], ["class", "set"])
+    def texts_of(members: DataFrame) -> DataFrame:
+        chosen, n = numbered(rows, at, members.select("file", "row", F.lit(1).alias("n")), 1)
+        return chosen.where(F.col(n) == 1).select(
+            F.col(f"`{at}`.file").alias("file"), F.col(f"`{at}`.row").alias("row"), whole_text(rows).alias("text")
+        )
 
-    sets = written(texts.mapInArrow(cut, "class binary, set binary"), "near-sets")
     cost = F.sum(F.col("n") + CLASS_COST)
     clusters = written(
         members.groupBy("cluster").agg(
@@ -260,13 +278,22 @@ def verified_links(docs: DataFrame, members: DataFrame, k: int, percent: int, bl
         ),
         "near-clusters",
     )
-    dealt = written(hot_join(members.select("class", "cluster", "n"), clusters, "cluster", "classes"), "near-dealt")
-    one_piece = dealt.where("chunks = 1").join(sets, "class").select("cluster", F.lit(0).alias("piece"), "class", "set")
-    links = piece_links(one_piece, percent)
+    dealt = written(hot_join(members, clusters, "cluster", "classes"), "near-dealt")
+    small = dealt.where("chunks = 1").select("file", "row", "cluster", "class")
+    # Always by shuffle, the few columns of the members being what tasks hash.
+    links = cluster_links(texts_of(small).join(small.hint("shuffle_hash"), ["file", "row"]).select("cluster", "class", "text"), k, percent)
     large = dealt.where("chunks > 1")
     if large.isEmpty():
         return links
 
+    def cut(batches):
+        for batch in small_batches(batches, rows=1000, mb=4):
+            data = set_bytes(*shingle_sets(batch["text"].to_pylist(), k))
+            names = [xxhash.xxh3_128_digest(s) for s in data]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["class", "set"])
+
+    sets = written(texts_of(large).select("text").mapInArrow(cut, "class binary, set binary"), "near-sets", 1000, 4)
+    large = large.select("class", "cluster", "n", "classes", "hub", "chunks")
     own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     chunked = large.withColumn("chunk", F.explode(F.when(F.col("class") == F.col("hub"), every).otherwise(F.array(own))))
@@ -311,7 +338,7 @@ def components(rows: DataFrame, at: str, k: int, percent: int, block: int = BLOC
         F.col(f"`{at}`.row").alias("row"),
         whole_text(rows).alias("text"),
     )
-    drawn = written(sketched(texts, k), "near-sketches")
+    drawn = written(sketched(texts, k), "near-sketches", 1000, 4)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
     classes = written(
         drawn.where("class is not null")
@@ -326,8 +353,9 @@ def components(rows: DataFrame, at: str, k: int, percent: int, block: int = BLOC
         "near-classes",
     )
     clusters = candidate_clusters(classes)
-    members = written(classes.join(clusters, "class").select("class", "cluster", "n", "at.file", "at.row"), "near-members")
-    labels = connected(verified_links(texts.drop("doc_id"), members, k, percent, block))
+    members = classes.select("class", "n", "at.file", "at.row", F.xxhash64("class").alias("node")).join(clusters, "node")
+    members = written(members.drop("node"), "near-members")
+    labels = connected(verified_links(rows, at, members, k, percent, block))
     heads = labels.select(F.col("label").alias("node"), "label").distinct()
     labels = written(labels.unionByName(heads).select(F.col("node").alias("class"), "label"), "near-labels")
     # Only classes go on to components; each row is joined with its class once, at the end.
