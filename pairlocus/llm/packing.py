@@ -282,7 +282,7 @@ def ranked(pieces: DataFrame, salts: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, salted_rows: int = 50_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: one row a piece."""
     spark = docs.sparkSession
-    pieces = written(cut(docs, tokenizer_path, capacity), "pack-pieces")
+    pieces = written(cut(docs, tokenizer_path, capacity), "pack-pieces", 2000, 8)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = max(1, -(-sum(counts.values()) // salted_rows))
     by_length: dict[int, list] = defaultdict(list)

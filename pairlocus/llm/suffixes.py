@@ -240,7 +240,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     rows, place = located(docs)
     here = [F.col(f"`{place}`.{c}").alias(c) for c in ("file", "row")]
-    suffixes = written(suffix_rows(rows.select(*here, whole_text(rows).alias("text"))), "suffixes")
+    suffixes = written(suffix_rows(rows.select(*here, whole_text(rows).alias("text"))), "suffixes", 2000, 8)
     near = written(with_neighbours(suffixes, ["head", "tail"], "at", "suffixes-sorted"), "suffixes-near")
     removed(suffixes)
 
@@ -269,7 +269,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     asked = written(asked, "suffixes-asked")
     texts, n = numbered(rows, place, asked.select("file", "row", F.lit(1).alias("n")), 1)
     texts = texts.where(F.col(n) == 1).select(*here, whole_text(rows).alias("text")).join(asked, ["file", "row"])
-    between = written(windows_between(texts).distinct(), "suffixes-between")
+    between = written(windows_between(texts).distinct(), "suffixes-between", 2000, 8)
     between = with_neighbours(between, ["w"], "start", "suffixes-ends")
 
     starts = between.select("file", "row", "start").unionByName(

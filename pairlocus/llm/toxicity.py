@@ -264,7 +264,7 @@ def features(docs: DataFrame, common, by_word: DataFrame) -> DataFrame:
         run, "key binary, word string, times long, total double, most double"
     )
     first = F.col("word").isNull()
-    rows = written(rows.select("key", F.xxhash64("word").alias("word_id"), first.alias("first"), "times", "total", "most"), "toxicity-by-text")
+    rows = written(rows.select("key", F.xxhash64("word").alias("word_id"), first.alias("first"), "times", "total", "most"), "toxicity-by-text", 1000, 4)
     llr = F.coalesce(F.col("llr"), F.lit(0.0))
     rare = rows.where(~F.col("first")).join(by_word, "word_id", "left").withColumns({"total": F.col("times") * llr, "most": llr})
     # Equal texts multiply the rows of their key.
@@ -368,7 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, bits: int =
     drawn = F.broadcast(drawn_labels(labels, fit_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text(docs).alias("text"))
     counted = texts.join(drawn.where(~F.col("curve")).drop("curve"), "_id", "left")
-    words = written(word_counts(counted), "toxicity-words")
+    words = written(word_counts(counted), "toxicity-words", 1000, 4)
     counts = written(gram_counts(words), "toxicity-grams")
     grams = written(hashed(evidence(counts)), "toxicity-evidence")
     every = grams.agg(F.sum("times").alias("times"), F.sum("kinds").alias("kinds")).first()
@@ -378,6 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, bits: int =
     others = grams.where(~(share[0] | share[1]) & (F.col("llr") != 0)).select("hash", "llr")
     by_word = written(word_evidence(words, common, others), "toxicity-by-word")
     found = written(features(docs, common, by_word), "toxicity-features")
+    common.destroy()
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("_id"), text_key(docs).alias("key"))
         .join(drawn.where("curve").drop("curve"), "_id")
