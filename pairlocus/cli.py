@@ -39,39 +39,63 @@ def in_windows(points: DataFrame, named: DataFrame, layers: DataFrame) -> DataFr
     return near.join(found, ["chrom", "pos", "layer"], "left").withColumn("first", F.col("region").isNotNull())
 
 
+def of_chromosome(rows: DataFrame, chrom: str, what: str) -> DataFrame:
+    """Rows of one chromosome, named as ``chrom`` is; with or without ``chr`` is the same name."""
+    kept = rows.where(F.regexp_replace("chrom", "^chr", "") == chrom.removeprefix("chr")).withColumn("chrom", F.lit(chrom))
+    if kept.isEmpty() and not rows.isEmpty():
+        raise ValueError(f"{what} has rows, but none of chromosome {chrom}")
+    return kept
+
+
 def parse_h2(spark: SparkSession, a) -> DataFrame:
-    """Region statistics of a variant file, written as Parquet."""
+    """Region statistics of a chromosome of a variant file, written as Parquet.
+
+    With a mutation map the mean rates of regions, which ``bootstrap_h2 --rates`` reads, are
+    written to ``OUT_rates``. Denominators are counted over the mask (``--compute_denom 1``),
+    over the variant sites (0, with ``--compute_snp_denom 1``), or left out (both 0).
+    """
     edges = bed.read_edges(spark, a.bins)
-    mask = bed.read_bed(spark, a.bed, a.min_reg_len)
+    mask = of_chromosome(bed.read_bed(spark, a.bed, a.min_reg_len), a.chrom, "the mask")
     windows = bed.read_windows(spark, a.regions, a.chrom)
     wanted = bed.read_populations(spark, a.pops) if a.pops else None
     names = vcf.header(spark, a.vcf)
     wanted = wanted or [(s, s) for s in names]
-    sites = vcf.read_genotypes(spark, a.vcf, mask, samples=[s for s, _ in wanted]).withColumn("chrom", F.lit(a.chrom))
-    covered = intervals.positions(mask).withColumn("chrom", F.lit(a.chrom)) if a.compute_denom else sites
+    of_chromosome(vcf.read_positions(spark, a.vcf), a.chrom, "the variant file")
+    sites = vcf.read_genotypes(spark, a.vcf, mask, samples=[s for s, _ in wanted], chrom=a.chrom)
+    covered = intervals.positions(mask) if a.compute_denom else sites
     at, steps = "pos", edges
     if a.rec_map:
         knots = maps.checked_map(bed.read_recombination_map(spark, a.rec_map, a.chrom))
         sites, covered = maps.interpolate(sites, knots), maps.interpolate(covered.select("chrom", "pos"), knots)
         at, steps = "cm", haldane_edges(edges)
     if a.mut_map:
-        covered = maps.step_lookup(covered, bed.read_bedgraph(spark, a.mut_map)).where("u is not null")
+        covered = maps.step_lookup(covered, of_chromosome(bed.read_mutation_map(spark, a.mut_map, a.chrom), a.chrom, "the mutation map")).where("u is not null")
     named, layers = layered(windows)
 
     def placed(df: DataFrame) -> DataFrame:
         return in_windows(df, named, layers)
 
+    rate, two = "u" if a.mut_map else None, bool(a.compute_two_sample)
     stats = hstats.region_statistics(
-        placed(sites), placed(covered), len(wanted), steps, at, "u" if a.mut_map else None, ["chrom", "layer"], "first"
+        placed(sites), placed(covered), len(wanted), steps, at, rate, ["chrom", "layer"], "first", named.select("chrom", "region").distinct(), two
     )
-    bed.write_statistics(stats.withColumn("row", F.col("bin_id")), a.out, "chrom")
-    return stats
+    if not (a.compute_denom or a.compute_snp_denom):
+        stats = stats.withColumn("denom", F.lit(None).cast("double"))
+    stats = bootstrap.described(stats.withColumn("row", F.col("bin_id")), [p for _, p in wanted], edges, two)
+    bed.write_statistics(stats, a.out, "chrom")
+    if rate:
+        bed.write_statistics(hstats.region_rates(placed(covered).where("first"), rate, named.select("region").distinct()), f"{a.out}_rates")
+    return bed.read_statistics(spark, a.out)
 
 
 def bootstrap_h2(spark: SparkSession, a) -> DataFrame:
     """Means over regions and their covariances over replicates, written as Parquet."""
-    tables = [bed.read_statistics(spark, p).select("region", "row", "stat_ord", "num", "denom") for p in a.inputs]
-    stats, rates = bootstrap.combine(*tables), bed.read_statistics(spark, a.rates) if a.rates else None
+    tables = [bed.read_statistics(spark, p) for p in a.inputs]
+    names, edges = bootstrap.description(tables)
+    stats = bootstrap.combine(*[df.select("region", "row", "stat_ord", "num", "denom") for df in tables])
+    rates = bed.read_statistics(spark, *a.rates) if a.rates else None
+    bed.write_statistics(names, f"{a.out}/statistics")
+    bed.write_statistics(edges, f"{a.out}/bins")
     reps = bootstrap.replicates(stats, a.num_reps, a.num_samples, rates, a.mean_mut, a.seed)
     bed.write_statistics(reps, f"{a.out}/replicates")
     bed.write_statistics(bootstrap.region_means(stats, rates, a.mean_mut), f"{a.out}/means")
@@ -131,8 +155,7 @@ def compute_uncerts(spark: SparkSession, a) -> DataFrame:
     if a.uncert_method == "GIM":
         table = bed.read_statistics(spark, f"{a.data}/replicates")
         bins, statistics = len(edges) - 1, len(hstats.triangle(len(samples)))
-        names = [r["rep"] for r in table.select("rep").distinct().orderBy("rep").collect()]
-        reps = [composite.rows_of(table.where(F.col("rep") == n), "value", bins, statistics) for n in names]
+        reps = composite.replicates_of(table, bins, statistics)
     p = graph.get_values(g, parameters)
     errors = fitting.uncertainties(spark, p, ll, reps, method=a.uncert_method)
     rows = [(n, float(v), float(e)) for n, v, e in zip(parameters.names, p, errors, strict=True)]
@@ -190,11 +213,23 @@ def parse_vcf_coverage(spark: SparkSession, a) -> DataFrame:
 
 
 def plot_h2(spark: SparkSession, a) -> DataFrame:
-    """The table behind the figure."""
+    """The table behind the figure, of some populations or of a graph's; with H2 beside the square of H."""
     edges = bed.read_edges(spark, a.bins)
-    out = views.curves(bed.read_statistics(spark, f"{a.data}/means"), bed.read_statistics(spark, f"{a.data}/covs"), edges)
+    means, covs = (bed.read_statistics(spark, f"{a.data}/{x}") for x in ("means", "covs"))
+    wanted = a.pops
+    if a.graph:
+        from .models import graph
+
+        with open(a.graph) as text:
+            demes = {x["name"] for x in graph.read_graph(text.read())["demes"]}
+        wanted = [p for p in bootstrap.populations_of(bed.read_statistics(spark, f"{a.data}/statistics")) if p in demes]
+    if wanted:
+        names = bed.read_statistics(spark, f"{a.data}/statistics")
+        means, covs = (bootstrap.subset_populations(df, names, wanted) for df in (means, covs))
+    out = views.curves(means, covs, edges)
     if a.out:
         bed.write_statistics(out, a.out)
+        bed.write_statistics(views.h2_and_h_squared(means), f"{a.out}_ratios")
     out.orderBy("stat_ord", "row").show(200)
     return out
 
@@ -211,9 +246,10 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(flag, type=kind, required=required, default=None if required else default)
         return c
 
-    command(parse_h2, ("--vcf", str, ...), ("--bed", str, ...), ("--rec_map", str, None), ("--mut_map", str, None), ("--pops", str, None), ("--regions", str, ...), ("--bins", str, ...), ("--min_reg_len", int, None), ("--compute_denom", int, 1), ("--chrom", str, ...), ("--out", str, ...))
-    c = command(bootstrap_h2, ("--out", str, ...), ("--num_reps", int, None), ("--num_samples", int, None), ("--seed", int, 0), ("--rates", str, None), ("--mean_mut", float, None))
+    command(parse_h2, ("--vcf", str, ...), ("--bed", str, ...), ("--rec_map", str, None), ("--mut_map", str, None), ("--pops", str, None), ("--regions", str, ...), ("--bins", str, ...), ("--min_reg_len", int, None), ("--compute_denom", int, 1), ("--compute_snp_denom", int, 1), ("--compute_two_sample", int, 1), ("--chrom", str, ...), ("--out", str, ...))
+    c = command(bootstrap_h2, ("--out", str, ...), ("--num_reps", int, None), ("--num_samples", int, None), ("--seed", int, 0), ("--mean_mut", float, None))
     c.add_argument("--inputs", nargs="+", required=True)
+    c.add_argument("--rates", nargs="+")
     model = (("--data", str, ...), ("--graph", str, ...), ("--params", str, ...), ("--bins", str, ...), ("--u", float, None), ("--out", str, ...), ("--include_h", int, 0))
     c = command(fit_h2, *model, ("--perturb", float, 1.0), ("--starts", int, 8), ("--method", str, "NelderMead"), ("--max_iter", int, 500), ("--seed", int, 0))
     c.add_argument("--samples", nargs="+")
@@ -225,7 +261,8 @@ def parser() -> argparse.ArgumentParser:
     command(setup_regions, ("--chrom", str, ...), ("--centromere", int, ...), ("--end", int, ...), ("--size", int, ...), ("--out", str, ...))
     command(parse_mut_vcf, ("--input", str, ...), ("--out", str, ...), ("--bed", str, None))
     command(parse_vcf_coverage, ("--vcf", str, ...), ("--out", str, ...))
-    command(plot_h2, ("--data", str, ...), ("--bins", str, ...), ("--out", str, None))
+    c = command(plot_h2, ("--data", str, ...), ("--bins", str, ...), ("--graph", str, None), ("--out", str, None))
+    c.add_argument("--pops", nargs="+")
     return p
 
 

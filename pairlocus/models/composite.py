@@ -33,6 +33,15 @@ def rows_of(table: DataFrame, value: str, bins: int, statistics: int) -> np.ndar
     return out
 
 
+def replicates_of(table: DataFrame, bins: int, statistics: int) -> list[np.ndarray]:
+    """``rows_of`` each replicate of ``rep, row, stat_ord, value``, in one job."""
+    found: dict[int, np.ndarray] = {}
+    for r in table.select("rep", "row", "stat_ord", "value").collect():  # a row a replicate, bin and statistic
+        own = found.setdefault(r["rep"], np.full((bins + 1, statistics), math.nan))
+        own[r["row"], r["stat_ord"]] = math.nan if r["value"] is None else r["value"]
+    return [found[k] for k in sorted(found)]
+
+
 def observed(means: DataFrame, covs: DataFrame, bins: int, statistics: int) -> Observed:
     x = rows_of(means, "mean", bins, statistics)
     cov = np.zeros((bins + 1, statistics, statistics))

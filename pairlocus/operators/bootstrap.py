@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genetics import ratio
+from .hstats import triangle
 
 H_ROW = -1
 
@@ -29,6 +30,50 @@ def combine(*tables: DataFrame) -> DataFrame:
     )
 
 
+def described(stats: DataFrame, populations: list[str], edges: list[float], two_sample: bool = True) -> DataFrame:
+    """``stats`` with what its rows are: populations of the statistic, edges of the bin (null for H)."""
+    pairs = triangle(len(populations)) if two_sample else [(n, n, n) for n in range(len(populations))]
+    ends = [F.array(*[F.lit(populations[p[k]]) for p in pairs]) for k in (1, 2)]
+    sides = [F.array(*map(F.lit, e)) for e in (edges[:-1], edges[1:])]
+    return stats.withColumns(
+        {n: F.get(e, F.col("stat_ord")) for n, e in zip(("pop_i", "pop_j"), ends, strict=True)}
+        | {n: F.get(e, F.when(F.col("row") >= 0, F.col("row"))) for n, e in zip(("low", "high"), sides, strict=True)}
+    )
+
+
+def description(tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``stat_ord, pop_i, pop_j`` and ``row, low, high`` of several tables; fails where they don't agree."""
+    found = []
+    for key, columns in (("stat_ord", ["pop_i", "pop_j"]), ("row", ["low", "high"])):
+        each = [df.select(key, *columns).distinct().withColumn("table", F.lit(n)) for n, df in enumerate(tables)]
+        rows = each[0]
+        for df in each[1:]:
+            rows = rows.unionByName(df)
+        same = rows.groupBy(key).agg(F.count_distinct("table").alias("tables"), F.count_distinct(F.struct(*columns)).alias("kinds"))
+        if same.where((F.col("tables") != len(tables)) | (F.col("kinds") != 1)).count():
+            raise ValueError(f"tables with different {' and '.join(columns)}")
+        found.append(rows.select(key, *columns).distinct())
+    return found[0], found[1]
+
+
+def populations_of(names: DataFrame) -> list[str]:
+    """Populations in order, from ``stat_ord, pop_i, pop_j``."""
+    rows = names.where("pop_i = pop_j").orderBy("stat_ord").collect()  # a row a population
+    return [r["pop_i"] for r in rows]
+
+
+def subset_populations(table: DataFrame, names: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows of the statistics of ``wanted`` populations, numbered anew in their order."""
+    number = {}
+    for r in names.collect():  # a row a statistic
+        number[r["pop_i"], r["pop_j"]] = number[r["pop_j"], r["pop_i"]] = r["stat_ord"]
+    missing = [p for p in wanted if (p, p) not in number]
+    if missing:
+        raise ValueError(f"populations that the table doesn't have: {missing}")
+    pairs = [(wanted[i], wanted[j]) for _, i, j in triangle(len(wanted))]
+    return subset_statistics(table, [number[p] for p in pairs if p in number])
+
+
 def rate_factor(rates: DataFrame, by: list[str], target: float | None = None) -> DataFrame:
     """``by, factor``: the squared mean rate over regions of ``region, num_sites, mean_mut``.
 

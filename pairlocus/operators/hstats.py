@@ -34,32 +34,6 @@ def select_populations(sites: DataFrame, samples: Sequence[str], wanted: Sequenc
     return sites.withColumn("gt", F.array(*[F.col("gt")[list(samples).index(s)] for s, _ in wanted]))
 
 
-def quarters(populations: int, two_sample: bool = True) -> Column:
-    """Structs (stat_ord, d4): four times each statistic's difference at a site, to explode."""
-    gt = F.col("gt")
-    rows = triangle(populations)
-    if not two_sample:
-        rows = [(n, i, i) for n, i in enumerate(range(populations))]
-    return F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("stat_ord"),
-                (heterozygous(gt[i]) * 4 if i == j else different_alleles(gt[i], gt[j])).alias("d4"),
-            )
-            for n, i, j in rows
-        ]
-    )
-
-
-def long_differences(sites: DataFrame, populations: int, two_sample: bool = True) -> DataFrame:
-    """A row for each site and statistic with a difference; ``d4`` is a whole number."""
-    return (
-        sites.withColumn("s", F.explode(quarters(populations, two_sample)))
-        .select(*[c for c in sites.columns if c != "gt"], "s.stat_ord", "s.d4")
-        .where("d4 > 0")
-    )
-
-
 def one_locus(sites: DataFrame, populations: int, by: Sequence[str], two_sample: bool = True) -> DataFrame:
     """``by, stat_ord, num``: H as sums over sites (whole quarters, divided at the end)."""
     sums = [F.sum(q).alias(f"q{n}") for n, q in enumerate(_columns(populations, two_sample))]
@@ -70,11 +44,36 @@ def one_locus(sites: DataFrame, populations: int, by: Sequence[str], two_sample:
 
 
 def _columns(populations: int, two_sample: bool) -> list[Column]:
+    """Four times each statistic's difference at a site: whole numbers."""
     rows = triangle(populations) if two_sample else [(i, i, i) for i in range(populations)]
     gt = F.col("gt")
     return [heterozygous(gt[i]) * 4 if i == j else different_alleles(gt[i], gt[j]) for _, i, j in rows]
 
 
+def two_locus_sums(
+    sites: DataFrame, populations: int, edges: Sequence[float], by: Sequence[str], at: str, left: str | None, left_by: Sequence[str], two_sample: bool, method: str
+) -> DataFrame:
+    """``by, left_by, stat_ord, bin_id, num`` for groups with a difference: sites move once for all statistics."""
+    quarters_of = _columns(populations, two_sample)
+    values = [f"_d{n}" for n in range(len(quarters_of))]
+    rows = sites.withColumns(dict(zip(values, quarters_of, strict=True)))
+    sums = pair_sums(rows, edges, list(by), at, "pos", values, left, left_by, method)
+    return sums.select(*by, *left_by, "stat_ord", "bin_id", (F.col("total") / 16).alias("num"))
+
+
+def framed(groups: DataFrame, rows: int, statistics: int) -> DataFrame:
+    """Each of ``groups`` with each ``bin_id`` from 0 and each ``stat_ord``."""
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (rows, statistics)]
+    return groups.select("*", every[0].alias("bin_id")).select("*", every[1].alias("stat_ord"))
+
+
+def null_safe(a: DataFrame, b: DataFrame, on: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for c in on:
+        same = same & a[c].eqNullSafe(b[c])
+    return same
+
+
 def two_locus(
     sites: DataFrame,
     populations: int,
@@ -85,19 +84,22 @@ def two_locus(
     left_by: Sequence[str] = (),
     phased: bool = False,
     two_sample: bool = True,
-    method: str = "ranks",
+    method: str = "halo",
 ) -> DataFrame:
-    """``by, left_by, stat_ord, bin_id, num``: H2 as sums over pairs of sites."""
+    """``by, left_by, stat_ord, bin_id, num``: H2 as sums over pairs of sites, zeros included."""
     if phased:
         raise NotImplementedError("there is no contract for phased statistics")
-    rows = long_differences(sites, populations, two_sample)
-    sums = pair_sums(rows, edges, [*by, "stat_ord"], at, "pos", "d4", left, left_by, method)
-    return sums.select(*by, *left_by, "stat_ord", "bin_id", (F.col("total") / 16).alias("num"))
+    sums = two_locus_sums(sites, populations, edges, by, at, left, left_by, two_sample, method)
+    firsts = sites.where(left) if left else sites
+    frame = framed(firsts.select(*by, *left_by).distinct(), len(edges) - 1, len(_columns(populations, two_sample)))
+    on = [*by, *left_by, "stat_ord", "bin_id"]
+    sums = sums.select(*[F.col(c).alias(c) for c in on], F.col("num").alias("num"))
+    return frame.join(sums, null_safe(frame, sums, on), "left").select(*[frame[c] for c in on], F.coalesce(sums["num"], F.lit(0.0)).alias("num"))
 
 
 def pair_denominators(
     covered: DataFrame, edges: Sequence[float], by: Sequence[str], at: str = "pos", left: str | None = None,
-    left_by: Sequence[str] = (), rate: str | None = None, method: str = "ranks",
+    left_by: Sequence[str] = (), rate: str | None = None, method: str = "halo",
 ) -> DataFrame:
     """``by, left_by, bin_id, denom``: callable pairs, or sums of u_i u_j with ``rate``."""
     sums = pair_sums(covered, edges, list(by), at, "pos", rate, left, left_by, method)
@@ -118,25 +120,48 @@ def means(nums: DataFrame, denoms: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def region_statistics(
     sites: DataFrame, covered: DataFrame, populations: int, edges: Sequence[float], at: str = "pos", rate: str | None = None,
-    by: Sequence[str] = ("chrom",), left: str | None = None,
+    by: Sequence[str] = ("chrom",), left: str | None = None, regions: DataFrame | None = None, two_sample: bool = True,
 ) -> DataFrame:
     """``chrom, region, row_kind, bin_id, stat_ord, num, denom``: H2 rows by bin and one H row.
 
     ``region`` is a column of both inputs: the region of a pair is that of its first site, and
     its second site may lie beyond. The H row has bin_id -1. Pairs are made within ``by``; the
     boolean column ``left`` marks the sites of regions, if others are second sites only.
+
+    Every one of ``regions(chrom, region)``, by default all with a covered position, has a row
+    for each bin and statistic: sums without a pair, and denominators of regions that nothing
+    covers, are 0.
     """
     key = ["region"]
-    h2 = two_locus(sites, populations, edges, by, at, left, left_by=key)
+    firsts = [df.where(left) if left else df for df in (sites, covered)]
+    if regions is None:
+        regions = firsts[1].select("chrom", "region").distinct()
+    statistics = len(_columns(populations, two_sample))
+    h2 = two_locus_sums(sites, populations, edges, by, at, left, key, two_sample, "halo")
+    h2 = h2.groupBy("chrom", "region", "bin_id", "stat_ord").agg(F.sum("num").alias("num"))
     d2 = pair_denominators(covered, edges, by, at, left, left_by=key, rate=rate)
-    if left:
-        sites, covered = sites.where(left), covered.where(left)
-    h2 = h2.join(d2, [*by, "region", "bin_id"], "left").select(
-        "chrom", "region", F.lit("H2").alias("row_kind"), "bin_id", "stat_ord", "num", F.col("denom").cast("double").alias("denom")
-    )
-    h = one_locus(sites, populations, ["chrom", "region"])
-    d1 = covered.groupBy("chrom", "region").agg(F.count("*").cast("double").alias("denom"))
-    h = h.join(d1, ["chrom", "region"], "left").select(
-        "chrom", "region", F.lit("H").alias("row_kind"), F.lit(-1).alias("bin_id"), "stat_ord", F.col("num"), "denom"
+    d2 = d2.groupBy("chrom", "region", "bin_id").agg(F.sum("denom").cast("double").alias("denom"))
+    h = one_locus(firsts[0], populations, ["chrom", "region"], two_sample).select("chrom", "region", F.lit(-1).alias("bin_id"), "stat_ord", "num")
+    d1 = firsts[1].groupBy("chrom", "region").agg(F.lit(-1).alias("bin_id"), F.count("*").cast("double").alias("denom"))
+    frame = framed(regions.select("chrom", "region"), len(edges), statistics).withColumn("bin_id", F.col("bin_id") - 1)
+    return (
+        frame.join(h2.unionByName(h), ["chrom", "region", "bin_id", "stat_ord"], "left")
+        .join(d2.unionByName(d1), ["chrom", "region", "bin_id"], "left")
+        .select(
+            "chrom",
+            "region",
+            F.when(F.col("bin_id") < 0, "H").otherwise("H2").alias("row_kind"),
+            "bin_id",
+            "stat_ord",
+            F.coalesce("num", F.lit(0.0)).alias("num"),
+            F.coalesce("denom", F.lit(0.0)).alias("denom"),
+        )
     )
-    return h2.unionByName(h)
+
+
+def region_rates(covered: DataFrame, rate: str, regions: DataFrame | None = None) -> DataFrame:
+    """``region, num_sites, mean_mut`` of covered positions with a region; regions without any have 0 and null."""
+    rows = covered.groupBy("region").agg(F.count(rate).alias("num_sites"), F.avg(rate).alias("mean_mut"))
+    if regions is None:
+        return rows
+    return regions.select("region").join(rows, "region", "left").withColumn("num_sites", F.coalesce("num_sites", F.lit(0)))

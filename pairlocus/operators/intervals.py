@@ -1,57 +1,85 @@
 """Half-open intervals [start, end) by chromosome: algebra, lookups, tiling.
 
-Lookups of points in intervals join on buckets of the position, so neither side is held whole
-by a task, and the range is checked within a bucket only.
+Work is cut by buckets of the position, so that no task holds a chromosome: lookups of points in
+intervals join on buckets, and merging, sweeping and runs go on within buckets, what touches
+a bucket's ends (two rows a bucket at most) being united afterwards.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Positions of a bucket in which intervals are merged.
+BUCKET = 1 << 20
 
-def merge(intervals: DataFrame) -> DataFrame:
-    """Unions of overlapping and adjacent intervals."""
-    order = Window.partitionBy("chrom").orderBy("start", "end")
+
+def islands(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by, start, end``: unions of overlapping and adjacent intervals within ``by``."""
+    order = Window.partitionBy(*by).orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum((F.coalesce(F.col("start") > reached, F.lit(True))).cast("int")).over(order)
     return (
-        intervals.where("end > start")
-        .select("chrom", "start", "end", island.alias("island"))
-        .groupBy("chrom", "island")
+        rows.select(*by, "start", "end", island.alias("island"))
+        .groupBy(*by, "island")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .drop("island")
     )
 
 
-def intersect(*tables: DataFrame) -> DataFrame:
-    """What all tables cover: a sweep over starts and ends of their merged intervals."""
+def cut(intervals: DataFrame, width: int) -> DataFrame:
+    """``chrom, bucket, start, end``: the parts of non-empty intervals in each bucket."""
+    b = F.col("bucket")
+    first, last = F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)
+    return intervals.where("end > start").select("chrom", "start", "end", F.explode(F.sequence(first, last)).alias("bucket")).select(
+        "chrom", "bucket", F.greatest("start", b * width).alias("start"), F.least("end", (b + 1) * width).alias("end")
+    )
+
+
+def united(parts: DataFrame, width: int) -> DataFrame:
+    """``chrom, start, end``: disjoint parts by bucket, those that meet at bucket ends being one."""
+    b = F.col("bucket")
+    touch = (F.col("start") == b * width) | (F.col("end") == (b + 1) * width)
+    inner = parts.where(~touch).select("chrom", "start", "end")
+    return inner.unionByName(islands(parts.where(touch), ["chrom"]).select("chrom", "start", "end"))
+
+
+def merge(intervals: DataFrame, width: int = BUCKET) -> DataFrame:
+    """Unions of overlapping and adjacent intervals."""
+    return united(islands(cut(intervals, width), ["chrom", "bucket"]), width)
+
+
+def intersect(*tables: DataFrame, width: int = BUCKET) -> DataFrame:
+    """What all tables cover: in each bucket a sweep over starts and ends of their merged parts."""
     steps = None
     for t in tables:
-        m = merge(t)
-        edges = m.select("chrom", F.col("start").alias("pos"), F.lit(1).alias("step")).unionByName(
-            m.select("chrom", F.col("end").alias("pos"), F.lit(-1).alias("step"))
+        m = islands(cut(t, width), ["chrom", "bucket"])
+        edges = m.select("chrom", "bucket", F.col("start").alias("pos"), F.lit(1).alias("step")).unionByName(
+            m.select("chrom", "bucket", F.col("end").alias("pos"), F.lit(-1).alias("step"))
         )
         steps = edges if steps is None else steps.unionByName(edges)
-    order = Window.partitionBy("chrom").orderBy("pos")
+    order = Window.partitionBy("chrom", "bucket").orderBy("pos")
     depth = (
-        steps.groupBy("chrom", "pos")
+        steps.groupBy("chrom", "bucket", "pos")
         .agg(F.sum("step").alias("step"))
         .withColumn("depth", F.sum("step").over(order))
         .withColumn("end", F.lead("pos").over(order))
     )
-    return merge(depth.where(F.col("depth") == len(tables)).select("chrom", F.col("pos").alias("start"), "end"))
+    both = depth.where(F.col("depth") == len(tables)).select("chrom", "bucket", F.col("pos").alias("start"), "end")
+    return united(islands(both, ["chrom", "bucket"]), width)
 
 
-def runs(positions: DataFrame) -> DataFrame:
+def runs(positions: DataFrame, width: int = BUCKET) -> DataFrame:
     """Maximal runs of consecutive positions."""
-    order = Window.partitionBy("chrom").orderBy("pos")
-    return (
+    order = Window.partitionBy("chrom", "bucket").orderBy("pos")
+    parts = (
         positions.select("chrom", "pos")
         .distinct()
+        .withColumn("bucket", F.floor(F.col("pos") / width))
         .withColumn("island", F.col("pos") - F.row_number().over(order))
-        .groupBy("chrom", "island")
+        .groupBy("chrom", "bucket", "island")
         .agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
         .drop("island")
     )
+    return united(parts, width)
 
 
 def clip(intervals: DataFrame, low, high) -> DataFrame:

@@ -6,11 +6,13 @@ The result has a row for every group (as far as it has left sites) and bin.
 
 Three plans give the same numbers:
 
+``halo``   the default: buckets of the position with right sites copied to the buckets that reach
+           them, and running sums in NumPy within a bucket. Sites are shuffled once whatever the
+           numbers of edges and of values, and left sites are gone through in slices, so a task
+           holds its bucket's sites and little more. One chromosome is many tasks.
 ``ranks``  native: how many sites lie below ``at_i + edge`` comes from running sums in buckets of
-           the position plus the totals of the buckets before; pairs are never made. A bucket is
-           a task's unit, so one chromosome is many tasks.
-``halo``   the same in NumPy per bucket, with right sites copied to the buckets that reach them:
-           fewer rows than ``ranks`` when there are many edges.
+           the position plus the totals of the buckets before; pairs are never made, but every
+           left site is a row for each edge, and for each value.
 ``join``   a band self-join; its work is the number of pairs. For small groups, and as a check.
 """
 
@@ -33,10 +35,14 @@ def bins_table(df: DataFrame, edges: Sequence[float]) -> Column:
 
 
 def prepared(
-    sites: DataFrame, by: list[str], at: str, order: str, value: str | None, left: str | None, left_by: list[str]
+    sites: DataFrame, by: list[str], at: str, order: str, value: str | Sequence[str] | None, left: str | None, left_by: list[str]
 ) -> DataFrame:
-    """``by, left_by, at, order, v, l``: what the plans read; sites of value 0 add nothing."""
-    v = F.col(value) if value else F.lit(1).cast("long")
+    """``by, left_by, at, order, v, l``: what the plans read; sites of value 0 add nothing.
+
+    Of several values ``v`` is an array.
+    """
+    several = value is not None and not isinstance(value, str)
+    v = F.array(*value) if several else F.col(value) if value else F.lit(1).cast("long")
     rows = sites.select(
         *by,
         *left_by,
@@ -45,6 +51,8 @@ def prepared(
         v.alias("v"),
         (F.coalesce(F.col(left), F.lit(False)) if left else F.lit(True)).alias("l"),
     )
+    if several:
+        return rows.where(F.exists("v", lambda x: x != 0))
     return rows.where(F.col("v") != 0) if value else rows
 
 
@@ -54,24 +62,30 @@ def pair_sums(
     by: list[str],
     at: str,
     order: str = "pos",
-    value: str | None = None,
+    value: str | Sequence[str] | None = None,
     left: str | None = None,
     left_by: Sequence[str] = (),
-    method: str = "ranks",
+    method: str = "halo",
     buckets: float | None = None,
 ) -> DataFrame:
     """``by, left_by, bin_id, total``: the sum of v_i * v_j over pairs in each bin.
 
-    ``value`` is a column of numbers (1 if not given: pairs are counted); ``left`` a boolean
+    ``value`` is a column of numbers (1 if not given: pairs are counted), or several columns of
+    one type, whose sums get a row each with their number as ``stat_ord``; ``left`` a boolean
     column of sites that may come first; ``left_by`` columns of the first site that also
-    group; ``order`` must agree with ``at`` and break its ties. ``buckets`` is the width of a
-    bucket, by default the largest edge (at least).
+    group; ``order`` breaks the ties of ``at``. ``buckets`` is the width of a bucket, by default
+    the largest edge (at least).
     """
     left_by = list(left_by)
     edges = [type(e)(e) for e in edges]
     rows = prepared(sites, by, at, order, value, left, left_by)
     width = float(buckets or max(edges[-1], 1e-9))
-    plan = {"ranks": by_ranks, "halo": by_halo, "join": by_join}[method]
+    if method == "halo":
+        return by_halo(rows, edges, by, left_by, width)
+    if value is not None and not isinstance(value, str):
+        by = [*by, "stat_ord"]
+        rows = rows.select("*", F.posexplode("v").alias("stat_ord", "one")).where("one != 0").drop("v").withColumnRenamed("one", "v")
+    plan = {"ranks": by_ranks, "join": by_join}[method]
     sums = plan(rows, edges, by, left_by, width)
     # Bins without pairs are there too.
     kind = sums.schema["total"].dataType
@@ -87,7 +101,8 @@ def pair_sums(
 
 def by_join(rows: DataFrame, edges: list, by: list[str], left_by: list[str], width: float) -> DataFrame:
     a, b = rows.where("l").alias("a"), rows.drop(*left_by).alias("b")
-    on = (F.col("b.order") > F.col("a.order")) & (F.col("b.at") < F.col("a.at") + F.lit(edges[-1]))
+    later = (F.col("b.at") > F.col("a.at")) | ((F.col("b.at") == F.col("a.at")) & (F.col("b.order") > F.col("a.order")))
+    on = later & (F.col("b.at") < F.col("a.at") + F.lit(edges[-1]))
     for c in by:
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     paired = a.join(b, on).select(
@@ -165,45 +180,65 @@ def by_ranks(rows: DataFrame, edges: list, by: list[str], left_by: list[str], wi
     )
 
 
+#: Left sites that a task goes through at a time.
+SLICE = 1 << 16
+
+
+def groups_of(columns: list[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row's combination of values, and a row that has each of them."""
+    codes = np.zeros(rows, np.int64)
+    for c in columns:
+        values, own = np.unique(c, return_inverse=True)
+        codes = codes * len(values) + own
+    _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
+    return codes, first
+
+
+def binned_sums(at: np.ndarray, v: np.ndarray, first: np.ndarray, codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums by group, bin and value for sites in order; ``first`` are the left ones, of groups ``codes``."""
+    order = np.argsort(codes, kind="stable")
+    first, codes = first[order], codes[order]
+    sums = np.zeros((len(at) + 1, v.shape[1]), v.dtype)
+    np.cumsum(v, axis=0, out=sums[1:])
+    out = np.zeros((int(codes.max(initial=-1)) + 1, len(edges) - 1, v.shape[1]), v.dtype)
+    for start in range(0, len(first), SLICE):
+        left, own = first[start : start + SLICE], codes[start : start + SLICE]
+        runs = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        reached = [np.maximum(np.searchsorted(at, at[left] + e), left + 1) for e in edges]
+        for k, (low, high) in enumerate(zip(reached, reached[1:], strict=False)):
+            out[own[runs], k] += np.add.reduceat((sums[high] - sums[low]) * v[left], runs, axis=0)
+    return out
+
+
 def by_halo(rows: DataFrame, edges: list, by: list[str], left_by: list[str], width: float) -> DataFrame:
     reach = float(edges[-1]) * (1 + 1e-9)
     first = F.floor((F.col("at") - F.lit(max(reach, 0.0))) / width).cast("long")
     last = F.floor(F.col("at") / width).cast("long")
     copied = rows.withColumn("home", last).withColumn("bucket", F.explode(F.sequence(first, last)))
-    whole = rows.schema["v"].dataType.typeName() == "long"
-    steps = np.array(edges, float)
+    kind = rows.schema["v"].dataType
+    several = kind.typeName() == "array"
+    whole = (kind.elementType if several else kind).typeName() in ("long", "integer", "short", "byte")
+    steps, number = np.array(edges, float), np.int64 if whole else np.float64
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("at", "ascending"), ("order", "ascending")])
-        at = table["at"].to_numpy().astype(float)
-        v = table["v"].to_numpy()
-        first = np.flatnonzero(table["l"].to_numpy() & (table["home"].to_numpy() == table["bucket"].to_numpy()))
-        sums = np.concatenate(([0], np.cumsum(v)))
-        stop = np.searchsorted(at, at[first, None] + steps[None, :])
-        reached = np.maximum(stop, first[:, None] + 1)
-        part = np.diff(sums[reached] - sums[first + 1][:, None], axis=1) * v[first, None]
-        kept = table.take(pa.array(first)).select([*by, *left_by])
-        n = len(edges) - 1
-        index = pa.array(np.repeat(np.arange(len(first)), n))
-        out = kept.take(index)
-        out = out.append_column("bin_id", pa.array(np.tile(np.arange(n, dtype=np.int32), len(first))))
-        out = out.append_column("total", pa.array(part.reshape(-1)))
-        if left_by:
-            return out
-        # One row a bin leaves the task where the left sites needn't be told apart.
-        sums_by_bin = part.sum(axis=0)
-        head = kept.slice(0, min(1, len(first))).take(pa.array([0] * (n if len(first) else 0), pa.int64()))
-        head = head.append_column("bin_id", pa.array(np.arange(len(head), dtype=np.int32)))
-        return head.append_column("total", pa.array(sums_by_bin[: len(head)]))
-
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, *left_by])
-    schema = f"{fields}, bin_id int, total {'long' if whole else 'double'}"
-    return (
-        copied.groupBy(*by, "bucket")
-        .applyInArrow(one, schema)
-        .groupBy(*by, *left_by, "bin_id")
-        .agg(F.sum("total").alias("total"))
-    )
+        table = table.sort_by([("at", "ascending"), ("order", "ascending")]).combine_chunks()
+        v = table["v"].combine_chunks()
+        v = (v.flatten() if several else v).to_numpy(zero_copy_only=False).astype(number).reshape(len(table), -1)
+        left = np.flatnonzero(table["l"].to_numpy() & (table["home"].to_numpy() == table["bucket"].to_numpy()))
+        kept = table.take(pa.array(left)).select([*by, *left_by])
+        codes, heads = groups_of([kept[c].to_numpy() for c in left_by], len(left)) if len(left) else (left, left)
+        sums = binned_sums(table["at"].to_numpy().astype(float), v, left, codes, steps)
+        groups, bins, stats = sums.shape
+        out = kept.take(pa.array(np.repeat(heads, bins * stats)))
+        if several:
+            out = out.append_column("stat_ord", pa.array(np.tile(np.arange(stats, dtype=np.int32), groups * bins)))
+        out = out.append_column("bin_id", pa.array(np.tile(np.repeat(np.arange(bins, dtype=np.int32), stats), groups)))
+        return out.append_column("total", pa.array(sums.reshape(-1)))
+
+    keys = [*by, *left_by, *(["stat_ord"] if several else [])]
+    fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in [*by, *left_by])
+    schema = f"{fields}{'stat_ord int, ' if several else ''}bin_id int, total {'long' if whole else 'double'}"
+    return copied.groupBy(*by, "bucket").applyInArrow(one, schema).groupBy(*keys, "bin_id").agg(F.sum("total").alias("total"))
 
 
 def mean_product(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -58,6 +58,19 @@ def quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(q.alias("q")).select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
 
 
+def h2_and_h_squared(means: DataFrame) -> DataFrame:
+    """``row, stat_ord, mean, h_squared, ratio``: H2 of each bin beside the square of H, to which it falls."""
+    h = means.where("row = -1").select("stat_ord", (F.col("mean") * F.col("mean")).alias("h_squared"))
+    return means.where("row >= 0").join(h, "stat_ord").select(
+        "row", "stat_ord", "mean", "h_squared", F.try_divide("mean", "h_squared").alias("ratio")
+    )
+
+
+def pair_counts(stats: DataFrame) -> DataFrame:
+    """``row, pairs``: denominators of the bins summed over regions (they are the same for all statistics)."""
+    return stats.where("row >= 0 and stat_ord = 0").groupBy("row").agg(F.sum("denom").alias("pairs"))
+
+
 def cross_product(stats: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
     """H of two arms multiplied: the expectation of H2 between arms that segregate freely."""
     side = F.col("arm")

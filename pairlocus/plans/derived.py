@@ -1,8 +1,10 @@
 """Variant data derived from the driver's synthetic tables, by integer arithmetic only."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import intervals
+
 SAMPLES = 4
 BP_EDGES = [0, 10, 32, 100, 316, 1000, 3162]
 CM_EDGES = [0.0, 0.001, 0.0032, 0.01, 0.032, 0.1, 0.32]
@@ -15,8 +17,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def sites(spark: SparkSession, d: str) -> DataFrame:
-    """``chrom, pos, gt``: positions unique and ascending with the order's key."""
+def sites(spark: SparkSession, d: str, *others: str) -> DataFrame:
+    """``chrom, pos, gt, u`` and other columns of orders: positions unique and ascending with the order's key."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     alleles = [
         F.struct(
@@ -25,7 +27,7 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
         for s in range(SAMPLES)
     ]
     return table(spark, d, "orders").select(
-        (c % 4).alias("chrom"), (k * 10 + c % 10).alias("pos"), F.array(*alleles).alias("gt"), (1 + k % 7).alias("u")
+        (c % 4).alias("chrom"), (k * 10 + c % 10).alias("pos"), F.array(*alleles).alias("gt"), (1 + k % 7).alias("u"), *others
     )
 
 
@@ -33,6 +35,11 @@ def last_position(spark: SparkSession, d: str) -> DataFrame:
     return sites(spark, d).groupBy("chrom").agg((F.max("pos") + 1).alias("end"))
 
 
+def middles(spark: SparkSession, d: str) -> DataFrame:
+    """``of, middle``: half of each chromosome's length."""
+    return last_position(spark, d).select(F.col("chrom").alias("of"), F.floor(F.col("end") / 2).alias("middle"))
+
+
 def rec_map(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     return last_position(spark, d).select(
@@ -69,6 +76,38 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def region_name(number: Column) -> Column:
+    return F.concat_ws("_", F.col("chrom").cast("string"), number.cast("string"))
+
+
 def regions(spark: SparkSession, d: str) -> DataFrame:
     """Sites with the region that holds them as first of a pair."""
-    return sites(spark, d).withColumn("region", F.concat_ws("_", F.col("chrom").cast("string"), F.floor(F.col("pos") / REGION).cast("string")))
+    return sites(spark, d).withColumn("region", region_name(F.floor(F.col("pos") / REGION)))
+
+
+def tiles(spark: SparkSession, d: str) -> DataFrame:
+    """``chrom, region``: all regions, and one that lies behind the last site of each chromosome."""
+    return last_position(spark, d).select(
+        "chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / REGION) + 1)).alias("k")
+    ).select("chrom", region_name(F.col("k")).alias("region"))
+
+
+def arms(spark: SparkSession, d: str) -> DataFrame:
+    """``chrom, start, l_end, r_end`` of tiles of two arms, the last of which begins where the sites end."""
+    whole = last_position(spark, d).select("chrom", F.floor(F.col("end") / 2).alias("centromere"), (F.col("end") + REGION).alias("end"))
+    return intervals.arm_segments(whole, REGION)
+
+
+def variant_lines(spark: SparkSession, d: str) -> DataFrame:
+    """``value``: lines of a variant file of the sites, two samples with a quality that some lack."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    between = F.when(c % 2 == 0, "/").otherwise("|")
+    gts = [F.concat(F.col("gt")[s]["a0"].cast("string"), between, F.col("gt")[s]["a1"].cast("string")) for s in range(2)]
+    first = F.concat(gts[0], F.lit(":"), F.when(k % 5 == 0, ".").otherwise((k % 60).cast("string")))
+    fields = [
+        F.concat(F.lit("chr"), F.col("chrom").cast("string")), (F.col("pos") + 1).cast("string"), F.lit("."), F.lit("A"),
+        F.when(F.col("o_orderstatus") == "P", "C,G").otherwise("C"), F.lit("."), F.lit("PASS"), F.lit("DP=3"), F.lit("GT:GQ"),
+        first, F.concat(gts[1], F.lit(":7")),
+    ]
+    rows = sites(spark, d, "o_orderkey", "o_custkey", "o_orderstatus")
+    return rows.select(F.concat_ws("\t", *fields).alias("value"))

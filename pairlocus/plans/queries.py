@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import genetics as g
 from ..operators import bootstrap as boot
 from ..operators import hstats, intervals, likelihood, maps, pairs, quadrature, views
-from ..scratch import written
+from ..scratch import scratch, written
+from ..sources import bed, vcf
 from . import derived as t
 
 QUERIES: dict = {}
@@ -69,7 +70,7 @@ def long(df: DataFrame, *columns: str) -> DataFrame:
 
 def pair_sql(value: str = "1", where: str = "true", edges: str = BP, by: str = "l.chrom AS chrom", group: str = "l.chrom") -> str:
     """Pairs by bins, with bins that have none."""
-    return f"""WITH {SITES}, {edges}, groups AS (SELECT DISTINCT {by} FROM sites AS l WHERE {where}),
+    return f"""WITH {SITES}, {ENDS}, {edges}, groups AS (SELECT DISTINCT {by} FROM sites AS l WHERE {where}),
         found AS (SELECT {by}, bin_id, sum({value}) AS total FROM sites AS l JOIN sites AS r ON l.chrom = r.chrom AND r.pos > l.pos AND r.pos < l.pos + 3162
                   JOIN bins ON r.pos >= l.pos + bins.lo AND r.pos < l.pos + bins.hi WHERE {where} GROUP BY {group}, bin_id)"""
 
@@ -86,8 +87,17 @@ def pair_counts_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(PLAIN)
-def pair_counts_halo(spark: SparkSession, d: str) -> DataFrame:
-    return long(pairs.pair_sums(t.sites(spark, d), t.BP_EDGES, ["chrom"], "pos", method="halo"), "bin_id")
+def pair_counts_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return long(pairs.pair_sums(t.sites(spark, d), t.BP_EDGES, ["chrom"], "pos", method="ranks"), "bin_id")
+
+
+#: As many edges as a usual file of bins has.
+MANY_EDGES = [0, *[round(10 ** (1 + 2.5 * k / 20)) for k in range(20)]]
+
+
+@query(PLAIN.replace(BP, bins(MANY_EDGES)).replace("l.pos + 3162", f"l.pos + {MANY_EDGES[-1]}"))
+def pair_counts_21_edges(spark: SparkSession, d: str) -> DataFrame:
+    return long(pairs.pair_sums(t.sites(spark, d), MANY_EDGES, ["chrom"], "pos"), "bin_id")
 
 
 @query(PLAIN)
@@ -107,17 +117,18 @@ def prod_sums_orders(spark: SparkSession, d: str) -> DataFrame:
 @query(VALUES.replace("CAST(coalesce(f.total, 0) AS BIGINT) AS total", "round(coalesce(f.total, 0) * 1e-6, 9) AS total"))
 def mut_prod_sums(spark: SparkSession, d: str) -> DataFrame:
     rates = t.sites(spark, d).withColumn("rate", F.col("u") * 1e-3)
-    sums = pairs.pair_sums(rates, t.BP_EDGES, ["chrom"], "pos", value="rate", method="halo")
+    sums = pairs.pair_sums(rates, t.BP_EDGES, ["chrom"], "pos", value="rate")
     return long(sums, "bin_id").withColumn("total", F.round("total", 9))
 
 
 @query(
-    pair_sql(where="l.pos < 40000")
+    pair_sql(where="l.pos < (SELECT stop // 2 FROM ends WHERE ends.chrom = l.chrom)")
     + """ SELECT g.chrom, CAST(b.bin_id AS BIGINT) AS bin_id, CAST(coalesce(f.total, 0) AS BIGINT) AS total
     FROM groups AS g CROSS JOIN bins AS b LEFT JOIN found AS f ON f.chrom = g.chrom AND f.bin_id = b.bin_id"""
 )
 def pair_counts_left_limited(spark: SparkSession, d: str) -> DataFrame:
-    sites = t.sites(spark, d).withColumn("first", F.col("pos") < 40000)
+    middles = F.broadcast(t.middles(spark, d))  # a row a chromosome
+    sites = t.sites(spark, d).join(middles, F.col("chrom") == F.col("of")).withColumn("first", F.col("pos") < F.col("middle"))
     return long(pairs.pair_sums(sites, t.BP_EDGES, ["chrom"], "pos", left="first"), "bin_id")
 
 
@@ -129,8 +140,7 @@ def pair_counts_left_limited(spark: SparkSession, d: str) -> DataFrame:
     SELECT CAST(b.bin_id AS BIGINT) AS bin_id, CAST(coalesce(total, 0) AS BIGINT) AS total FROM bins AS b LEFT JOIN found AS f ON f.bin_id = b.bin_id"""
 )
 def pair_counts_events_by_user(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.events(spark, d).withColumn("order", F.struct("at", "event_id"))
-    sums = pairs.pair_sums(rows, t.SECOND_EDGES, ["user_id"], "at", order="order", buckets=1e7)
+    sums = pairs.pair_sums(t.events(spark, d), t.SECOND_EDGES, ["user_id"], "at", order="event_id", buckets=1e7)
     return long(sums.groupBy("bin_id").agg(F.sum("total").alias("total")), "bin_id")
 
 
@@ -198,13 +208,13 @@ def h2_sql(where: str) -> str:
               JOIN kept AS r ON l.chrom = r.chrom AND l.stat_ord = r.stat_ord AND r.pos > l.pos AND r.pos < l.pos + 3162
               JOIN bins ON r.pos >= l.pos + bins.lo AND r.pos < l.pos + bins.hi GROUP BY l.chrom, l.stat_ord, bin_id)
     SELECT k.chrom, CAST(k.stat_ord AS BIGINT) AS stat_ord, CAST(b.bin_id AS BIGINT) AS bin_id, CAST(coalesce(f.total, 0) AS DOUBLE) / 16 AS num
-    FROM (SELECT DISTINCT chrom, stat_ord FROM kept) AS k CROSS JOIN bins AS b
+    FROM (SELECT DISTINCT chrom, stat_ord FROM d WHERE {where}) AS k CROSS JOIN bins AS b
     LEFT JOIN found AS f ON f.chrom = k.chrom AND f.stat_ord = k.stat_ord AND f.bin_id = b.bin_id"""
 
 
 @query(h2_sql("true"))
 def h2_triangle(spark: SparkSession, d: str) -> DataFrame:
-    return long(hstats.two_locus(t.sites(spark, d), t.SAMPLES, t.BP_EDGES, ["chrom"], method="halo"), "stat_ord", "bin_id")
+    return long(hstats.two_locus(t.sites(spark, d), t.SAMPLES, t.BP_EDGES, ["chrom"]), "stat_ord", "bin_id")
 
 
 @query(h2_sql(listed(ONE)))
@@ -267,14 +277,14 @@ def ratio_sql(denom: str, mean: str) -> str:
     denoms AS (SELECT l.chrom AS chrom, bin_id, sum({denom}) AS denom FROM sites AS l JOIN sites AS r ON l.chrom = r.chrom AND r.pos > l.pos AND r.pos < l.pos + 3162
              JOIN bins ON r.pos >= l.pos + bins.lo AND r.pos < l.pos + bins.hi GROUP BY l.chrom, bin_id)
     SELECT k.chrom, CAST(k.stat_ord AS BIGINT) AS stat_ord, CAST(b.bin_id AS BIGINT) AS bin_id, round(coalesce(num, 0) / nullif({mean}, 0), 9) AS mean
-    FROM (SELECT DISTINCT chrom, stat_ord FROM d WHERE d4 > 0) AS k CROSS JOIN bins AS b JOIN e ON e.chrom = k.chrom
+    FROM (SELECT DISTINCT chrom, stat_ord FROM d) AS k CROSS JOIN bins AS b JOIN e ON e.chrom = k.chrom
     LEFT JOIN nums ON nums.chrom = k.chrom AND nums.stat_ord = k.stat_ord AND nums.bin_id = b.bin_id
     LEFT JOIN denoms ON denoms.chrom = k.chrom AND denoms.bin_id = b.bin_id"""
 
 
 def h2_means(spark: SparkSession, d: str, rate: str | None, factor: bool) -> DataFrame:
     sites = t.sites(spark, d)
-    nums = hstats.two_locus(sites, t.SAMPLES, t.BP_EDGES, ["chrom"], method="halo")
+    nums = hstats.two_locus(sites, t.SAMPLES, t.BP_EDGES, ["chrom"])
     denoms = hstats.pair_denominators(sites, t.BP_EDGES, ["chrom"], rate=rate)
     if factor:
         m = sites.groupBy("chrom").agg((F.avg("u") * F.avg("u")).alias("m2"))
@@ -295,22 +305,32 @@ def ratio_means_mut_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 # Regions and bootstrap
 
-REGIONS = f"""regional AS (SELECT chrom || '_' || (pos // {t.REGION}) AS region, CAST(-1 AS BIGINT) AS row, stat_ord, sum(d4) / 4.0 AS num, CAST(count(*) AS DOUBLE) AS denom
-    FROM d GROUP BY chrom, pos // {t.REGION}, stat_ord
-    UNION ALL
-    SELECT k.region, b.bin_id, k.stat_ord, coalesce(n.num, 0), CAST(coalesce(m.denom, 0) AS DOUBLE) FROM
-      (SELECT DISTINCT chrom || '_' || (pos // {t.REGION}) AS region, stat_ord FROM d WHERE d4 > 0) AS k CROSS JOIN bins AS b
-      LEFT JOIN (SELECT l.chrom || '_' || (l.pos // {t.REGION}) AS region, l.stat_ord AS stat_ord, bin_id, sum(l.d4 * r.d4) / 16.0 AS num FROM d AS l
-        JOIN d AS r ON l.chrom = r.chrom AND l.stat_ord = r.stat_ord AND r.pos > l.pos AND r.pos < l.pos + 3162
-        JOIN bins ON r.pos >= l.pos + bins.lo AND r.pos < l.pos + bins.hi WHERE l.d4 > 0 AND r.d4 > 0 GROUP BY l.chrom, l.pos // {t.REGION}, l.stat_ord, bin_id) AS n
-        ON n.region = k.region AND n.stat_ord = k.stat_ord AND n.bin_id = b.bin_id
-      LEFT JOIN (SELECT l.chrom || '_' || (l.pos // {t.REGION}) AS region, bin_id, sum(l.u * r.u) AS denom FROM sites AS l
-        JOIN sites AS r ON l.chrom = r.chrom AND r.pos > l.pos AND r.pos < l.pos + 3162
-        JOIN bins ON r.pos >= l.pos + bins.lo AND r.pos < l.pos + bins.hi GROUP BY l.chrom, l.pos // {t.REGION}, bin_id) AS m
-        ON m.region = k.region AND m.bin_id = b.bin_id)"""
+TILES = series("tiles", t.REGION, "chrom || '_' || k AS region", 1)
+EVERY = f"stats(stat_ord) AS (VALUES {', '.join(f'({n})' for n, _, _ in TRIANGLE)})"
+
+
+def regional_sql(of: str, same: str = "true") -> str:
+    """Sums and denominators of every tile, statistic and row, whether or not it has a pair.
+
+    ``of`` names the tile of a site; ``same`` is what else two sites of a pair must share.
+    """
+    on = f"l.chrom = r.chrom AND {same} AND r.pos > l.pos AND r.pos < l.pos + 3162"
+    in_bin = "r.pos >= l.pos + bins.lo AND r.pos < l.pos + bins.hi"
+    return f"""h AS (SELECT {of.format("l")} AS region, stat_ord, CAST(-1 AS BIGINT) AS row, sum(d4) / 4.0 AS num FROM d AS l GROUP BY 1, 2),
+    h2 AS (SELECT {of.format("l")} AS region, l.stat_ord AS stat_ord, bin_id AS row, sum(l.d4 * r.d4) / 16.0 AS num FROM d AS l JOIN d AS r ON {on} AND l.stat_ord = r.stat_ord
+           JOIN bins ON {in_bin} WHERE l.d4 > 0 AND r.d4 > 0 GROUP BY 1, 2, 3),
+    n1 AS (SELECT {of.format("l")} AS region, CAST(-1 AS BIGINT) AS row, count(*) AS denom FROM sites AS l GROUP BY 1),
+    n2 AS (SELECT {of.format("l")} AS region, bin_id AS row, sum(l.u * r.u) AS denom FROM sites AS l JOIN sites AS r ON {on} JOIN bins ON {in_bin} GROUP BY 1, 2),
+    nums AS (SELECT region, stat_ord, row, num FROM h UNION ALL SELECT region, stat_ord, row, num FROM h2), denoms AS (SELECT region, row, denom FROM n1 UNION ALL SELECT region, row, denom FROM n2),
+    regional AS (SELECT tiles.region, b.row, s.stat_ord, coalesce(num, 0) AS num, CAST(coalesce(denom, 0) AS DOUBLE) AS denom
+      FROM tiles CROSS JOIN stats AS s CROSS JOIN (SELECT CAST(-1 AS BIGINT) AS row UNION ALL SELECT bin_id FROM bins) AS b
+      LEFT JOIN nums ON nums.region = tiles.region AND nums.stat_ord = s.stat_ord AND nums.row = b.row LEFT JOIN denoms ON denoms.region = tiles.region AND denoms.row = b.row)"""
+
+
+REGIONS = regional_sql("{0}.chrom || '_' || ({0}.pos // " + str(t.REGION) + ")")
 RATES = f"rates AS (SELECT chrom || '_' || (pos // {t.REGION}) AS region, count(*) AS num_sites, avg(u) AS mean_mut FROM sites GROUP BY chrom, pos // {t.REGION})"
 FACTOR = "factor AS (SELECT (sum(num_sites * mean_mut) / sum(num_sites)) * (sum(num_sites * mean_mut) / sum(num_sites)) AS f FROM rates)"
-BASE = f"WITH {SITES}, {LONG}, {BP}, {REGIONS}, {RATES}, {FACTOR}"
+BASE = f"WITH {SITES}, {ENDS}, {TILES}, {EVERY}, {LONG}, {BP}, {REGIONS}, {RATES}, {FACTOR}"
 REPS, DRAWS, SEED = 12, 9, 5
 #: The draws that SQL can repeat.
 GENERATOR = "progression"
@@ -318,13 +338,17 @@ GENERATOR = "progression"
 
 def region_table(spark: SparkSession, d: str) -> DataFrame:
     sites = t.regions(spark, d)
-    rows = hstats.region_statistics(sites, sites, t.SAMPLES, t.BP_EDGES, rate="u")
+    rows = hstats.region_statistics(sites, sites, t.SAMPLES, t.BP_EDGES, rate="u", regions=t.tiles(spark, d))
     # Resampling reads the regions' rows more than once.
-    return written(rows.select("region", F.col("bin_id").cast("long").alias("row"), F.col("stat_ord").cast("long").alias("stat_ord"), F.col("num").cast("double").alias("num"), F.coalesce("denom", F.lit(0.0)).alias("denom")), "regions")
+    return written(region_rows(rows), "regions")
+
+
+def region_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("region", F.col("bin_id").cast("long").alias("row"), F.col("stat_ord").cast("long").alias("stat_ord"), "num", "denom")
 
 
 def region_rates(spark: SparkSession, d: str) -> DataFrame:
-    return t.regions(spark, d).groupBy("region").agg(F.count("*").alias("num_sites"), F.avg("u").alias("mean_mut"))
+    return hstats.region_rates(t.regions(spark, d), "u", t.tiles(spark, d))
 
 
 @query(BASE + " SELECT region, row, CAST(stat_ord AS BIGINT) AS stat_ord, round(num, 6) AS num, round(denom, 6) AS denom FROM regional")
@@ -332,6 +356,29 @@ def compute_h2(spark: SparkSession, d: str) -> DataFrame:
     return region_table(spark, d).withColumns({c: F.round(c, 6) for c in ("num", "denom")})
 
 
+ARMS = f"""arm AS (SELECT chrom, 0 AS low, stop // 2 AS high FROM ends UNION ALL SELECT chrom, stop // 2, stop + {t.REGION} FROM ends),
+    tiles AS (SELECT arm.chrom || '_' || (low + k * {t.REGION}) AS region FROM arm, (SELECT unnest(generate_series(0, (SELECT max(stop) FROM ends) // {t.REGION} + 1)) AS k) AS ks
+              WHERE low + k * {t.REGION} < high)"""
+IN_ARM = regional_sql(
+    "{0}.chrom || '_' || (CASE WHEN {0}.pos < {0}.mid THEN {0}.pos // " + f"{t.REGION} * {t.REGION} " + "ELSE {0}.mid + ({0}.pos - {0}.mid) // " + f"{t.REGION} * {t.REGION}" + " END)",
+    "(l.pos < l.mid) = (r.pos < r.mid)",
+)
+
+
+@query(
+    f"""WITH s0 AS (SELECT o_custkey % 4 AS chrom, max(o_orderkey * 10 + o_custkey % 10) + 1 AS stop FROM orders GROUP BY 1), ends AS (SELECT * FROM s0),
+    {SITES.replace("sites AS (", "plain AS (")}, sites AS (SELECT plain.*, stop // 2 AS mid FROM plain JOIN ends ON ends.chrom = plain.chrom),
+    {ARMS}, {EVERY}, {LONG.replace("SELECT chrom, pos, u,", "SELECT chrom, pos, u, mid,")}, {BP}, {IN_ARM}
+    SELECT region, row, CAST(stat_ord AS BIGINT) AS stat_ord, round(num, 6) AS num, round(denom, 6) AS denom FROM regional"""
+)
+def compute_h2_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of two arms: no pair reaches over the centromere, and tiles without sites have rows too."""
+    windows = t.arms(spark, d).withColumn("region", t.region_name(F.col("start")))
+    tiled = intervals.locate(t.sites(spark, d), windows.select("chrom", "start", F.col("l_end").alias("end"), "r_end", "region"))
+    rows = hstats.region_statistics(tiled, tiled, t.SAMPLES, t.BP_EDGES, rate="u", by=["chrom", "r_end"], regions=windows)
+    return region_rows(rows).withColumns({c: F.round(c, 6) for c in ("num", "denom")})
+
+
 @query(BASE + " SELECT row, CAST(stat_ord AS BIGINT) AS stat_ord, round(sum(num) / nullif(sum(denom), 0), 9) AS mean FROM regional GROUP BY row, stat_ord")
 def region_means(spark: SparkSession, d: str) -> DataFrame:
     return boot.region_means(region_table(spark, d)).withColumn("mean", F.round("mean", 9))
@@ -434,20 +481,26 @@ def interval_intersect(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT 0 AS chrom, l_partkey // 2 AS pos FROM lineitem), q AS (SELECT chrom, pos, pos - row_number() OVER (ORDER BY pos) AS island FROM p)
+    """WITH p AS (SELECT DISTINCT o_custkey % 4 AS chrom, CAST(floor(o_totalprice / 10) AS BIGINT) AS pos FROM orders),
+    q AS (SELECT chrom, pos, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS island FROM p)
     SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end" FROM q GROUP BY chrom, island"""
 )
 def coverage_runs(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.table(spark, d, "lineitem").select(F.lit(0).alias("chrom"), F.floor(F.col("l_partkey") / 2).alias("pos"))
-    return intervals.runs(rows)
+    rows = t.table(spark, d, "orders").select((F.col("o_custkey") % 4).alias("chrom"), F.floor(F.col("o_totalprice") / 10).alias("pos"))
+    return intervals.runs(rows, width=1000)
 
 
 @query(
-    f"""WITH {SITES}, {ENDS}, {MASK}, {merged_sql("m", "mask")}, k AS (SELECT chrom, greatest(lo, 1000) AS lo, least(hi, 9000) AS hi FROM m WHERE lo < 9000 AND hi > 1000)
+    f"""WITH {SITES}, {ENDS}, {MASK}, {merged_sql("m", "mask")},
+    k AS (SELECT m.chrom, greatest(lo, stop // 4) AS lo, least(hi, stop // 2) AS hi FROM m JOIN ends ON ends.chrom = m.chrom WHERE lo < stop // 2 AND hi > stop // 4)
     SELECT chrom, pos FROM (SELECT chrom, lo, hi, unnest(generate_series(lo, hi - 1)) AS pos FROM k) AS x"""
 )
 def positions_in_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.positions(t.mask(spark, d), 1000, 9000)
+    """The second quarter of each chromosome: clipping is the feature."""
+    ends = t.last_position(spark, d).select(F.col("chrom").alias("of"), F.col("end").alias("stop"))
+    merged = intervals.merge(t.mask(spark, d)).join(F.broadcast(ends), F.col("chrom") == F.col("of"))  # a row a chromosome
+    clipped = intervals.clip(merged, F.floor(F.col("stop") / 4), F.floor(F.col("stop") / 2))
+    return intervals.positions(clipped.select("chrom", "start", "end"))
 
 
 @query(
@@ -481,10 +534,10 @@ def mut_map_step(spark: SparkSession, d: str) -> DataFrame:
     return maps.step_lookup(t.sites(spark, d).select("chrom", "pos"), t.step_map(spark, d))
 
 
-@query(f"WITH {SITES} SELECT chrom, pos, u FROM sites WHERE pos % 2 = 0")
+@query(f"WITH {SITES} SELECT chrom, pos, u FROM sites")
 def mut_map_gather(spark: SparkSession, d: str) -> DataFrame:
     sites = t.sites(spark, d)
-    return maps.gather(sites.where("pos % 2 = 0").select("chrom", "pos"), sites.select("chrom", "pos", F.col("u").cast("double").alias("u"))).withColumn("u", F.col("u").cast("long"))
+    return maps.gather(sites.select("chrom", "pos"), sites.select("chrom", "pos", F.col("u").cast("double").alias("u"))).withColumn("u", F.col("u").cast("long"))
 
 
 FRACTION = "(1 + l_partkey % 400) / 1000.0"
@@ -539,7 +592,7 @@ def arm_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SITES}, v AS (SELECT chrom, pos // 5000 AS point, CAST(sum(u) AS DOUBLE) AS value FROM sites WHERE pos < 200000 GROUP BY chrom, pos // 5000)
+    f"""WITH {SITES}, v AS (SELECT chrom, pos // 5000 AS point, CAST(sum(u) AS DOUBLE) AS value FROM sites GROUP BY chrom, pos // 5000)
     SELECT chrom, point AS bin_id, (value + after) / 2 AS value FROM (SELECT chrom, point, value, lead(value) OVER (PARTITION BY chrom ORDER BY point) AS after FROM v) AS x WHERE after IS NOT NULL"""
 )
 def quadrature_trapezoid(spark: SparkSession, d: str) -> DataFrame:
@@ -547,7 +600,7 @@ def quadrature_trapezoid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SITES}, v AS (SELECT chrom, pos // 5000 AS point, CAST(sum(u) AS DOUBLE) AS value FROM sites WHERE pos < 200000 GROUP BY chrom, pos // 5000)
+    f"""WITH {SITES}, v AS (SELECT chrom, pos // 5000 AS point, CAST(sum(u) AS DOUBLE) AS value FROM sites GROUP BY chrom, pos // 5000)
     SELECT chrom, CAST(point // 2 AS BIGINT) AS bin_id, round(value / 6 + a * 2 / 3 + b / 6, 9) AS value FROM (SELECT chrom, point, value, lead(value, 1) OVER (PARTITION BY chrom ORDER BY point) AS a,
       lead(value, 2) OVER (PARTITION BY chrom ORDER BY point) AS b FROM v) AS x WHERE b IS NOT NULL AND point % 2 = 0"""
 )
@@ -557,8 +610,7 @@ def quadrature_simpson(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.sites(spark, d).where("pos < 200000")
-    return rows.groupBy("chrom", F.floor(F.col("pos") / 5000).alias("point")).agg(F.sum("u").cast("double").alias("value"))
+    return t.sites(spark, d).groupBy("chrom", F.floor(F.col("pos") / 5000).alias("point")).agg(F.sum("u").cast("double").alias("value"))
 
 
 @query(
@@ -602,22 +654,119 @@ def ci_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT chrom, CASE WHEN pos < 30000 THEN 'p' ELSE 'q' END AS arm, avg(CAST(u AS DOUBLE)) AS mean FROM (SELECT o_custkey % 4 AS chrom, o_orderkey * 10 + o_custkey % 10 AS pos, 1 + o_orderkey % 7 AS u FROM orders) AS s GROUP BY 1, 2)
+    f"""WITH {SITES}, {ENDS}, h AS (SELECT sites.chrom, CASE WHEN pos < stop // 2 THEN 'p' ELSE 'q' END AS arm, avg(CAST(u AS DOUBLE)) AS mean FROM sites JOIN ends ON ends.chrom = sites.chrom GROUP BY 1, 2)
     SELECT chrom, round(max(CASE WHEN arm = 'p' THEN mean END), 9) AS left_h, round(max(CASE WHEN arm = 'q' THEN mean END), 9) AS right_h,
     round(max(CASE WHEN arm = 'p' THEN mean END) * max(CASE WHEN arm = 'q' THEN mean END), 9) AS "cross" FROM h GROUP BY chrom"""
 )
 def cross_arm(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.sites(spark, d).groupBy("chrom", F.when(F.col("pos") < 30000, "p").otherwise("q").alias("arm")).agg(F.avg("u").alias("mean"))
+    rows = t.sites(spark, d).join(F.broadcast(t.middles(spark, d)), F.col("chrom") == F.col("of"))  # a row a chromosome
+    rows = rows.groupBy("chrom", F.when(F.col("pos") < F.col("middle"), "p").otherwise("q").alias("arm")).agg(F.avg("u").alias("mean"))
     return views.cross_product(rows, ["chrom"], "p", "q").withColumns({c: F.round(c, 9) for c in ("left_h", "right_h", "cross")})
 
 
 @query(
-    f"""WITH {SITES}, l AS (SELECT DISTINCT pop_i, pop_j FROM (VALUES {", ".join(f"({n}, 'P{i}', 'P{j}')" for n, i, j in TRIANGLE)}) AS v(n, pop_i, pop_j))
-    SELECT pop_i, pop_j, CASE WHEN pop_i = pop_j THEN substr(pop_i, 1, 3) ELSE substr(pop_i, 1, 3) || '-' || substr(pop_j, 1, 3) END AS label FROM l"""
+    f"""WITH {SITES}, {LONG}, l(stat_ord, label) AS (VALUES {", ".join(f"({n}, '{f'P{i}' if i == j else f'P{i}-P{j}'}')" for n, i, j in TRIANGLE)})
+    SELECT chrom, label, CAST(sum(d4) AS DOUBLE) / 4 AS num FROM d JOIN l ON l.stat_ord = d.stat_ord GROUP BY chrom, label"""
 )
 def stat_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = hstats.labels(spark, t.POPULATIONS)
-    return rows.select("pop_i", "pop_j", g.stat_label(F.col("pop_i"), F.col("pop_j")).alias("label"))
+    names = F.broadcast(hstats.labels(spark, t.POPULATIONS))  # a row a statistic
+    rows = hstats.one_locus(t.sites(spark, d), t.SAMPLES, ["chrom"]).join(names, "stat_ord")
+    return rows.select("chrom", g.stat_label(F.col("pop_i"), F.col("pop_j")).alias("label"), "num")
+
+
+@query(BASE + """, m AS (SELECT row, stat_ord, sum(num) / nullif(sum(denom), 0) AS mean FROM regional GROUP BY row, stat_ord)
+    SELECT a.row, CAST(a.stat_ord AS BIGINT) AS stat_ord, round(a.mean, 9) AS mean, round(h.mean * h.mean, 9) AS h_squared, round(a.mean / nullif(h.mean * h.mean, 0), 9) AS ratio
+    FROM m AS a JOIN m AS h ON h.stat_ord = a.stat_ord AND h.row = -1 WHERE a.row >= 0""")
+def h2_and_h_squared(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.h2_and_h_squared(boot.region_means(region_table(spark, d)))
+    return rows.withColumns({c: F.round(c, 9) for c in ("mean", "h_squared", "ratio")})
+
+
+@query(BASE + " SELECT row, round(sum(denom), 6) AS pairs FROM regional WHERE row >= 0 AND stat_ord = 0 GROUP BY row")
+def pair_count_table(spark: SparkSession, d: str) -> DataFrame:
+    return views.pair_counts(region_table(spark, d)).withColumn("pairs", F.round("pairs", 6))
+
+
+@query(BASE + """ SELECT region, row, CAST(stat_ord AS BIGINT) AS stat_ord, round(num, 6) AS num, round(denom, 6) AS denom FROM regional""")
+def combined_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The regions of four files side by side, one a chromosome."""
+    rows = region_table(spark, d)
+    files = [rows.where(F.split("region", "_")[0] == str(c)) for c in range(4)]
+    return boot.combine(*files).select("region", "row", "stat_ord", *[F.round(c, 6).alias(c) for c in ("num", "denom")])
+
+
+@query(BASE + """ SELECT region, row, CAST(stat_ord AS BIGINT) AS stat_ord, round(num, 6) AS num, round(denom / 2 + row, 6) AS denom FROM regional""")
+def replaced_denominators(spark: SparkSession, d: str) -> DataFrame:
+    rows = region_table(spark, d)
+    denoms = rows.where("stat_ord = 0").select("region", "row", (F.col("denom") / 2 + F.col("row")).alias("denom"))
+    return boot.replace_denominators(rows, denoms).select("region", "row", "stat_ord", *[F.round(c, 6).alias(c) for c in ("num", "denom")])
+
+
+# Files: written in text form to the shared folder and read again
+
+
+def filed(spark: SparkSession, rows: DataFrame, write, *head: str) -> str:
+    path = scratch(spark, "text")
+    write(rows, path)
+    if head:
+        spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+VARIANTS = f"""v AS (SELECT sites.chrom, pos, o_orderstatus, o_orderkey, a0, b0, a1, b1 FROM orders JOIN sites ON o_orderkey * 10 + o_custkey % 10 = pos AND o_custkey % 4 = sites.chrom)"""
+
+
+def variant_file(spark: SparkSession, d: str) -> str:
+    columns = "#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT A B".split()
+    return filed(spark, t.variant_lines(spark, d), lambda df, path: df.write.text(path), "##fileformat=VCFv4.2", "\t".join(columns))
+
+
+@query(
+    f"""WITH {SITES}, {VARIANTS} SELECT 'chr' || chrom AS chrom, pos, a0, b0, a1, b1, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderkey % 60 AS DOUBLE) END AS gq
+    FROM v WHERE o_orderstatus <> 'P'"""
+)
+def vcf_genotypes(spark: SparkSession, d: str) -> DataFrame:
+    """Genotypes and qualities of two samples from a variant file, sites of two alternatives left out."""
+    rows = vcf.read_genotypes(spark, variant_file(spark, d), samples=["A", "B"])
+    alleles = [F.col("gt")[s][a].cast("long").alias(f"{'ab'[a == 'a1']}{s}") for s in range(2) for a in ("a0", "a1")]
+    return rows.select("chrom", "pos", *alleles, F.col("gq")[0].alias("gq"))
+
+
+@query(
+    f"""WITH {SITES}, {VARIANTS} SELECT 'chr' || chrom AS chrom, pos AS start, pos + 1 AS "end" FROM v"""
+)
+def vcf_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the positions of a variant file; no two sites are next to each other."""
+    return vcf.coverage(spark, variant_file(spark, d))
+
+
+@query(f"WITH {SITES}, {ENDS}, {MASK} SELECT CAST(chrom AS VARCHAR) AS chrom, lo AS start, hi AS \"end\" FROM mask WHERE hi - lo > 500")
+def bed_file(spark: SparkSession, d: str) -> DataFrame:
+    path = filed(spark, t.mask(spark, d), lambda df, path: bed.write_bed(df, path, header=True, compression="gzip"))
+    return bed.read_bed(spark, path, 500)
+
+
+@query(f"WITH {SITES}, {ENDS}, {STEPS} SELECT CAST(chrom AS VARCHAR) AS chrom, lo AS start, hi AS \"end\", CAST(rate AS DOUBLE) AS u FROM steps")
+def bedgraph_file(spark: SparkSession, d: str) -> DataFrame:
+    return bed.read_bedgraph(spark, filed(spark, t.step_map(spark, d), bed.write_bedgraph))
+
+
+@query(
+    f"""WITH {SITES}, {ENDS}, {series("tiles", t.REGION, "k*25000 AS start, stop", 0)}
+    SELECT '7' AS chrom, start, least(start + 25000, stop) AS l_end, stop AS r_end FROM tiles WHERE start < stop"""
+)
+def windows_file(spark: SparkSession, d: str) -> DataFrame:
+    """Windows as text, some numbers with exponents; the chromosome is the caller's."""
+    rows = region_tiling(spark, d).select(F.format_string("%e", F.col("start").cast("double")).alias("start"), "l_end", "r_end")
+    path = filed(spark, rows, lambda df, path: df.write.csv(path, sep=" "))
+    return bed.read_windows(spark, path, "7")
+
+
+@query(
+    f"""WITH {SITES}, n AS (SELECT count(*) AS n FROM sites), tiles AS (SELECT unnest(generate_series(0, (n - 1) // 97)) AS k FROM n) SELECT k * 97 AS start, (k + 1) * 97 AS "end" FROM tiles"""
+)
+def plain_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.plain_tiles(t.sites(spark, d).count(), 97, spark)
 
 
 # Variant tables
@@ -629,8 +778,6 @@ def stat_labels(spark: SparkSession, d: str) -> DataFrame:
     SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.pos, b.pos) AS pos, coalesce(a.g, 0) AS g_a, coalesce(b.g, 0) AS g_b FROM a FULL JOIN b ON a.chrom = b.chrom AND a.pos = b.pos"""
 )
 def variant_merge_outer(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.vcf import merge_variants
-
     rows = t.table(spark, d, "orders").select((F.col("o_custkey") % 4).alias("chrom"), (F.col("o_orderkey") * 10).alias("pos"), F.col("o_orderkey").alias("k"))
 
     def file(every: int, gt: int) -> DataFrame:
@@ -638,82 +785,27 @@ def variant_merge_outer(spark: SparkSession, d: str) -> DataFrame:
         hom = F.struct(F.lit(gt).alias("a0"), F.lit(gt).alias("a1"))
         return kept.select("chrom", "pos", F.lit("A").alias("ref"), F.array(F.lit("C")).alias("alt"), F.array(hom).alias("gt"))
 
-    merged = merge_variants(file(2, 1), file(3, 2))
+    merged = vcf.merge_variants(file(2, 1), file(3, 2))
     return merged.select("chrom", "pos", F.col("gt")[0]["a0"].alias("g_a"), F.col("gt")[1]["a0"].alias("g_b"))
 
 
 @query("SELECT p_partkey, p_brand || CASE WHEN p_partkey % 3 = 0 THEN ',x' ELSE '' END AS alt FROM part WHERE p_partkey % 3 <> 0")
 def biallelic_filter(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.vcf import biallelic
-
     alt = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit(",x"))).otherwise(F.col("p_brand"))
     rows = t.table(spark, d, "part").select("p_partkey", F.split(alt, ",").alias("alt"))
-    return biallelic(rows).select("p_partkey", F.col("alt")[0].alias("alt"))
+    return vcf.biallelic(rows).select("p_partkey", F.col("alt")[0].alias("alt"))
 
 
 @query(
     """SELECT CAST(l_partkey AS BIGINT) AS pos, round(sum(l_discount) * 1.015e-7 / 2 * 1e9, 6) AS u FROM lineitem GROUP BY l_partkey"""
 )
 def mut_vcf_rates(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.vcf import summed_rates
-
     info = F.concat(F.lit("AC=1;MR="), F.col("l_discount").cast("string"), F.lit(";X=2"))
     rows = t.table(spark, d, "lineitem").select(F.lit("1").alias("chrom"), F.col("l_partkey").alias("pos"), info.alias("info"))
-    return summed_rates(rows).select("pos", F.round(F.col("u") * 1e9, 6).alias("u"))
+    return vcf.summed_rates(rows).select("pos", F.round(F.col("u") * 1e9, 6).alias("u"))
 
 
-@query("SELECT DISTINCT o_custkey % 4 AS chrom FROM orders")
+@query("SELECT o_orderkey, 'chr' || o_custkey % 4 AS chrom FROM orders WHERE o_orderstatus <> 'F'")
 def autosomes(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.vcf import autosomal
-
-    name = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("chr"), (F.col("o_custkey") % 4).cast("string"))).otherwise(F.lit("chrX"))
-    rows = t.table(spark, d, "orders").select(name.alias("chrom"))
-    return autosomal(rows).select(F.regexp_replace("chrom", "chr", "").cast("long").alias("chrom")).distinct()
-
-
-# Fits: iterative, so there is no SQL; tests hold them against closed forms
-
-
-def fit_problem(spark: SparkSession, d: str):
-    """Means of an expected curve with known size and rate, as if observed, and their likelihood."""
-    import numpy as np
-
-    from ..models import theory
-
-    edges = g.log_edges(-5, -2, 7)
-    epochs = [(2000.0, 8000.0), (0.0, 16000.0)]
-    observed = theory.expected(epochs, 1.2e-8, edges)
-    weight = 1 / (0.05 * observed) ** 2
-
-    def loss(p):
-        if min(p) <= 0:
-            return 1e10
-        mu = theory.expected([(2000.0, float(p[0])), (0.0, float(p[1]))], 1.2e-8, edges)
-        return float((weight * (observed - mu) ** 2).sum())
-
-    return loss, np.array([8000.0, 16000.0])
-
-
-@query()
-def multi_start_fit(spark: SparkSession, d: str) -> DataFrame:
-    from ..models import fitting
-
-    loss, truth = fit_problem(spark, d)
-    n = t.table(spark, d, "nation").select("n_nationkey").limit(4)  # four replicates are the feature
-    factor = F.col("n_nationkey") % 4
-    starts = n.select(
-        F.col("n_nationkey").cast("long").alias("start"),
-        F.array(F.lit(truth[0]) * (0.6 + 0.2 * factor), F.lit(truth[1]) * (1.4 - 0.2 * factor)).alias("x0"),
-    )
-    fits = fitting.fit_starts(starts, loss, "NelderMead", 300)
-    return fits.select("start", F.round(F.col("x")[0], 0).alias("size_1"), F.round(F.col("x")[1], 0).alias("size_2"), "fopt", "num_iter", "func_calls")
-
-
-@query()
-def hessian_uncert(spark: SparkSession, d: str) -> DataFrame:
-    from ..models import fitting
-
-    loss, truth = fit_problem(spark, d)
-    errors = fitting.uncertainties(spark, truth, lambda p, data: -loss(p) / 2, method="FIM")
-    rows = [(f"size_{n + 1}", float(v), float(e)) for n, (v, e) in enumerate(zip(truth, errors, strict=True))]
-    return views.intervals(spark.createDataFrame(rows, "name string, value double, se double"))
+    name = F.when(F.col("o_orderstatus") == "F", "chrX").otherwise(F.concat(F.lit("chr"), (F.col("o_custkey") % 4).cast("string")))
+    return vcf.autosomal(t.table(spark, d, "orders").select("o_orderkey", name.alias("chrom")))

@@ -12,7 +12,7 @@ def read_bed(spark: SparkSession, path: str, min_length: int | None = None) -> D
     """``chrom, start, end``; header lines, whose second field is no number, are left out."""
     f = F.col("f")
     rows = fields(spark, path).where(F.try_element_at(f, F.lit(2)).rlike(r"^[0-9.eE+]+$")).select(
-        f[0].alias("chrom"), f[1].cast("double").cast("long").alias("start"), f[2].cast("double").cast("long").alias("end")
+        F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("double").cast("long").alias("start"), F.get(f, F.lit(2)).cast("double").cast("long").alias("end")
     )
     return rows if min_length is None else rows.where(F.col("end") - F.col("start") > min_length)
 
@@ -41,6 +41,19 @@ def read_bedgraph(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     )
 
 
+def read_mutation_map(spark: SparkSession, path: str, chrom: str) -> DataFrame:
+    """``chrom, start, end, u`` of a bedGraph, or of a Parquet table ``start, end, u`` or ``pos, u`` of one chromosome.
+
+    A dense array of rates is a table ``pos, u``: positions from 0, without those that lack a rate.
+    """
+    if not path.rstrip("/").endswith(".parquet"):
+        return read_bedgraph(spark, path)
+    df = spark.read.parquet(path)
+    if "pos" in df.columns:
+        df = df.select(F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "u")
+    return df.where(F.col("u").isNotNull() & ~F.isnan("u")).select(F.lit(chrom).alias("chrom"), "start", "end", F.col("u").cast("double").alias("u"))
+
+
 def write_bedgraph(df: DataFrame, path: str, sep: str = ",", compression: str = "none") -> None:
     first = [F.col("chrom").alias("#chrom"), F.col("start").alias("chromStart"), F.col("end").alias("chromEnd")]
     rest = [c for c in df.columns if c not in ("chrom", "start", "end")]
@@ -55,8 +68,8 @@ def read_recombination_map(spark: SparkSession, path: str, chrom: str, map_colum
         raise ValueError(f"no such columns in the map's header: {names}")
     bp, cm = names.index("Position(bp)"), names.index(map_column)
     f = F.col("f")
-    return fields(spark, path).where(f[bp] != "Position(bp)").select(
-        F.lit(chrom).alias("chrom"), f[bp].cast("double").alias("bp"), f[cm].cast("double").alias("cm")
+    return fields(spark, path).where(F.get(f, F.lit(bp)) != "Position(bp)").select(
+        F.lit(chrom).alias("chrom"), F.get(f, F.lit(bp)).cast("double").alias("bp"), F.get(f, F.lit(cm)).cast("double").alias("cm")
     )
 
 
@@ -65,7 +78,7 @@ def read_windows(spark: SparkSession, path: str, chrom: str) -> DataFrame:
     f = F.col("f")
     names = ("start", "l_end", "r_end")
     return fields(spark, path).select(
-        F.lit(chrom).alias("chrom"), *[f[i].cast("double").cast("long").alias(n) for i, n in enumerate(names)]
+        F.lit(chrom).alias("chrom"), *[F.get(f, F.lit(i)).cast("double").cast("long").alias(n) for i, n in enumerate(names)]
     )
 
 
@@ -77,8 +90,8 @@ def read_edges(spark: SparkSession, path: str) -> list[float]:
 
 def read_cytobands(spark: SparkSession, path: str) -> DataFrame:
     f = F.col("f")
-    return fields(spark, path).where(~f[0].startswith("#")).select(
-        f[0].alias("chrom"), f[1].cast("long").alias("start"), f[2].cast("long").alias("end"), f[3].alias("band")
+    return fields(spark, path).where(~F.get(f, F.lit(0)).startswith("#")).select(
+        F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("start"), F.get(f, F.lit(2)).cast("long").alias("end"), F.get(f, F.lit(3)).alias("band")
     )
 
 
@@ -97,5 +110,5 @@ def write_statistics(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def read_statistics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_statistics(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.parquet(*paths)

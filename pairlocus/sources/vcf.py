@@ -32,9 +32,9 @@ def quality(sample: Column, format_: Column) -> Column:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``f``: the fields of each line that isn't a header."""
-    return spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(
-        F.split("value", r"\s+").alias("f")
-    )
+    data = ~F.col("value").startswith("#") & (F.length("value") > 0)
+    # Filters may be evaluated together with later ones: a header's fields are null for them.
+    return spark.read.text(path).where(data).select(F.when(data, F.split("value", r"\s+")).alias("f"))
 
 
 def biallelic(df: DataFrame) -> DataFrame:
@@ -55,8 +55,11 @@ def read_genotypes(
     multiallelic: bool = False,
     allow_missing: bool = False,
     samples: list[str] | None = None,
+    chrom: str | None = None,
 ) -> DataFrame:
-    """``chrom, pos (from 0), ref, alt, gt, gq`` of a variant file.
+    """``chrom, pos (from 0), ref, alt, gt, gq`` of a variant file, of one chromosome if given.
+
+    A chromosome gets the name that is asked for, which the file may write with ``chr`` before it.
 
     The cheap filters (region, alleles) stand before genotypes are parsed; ``mask`` keeps
     positions inside its intervals, those longer than ``min_length`` if given.
@@ -64,7 +67,9 @@ def read_genotypes(
     from ..operators.intervals import in_mask, longer_than
 
     f = F.col("f")
-    rows = lines(spark, path).select(f[0].alias("chrom"), (f[1].cast("long") - 1).alias("pos"), f[3].alias("ref"), F.split(f[4], ",").alias("alt"), f[8].alias("format"), F.slice(f, FIXED_COLUMNS + 1, F.size(f)).alias("samples"))
+    rows = lines(spark, path).select(F.get(f, F.lit(0)).alias("chrom"), (F.get(f, F.lit(1)).cast("long") - 1).alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.split(F.get(f, F.lit(4)), ",").alias("alt"), F.get(f, F.lit(8)).alias("format"), F.slice(f, FIXED_COLUMNS + 1, F.size(f)).alias("samples"))
+    if chrom is not None:
+        rows = rows.where(F.regexp_replace("chrom", "^chr", "") == chrom.removeprefix("chr")).withColumn("chrom", F.lit(chrom))
     if region is not None:
         rows = rows.where((F.col("pos") >= region[0]) & (F.col("pos") < region[-1]))
     if not multiallelic:
@@ -86,7 +91,7 @@ def read_genotypes(
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
     f = F.col("f")
-    return lines(spark, path).select(f[0].alias("chrom"), (f[1].cast("long") - 1).alias("pos"))
+    return lines(spark, path).select(F.get(f, F.lit(0)).alias("chrom"), (F.get(f, F.lit(1)).cast("long") - 1).alias("pos"))
 
 
 def coverage(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +131,7 @@ def summed_rates(rows: DataFrame, unit: float = RATE_UNIT) -> DataFrame:
 
 def read_mutation_rates(spark: SparkSession, path: str) -> DataFrame:
     f = F.col("f")
-    rows = lines(spark, path).select(f[0].alias("chrom"), (f[1].cast("long") - 1).alias("pos"), f[7].alias("info"))
+    rows = lines(spark, path).select(F.get(f, F.lit(0)).alias("chrom"), (F.get(f, F.lit(1)).cast("long") - 1).alias("pos"), F.get(f, F.lit(7)).alias("info"))
     return summed_rates(autosomal(rows))
 
 

@@ -130,14 +130,58 @@ def test_windows_reach_to_their_right_ends(spark, files):
     for start, l_end, r_end in windows:
         for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             pairs = [(p, q) for p in covered if start <= p < l_end for q in range(p + max(lo, 1), min(p + hi, r_end)) if q < 1500 or q >= 2000]
-            found = [r for r in rows if r.region == f"1_{start}" and r.row == k and r.stat_ord == 0]
-            # Regions without a difference have no rows of pairs.
-            assert len(found) == any(het.get(p, False) for p in covered if start <= p < l_end)
-            assert all(r.denom == len(pairs) and r.num == sum(het.get(p, False) and het.get(q, False) for p, q in pairs) for r in found)
-        found = [r for r in rows if r.region == f"1_{start}" and r.row == -1 and r.stat_ord == 0]
-        assert len(found) == any(start <= p < l_end for p in het if p in covered)
-        assert all(r.denom == sum(start <= p < l_end for p in covered) for r in found)
-    assert len({r.region for r in rows if r.row == 2 and r.stat_ord == 0}) >= 2
+            (found,) = [r for r in rows if r.region == f"1_{start}" and r.row == k and r.stat_ord == 0]
+            assert found.denom == len(pairs) and found.num == sum(het.get(p, False) and het.get(q, False) for p, q in pairs)
+            assert (found.pop_i, found.low, found.high) == ("A", lo, hi)
+        (found,) = [r for r in rows if r.region == f"1_{start}" and r.row == -1 and r.stat_ord == 0]
+        assert found.denom == sum(start <= p < l_end for p in covered)
     cli.main(["bootstrap_h2", "--inputs", f"{d}/some_stats", "--out", f"{d}/some_boot"])
     cli.main(["plot_h2", "--data", f"{d}/some_boot", "--bins", f"{d}/bp", "--out", f"{d}/curves"])
-    assert spark.read.parquet(f"{d}/curves").count() > 0
+    assert spark.read.parquet(f"{d}/curves").count() == 4 * 3
+    cli.main(["plot_h2", "--data", f"{d}/some_boot", "--bins", f"{d}/bp", "--pops", "B", "--out", f"{d}/of_b"])
+    want = {r.row: r["mean"] for r in spark.read.parquet(f"{d}/curves").where("stat_ord = 2").collect()}
+    assert {r.row: r["mean"] for r in spark.read.parquet(f"{d}/of_b").collect()} == want
+    assert spark.read.parquet(f"{d}/of_b_ratios").count() == 3
+
+
+def test_empty_windows_rates_and_options(spark, files):
+    """Windows that nothing covers have rows; rates go from one command to the other; chromosomes are told apart."""
+    d, _ = files
+    (d / "windows").write_text("0 1000 4000\n1500 2000 4000\n2000 4000 4000")
+    (d / "bp").write_text("0 10 300")
+    (d / "rates").write_text("chrom,start,end,u\nchr1,0,3000,2.0\nchr1,3000,4000,4.0\nchr2,0,4000,9.0\n")
+    (d / "two.vcf").write_text(gzip.decompress((d / "v.vcf.gz").read_bytes()).decode() + "\n2\t500\t.\tA\tC\t.\t.\tMR=1.0\tGT\t0/1\t0/1")
+    (d / "two.bed").write_text("chr1\t0\t1500\nchr1\t2000\t4000\nchr2\t0\t4000\n")
+    common = ["--vcf", f"{d}/two.vcf", "--bed", f"{d}/two.bed", "--regions", f"{d}/windows", "--bins", f"{d}/bp"]
+    cli.main(["parse_h2", *common, "--chrom", "1", "--mut_map", f"{d}/rates", "--out", f"{d}/weighted"])
+    rows = {(r.region, r.row, r.stat_ord): r for r in spark.read.parquet(f"{d}/weighted").collect()}
+    assert len(rows) == 3 * 3 * 3 and all((rows["1_1500", k, 0].num, rows["1_1500", k, 0].denom) == (0, 0) for k in (-1, 0, 1))
+    assert rows["1_0", -1, 0].denom == 1000  # of chromosome 1 only
+    rates = {r.region: (r.num_sites, r.mean_mut) for r in spark.read.parquet(f"{d}/weighted_rates").collect()}
+    assert rates == {"1_0": (1000, 2.0), "1_1500": (0, None), "1_2000": (2000, 3.0)}
+    cli.main(["bootstrap_h2", "--inputs", f"{d}/weighted", "--rates", f"{d}/weighted_rates", "--out", f"{d}/weighted_boot"])
+    means = {(r.row, r.stat_ord): r["mean"] for r in spark.read.parquet(f"{d}/weighted_boot/means").collect()}
+    factor = ((1000 * 2 + 2000 * 3) / 3000) ** 2
+    for k in (0, 1):
+        own = [rows[w, k, 0] for w in ("1_0", "1_1500", "1_2000")]
+        assert means[k, 0] == pytest.approx(sum(r.num for r in own) / (sum(r.denom for r in own) / factor))
+    with pytest.raises(ValueError, match="none of chromosome"):
+        cli.main(["parse_h2", *common, "--chrom", "3", "--out", f"{d}/none"])
+    # Sites as denominators, one-sample statistics; such tables and the others don't go together.
+    cli.main(["parse_h2", *common, "--chrom", "1", "--compute_denom", "0", "--compute_two_sample", "0", "--out", f"{d}/sites"])
+    got = spark.read.parquet(f"{d}/sites")
+    assert {r.stat_ord for r in got.collect()} == {0, 1}
+    assert got.where("row = -1 and stat_ord = 0").groupBy().sum("denom").first()[0] == len([p for p in files[1] if p < 1000 or p >= 1500])
+    cli.main(["parse_h2", *common, "--chrom", "1", "--compute_denom", "0", "--compute_snp_denom", "0", "--out", f"{d}/sums"])
+    assert spark.read.parquet(f"{d}/sums").where("denom is not null").count() == 0
+    with pytest.raises(ValueError, match="different"):
+        cli.main(["bootstrap_h2", "--inputs", f"{d}/weighted", f"{d}/sites", "--out", f"{d}/bad"])
+
+
+def test_dense_mutation_rates(spark, tmp_path):
+    from pairlocus.sources import bed
+
+    rows = [(0, 1.0), (1, float("nan")), (2, None), (3, 2.0)]
+    spark.createDataFrame(rows, "pos long, u double").write.parquet(f"{tmp_path}/dense.parquet")
+    got = bed.read_mutation_map(spark, f"{tmp_path}/dense.parquet", "5").collect()
+    assert sorted(tuple(r) for r in got) == [("5", 0, 1, 1.0), ("5", 3, 4, 2.0)]

@@ -106,3 +106,14 @@ def test_rates_by_step_and_by_position(spark):
     assert {r.pos: r.u for r in maps.gather(points.where("pos < 20"), rates).collect()} == {9: 2.0, 10: 3.0}
     with pytest.raises(Exception, match="no rate"):
         maps.gather(points, rates).collect()
+
+
+def test_buckets_make_no_difference(spark, random_spans):
+    """Unions, intersections and runs that reach over bucket ends, or end on them."""
+    a, b = random_spans(60) + [("1", 0, 35), ("1", 64, 96)], random_spans(60) + [("1", 90, 130)]
+    for width in (1, 7, 32, 1 << 20):
+        both = [intervals.merge(spark.createDataFrame(x, SCHEMA), width) for x in (a, b)]
+        assert [spans(x) for x in both] == [runs_of(covered(x)) for x in (a, b)]
+        assert spans(intervals.intersect(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), width=width)) == runs_of(covered(a) & covered(b))
+        positions = spark.createDataFrame([("1", p) for p in covered(a)], "chrom string, pos long")
+        assert spans(intervals.runs(positions, width)) == runs_of(covered(a))

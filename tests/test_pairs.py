@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -125,3 +126,29 @@ def test_region_rows_and_zero_denominators(spark):
         spark.createDataFrame([(0, 1.0), (1, 1.0)], "bin_id int, num double"), spark.createDataFrame([(0, 0.0)], "bin_id int, denom double"), ["bin_id"]
     )
     assert [r["mean"] for r in means.collect()] == [None, None]
+
+
+def test_several_values_in_one_pass(spark):
+    """A row for each value, in every plan; more left sites than a slice; groups of left sites that alternate."""
+    rng = random.Random(11)
+    sites = [(c, p, p, rng.randint(0, 2), rng.randint(0, 1), f"g{p % 3}") for c in (0, 1) for p in sorted(rng.sample(range(600), 200))]
+    df = spark.createDataFrame(sites, "chrom long, pos long, at long, v long, w long, g string")
+    want = Counter()
+    for c, p, _, *own, g in sites:
+        for c2, q, _, *other, _ in sites:
+            for k, (lo, hi) in enumerate(zip(EDGES, EDGES[1:])):
+                if c == c2 and q > p and p + lo <= q < p + hi:
+                    for n in (0, 1):
+                        want[c, g, n, k] += own[n] * other[n]
+    for method in METHODS:
+        got = pairs.pair_sums(df, EDGES, ["chrom"], "at", value=["v", "w"], left_by=["g"], method=method)
+        assert {(r.chrom, r.g, r.stat_ord, r.bin_id): r.total for r in got.collect() if r.total} == {k: v for k, v in want.items() if v}
+
+
+def test_slices_of_left_sites(monkeypatch):
+    rng = np.random.default_rng(2)
+    at, v = np.sort(rng.integers(0, 500, 300)).astype(float), rng.integers(0, 4, (300, 2))
+    first, codes = np.arange(300), rng.integers(0, 3, 300)
+    whole = pairs.binned_sums(at, v, first, codes, np.array(EDGES, float))
+    monkeypatch.setattr(pairs, "SLICE", 7)
+    assert (pairs.binned_sums(at, v, first, codes, np.array(EDGES, float)) == whole).all()
