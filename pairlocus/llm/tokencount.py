@@ -7,7 +7,7 @@ space that follows something else, at line ends), and each distinct stretch of a
 merged once; documents add up the counts of their stretches.
 
 Counts equal the library's for BPE models with byte fallback, the identity normaliser and a
-dummy prefix. Nulls: a null text counts as empty and has no tokens; null or repeated document
+dummy prefix; a model with pieces that span the end of a word is refused. Nulls: a null text counts as empty and has no tokens; null or repeated document
 ids are rows like others. Empty tables give no rows.
 """
 
@@ -56,6 +56,9 @@ class PieceModel:
                 left, right = self.symbol(piece[:k]), self.symbol(piece[k:])
                 if left is not None and right is not None:
                     self.pairs[left << SHIFT | right] = (rank, self.number[piece])
+        # A text is cut before spaces, so no piece may reach over such a cut.
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            raise ValueError(f"a piece spans the end of a word: {path}")
         self.cuts_lines = not any("\n" in p and len(p) > 1 for p in pieces)
         self.known: dict[str, int] = {}
         self.known_lines: dict[str, int] = {}
