@@ -186,7 +186,9 @@ def plot_params(spark: SparkSession, a) -> DataFrame:
     if a.min_ll is not None:
         fits = fits.where(F.col("ll") >= a.min_ll)
     bed.write_statistics(fits, f"{a.out}/fits")
-    out = views.parameter_correlations(bed.read_statistics(spark, f"{a.out}/fits"), names)
+    fits = bed.read_statistics(spark, f"{a.out}/fits")
+    bed.write_statistics(views.parameter_pairs(fits, names), f"{a.out}/pairs")
+    out = views.parameter_correlations(fits, names)
     bed.write_statistics(out, f"{a.out}/correlations")
     return out
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.genetics import normal_quantile
+from ..functions.genetics import normal_quantile, ratio
 
 
 def curves(means: DataFrame, cov: DataFrame, edges: list[float], confidence: float = 0.95) -> DataFrame:
@@ -41,6 +41,17 @@ def parameter_correlations(fits: DataFrame, names: list[str], score: str = "ll",
     ).select("r.*")
 
 
+def parameter_pairs(fits: DataFrame, names: list[str], score: str = "ll", least: float | None = None) -> DataFrame:
+    """``param_i, param_j, value_i, value_j`` and the score: a row for each fit and pair i < j, as drawn in a plane each."""
+    kept = fits if least is None else fits.where(F.col(score) >= least)
+    pairs = [
+        F.struct(F.lit(a).alias("param_i"), F.lit(b).alias("param_j"), F.col(a).cast("double").alias("value_i"), F.col(b).cast("double").alias("value_j"))
+        for i, a in enumerate(names)
+        for b in names[i + 1 :]
+    ]
+    return kept.select(F.explode(F.array(*pairs)).alias("p"), F.col(score).alias("score")).select("p.*", F.col("score").alias(score))
+
+
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
     """``bin_id, n, freq``: bins closed on the left, the last on both sides; others are left out."""
     v = F.col(value)
@@ -71,6 +82,15 @@ def pair_counts(stats: DataFrame) -> DataFrame:
     return stats.where("row >= 0 and stat_ord = 0").groupBy("row").agg(F.sum("denom").alias("pairs"))
 
 
+def arm_means(stats: DataFrame) -> DataFrame:
+    """``arm, row, stat_ord, mean, h_squared`` of ``stats(region, row, stat_ord, num, denom, arm)``, and of all arms together as ``total``."""
+    both = F.array(F.col("arm"), F.lit("total"))
+    sums = stats.withColumn("arm", F.explode(both)).groupBy("arm", "row", "stat_ord").agg(F.sum("num").alias("n"), F.sum("denom").alias("d"))
+    means = sums.select("arm", "row", "stat_ord", ratio(F.col("n"), F.col("d")).alias("mean"))
+    h = means.where("row = -1").select("arm", "stat_ord", (F.col("mean") * F.col("mean")).alias("h_squared"))
+    return means.where("row >= 0").join(h, ["arm", "stat_ord"]).select("arm", "row", "stat_ord", "mean", "h_squared")
+
+
 def cross_product(stats: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
     """H of two arms multiplied: the expectation of H2 between arms that segregate freely."""
     side = F.col("arm")

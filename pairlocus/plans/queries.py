@@ -365,18 +365,41 @@ IN_ARM = regional_sql(
 )
 
 
-@query(
-    f"""WITH s0 AS (SELECT o_custkey % 4 AS chrom, max(o_orderkey * 10 + o_custkey % 10) + 1 AS stop FROM orders GROUP BY 1), ends AS (SELECT * FROM s0),
+BY_ARM = f"""WITH ends AS (SELECT o_custkey % 4 AS chrom, max(o_orderkey * 10 + o_custkey % 10) + 1 AS stop FROM orders GROUP BY 1),
     {SITES.replace("sites AS (", "plain AS (")}, sites AS (SELECT plain.*, stop // 2 AS mid FROM plain JOIN ends ON ends.chrom = plain.chrom),
-    {ARMS}, {EVERY}, {LONG.replace("SELECT chrom, pos, u,", "SELECT chrom, pos, u, mid,")}, {BP}, {IN_ARM}
-    SELECT region, row, CAST(stat_ord AS BIGINT) AS stat_ord, round(num, 6) AS num, round(denom, 6) AS denom FROM regional"""
+    {ARMS}, {EVERY}, {LONG.replace("SELECT chrom, pos, u,", "SELECT chrom, pos, u, mid,")}, {BP}, {IN_ARM}"""
+
+
+@query(
+    f"""{BY_ARM} SELECT region, row, CAST(stat_ord AS BIGINT) AS stat_ord, round(num, 6) AS num, round(denom, 6) AS denom FROM regional"""
 )
 def compute_h2_arms(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of two arms: no pair reaches over the centromere, and tiles without sites have rows too."""
+    return arm_table(spark, d).withColumns({c: F.round(c, 6) for c in ("num", "denom")})
+
+
+def arm_table(spark: SparkSession, d: str) -> DataFrame:
     windows = t.arms(spark, d).withColumn("region", t.region_name(F.col("start")))
     tiled = intervals.locate(t.sites(spark, d), windows.select("chrom", "start", F.col("l_end").alias("end"), "r_end", "region"))
     rows = hstats.region_statistics(tiled, tiled, t.SAMPLES, t.BP_EDGES, rate="u", by=["chrom", "r_end"], regions=windows)
-    return region_rows(rows).withColumns({c: F.round(c, 6) for c in ("num", "denom")})
+    return region_rows(rows)
+
+
+@query(
+    f"""{BY_ARM}, of_arm AS (SELECT arm.chrom || '_' || (low + k * {t.REGION}) AS region, CASE WHEN low = 0 THEN 'p' ELSE 'q' END AS arm
+      FROM arm, (SELECT unnest(generate_series(0, (SELECT max(stop) FROM ends) // {t.REGION} + 1)) AS k) AS ks WHERE low + k * {t.REGION} < high),
+    each AS (SELECT arm, row, stat_ord, num, denom FROM regional JOIN of_arm ON of_arm.region = regional.region UNION ALL SELECT 'total', row, stat_ord, num, denom FROM regional),
+    m AS (SELECT arm, row, stat_ord, sum(num) / nullif(sum(denom), 0) AS mean FROM each GROUP BY arm, row, stat_ord)
+    SELECT a.arm, a.row, CAST(a.stat_ord AS BIGINT) AS stat_ord, round(a.mean, 9) AS mean, round(h.mean * h.mean, 9) AS h_squared
+    FROM m AS a JOIN m AS h ON h.arm = a.arm AND h.stat_ord = a.stat_ord AND h.row = -1 WHERE a.row >= 0"""
+)
+def arm_means(spark: SparkSession, d: str) -> DataFrame:
+    """H2 of the two arms and of both, beside the squares of H."""
+    arm = F.when(F.col("start") < F.col("middle"), "p").otherwise("q").alias("arm")
+    named = t.arms(spark, d).join(F.broadcast(t.middles(spark, d)), F.col("chrom") == F.col("of"))  # a row a chromosome
+    named = named.select(t.region_name(F.col("start")).alias("region"), arm)
+    rows = views.arm_means(arm_table(spark, d).join(named, "region"))
+    return rows.withColumns({c: F.round(c, 9) for c in ("mean", "h_squared")})
 
 
 @query(BASE + " SELECT row, CAST(stat_ord AS BIGINT) AS stat_ord, round(sum(num) / nullif(sum(denom), 0), 9) AS mean FROM regional GROUP BY row, stat_ord")
@@ -623,6 +646,16 @@ def param_corr(spark: SparkSession, d: str) -> DataFrame:
     return views.parameter_correlations(t.table(spark, d, "lineitem"), names, "l_tax", 0.02).withColumn("rho", F.round("rho", 9))
 
 
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS param_i, '{b}' AS param_j, CAST({a} AS DOUBLE) AS value_i, CAST({b} AS DOUBLE) AS value_j, l_tax FROM lineitem WHERE l_tax >= 0.02"
+        for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))
+    )
+)
+def param_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return views.parameter_pairs(t.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], "l_tax", 0.02)
+
+
 @query(
     """WITH b AS (SELECT CASE WHEN l_quantity >= 0 AND l_quantity < 10 THEN 0 WHEN l_quantity >= 10 AND l_quantity < 25 THEN 1 WHEN l_quantity >= 25 AND l_quantity <= 50 THEN 2 END AS bin_id FROM lineitem)
     SELECT CAST(bin_id AS BIGINT) AS bin_id, count(*) AS n, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM b WHERE bin_id IS NOT NULL), 9) AS freq FROM b WHERE bin_id IS NOT NULL GROUP BY bin_id"""

@@ -106,6 +106,7 @@ def test_fit_uncertainties_and_parameter_tables(spark, fitted):
     cli.main(["plot_params", "--params", f"{d}/params", "--graphs", f"{d}/fit0.yaml", f"{d}/fit1.yaml", "--out", f"{d}/table"])
     assert spark.read.parquet(f"{d}/table/fits").count() == 2
     assert spark.read.parquet(f"{d}/table/correlations").count() == 1
+    assert spark.read.parquet(f"{d}/table/pairs").count() == 2
 
 
 def test_a_fitted_rate(spark, fitted):
