@@ -82,3 +82,17 @@ def test_mixed_documents(make_docs):
     for r in taken:
         words_out = mixed.where(F.col("source") == r.source).count() * 40
         assert abs(words_out - r.t) <= 80
+
+
+def test_repeated_rows_keep_to_their_quota(make_docs):
+    """Rows without an id or with a repeated one are taken row by row; a source without ids is many shards."""
+    rows = [(None, f"w{i % 50} " * 20, "a") for i in range(600)] + [(7, "x y z " * 10, "b")] * 200
+    docs = make_docs(rows)
+    taken = {r.source: r.t for r in mixing.mix(docs, shard_words=1000).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    mixed = {r.source: r.n for r in mixing.mixed_documents(docs, shard_words=1000).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    shards = {"a": 12, "b": 6}
+    for source, size in (("a", 20), ("b", 30)):
+        assert abs(mixed[source] * size - taken[source]) <= 2 * size * shards[source]
+    # Shards of a source are at most so many, and then larger.
+    few = mixing.mix(docs, shard_words=1000, most_shards=2).collect()
+    assert len(few) == len(rows) and abs(sum(r.taken for r in few) - sum(taken.values())) <= 64 * 4
