@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.genetics import haldane_edges
-from .operators import bootstrap, hstats, intervals, maps, views
+from .operators import bootstrap, hstats, intervals, maps, pairs, views
 from .scratch import written
 from .sources import bed, vcf
 
@@ -62,7 +62,9 @@ def parse_h2(spark: SparkSession, a) -> DataFrame:
     wanted = wanted or [(s, s) for s in names]
     of_chromosome(vcf.read_positions(spark, a.vcf), a.chrom, "the variant file")
     sites = vcf.read_genotypes(spark, a.vcf, mask, samples=[s for s, _ in wanted], chrom=a.chrom)
-    covered = intervals.positions(mask) if a.compute_denom else sites
+    # Pairs of a mask are counted on its intervals where neither a map nor rates tell positions apart.
+    by_interval = a.compute_denom and not (a.rec_map or a.mut_map)
+    covered = intervals.positions(mask) if a.compute_denom and not by_interval else sites
     at, steps = "pos", edges
     if a.rec_map:
         knots = maps.checked_map(bed.read_recombination_map(spark, a.rec_map, a.chrom))
@@ -77,7 +79,8 @@ def parse_h2(spark: SparkSession, a) -> DataFrame:
 
     rate, two = "u" if a.mut_map else None, bool(a.compute_two_sample)
     stats = hstats.region_statistics(
-        placed(sites), placed(covered), len(wanted), steps, at, rate, ["chrom", "layer"], "first", named.select("chrom", "region").distinct(), two
+        placed(sites), placed(covered), len(wanted), steps, at, rate, ["chrom", "layer"], "first", named.select("chrom", "region").distinct(), two,
+        pairs.mask_pair_counts(mask, windows.distinct().withColumn("region", F.concat_ws("_", "chrom", "start")), edges) if by_interval else None,
     )
     if not (a.compute_denom or a.compute_snp_denom):
         stats = stats.withColumn("denom", F.lit(None).cast("double"))

@@ -121,6 +121,7 @@ def means(nums: DataFrame, denoms: DataFrame, on: Sequence[str]) -> DataFrame:
 def region_statistics(
     sites: DataFrame, covered: DataFrame, populations: int, edges: Sequence[float], at: str = "pos", rate: str | None = None,
     by: Sequence[str] = ("chrom",), left: str | None = None, regions: DataFrame | None = None, two_sample: bool = True,
+    denominators: DataFrame | None = None,
 ) -> DataFrame:
     """``chrom, region, row_kind, bin_id, stat_ord, num, denom``: H2 rows by bin and one H row.
 
@@ -130,7 +131,8 @@ def region_statistics(
 
     Every one of ``regions(chrom, region)``, by default all with a covered position, has a row
     for each bin and statistic: sums without a pair, and denominators of regions that nothing
-    covers, are 0.
+    covers, are 0. ``denominators(chrom, region, bin_id, denom)`` take the place of those of
+    ``covered``.
     """
     key = ["region"]
     firsts = [df.where(left) if left else df for df in (sites, covered)]
@@ -139,14 +141,16 @@ def region_statistics(
     statistics = len(_columns(populations, two_sample))
     h2 = two_locus_sums(sites, populations, edges, by, at, left, key, two_sample, "halo")
     h2 = h2.groupBy("chrom", "region", "bin_id", "stat_ord").agg(F.sum("num").alias("num"))
-    d2 = pair_denominators(covered, edges, by, at, left, left_by=key, rate=rate)
-    d2 = d2.groupBy("chrom", "region", "bin_id").agg(F.sum("denom").cast("double").alias("denom"))
+    if denominators is None:
+        d2 = pair_denominators(covered, edges, by, at, left, left_by=key, rate=rate)
+        d2 = d2.groupBy("chrom", "region", "bin_id").agg(F.sum("denom").cast("double").alias("denom"))
+        d1 = firsts[1].groupBy("chrom", "region").agg(F.lit(-1).alias("bin_id"), F.count("*").cast("double").alias("denom"))
+        denominators = d2.unionByName(d1)
     h = one_locus(firsts[0], populations, ["chrom", "region"], two_sample).select("chrom", "region", F.lit(-1).alias("bin_id"), "stat_ord", "num")
-    d1 = firsts[1].groupBy("chrom", "region").agg(F.lit(-1).alias("bin_id"), F.count("*").cast("double").alias("denom"))
     frame = framed(regions.select("chrom", "region"), len(edges), statistics).withColumn("bin_id", F.col("bin_id") - 1)
     return (
         frame.join(h2.unionByName(h), ["chrom", "region", "bin_id", "stat_ord"], "left")
-        .join(d2.unionByName(d1), ["chrom", "region", "bin_id"], "left")
+        .join(denominators, ["chrom", "region", "bin_id"], "left")
         .select(
             "chrom",
             "region",
@@ -154,7 +158,7 @@ def region_statistics(
             "bin_id",
             "stat_ord",
             F.coalesce("num", F.lit(0.0)).alias("num"),
-            F.coalesce("denom", F.lit(0.0)).alias("denom"),
+            F.coalesce(F.col("denom").cast("double"), F.lit(0.0)).alias("denom"),
         )
     )
 

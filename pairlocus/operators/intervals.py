@@ -5,6 +5,8 @@ intervals join on buckets, and merging, sweeping and runs go on within buckets,
 a bucket's ends (two rows a bucket at most) being united afterwards.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,12 @@ def islands(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def cut(intervals: DataFrame, width: int) -> DataFrame:
-    """``chrom, bucket, start, end``: the parts of non-empty intervals in each bucket."""
+def cut(intervals: DataFrame, width: int, others: Sequence[str] = ()) -> DataFrame:
+    """``chrom, bucket, start, end`` and other columns: the parts of non-empty intervals in each bucket."""
     b = F.col("bucket")
     first, last = F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)
-    return intervals.where("end > start").select("chrom", "start", "end", F.explode(F.sequence(first, last)).alias("bucket")).select(
-        "chrom", "bucket", F.greatest("start", b * width).alias("start"), F.least("end", (b + 1) * width).alias("end")
+    return intervals.where("end > start").select("chrom", "start", "end", *others, F.explode(F.sequence(first, last)).alias("bucket")).select(
+        "chrom", "bucket", F.greatest("start", b * width).alias("start"), F.least("end", (b + 1) * width).alias("end"), *others
     )
 
 

@@ -16,6 +16,7 @@ Three plans give the same numbers:
 ``join``   a band self-join; its work is the number of pairs. For small groups, and as a check.
 """
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import BUCKET, cut, merge
+
 
 def bins_table(df: DataFrame, edges: Sequence[float]) -> Column:
     """An array of structs (bin_id, lo, hi) to explode."""
@@ -241,6 +244,66 @@ def by_halo(rows: DataFrame, edges: list, by: list[str], left_by: list[str], wid
     return copied.groupBy(*by, "bucket").applyInArrow(one, schema).groupBy(*keys, "bin_id").agg(F.sum("total").alias("total"))
 
 
+def covered_below(runs: DataFrame, probes: DataFrame, width: int = BUCKET) -> DataFrame:
+    """``probes(chrom, x, ...)`` with ``c`` and ``p``: number and sum of the positions below x that ``runs`` cover.
+
+    ``runs`` are merged. Sums run within buckets of the position; what lies in the buckets before
+    is added from their totals.
+    """
+    n = F.col("end") - F.col("start")
+    parts = cut(runs, width).select(
+        "chrom", "bucket", F.col("start").alias("x"), F.lit(False).alias("probe"), "end", n.alias("n"), ((F.col("start") + F.col("end") - 1) * n / 2).cast("long").alias("s")
+    )
+    asked = probes.select(*probes.columns, F.floor(F.col("x") / width).alias("bucket"), F.lit(True).alias("probe"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))
+    rows = parts.unionByName(asked, allowMissingColumns=True)
+    before = Window.partitionBy("of").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col("chrom").alias("of"), F.col("bucket").alias("number")).agg(F.sum("n").alias("n_in"), F.sum("s").alias("s_in"))
+    totals = totals.select("of", "number", *[F.coalesce(F.sum(f"{c}_in").over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "s")])
+    here = Window.partitionBy("chrom", "bucket").orderBy("x", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.select("*", F.sum("n").over(here).alias("n_here"), F.sum("s").over(here).alias("s_here"), F.max("end").over(here).alias("reached")).where("probe")
+    # The latest run may reach beyond x.
+    over = F.greatest(F.coalesce(F.col("reached") - F.col("x"), F.lit(0)), F.lit(0))
+    beyond = (over * (F.col("x") + F.col("reached") - 1) / 2).cast("long")
+    return found.join(totals, (F.col("chrom") == F.col("of")) & (F.col("bucket") == F.col("number"))).select(
+        *probes.columns,
+        (F.col("n_before") + F.col("n_here") - over).alias("c"),
+        (F.col("s_before") + F.col("s_here") - F.coalesce(beyond, F.lit(0))).alias("p"),
+    )
+
+
+def mask_pair_counts(mask: DataFrame, windows: DataFrame, edges: Sequence[float], width: int = BUCKET) -> DataFrame:
+    """``chrom, region, bin_id, denom``: pairs of positions of a mask by bins of their distance in base pairs.
+
+    The first position lies in a window ``chrom, region, start, l_end, r_end``, the second below
+    its ``r_end``. Works on intervals, not on positions: with C(x) covered positions below x, and
+    p the sum of them, the sum of C(y) over y < x is (x - 1) C(x) - p, so a run of first positions
+    takes two lookups an edge. The row of bin -1 has the number of first positions.
+    """
+    runs = merge(mask, width)
+    w, r = cut(windows.select("chrom", F.col("start").alias("start"), F.col("l_end").alias("end"), "region", "r_end"), width, ["region", "r_end"]), cut(runs, width)
+    first = w.alias("w").join(r.alias("r"), ["chrom", "bucket"]).where("w.start < r.end and r.start < w.end").select(
+        "chrom", "region", "r_end", F.greatest("w.start", "r.start").alias("a"), F.least("w.end", "r.end").alias("b")
+    )
+    steps = [max(math.ceil(e), 1) for e in edges]
+    asked = first.select("*", F.posexplode(F.array(*[F.lit(e).cast("long") for e in steps])).alias("edge", "e"))
+    # First positions from the turn on see all up to r_end.
+    turn = F.col("r_end") - F.col("e")
+    low, high = F.col("a"), F.least("b", F.greatest(turn, F.col("a")))
+    points = F.array(
+        F.struct((low + F.col("e")).alias("x"), F.lit(-1).cast("long").alias("g"), F.lit(0).cast("long").alias("k")),
+        F.struct((high + F.col("e")).alias("x"), F.lit(1).cast("long").alias("g"), F.lit(0).cast("long").alias("k")),
+        F.struct(F.col("r_end").alias("x"), F.lit(0).cast("long").alias("g"), (F.col("b") - high).alias("k")),
+    )
+    probes = asked.select("chrom", "region", "edge", F.explode(points).alias("q")).select("chrom", "region", "edge", "q.x", "q.g", "q.k").where("g != 0 or k != 0")
+    reach = covered_below(runs, probes, width).groupBy("chrom", "region", "edge").agg(
+        F.sum(F.col("g") * ((F.col("x") - 1) * F.col("c") - F.col("p")) + F.col("k") * F.col("c")).alias("up_to")
+    )
+    order = Window.partitionBy("chrom", "region").orderBy("edge")
+    pairs = reach.select("chrom", "region", F.col("edge").alias("bin_id"), (F.lead("up_to").over(order) - F.col("up_to")).alias("denom"))
+    sites = first.groupBy("chrom", "region").agg(F.lit(-1).alias("bin_id"), F.sum(F.col("b") - F.col("a")).alias("denom"))
+    return pairs.where(F.col("bin_id") < len(edges) - 1).unionByName(sites)
+
+
 def mean_product(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """``mean_mut_prod, num_sites, mean_mut, sqr_mean_mut``: u_i u_j over all pairs, in one pass."""
     s, q, n = F.sum(value), F.sum(F.col(value) * F.col(value)), F.count(value)

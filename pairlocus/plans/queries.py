@@ -249,6 +249,22 @@ def denominator_pairs(spark: SparkSession, d: str) -> DataFrame:
     return long(hstats.pair_denominators(covered, t.BP_EDGES, ["chrom"]), "bin_id")
 
 
+@query(
+    f"""WITH {SITES}, {ENDS}, {MASK}, {merged_sql("m", "mask")}, {BP}, {series("tiles", t.REGION, "k*25000 AS low, least(k*25000 + 25000, stop) AS high, stop, chrom || '_' || k*25000 AS region", 0)},
+    w AS (SELECT * FROM tiles WHERE low < high),
+    l AS (SELECT w.chrom, region, stop, greatest(lo, low) AS a, least(hi, high) AS b FROM w JOIN m ON m.chrom = w.chrom AND m.lo < w.high AND w.low < m.hi),
+    r AS (SELECT m.chrom, lo AS a, least(hi, stop) AS b FROM m JOIN ends ON ends.chrom = m.chrom WHERE lo < stop),
+    d AS (SELECT unnest(generate_series(1, 3161)) AS d),
+    p AS (SELECT l.chrom, region, d, sum(greatest(0, least(l.b + d, r.b) - greatest(l.a + d, r.a))) AS n FROM l JOIN r ON r.chrom = l.chrom AND r.b > l.a AND r.a < l.b + 3162 CROSS JOIN d GROUP BY l.chrom, region, d)
+    SELECT chrom, region, CAST(bin_id AS BIGINT) AS bin_id, CAST(sum(n) AS BIGINT) AS denom FROM p JOIN bins ON d >= bins.lo AND d < bins.hi GROUP BY chrom, region, bin_id
+    UNION ALL SELECT chrom, region, CAST(-1 AS BIGINT), CAST(sum(b - a) AS BIGINT) FROM l GROUP BY chrom, region"""
+)
+def mask_pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Callable pairs of every tile, from the mask's intervals; the SQL shifts intervals by every distance."""
+    windows = region_tiling(spark, d).withColumn("region", t.region_name(F.col("start")))
+    return long(pairs.mask_pair_counts(t.mask(spark, d), windows, t.BP_EDGES), "bin_id", "denom")
+
+
 @query(
     f"""WITH {SITES} SELECT l.chrom AS chrom, round(avg(l.u * r.u), 8) AS mean_mut_prod FROM sites AS l JOIN sites AS r
     ON l.chrom = r.chrom AND r.pos > l.pos GROUP BY l.chrom"""

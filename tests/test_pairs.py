@@ -152,3 +152,24 @@ def test_slices_of_left_sites(monkeypatch):
     whole = pairs.binned_sums(at, v, first, codes, np.array(EDGES, float))
     monkeypatch.setattr(pairs, "SLICE", 7)
     assert (pairs.binned_sums(at, v, first, codes, np.array(EDGES, float)) == whole).all()
+
+
+@pytest.mark.parametrize("width", [7, 64, 1 << 20])
+def test_pairs_of_a_mask_from_its_intervals(spark, width):
+    """Windows of two arms, overlapping, partly and not covered, against all positions one by one."""
+    rng = random.Random(13)
+    mask = [("1", a, a + rng.randint(1, 25)) for a in rng.sample(range(400), 25)] + [("2", 0, 50)]
+    windows = [("1", "w0", 0, 100, 200), ("1", "w1", 100, 200, 200), ("1", "w2", 200, 260, 430), ("1", "w3", 230, 430, 430), ("1", "w4", 500, 600, 700), ("2", "w5", 10, 20, 30)]
+    edges = [0, 2.5, 10, 30, 500]
+    covered = {c: {p for d, a, b in mask if d == c for p in range(a, b)} for c in "12"}
+    want = {}
+    for c, name, start, l_end, r_end in windows:
+        own = sorted(p for p in covered[c] if start <= p < l_end)
+        if own:
+            want[name, -1] = len(own)
+            for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                want[name, k] = sum(1 for p in own for q in covered[c] if p < q < r_end and p + lo <= q < p + hi)
+    got = pairs.mask_pair_counts(
+        spark.createDataFrame(mask, "chrom string, start long, end long"), spark.createDataFrame(windows, "chrom string, region string, start long, l_end long, r_end long"), edges, width
+    )
+    assert {(r.region, r.bin_id): r.denom for r in got.collect()} == want
