@@ -26,6 +26,8 @@ holds. Without labels of both classes every score is the share of toxic labels,
 Empty tables give no rows.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,22 +55,28 @@ def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.concatenate(([0], np.cumsum(counts)))
 
 
-def word_grams(words: pa.Array) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """One string with all words; the last place of each n-gram, its hash, and its word."""
+#: Characters whose n-grams are made at a time: some seventy bytes each.
+STRETCH = 1 << 20
+
+
+def word_grams(words: pa.Array, stretch: int = STRETCH) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """One string with all words; by stretches the last place of each n-gram, its hash, and its word."""
     pad = START * (ORDER - 1)
     line = pad + (STOP + pad).join(words.to_pylist()) + STOP if len(words) else ""
-    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(codes) == 0:
-        return line, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes = np.zeros(len(codes) - ORDER + 1, np.uint64)
-    for k in range(ORDER):
-        hashes = (hashes ^ codes[k : len(codes) - ORDER + 1 + k]) * MIX
-        hashes ^= hashes >> np.uint64(29)
-    ends = np.arange(ORDER - 1, len(codes))
-    real = codes[ends] != ord(START)
-    word = np.cumsum(codes == ord(STOP))
-    word = np.concatenate(([0], word[:-1]))[ends]
-    return line, ends[real], hashes[real], word[real]
+    codes, before = np.frombuffer(line.encode("utf-32-le"), np.uint32), 0
+    for first in range(ORDER - 1, len(codes), stretch):
+        own = codes[first - ORDER + 1 : first + stretch].astype(np.uint64)
+        n = len(own) - ORDER + 1
+        hashes = np.zeros(n, np.uint64)
+        for k in range(ORDER):
+            hashes = (hashes ^ own[k : n + k]) * MIX
+            hashes ^= hashes >> np.uint64(29)
+        last = own[ORDER - 1 :]
+        real = np.flatnonzero(last != ord(START))
+        stops = np.cumsum(last == ord(STOP))
+        word = before + np.concatenate(([0], stops[:-1]))
+        before += int(stops[-1])
+        yield line, first + real, hashes[real], word[real]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -97,17 +105,17 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            line, ends, hashes, word = word_grams(batch["word"])
-            grams, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             by_word = [batch["times"].to_numpy(), np.ones(len(batch)), batch["toxic"].to_numpy(), batch["ordinary"].to_numpy()]
-            counts = [np.bincount(inverse, c[word], len(grams)) for c in by_word]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([line[e - ORDER + 1 : e + 1] for e in ends[first].tolist()], pa.string()),
-                    *[pa.array(c.astype(np.int64)) for c in counts],
-                ],
-                ["gram", "times", "kinds", "toxic", "ordinary"],
-            )
+            for line, ends, hashes, word in word_grams(batch["word"]):
+                grams, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                counts = [np.bincount(inverse, c[word], len(grams)) for c in by_word]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([line[e - ORDER + 1 : e + 1] for e in ends[first].tolist()], pa.string()),
+                        *[pa.array(c.astype(np.int64)) for c in counts],
+                    ],
+                    ["gram", "times", "kinds", "toxic", "ordinary"],
+                )
 
     found = words.mapInArrow(run, "gram string, times long, kinds long, toxic long, ordinary long")
     return found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("times", "kinds", "toxic", "ordinary")])
@@ -187,12 +195,18 @@ class Evidence:
 
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The sum for each word; the words and hashes of the n-grams that aren't among these."""
-        _, _, hashes, word = word_grams(words)
-        place = np.searchsorted(self.hashes[:-1], hashes)
-        found = self.hashes[place] == hashes
-        found &= place < len(self.hashes) - 1
-        sums = np.bincount(word, np.where(found, self.values[place], 0.0), len(words))
-        return sums, word[~found], hashes[~found]
+        sums, others, missing = np.zeros(len(words)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for _, _, hashes, word in word_grams(words):
+            if not len(word):
+                continue
+            place = np.searchsorted(self.hashes[:-1], hashes)
+            found = self.hashes[place] == hashes
+            found &= place < len(self.hashes) - 1
+            low, high = int(word[0]), int(word[-1]) + 1
+            sums[low:high] += np.bincount(word - low, np.where(found, self.values[place], 0.0), high - low)
+            others.append(word[~found])
+            missing.append(hashes[~found])
+        return sums, np.concatenate(others), np.concatenate(missing)
 
 
 def word_evidence(words: DataFrame, common, others: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import words
 from pyspark.sql import functions as F
@@ -149,3 +150,18 @@ def test_evidence_equals_plain_kneser_ney(spark, make_docs):
         r = found[hashlib.md5(text.encode()).digest()]
         assert r.mean == pytest.approx(sum(by_word) / max(len(by_word), 1), abs=1e-9)
         assert r.most == pytest.approx(max(by_word, default=0.0), abs=1e-9) and r.words == pytest.approx(math.log1p(len(by_word)))
+
+
+def test_stretches_make_no_difference():
+    rng = random.Random(2)
+    words_ = pa.array(["", "é😀" * 9, *("".join(rng.choices("abc", k=rng.randint(1, 30))) for _ in range(50))])
+    whole = list(toxicity.word_grams(words_))
+    assert len(whole) == 1
+    for stretch in (1, 7, 64):
+        parts = list(toxicity.word_grams(words_, stretch))
+        for k in (1, 2, 3):
+            assert np.array_equal(np.concatenate([p[k] for p in parts]), whole[0][k])
+    line, ends, _, word = whole[0]
+    for n, w in enumerate(words_.to_pylist()):
+        padded = toxicity.START * 4 + w + toxicity.STOP
+        assert [line[e - 4 : e + 1] for e in ends[word == n]] == [padded[i : i + 5] for i in range(len(padded) - 4)]
