@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.genetics import haldane_edges
 from .operators import bootstrap, hstats, intervals, maps, pairs, views
+from .operators.container import Statistics
 from .scratch import written
 from .sources import bed, vcf
 
@@ -219,22 +220,17 @@ def parse_vcf_coverage(spark: SparkSession, a) -> DataFrame:
 
 def plot_h2(spark: SparkSession, a) -> DataFrame:
     """The table behind the figure, of some populations or of a graph's; with H2 beside the square of H."""
-    edges = bed.read_edges(spark, a.bins)
-    means, covs = (bed.read_statistics(spark, f"{a.data}/{x}") for x in ("means", "covs"))
-    wanted = a.pops
+    demes = None
     if a.graph:
         from .models import graph
 
         with open(a.graph) as text:
-            demes = {x["name"] for x in graph.read_graph(text.read())["demes"]}
-        wanted = [p for p in bootstrap.populations_of(bed.read_statistics(spark, f"{a.data}/statistics")) if p in demes]
-    if wanted:
-        names = bed.read_statistics(spark, f"{a.data}/statistics")
-        means, covs = (bootstrap.subset_populations(df, names, wanted) for df in (means, covs))
-    out = views.curves(means, covs, edges)
+            demes = [x["name"] for x in graph.read_graph(text.read())["demes"]]
+    statistics = Statistics.read(spark, a.data).subset(a.pops, demes, a.min_r, a.max_r)
+    out = statistics.curves()
     if a.out:
         bed.write_statistics(out, a.out)
-        bed.write_statistics(views.h2_and_h_squared(means), f"{a.out}_ratios")
+        bed.write_statistics(statistics.ratios(), f"{a.out}_ratios")
     out.orderBy("stat_ord", "row").show(200)
     return out
 
@@ -266,7 +262,7 @@ def parser() -> argparse.ArgumentParser:
     command(setup_regions, ("--chrom", str, ...), ("--centromere", int, ...), ("--end", int, ...), ("--size", int, ...), ("--out", str, ...))
     command(parse_mut_vcf, ("--input", str, ...), ("--out", str, ...), ("--bed", str, None))
     command(parse_vcf_coverage, ("--vcf", str, ...), ("--out", str, ...))
-    c = command(plot_h2, ("--data", str, ...), ("--bins", str, ...), ("--graph", str, None), ("--out", str, None))
+    c = command(plot_h2, ("--data", str, ...), ("--graph", str, None), ("--min_r", float, None), ("--max_r", float, None), ("--out", str, None))
     c.add_argument("--pops", nargs="+")
     return p
 

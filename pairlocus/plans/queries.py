@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import genetics as g
 from ..operators import bootstrap as boot
 from ..operators import hstats, intervals, likelihood, maps, pairs, quadrature, views
+from ..operators.container import Statistics
 from ..scratch import scratch, written
 from ..sources import bed, vcf
 from . import derived as t
@@ -723,6 +724,34 @@ def stat_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chrom", g.stat_label(F.col("pop_i"), F.col("pop_j")).alias("label"), "num")
 
 
+def table_statistics(spark: SparkSession, d: str) -> Statistics:
+    rows = region_table(spark, d)
+    reps = boot.replicates(rows, REPS, DRAWS, seed=SEED, generator=GENERATOR)
+    return Statistics(boot.region_means(rows), boot.covariances(reps), tuple(t.POPULATIONS), tuple(map(float, t.BP_EDGES)))
+
+
+@query(
+    BOOT.replace("DENOM", "denom")
+    + f""", m AS (SELECT row, stat_ord, sum(num) / nullif(sum(denom), 0) AS mean FROM regional GROUP BY row, stat_ord), v AS (SELECT row, stat_ord, var_samp(value) AS v FROM reps GROUP BY row, stat_ord),
+    b AS (SELECT bin_id, (lo + hi) / 2.0 AS midpoint FROM bins)
+    SELECT m.row, CAST(m.stat_ord AS BIGINT) AS stat_ord, midpoint, round(mean, 9) AS mean, round(sqrt(v) * {g.normal_quantile(0.95)!r}, 6) AS half_width
+    FROM m LEFT JOIN v ON v.row = m.row AND v.stat_ord = m.stat_ord LEFT JOIN b ON b.bin_id = m.row"""
+)
+def h2_curves(spark: SparkSession, d: str) -> DataFrame:
+    return table_statistics(spark, d).curves().withColumns({"mean": F.round("mean", 9), "half_width": F.round("half_width", 6)})
+
+
+@query(
+    BASE
+    + """, k(stat_ord, new) AS (VALUES (7, 0), (2, 1), (0, 2)) SELECT row, CAST(new AS BIGINT) AS stat_ord, round(sum(num) / nullif(sum(denom), 0), 9) AS mean
+    FROM regional JOIN k ON k.stat_ord = regional.stat_ord WHERE row IN (-1, 0, 1, 2, 3) GROUP BY row, new"""
+)
+def population_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of two populations in another order, in bins up to 316 bp."""
+    means = table_statistics(spark, d).subset(["P2", "P0"], high=316).means
+    return long(means, "stat_ord").withColumn("mean", F.round("mean", 9))
+
+
 @query(BASE + """, m AS (SELECT row, stat_ord, sum(num) / nullif(sum(denom), 0) AS mean FROM regional GROUP BY row, stat_ord)
     SELECT a.row, CAST(a.stat_ord AS BIGINT) AS stat_ord, round(a.mean, 9) AS mean, round(h.mean * h.mean, 9) AS h_squared, round(a.mean / nullif(h.mean * h.mean, 0), 9) AS ratio
     FROM m AS a JOIN m AS h ON h.stat_ord = a.stat_ord AND h.row = -1 WHERE a.row >= 0""")

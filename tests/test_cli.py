@@ -6,6 +6,7 @@ import pytest
 from pairlocus import cli
 from pairlocus.functions.genetics import haldane_edges
 from pairlocus.models import ancestry, graph
+from pairlocus.operators.container import Statistics
 
 
 @pytest.fixture
@@ -45,7 +46,7 @@ def test_statistics_and_bootstrap(spark, files):
     cli.main(["bootstrap_h2", "--inputs", f"{d}/stats", "--out", f"{d}/boot", "--num_reps", "5", "--num_samples", "3"])
     assert spark.read.parquet(f"{d}/boot/means").count() == 4 * 3
     assert spark.read.parquet(f"{d}/boot/replicates").select("rep").distinct().count() == 5
-    cli.main(["plot_h2", "--data", f"{d}/boot", "--bins", f"{d}/bins"])
+    cli.main(["plot_h2", "--data", f"{d}/boot"])
 
 
 def test_tools(spark, files):
@@ -137,12 +138,23 @@ def test_windows_reach_to_their_right_ends(spark, files):
         (found,) = [r for r in rows if r.region == f"1_{start}" and r.row == -1 and r.stat_ord == 0]
         assert found.denom == sum(start <= p < l_end for p in covered)
     cli.main(["bootstrap_h2", "--inputs", f"{d}/some_stats", "--out", f"{d}/some_boot"])
-    cli.main(["plot_h2", "--data", f"{d}/some_boot", "--bins", f"{d}/bp", "--out", f"{d}/curves"])
+    cli.main(["plot_h2", "--data", f"{d}/some_boot", "--out", f"{d}/curves"])
     assert spark.read.parquet(f"{d}/curves").count() == 4 * 3
-    cli.main(["plot_h2", "--data", f"{d}/some_boot", "--bins", f"{d}/bp", "--pops", "B", "--out", f"{d}/of_b"])
+    cli.main(["plot_h2", "--data", f"{d}/some_boot", "--pops", "B", "--out", f"{d}/of_b"])
     want = {r.row: r["mean"] for r in spark.read.parquet(f"{d}/curves").where("stat_ord = 2").collect()}
     assert {r.row: r["mean"] for r in spark.read.parquet(f"{d}/of_b").collect()} == want
     assert spark.read.parquet(f"{d}/of_b_ratios").count() == 3
+    (d / "g.yaml").write_text(GRAPH.replace("name: X", "name: A"))
+    cli.main(["plot_h2", "--data", f"{d}/some_boot", "--graph", f"{d}/g.yaml", "--max_r", "300", "--out", f"{d}/of_a"])
+    want = {r.row: r["mean"] for r in spark.read.parquet(f"{d}/curves").where("stat_ord = 0 and row < 2").collect()}
+    assert {r.row: r["mean"] for r in spark.read.parquet(f"{d}/of_a").collect()} == want
+    both = Statistics.read(spark, f"{d}/some_boot")
+    assert both.populations == ("A", "B") and both.edges == (0, 10, 300, 2500) and "A, B in 3 bins" in repr(both)
+    turned = both.subset(["B", "A"])
+    assert {(r.row, r.stat_ord): r["mean"] for r in turned.means.collect()} == {(r.row, 2 - r.stat_ord): r["mean"] for r in both.means.collect()}
+    assert {(r.row, r.stat_i, r.stat_j): r["cov"] for r in turned.covs.collect()} == {(r.row, 2 - r.stat_i, 2 - r.stat_j): r["cov"] for r in both.covs.collect()}
+    with pytest.raises(ValueError, match="doesn't have"):
+        both.subset(["C"])
 
 
 def test_empty_windows_rates_and_options(spark, files):
