@@ -158,3 +158,4 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", rows:
             stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + (mb << 20), side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker stays for other tasks
