@@ -16,6 +16,7 @@ like others. Empty tables give no rows.
 import bisect
 import functools
 import json
+import math
 import zlib
 from collections import defaultdict
 
@@ -254,15 +255,22 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
-def ranked(pieces: DataFrame, salts: int) -> DataFrame:
+def salts_of(counts: dict[int, int], least_rows: int = 1000) -> dict[int, int]:
+    """In how many groups the pieces of each length are counted: neither groups nor their rows get too many."""
+    return {n: -(-c // max(least_rows, 8 * math.isqrt(c))) for n, c in counts.items()}
+
+
+def ranked(pieces: DataFrame, salts: dict[int, int]) -> DataFrame:
     """Add ``rank``: each piece's number, from 0, among those of its length.
 
-    A length that very many pieces share is counted in ``salts`` groups, which begin where
-    the ones before end. Groups go by the place of a piece in the written table, so that
-    repeated rows are spread too.
+    A length that very many pieces share is counted in so many groups as ``salts`` tells, which
+    begin where the ones before end. Groups go by the place of a piece in the written table, so
+    that repeated rows are spread too.
     """
     place = F.struct("_metadata.file_path", "_metadata.row_index")
-    salted = pieces.select("*", F.xxhash64(place).alias("place")).withColumn("salt", F.pmod("place", F.lit(salts)).cast("int"))
+    groups = pieces.sparkSession.createDataFrame(list(salts.items()), "length long, salts long")  # a row a length
+    placed = pieces.select("*", F.xxhash64(place).alias("place"))
+    salted = placed.join(F.broadcast(groups), "length").withColumn("salt", F.pmod("place", "salts").cast("int")).drop("salts")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     begins = (
         salted.groupBy("length", "salt")
@@ -279,12 +287,11 @@ def ranked(pieces: DataFrame, salts: int) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, salted_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: one row a piece."""
     spark = docs.sparkSession
     pieces = written(cut(docs, tokenizer_path, capacity), "pack-pieces", 2000, 8)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = max(1, -(-sum(counts.values()) // salted_rows))
     by_length: dict[int, list] = defaultdict(list)
     for n, *run in plan(counts, capacity):
         by_length[n].append(run)
@@ -306,7 +313,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, salted_
                 [*PIECES.names, "sequence_id", "offset"],
             )
 
-    return ranked(pieces, salts).mapInArrow(
+    return ranked(pieces, salts_of(counts)).mapInArrow(
         place,
         "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
     )

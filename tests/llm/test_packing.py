@@ -79,5 +79,18 @@ def test_other_files_are_refused(tmp_path):
             packing.tokenizer(f"{tmp_path}/{n}.json")
 
 
+def test_ranks_of_a_length_that_many_share(spark, tmp_path):
+    """Groups of a hot length make up one row of ranks, equal rows included."""
+    lengths = [5] * 3000 + [7] * 10 + [9]
+    path = str(tmp_path / "pieces")
+    spark.createDataFrame([(n % 3, 0, 0, x, 1) for n, x in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long").write.parquet(path)
+    salts = packing.salts_of(Counter(lengths), 100)
+    assert salts == {5: 7, 7: 1, 9: 1} and packing.salts_of({1: 10**10})[1] == 12_500
+    ranks = defaultdict(list)
+    for r in packing.ranked(spark.read.parquet(path), salts).collect():
+        ranks[r.length].append(r["rank"])
+    assert {x: sorted(r) for x, r in ranks.items()} == {x: list(range(n)) for x, n in Counter(lengths).items()}
+
+
 def test_empty(make_docs):
     assert packing.pack(make_docs([]), PATH).count() == 0
