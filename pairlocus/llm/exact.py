@@ -30,13 +30,16 @@ from .text import ascii_lower, hot_join, located, numbered, scratch, whole_text,
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
 }
 ARRIVAL = "doc_id long, digest binary, file long, row long"
 #: Hit digests whose hashes are broadcast: 8 bytes each.
 FEW_HITS = 1 << 20
+#: Arrivals for each partition of the state, each being a store of its own, up to the session's partitions.
+STORE_ROWS = 50_000
 
 
 def digest_of(text: Column) -> Column:
@@ -47,12 +50,13 @@ def remember(spark: SparkSession, arrivals: str, state: str) -> DataFrame:
     """Stream the digest files in ``arrivals`` through the keyed state under ``state``.
 
     Files of earlier calls with the same ``state`` aren't read again, while their keys are
-    still remembered. Returns ``digest, stays, seen``: the state of every key, as last emitted.
+    still remembered, in as many partitions as the first call took. Returns ``digest, stays, seen``: the state of every key, as last emitted.
     """
     side = spark.newSession()  # its settings are the stream's own
     for k, v in STATE.items():
         side.conf.set(k, v)
-    side.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    stores = -(-spark.read.schema(ARRIVAL).parquet(arrivals).count() // STORE_ROWS)
+    side.conf.set("spark.sql.shuffle.partitions", str(max(1, min(stores, int(spark.conf.get("spark.sql.shuffle.partitions"))))))
     keyed = (
         side.readStream.schema(ARRIVAL)
         .parquet(arrivals)
