@@ -79,44 +79,19 @@ def word_grams(words: pa.Array, stretch: int = STRETCH) -> Iterator[tuple[str, n
         yield line, first + real, hashes[real], word[real]
 
 
-def summed(tables: list[pa.Table]) -> pa.Table:
-    """One table with a row for each word."""
-    counts = ("times", "toxic", "ordinary")
-    out = pa.concat_tables(tables).group_by("word").aggregate([(c, "sum") for c in counts])
-    return out.select(["word", *[f"{c}_sum" for c in counts]]).rename_columns(["word", *counts])
-
-
-#: Words that a worker holds before it hands them on.
-HELD = 1 << 18
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, times, toxic, ordinary`` of ``docs(text, toxic)``: a row for each distinct word.
 
     Rows without a label still show which words there are.
     """
 
-    def counted(batches):
+    def run(batches):
         for batch in small_batches(batches, rows=1000, mb=4):
             label = batch["toxic"].fill_null(-1).to_numpy(zero_copy_only=False)
             words, codes, offsets = coded_words(batch["text"])
             by_word = np.repeat(label, np.diff(offsets))
             counts = [np.bincount(x, minlength=len(words)) for x in (codes, codes[by_word == 1], codes[by_word == 0])]
-            yield pa.Table.from_arrays([words, *map(pa.array, counts)], ["word", "times", "toxic", "ordinary"])
-
-    def run(batches):
-        held, rows = [], 0
-        for table in counted(batches):
-            held.append(table)
-            rows += len(table)
-            if rows > HELD:
-                held = [summed(held)]
-                rows = len(held[0])
-                if rows > HELD // 2:
-                    yield from held[0].to_batches(max_chunksize=10_000)
-                    held, rows = [], 0
-        if held:
-            yield from summed(held).to_batches(max_chunksize=10_000)
+            yield pa.RecordBatch.from_arrays([words, *map(pa.array, counts)], ["word", "times", "toxic", "ordinary"])
 
     found = docs.select("text", "toxic").mapInArrow(run, "word string, times long, toxic long, ordinary long")
     return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("times", "toxic", "ordinary")])
