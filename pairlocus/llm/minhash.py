@@ -184,7 +184,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         # Words are objects and several arrays of numbers: some thirty times a batch's bytes.
-        for batch in small_batches(batches, rows=1000, mb=4):
+        for batch in small_batches(batches, rows=500, mb=2):
             sets, begin = shingle_sets(batch["text"].to_pylist(), k)
             n = np.diff(begin)
             keys = band_keys(sketches(sets, begin))
@@ -287,12 +287,12 @@ def verified_links(rows: DataFrame, at: str, members: DataFrame, k: int, percent
         return links
 
     def cut(batches):
-        for batch in small_batches(batches, rows=1000, mb=4):
+        for batch in small_batches(batches, rows=500, mb=2):
             data = set_bytes(*shingle_sets(batch["text"].to_pylist(), k))
             names = [xxhash.xxh3_128_digest(s) for s in data]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["class", "set"])
 
-    sets = written(texts_of(large).select("text").mapInArrow(cut, "class binary, set binary"), "near-sets", 1000, 4)
+    sets = written(texts_of(large).select("text").mapInArrow(cut, "class binary, set binary"), "near-sets", 500, 2)
     large = large.select("class", "cluster", "n", "classes", "hub", "chunks")
     own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
@@ -338,7 +338,7 @@ def components(rows: DataFrame, at: str, k: int, percent: int, block: int = BLOC
         F.col(f"`{at}`.row").alias("row"),
         whole_text(rows).alias("text"),
     )
-    drawn = written(sketched(texts, k), "near-sketches", 1000, 4)
+    drawn = written(sketched(texts, k), "near-sketches", 500, 2)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
     classes = written(
         drawn.where("class is not null")

@@ -153,7 +153,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataF
     """
 
     def run(batches):
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, rows=1000, mb=4):
             ids, at = token_ids(batch["text"], tokenizer_path)
             out = defaultdict(list)
             for n, doc_id in enumerate(batch["doc_id"].to_pylist()):
@@ -290,7 +290,7 @@ def ranked(pieces: DataFrame, salts: dict[int, int]) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: one row a piece."""
     spark = docs.sparkSession
-    pieces = written(cut(docs, tokenizer_path, capacity), "pack-pieces", 2000, 8)
+    pieces = written(cut(docs, tokenizer_path, capacity), "pack-pieces", 1000, 4)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     by_length: dict[int, list] = defaultdict(list)
     for n, *run in plan(counts, capacity):

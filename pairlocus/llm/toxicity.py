@@ -56,7 +56,7 @@ def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 #: Characters whose n-grams are made at a time: some seventy bytes each.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 
 
 def word_grams(words: pa.Array, stretch: int = STRETCH) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,7 +86,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in small_batches(batches, rows=1000, mb=4):
+        for batch in small_batches(batches, rows=500, mb=2):
             label = batch["toxic"].fill_null(-1).to_numpy(zero_copy_only=False)
             words, codes, offsets = coded_words(batch["text"])
             by_word = np.repeat(label, np.diff(offsets))
@@ -247,7 +247,7 @@ def features(docs: DataFrame, common, by_word: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in small_batches(batches, rows=1000, mb=4):
+        for batch in small_batches(batches, rows=500, mb=2):
             words, codes, offsets = coded_words(batch["text"])
             sums, other, _ = common.value.of_words(words)
             known = np.ones(len(words), bool)
@@ -278,7 +278,7 @@ def features(docs: DataFrame, common, by_word: DataFrame) -> DataFrame:
         run, "key binary, word string, times long, total double, most double"
     )
     first = F.col("word").isNull()
-    rows = written(rows.select("key", F.xxhash64("word").alias("word_id"), first.alias("first"), "times", "total", "most"), "toxicity-by-text", 1000, 4)
+    rows = written(rows.select("key", F.xxhash64("word").alias("word_id"), first.alias("first"), "times", "total", "most"), "toxicity-by-text", 500, 2)
     llr = F.coalesce(F.col("llr"), F.lit(0.0))
     rare = rows.where(~F.col("first")).join(by_word, "word_id", "left").withColumns({"total": F.col("times") * llr, "most": llr})
     # Equal texts multiply the rows of their key.
@@ -382,7 +382,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, bits: int =
     drawn = F.broadcast(drawn_labels(labels, fit_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text(docs).alias("text"))
     counted = texts.join(drawn.where(~F.col("curve")).drop("curve"), "_id", "left")
-    words = written(word_counts(counted), "toxicity-words", 1000, 4)
+    words = written(word_counts(counted), "toxicity-words", 500, 2)
     counts = written(gram_counts(words), "toxicity-grams")
     grams = written(hashed(evidence(counts)), "toxicity-evidence")
     every = grams.agg(F.sum("times").alias("times"), F.sum("kinds").alias("kinds")).first()
