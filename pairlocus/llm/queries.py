@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprint, langid, minhash, mixing, packing, pii, suffixes, tokencount, toxicity
+from . import curve, exact, fingerprint, langid, merkle, minhash, mixing, packing, phrases, pii, suffixes, tokencount, toxicity
+from .text import ascii_lower
 
 def tokenizer_file(name: str) -> str:
     """Where the public tokenizer files are; every machine has them at the same place."""
@@ -51,6 +52,21 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.Manifest(docs, F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))).verified()
+
+
+def op12_curve_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_fingerprints": op2_fingerprints,
@@ -62,11 +78,72 @@ QUERIES = {
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_language": op9_language,
     "op10_token_count": op10_token_count,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_curve_pack": op12_curve_pack,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in fields) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of all levels over ``leaves(tree, i, n, h)``, and the runs of siblings."""
+    return f"""{name}_nodes AS (SELECT tree, 0 AS level, i, h, n FROM {leaves}
+          UNION ALL SELECT tree, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, i // 16, n),
+        {name}_runs AS (SELECT tree, level, i // 16 AS run, list(h ORDER BY i) AS hs FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, i // 16)"""
+
+
+def _climb(name: str, starts: str) -> str:
+    """The way of each of ``starts(leaf, tree, i, h, other, siblings)`` to the root: siblings by level, digests of it and its stand-in."""
+    before = "coalesce(array_to_string(list_slice(hs, 1, CAST(p.i % 16 AS BIGINT)), ''), '')"
+    after = "coalesce(array_to_string(list_slice(hs, CAST(p.i % 16 AS BIGINT) + 2, len(hs)), ''), '')"
+    return f"""{name}_paths AS (SELECT leaf, tree, 0 AS level, i, h, other, siblings FROM {starts}
+          UNION ALL SELECT p.leaf, p.tree, p.level + 1, p.i // 16, sha256({before} || p.h || {after}), sha256({before} || p.other || {after}), p.siblings || {before} || {after}
+            FROM {name}_paths AS p JOIN {name}_runs AS r ON r.tree = p.tree AND r.level = p.level AND r.run = p.i // 16),
+        {name}_ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY level DESC) AS above FROM {name}_paths) AS x WHERE above = 1)"""
+
+
+#: CRC-32 of a short text, bit by bit.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x // 2, 3988292384 * (x % 2)))))"
+_TAMPERED = f"CASE WHEN {_CRC} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+
 ORACLE_SQL = {
+    # Level by level, and each row's way up its two trees.
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE named AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS sources FROM (SELECT DISTINCT source FROM documents) AS s),
+        d AS (SELECT doc_id, source, {_leaf("text")} AS h, {_leaf("shown")} AS other FROM (SELECT *, {_TAMPERED} AS shown FROM documents) AS x),
+        leaves AS (SELECT row_number() OVER () AS leaf, doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n, h, other, '' AS siblings
+                   FROM d JOIN named ON named.source IS NOT DISTINCT FROM d.source),
+        {_tree("low", "leaves")},
+        {_climb("low", "leaves")},
+        subroots AS (SELECT 0 AS tree, t.tree AS i, sources AS n, t.h FROM (SELECT DISTINCT tree, h FROM low_ends) AS t JOIN named ON named.tree = t.tree),
+        {_tree("high", "subroots")},
+        starts AS (SELECT leaf, 0 AS tree, tree AS i, h, other, siblings FROM low_ends),
+        {_climb("high", "starts")}
+        SELECT doc_id, leaves.h AS leaf, low_ends.h AS subroot, high_ends.h AS root, sha256(high_ends.siblings) AS proof_sha256, high_ends.other AS folded_root, high_ends.other = high_ends.h AS verified
+        FROM leaves JOIN low_ends ON low_ends.leaf = leaves.leaf JOIN high_ends ON high_ends.leaf = leaves.leaf""",
+    # Every run of up to four words of every piece, counted as it is.
+    "op13_collocations": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+        t AS (SELECT lang, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS k(m) WHERE len(ws) >= m),
+        f AS (SELECT lang, m, list_slice(ws, i, i + m - 1) AS ws, count(*) AS a FROM t GROUP BY 1, 2, 3),
+        total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+        cut AS (SELECT c.lang, c.ws, c.a, k, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * c.a) // (CAST(l.a AS HUGEINT) + r.a) AS score
+                FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM f WHERE m > 1 AND a >= 30) AS c
+                JOIN f AS l ON l.lang = c.lang AND l.ws = list_slice(c.ws, 1, k) JOIN f AS r ON r.lang = c.lang AND r.ws = list_slice(c.ws, k + 1, c.m)),
+        weak AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS place FROM cut) AS x WHERE place = 1),
+        sub AS (SELECT lang, list_slice(ws, i, i + z - 1) AS ws, max(a) AS longer FROM (SELECT *, unnest(generate_series(1, m - z + 1)) AS i FROM f, (VALUES (2), (3)) AS q(z) WHERE m > z AND a >= 30) AS y GROUP BY 1, 2),
+        kept AS (SELECT weak.lang, array_to_string(weak.ws, ' ') AS phrase, a, l, r, score FROM weak LEFT JOIN sub ON sub.lang = weak.lang AND sub.ws = weak.ws
+                 WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)
+        SELECT z.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) AS z JOIN total ON total.lang = z.lang WHERE rank <= 2000""",
     "op6_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_LOWER} AS t FROM documents),
              r AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id,
