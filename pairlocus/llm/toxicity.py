@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .text import hot_join, located, numbered, small_batches, whole_text, written
 
 ORDER = 5
-#: Signs for the ends of a word.
-START, STOP = "", ""
+#: Signs for the ends of a word: white space, which no word holds.
+START, STOP = " ", "\n"
 DISCOUNT = 0.75
 ALPHABET = 256.0
 MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -41,4 +41,5 @@ def odd_rows():
         (6, "x" * 50_000, "hot"),
         (7, " \t\n ", "hot"),
         (8, "äÄ ÉÉ 日本語 😀", "é"),
+        (9, "page\ue001from \ue000 a pdf \u0301", "b"),
     ]

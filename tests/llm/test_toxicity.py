@@ -132,7 +132,8 @@ def plain_evidence(texts):
 
 def test_evidence_equals_plain_kneser_ney(spark, make_docs):
     rng = random.Random(6)
-    vocabulary = words(rng, 60)
+    # Characters for private use and the like are characters as others.
+    vocabulary = [*words(rng, 60), "\ue000x", "pages\ue001from", "\ue001", "a\x00", "\u0301", "\U0010ffff"]
     texts = [(" ".join(rng.choices(vocabulary + RUDE[: 4 * (i % 3 == 0)], k=rng.randint(0, 30))), [1, 0, 0, None][i % 4]) for i in range(60)]
     want = plain_evidence(texts)
     rows = spark.createDataFrame(texts, "text string, toxic int")
