@@ -17,7 +17,9 @@ kind's threshold has the asked precision on both thirds, and ``calibration`` rep
 and recall there. Detection reads every whole text.
 
 Patterns are matched in time linear in a text: starts inside a run that has already failed
-are skipped by possessive repeats and look-behinds, which changes no match.
+are skipped by possessive repeats and look-behinds, which changes no match. Candidates of cards and
+phones, up to nineteen digits from each group on, are made and scored in vectors over the groups of
+a batch, a bounded number at a time; which spans overlap is looked up by character.
 
 Nulls: a null text counts as empty and has no spans; null or repeated document ids are rows
 like others. Empty tables give no rows.
@@ -27,6 +29,8 @@ import functools
 import hashlib
 import random
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import small_batches, whole_text, written
+from .text import small_batches, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)")
@@ -103,40 +107,40 @@ def base_spans(text: str) -> list[Span]:
 
 # Generators of candidates
 
-WRITTEN = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}|@) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]{1,63}+)+",
-    re.IGNORECASE,
-)
+AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}|@) ?", re.IGNORECASE)
+HOST = re.compile(r"[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]++)++", re.IGNORECASE)
 DOTTED = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?\[\.\] ?|\.)[0-9]{1,3}(?: ?\[\.\] ?|\.)[0-9]{1,3}(?: ?\[\.\] ?|\.)[0-9]{1,3}(?![0-9])")
 NUMBERS = re.compile(r"[0-9]++(?:[ .\-()/]{1,2}[0-9]++)*+")
 GROUP = re.compile(r"[0-9]+")
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Written addresses from left to right: the whole run before a sign that a host follows."""
+    found, free = [], 0
+    for m in AT.finditer(text):
+        host = HOST.match(text, m.end())
+        start = m.start()
+        while host and start > free and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start():
+            found.append((start, host.end()))
+            free = host.end()
+    return found
+
+
 def candidates(text: str) -> list[Span]:
     """Spans that might be personal data; they overlap, and most are none."""
-    spans: list[Span] = []
+    numbers = [(kind, s, e) for kind, _, starts, ends, _ in number_candidates([text]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [*plain_candidates(text), *numbers]
+
+
+def plain_candidates(text: str) -> list[Span]:
+    """Those of emails and ips, which don't overlap within a kind."""
     lower = text.lower()
+    spans: list[Span] = []
     if "@" in text or "(at)" in lower or "[at]" in lower or "{at}" in lower:
-        spans += [("email", *m.span()) for m in WRITTEN.finditer(text)]
-    spans += [("ip", *m.span()) for m in DOTTED.finditer(text)]
-    for m in NUMBERS.finditer(text):
-        groups = [(m.start() + g.start(), m.start() + g.end()) for g in GROUP.finditer(m[0])]
-        for i in range(len(groups)):
-            total = 0
-            for j in range(i, len(groups)):
-                total += groups[j][1] - groups[j][0]
-                if total > 19:
-                    break
-                start, end = groups[i][0], groups[j][1]
-                if 13 <= total and luhn(digits_of(text[start:end])):
-                    spans.append(("card", start, end))
-                if 7 <= total <= 15:
-                    if start and text[start - 1] == "(":
-                        start -= 1
-                    if start and text[start - 1] == "+":
-                        start -= 1
-                    spans.append(("phone", start, end))
-    return spans
+        spans += [("email", *s) for s in addresses(text)]
+    return spans + [("ip", *m.span()) for m in DOTTED.finditer(text)]
 
 
 KEYWORDS = {
@@ -148,16 +152,43 @@ KEYWORDS = {
 AGAINST = ("version", "order", "isbn", "ref", "id", "token", "key", "date", "v")
 
 
+#: Signs before or after a span that speak of keys and names.
+JOINING = ("_", "/", "=", '"')
+
+
+def said_before(text: str, kind: str, start: int) -> tuple[float, float]:
+    """Whether one of the three words before speaks for the kind, or against all."""
+    words = re.findall(r"[a-z]+", text[max(0, start - 24) : start].lower())[-3:]
+    return float(any(w in k for k in words for w in KEYWORDS[kind])), float(any(k in AGAINST for k in words))
+
+
+def at_start(text: str, kind: str, start: int) -> tuple[float, ...]:
+    """What the place where a span begins tells: signs, joined letters, words, digits before it."""
+    before = text[start - 1 : start]
+    return (
+        float(text.startswith("+", start)),
+        float(text.startswith("(", start)),
+        float(before.isalnum() or before in JOINING or before == "#"),
+        *said_before(text, kind, start),
+        float(before.isdigit()),
+        float(any(c.isdigit() or c == "+" for c in text[max(0, start - 3) : start])),
+    )
+
+
+def at_end(text: str, end: int) -> tuple[float, ...]:
+    after = text[end : end + 1]
+    return float(after.isalnum() or after in JOINING), float(after.isdigit()), float(any(c.isdigit() for c in text[end : end + 3]))
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of a candidate."""
     span = text[start:end]
     number = digits_of(span)
     groups = [len(g) for g in GROUP.findall(span)]
-    before, after = text[start - 1 : start], text[end : end + 1]
-    near = text[max(0, start - 24) : start].lower()
-    words = re.findall(r"[a-z]+", near)[-3:]
     parts = [int(p) for p in GROUP.findall(span)[:4]] if kind == "ip" and len(span) < 64 else [0]
     tail = re.split(r"[.)\]}]", span)[-1].strip() if kind == "email" else ""
+    plus, paren, joined_before, speaks, against, digit_before, near_before = at_start(text, kind, start)
+    joined_after, digit_after, near_after = at_end(text, end)
     return [
         len(number),
         len(groups),
@@ -166,26 +197,105 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         groups[-1] if groups else 0,
         float(13 <= len(number) <= 19 and luhn(number)),
         float(number[:1] in ("3", "4", "5", "6")),
-        float(span.startswith("+")),
-        float(span.startswith("(")),
+        plus,
+        paren,
         span.count("-"),
         span.count(" "),
         span.count("."),
         span.count("/"),
         max(parts),
-        float(before.isalnum() or before in ("_", "/", "=", '"', "#")),
-        float(after.isalnum() or after in ("_", "/", "=", '"')),
-        float(any(w in k for k in words for w in KEYWORDS[kind])),
-        float(any(k in AGAINST for k in words)),
+        joined_before,
+        joined_after,
+        speaks,
+        against,
         len(tail),
         float(tail.isalpha()),
         float("@" in span or "at" in span.lower()),
-        float(before.isdigit() or after.isdigit()),
-        float(any(c.isdigit() or c == "+" for c in text[max(0, start - 3) : start])),
-        float(any(c.isdigit() for c in text[end : end + 3])),
+        float(digit_before or digit_after),
+        near_before,
+        near_after,
     ]
 
 
+#: Digit groups whose candidates are made at a time, and the most digits of a candidate.
+GROUPS, DIGITS = 1 << 12, 19
+
+
+def number_candidates(texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``kind, number of the text, start, end, features`` of cards and phones, some groups of digits at a time.
+
+    The features are those of ``features``, from running sums over the groups.
+    """
+    rows = [
+        (n, chain, g.start(), g.end())
+        for n, text in enumerate(texts)
+        for chain, m in enumerate(NUMBERS.finditer(text))
+        for g in GROUP.finditer(text, m.start(), m.end())
+    ]
+    if not rows:
+        return
+    own, chain, start, end = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    size = end - start
+    # Only the first digits of a long group can matter: none is in a candidate.
+    digits = np.frombuffer("".join(texts[n][s : min(e, s + DIGITS + 1)] for n, _, s, e in rows).encode(), np.uint8).astype(np.int64) - 48
+    kept = np.minimum(size, DIGITS + 1)
+    first = np.cumsum(kept) - kept
+    doubled = 2 * digits - 9 * (digits > 4)
+    odd = np.arange(len(digits)) % 2 == 1
+    #: Running sums by whether the last digit of a number stands at an odd place.
+    sums = [np.concatenate(([0], np.cumsum(np.where(odd == last, digits, doubled)))) for last in (False, True)]
+    between = [texts[n][e : min(s, e + 2)] if n == m else "" for (n, _, _, e), (m, _, s, _) in zip(rows, rows[1:], strict=False)]
+    signs = [np.concatenate(([0], np.cumsum([g.count(c) for g in between]))).astype(np.int64) for c in "- ./"]
+    for low in range(0, len(rows), GROUPS):
+        i = np.arange(low, min(low + GROUPS, len(rows)))
+        total, most, least = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), np.full(len(i), 1 << 62)
+        found: dict[str, list] = {"card": [], "phone": []}
+        for k in range(DIGITS):
+            alive = i + k < len(rows)
+            i, total, most, least = i[alive], total[alive], most[alive], least[alive]
+            j = i + k
+            total = total + size[j]
+            alive = (total <= DIGITS) & (own[j] == own[i]) & (chain[j] == chain[i])
+            if not alive.any():
+                break
+            i, j, total, most, least = i[alive], j[alive], total[alive], np.maximum(most[alive], size[j][alive]), np.minimum(least[alive], size[j][alive])
+            a, b = first[i], first[j] + size[j]
+            check = np.where((b - 1) % 2 == 1, sums[1][b] - sums[1][a], sums[0][b] - sums[0][a])
+            good = (total >= 13) & (check % 10 == 0)
+            for kind, which in (("card", good), ("phone", (total >= 7) & (total <= 15))):
+                at, to = i[which], j[which]
+                columns = [total[which], np.full(len(at), k + 1), most[which], least[which], size[to], good[which], (digits[a[which]] >= 3) & (digits[a[which]] <= 6)]
+                found[kind].append((at, to, np.array([*columns, *[c[to] - c[at] for c in signs]], float)))
+        for kind, parts in found.items():
+            if not parts:
+                continue
+            at, to, inner = (np.concatenate([p[c] for p in parts], axis=-1) for c in range(3))
+            if not len(at):
+                continue
+            begins, back = np.unique(at, return_inverse=True)
+            starts = start[begins]
+            if kind == "phone":
+                starts = np.array([opened(texts[n], s) for n, s in zip(own[begins].tolist(), starts.tolist(), strict=True)])
+            before = np.array([at_start(texts[n], kind, s) for n, s in zip(own[begins].tolist(), starts.tolist(), strict=True)]).T[:, back]
+            stops, forth = np.unique(to, return_inverse=True)
+            after = np.array([at_end(texts[n], e) for n, e in zip(own[stops].tolist(), end[stops].tolist(), strict=True)]).T[:, forth]
+            zero = np.zeros(len(at))
+            x = np.array([
+                *inner[:7], before[0], before[1], *inner[7:], zero, before[2], after[0], before[3], before[4], zero, zero, zero,
+                np.maximum(before[5], after[1]), before[6], after[2],
+            ]).T
+            yield kind, own[at], starts[back], end[to], x
+
+
+def opened(text: str, start: int) -> int:
+    """Where a phone begins whose first digit is at ``start``: a bracket and a plus before it belong to it."""
+    if start and text[start - 1] == "(":
+        start -= 1
+    if start and text[start - 1] == "+":
+        start -= 1
+    return start
+
+
 class Trees:
     """Gradient-boosted regression trees of depth 3 for the logistic loss."""
 
@@ -233,11 +343,14 @@ class Trees:
 
     def leaf(self, tree: list, x: np.ndarray) -> np.ndarray:
         feature, cut, value = (np.array(c) for c in zip(*tree, strict=True))
+        for n in range(2**self.depth - 1):  # below a leaf its value stays
+            if feature[n] < 0:
+                feature[2 * n + 1 : 2 * n + 3], value[2 * n + 1 : 2 * n + 3] = -1, value[n]
         node = np.zeros(len(x), np.int64)
-        for _ in range(self.depth):
-            inner = feature[node] >= 0
-            right = x[np.arange(len(x)), np.maximum(feature[node], 0)] > cut[node]
-            node = np.where(inner, 2 * node + 1 + right, node)
+        for level in range(self.depth):
+            inner = range(2**level - 1, 2 ** (level + 1) - 1)
+            right = np.array([x[:, feature[n]] > cut[n] if feature[n] >= 0 else np.zeros(len(x), bool) for n in inner])
+            node = 2 * node + 1 + right[node - inner.start, np.arange(len(x))]
         return value[node]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -328,11 +441,10 @@ AROUND = 80
 
 def places(text: str) -> list[tuple[str, str, int, int]]:
     """``window, kind, start, end`` of validated spans and, with kind none, of numbers that fail the checks."""
-    base = base_spans(text)
-    found = list(base)
-    taken = sorted((s, e) for _, s, e in base)
+    found = base_spans(text)
+    taken = covered(text, found)
     for m in NUMBERS.finditer(text):
-        if all(e <= m.start() or m.end() <= s for s, e in taken) and fails_checks(text, *m.span()):
+        if m.end() - m.start() <= AROUND and 1 not in taken[m.start() : m.end()] and fails_checks(text, *m.span()):
             found.append(("none", *m.span()))
     out = []
     for kind, start, end in found:
@@ -342,31 +454,55 @@ def places(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def covered(text: str, spans: list[Span]) -> bytearray:
+    """For each character, 1 if a span holds it."""
+    out = bytearray(len(text))
+    for _, start, end in spans:
+        out[start:end] = b"\1" * (end - start)
+    return out
+
+
+def place_hash(place: tuple[str, str, int, int]) -> int:
+    return zlib.crc32("\0".join(map(str, place)).encode())
+
+
 def drawn_places(docs: DataFrame, fit_rows: int) -> list[tuple[str, str, int, int]]:
     """At most ``fit_rows`` places of the documents, those of the least hashes.
 
-    About half as many again come to the driver, whatever the number of tasks.
+    Places are counted first; then tasks pass on those whose hashes are below a share, so that about
+    half as many again come to the driver, whatever the number of documents. Equal places count as
+    one: of a table with many copies fewer are drawn.
     """
+    texts = docs.select(whole_text(docs).alias("text")).where(F.col("text").rlike("[0-9@]"))
+
+    def count(batches):
+        for batch in small_batches(batches, rows=4000, mb=16):
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(places(t)) for t in batch["text"].to_pylist())])], ["n"])
+
+    total = texts.mapInArrow(count, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    below = int(min(1.0, 1.5 * fit_rows / max(total, 1)) * (1 << 32))
 
     def run(batches):
         for batch in small_batches(batches, rows=4000, mb=16):
-            found = [p for t in batch["text"].to_pylist() for p in places(t)]
+            found = [p for t in batch["text"].to_pylist() for p in places(t) if place_hash(p) < below]
             columns = zip(*found, strict=True) if found else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["window", "kind", "start", "end"])
 
-    texts = docs.select(whole_text(docs).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    rows = texts.mapInArrow(run, "window string, kind string, start int, end int").distinct()
-    rows = written(rows.withColumn("hash", F.xxhash64("window", "start", "end", "kind")), "pii-places", 4000, 16)
-    share = min(1.0, 1.5 * fit_rows / max(rows.count(), 1))
-    drawn = rows.where(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30))).collect()
-    return [tuple(r)[:4] for r in sorted(drawn, key=lambda r: (r["hash"] % (1 << 30), tuple(r)))[:fit_rows]]
+    drawn = [tuple(r) for r in texts.mapInArrow(run, "window string, kind string, start int, end int").distinct().collect()]
+    return sorted(drawn, key=lambda p: (place_hash(p), p))[:fit_rows]
 
 
-def examined(text: str, truth: list[Span], kinds=KINDS, within: tuple[int, int] | None = None):
-    """``kind, label, features`` of a text's candidates, or of those that overlap ``within``."""
-    for kind, start, end in candidates(text):
-        if kind in kinds and (within is None or (start < within[1] and within[0] < end)):
-            yield kind, float((kind, start, end) in truth), features(text, kind, start, end)
+def examined(texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``kind, number of the text, start, end, features`` of all candidates of some texts."""
+    plain: dict[str, list[tuple[int, int, int]]] = {"email": [], "ip": []}
+    for n, text in enumerate(texts):
+        for kind, start, end in plain_candidates(text) if text else ():
+            plain[kind].append((n, start, end))
+    for kind, spans in plain.items():
+        for low in range(0, len(spans), GROUPS):
+            own = spans[low : low + GROUPS]
+            yield kind, *np.array(own).T, np.array([features(texts[n], kind, s, e) for n, s, e in own], float)
+    yield from number_candidates(texts)
 
 
 class Calibrated(dict):
@@ -386,19 +522,25 @@ def threshold_of(p: np.ndarray, truth: np.ndarray, precision: float) -> float:
 def trained(examples: int = 6000, seed: int = 5, precision: float = 0.97, drawn: tuple = ()) -> Calibrated:
     """Trees and thresholds from synthetic snippets and from ``drawn_places``; two in three are for the trees."""
     rng = random.Random(seed)
-    rows: dict[str, list] = {k: [] for k in KINDS}
+    texts, asked = [], []  # of each text its true spans, the kinds and the stretch that are looked at, and its use
     for n in range(examples):
         text, spans = example(rng)
-        for kind, y, x in examined(text, spans):
-            rows[kind].append((n % 3 > 0, False, y, x))
+        texts.append(text)
+        asked.append((spans, KINDS, (0, len(text)), n % 3 > 0, False))
     for n, (window, kind, start, end) in enumerate(drawn):
         text, truth = window, []
         if kind != "none":
             new, at = rewritten(kind, window[start:end], rng)
             text, truth = window[:start] + new + window[end:], [(kind, start + at, start + len(new))]
             end = start + len(new)
-        for k, y, x in examined(text, truth, KINDS if kind == "none" else (kind,), (start, end)):
-            rows[k].append((n % 3 > 0, True, y, x))
+        texts.append(text)
+        asked.append((truth, KINDS if kind == "none" else (kind,), (start, end), n % 3 > 0, True))
+    rows: dict[str, list] = {k: [] for k in KINDS}
+    for kind, number, starts, ends, x in examined(texts):
+        for n, start, end, values in zip(number.tolist(), starts.tolist(), ends.tolist(), x, strict=True):
+            truth, kinds, (low, high), use, own = asked[n]
+            if kind in kinds and start < high and low < end:
+                rows[kind].append((use, own, float((kind, start, end) in truth), values))
     models = Calibrated()
     models.report = []
     for kind, found in rows.items():
@@ -435,24 +577,24 @@ def calibration(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 
 
 def find_spans(texts: list[str], models: dict[str, tuple[Trees, float]]) -> list[tuple[list[Span], list[Span]]]:
-    """Base spans and all spans of each text; candidates of a batch are scored together."""
+    """Base spans and all spans of each text; candidates of all texts are scored together."""
     base = [base_spans(t) if t else [] for t in texts]
-    asked: dict[str, list[tuple[int, int, int]]] = {k: [] for k in KINDS}
-    for n, text in enumerate(texts):
-        taken = set(base[n])
-        for kind, start, end in candidates(text) if text else ():
-            if (kind, start, end) not in taken:
-                asked[kind].append((n, start, end))
     found = [list(spans) for spans in base]
-    for kind, spans in asked.items():
-        if not spans:
-            continue
+    likely: list[tuple[float, int, int, int, str]] = []
+    for kind, number, starts, ends, x in examined(texts):
         trees, threshold = models[kind]
-        p = trees.probability(np.array([features(texts[n], kind, s, e) for n, s, e in spans], float))
-        for i in sorted(np.flatnonzero(p >= threshold).tolist(), key=lambda i: (-p[i], spans[i])):
-            n, start, end = spans[i]
-            if all(end <= s or e <= start for _, s, e in found[n]):
-                found[n].append((kind, start, end))
+        p = trees.probability(np.asfortranarray(x))
+        good = np.flatnonzero(p >= threshold)
+        likely += [(-p[i], int(number[i]), int(starts[i]), int(ends[i]), kind) for i in good]
+    # A kind after the other, the likelier first; a span that overlaps one that is there goes.
+    likely.sort(key=lambda c: (KINDS.index(c[4]), *c))
+    taken: dict[int, bytearray] = {}
+    for _, n, start, end, kind in likely:
+        if n not in taken:
+            taken[n] = covered(texts[n], base[n])
+        if 1 not in taken[n][start:end]:
+            taken[n][start:end] = b"\1" * (end - start)
+            found[n].append((kind, start, end))
     place = {k: i for i, k in enumerate(KINDS)}
     return [(b, sorted(f, key=lambda s: (place[s[0]], s[1], s[2]))) for b, f in zip(base, found, strict=True)]
 
