@@ -2,44 +2,19 @@
 
 import argparse
 import json
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.genetics import haldane_edges
-from .operators import bootstrap, hstats, intervals, maps, pairs, views
+from .functions.genetics import haldane_edges, stat_label
+from .operators import bootstrap, hstats, intervals, lattice, maps, pairs, views
 from .operators.container import Statistics
 from .scratch import written
 from .sources import bed, vcf
 
 
-def layered(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Windows as ``chrom, start, end, layer, region``, and ``layer, low, high`` of the layers.
-
-    A layer's windows have one ``r_end`` and don't overlap, so that each left site is in one of
-    them at most. The windows of a chromosome are a short list by their nature.
-    """
-    rows, layers = [], []
-    for w in windows.distinct().orderBy("r_end", "start", "l_end").collect():
-        n = next((n for n, (_, high, end) in enumerate(layers) if high == w.r_end and end <= w.start), len(layers))
-        low = w.start if n == len(layers) else layers[n][0]
-        layers[n : n + 1] = [(low, w.r_end, w.l_end)]
-        rows.append((w.chrom, w.start, w.l_end, n, f"{w.chrom}_{w.start}"))
-    spark = windows.sparkSession
-    return (
-        spark.createDataFrame(rows, "chrom string, start long, end long, layer int, region string"),
-        spark.createDataFrame([(n, low, high) for n, (low, high, _) in enumerate(layers)], "layer int, low long, high long"),
-    )
-
-
-def in_windows(points: DataFrame, named: DataFrame, layers: DataFrame) -> DataFrame:
-    """Points by layer up to its ``r_end``; ``first`` for those in a window, with its region."""
-    near = points.crossJoin(F.broadcast(layers)).where("pos >= low and pos < high").drop("low", "high")
-    found = intervals.locate(points.select("chrom", "pos").distinct(), named).select("chrom", "pos", "layer", "region")
-    return near.join(found, ["chrom", "pos", "layer"], "left").withColumn("first", F.col("region").isNotNull())
-
-
 def of_chromosome(rows: DataFrame, chrom: str, what: str) -> DataFrame:
     """Rows of one chromosome, named as ``chrom`` is; with or without ``chr`` is the same name."""
     kept = rows.where(F.regexp_replace("chrom", "^chr", "") == chrom.removeprefix("chr")).withColumn("chrom", F.lit(chrom))
@@ -48,47 +23,70 @@ def of_chromosome(rows: DataFrame, chrom: str, what: str) -> DataFrame:
     return kept
 
 
+def map_of(spark: SparkSession, a, extent: int) -> DataFrame | None:
+    """The chromosome's map: that of the file, one of a constant rate, or none."""
+    if a.rec_map and a.r is not None:
+        raise ValueError("give either a recombination map or a constant rate")
+    if a.rec_map:
+        return maps.checked_map(bed.read_recombination_map(spark, a.rec_map, a.chrom))
+    if a.r is not None:
+        line = [(a.chrom, 0.0, 0.0), (a.chrom, float(extent), haldane_edges([a.r])[0] * extent)]
+        return spark.createDataFrame(line, "chrom string, bp double, cm double")
+    return None
+
+
 def parse_h2(spark: SparkSession, a) -> DataFrame:
     """Region statistics of a chromosome of a variant file, written as Parquet.
 
-    With a mutation map the mean rates of regions, which ``bootstrap_h2 --rates`` reads, are
-    written to ``OUT_rates``. Denominators are counted over the mask (``--compute_denom 1``),
-    over the variant sites (0, with ``--compute_snp_denom 1``), or left out (both 0).
+    Regions are named by the chromosome and their number in the file; they may overlap, each has
+    its own right end. Without a file the whole chromosome is one. Bins are recombination fractions
+    where there is a map (a file's, or that of a constant rate ``--r``) and base pairs where there
+    is none; ``--bin_unit cM`` takes them as map distances. With a mutation map the mean rates of
+    regions, which ``bootstrap_h2 --rates`` reads, are written to ``OUT_rates``. Denominators are
+    counted over the mask (``--compute_denom 1``), over the variant sites (0, with
+    ``--compute_snp_denom 1``), or left out (both 0). Those of a mask are counted on intervals; only
+    a dense array of rates is gone through by position.
     """
     edges = bed.read_edges(spark, a.bins)
-    mask = of_chromosome(bed.read_bed(spark, a.bed, a.min_reg_len), a.chrom, "the mask")
-    windows = bed.read_windows(spark, a.regions, a.chrom)
-    wanted = bed.read_populations(spark, a.pops) if a.pops else None
-    names = vcf.header(spark, a.vcf)
-    wanted = wanted or [(s, s) for s in names]
+    mask = intervals.merge(of_chromosome(bed.read_bed(spark, a.bed, a.min_reg_len), a.chrom, "the mask"))
+    extent = mask.agg(F.max("end").alias("end")).first()["end"] or 0
+    windows = bed.read_numbered_windows(spark, a.regions, a.chrom) if a.regions else bed.whole_window(spark, a.chrom, extent)
+    # Nothing lies beyond the mask's end.
+    windows = windows.withColumns({c: F.least(c, F.lit(extent)).cast("long") for c in ("start", "l_end", "r_end")})
+    wanted = bed.read_populations(spark, a.pops) if a.pops else [(s, s) for s in vcf.header(spark, a.vcf)]
     of_chromosome(vcf.read_positions(spark, a.vcf), a.chrom, "the variant file")
     sites = vcf.read_genotypes(spark, a.vcf, mask, samples=[s for s, _ in wanted], chrom=a.chrom)
-    # Pairs of a mask are counted on its intervals where neither a map nor rates tell positions apart.
-    by_interval = a.compute_denom and not (a.rec_map or a.mut_map)
-    covered = intervals.positions(mask) if a.compute_denom and not by_interval else sites
-    at, steps = "pos", edges
-    if a.rec_map:
-        knots = maps.checked_map(bed.read_recombination_map(spark, a.rec_map, a.chrom))
-        sites, covered = maps.interpolate(sites, knots), maps.interpolate(covered.select("chrom", "pos"), knots)
-        at, steps = "cm", haldane_edges(edges)
-    if a.mut_map:
-        covered = maps.step_lookup(covered, of_chromosome(bed.read_mutation_map(spark, a.mut_map, a.chrom), a.chrom, "the mutation map")).where("u is not null")
-    named, layers = layered(windows)
-
-    def placed(df: DataFrame) -> DataFrame:
-        return in_windows(df, named, layers)
-
-    rate, two = "u" if a.mut_map else None, bool(a.compute_two_sample)
-    stats = hstats.region_statistics(
-        placed(sites), placed(covered), len(wanted), steps, at, rate, ["chrom", "layer"], "first", named.select("chrom", "region").distinct(), two,
-        pairs.mask_pair_counts(mask, windows.distinct().withColumn("region", F.concat_ws("_", "chrom", "start")), edges) if by_interval else None,
-    )
+    knots = map_of(spark, a, extent)
+    unit = a.bin_unit or ("bp" if knots is None else "r")
+    if unit not in ("r", "cM", "bp") or (unit == "bp") != (knots is None):
+        raise ValueError(f"bins in {unit} {'need' if knots is None else 'go without'} a map")
+    at, steps = "pos", haldane_edges(edges) if unit == "r" else edges
+    if knots is not None:
+        sites, at = maps.interpolate(sites, knots), "cm"
+    rates = of_chromosome(bed.read_mutation_map(spark, a.mut_map, a.chrom), a.chrom, "the mutation map") if a.mut_map else None
+    two, rate, region_rates = bool(a.compute_two_sample), "u" if a.mut_map else None, None
+    if a.compute_denom and not (a.mut_map and bed.is_dense(spark, a.mut_map)):
+        runs = lattice.weighted_runs(mask, rates)
+        if knots is None and rates is None:
+            denominators = pairs.mask_pair_counts(mask, windows, steps)
+        else:
+            denominators = lattice.interval_pair_sums(runs, windows, steps, knots)
+        region_rates = lattice.interval_rates(runs, windows)
+    else:
+        covered = intervals.positions(mask) if a.compute_denom else sites.select("chrom", "pos", *([at] if knots is not None else []))
+        if a.compute_denom and knots is not None:
+            covered = maps.interpolate(covered, knots)
+        if rates is not None:
+            covered = maps.step_lookup(covered, rates).where("u is not null")
+            region_rates = hstats.region_rates(hstats.of_windows(covered, windows), "u", windows.select("region").distinct())
+        denominators = hstats.window_denominators(covered, windows, steps, at, rate)
+    stats = hstats.window_statistics(sites, windows, len(wanted), steps, denominators, at, two)
     if not (a.compute_denom or a.compute_snp_denom):
         stats = stats.withColumn("denom", F.lit(None).cast("double"))
     stats = bootstrap.described(stats.withColumn("row", F.col("bin_id")), [p for _, p in wanted], edges, two)
     bed.write_statistics(stats, a.out, "chrom")
-    if rate:
-        bed.write_statistics(hstats.region_rates(placed(covered).where("first"), rate, named.select("region").distinct()), f"{a.out}_rates")
+    if a.mut_map:
+        bed.write_statistics(region_rates, f"{a.out}_rates")
     return bed.read_statistics(spark, a.out)
 
 
@@ -219,19 +217,32 @@ def parse_vcf_coverage(spark: SparkSession, a) -> DataFrame:
 
 
 def plot_h2(spark: SparkSession, a) -> DataFrame:
-    """The table behind the figure, of some populations or of a graph's; with H2 beside the square of H."""
-    demes = None
-    if a.graph:
-        from .models import graph
+    """The table behind the figure, of some populations or of a graph's; with H2 beside the square of H.
 
-        with open(a.graph) as text:
-            demes = [x["name"] for x in graph.read_graph(text.read())["demes"]]
-    statistics = Statistics.read(spark, a.data).subset(a.pops, demes, a.min_r, a.max_r)
-    out = statistics.curves()
+    Of several data sets the rows are told apart by ``label``: those given, or else the folders' names.
+    """
+    labels = a.labels or [d.rstrip("/").rsplit("/", 1)[-1] for d in a.data]
+    graphs = a.graph or []
+    if len(set(labels)) < len(a.data) or len(labels) != len(a.data) or len(graphs) not in (0, 1, len(a.data)):
+        raise ValueError("each data set needs a label of its own, and graphs are one for all or one for each")
+    curves, ratios = [], []
+    for n, (label, data) in enumerate(zip(labels, a.data, strict=True)):
+        demes = None
+        if graphs:
+            from .models import graph
+
+            with open(graphs[n % len(graphs)]) as text:
+                demes = [x["name"] for x in graph.read_graph(text.read())["demes"]]
+        statistics = Statistics.read(spark, data).subset(a.pops, demes, a.min_r, a.max_r)
+        names = hstats.labels(spark, statistics.populations)
+        named = names.select("stat_ord", stat_label(F.col("pop_i"), F.col("pop_j"), 99).alias("statistic"))
+        curves.append(statistics.curves().join(named, "stat_ord", "left").withColumn("label", F.lit(label)))
+        ratios.append(statistics.ratios().withColumn("label", F.lit(label)))
+    out = reduce(DataFrame.unionByName, curves)
     if a.out:
         bed.write_statistics(out, a.out)
-        bed.write_statistics(statistics.ratios(), f"{a.out}_ratios")
-    out.orderBy("stat_ord", "row").show(200)
+        bed.write_statistics(reduce(DataFrame.unionByName, ratios), f"{a.out}_ratios")
+    out.orderBy("label", "stat_ord", "row").show(200)
     return out
 
 
@@ -247,7 +258,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(flag, type=kind, required=required, default=None if required else default)
         return c
 
-    command(parse_h2, ("--vcf", str, ...), ("--bed", str, ...), ("--rec_map", str, None), ("--mut_map", str, None), ("--pops", str, None), ("--regions", str, ...), ("--bins", str, ...), ("--min_reg_len", int, None), ("--compute_denom", int, 1), ("--compute_snp_denom", int, 1), ("--compute_two_sample", int, 1), ("--chrom", str, ...), ("--out", str, ...))
+    command(parse_h2, ("--vcf", str, ...), ("--bed", str, ...), ("--rec_map", str, None), ("--mut_map", str, None), ("--pops", str, None), ("--regions", str, None), ("--r", float, None), ("--bin_unit", str, None), ("--bins", str, ...), ("--min_reg_len", int, None), ("--compute_denom", int, 1), ("--compute_snp_denom", int, 1), ("--compute_two_sample", int, 1), ("--chrom", str, ...), ("--out", str, ...))
     c = command(bootstrap_h2, ("--out", str, ...), ("--num_reps", int, None), ("--num_samples", int, None), ("--seed", int, 0), ("--mean_mut", float, None))
     c.add_argument("--inputs", nargs="+", required=True)
     c.add_argument("--rates", nargs="+")
@@ -262,8 +273,10 @@ def parser() -> argparse.ArgumentParser:
     command(setup_regions, ("--chrom", str, ...), ("--centromere", int, ...), ("--end", int, ...), ("--size", int, ...), ("--out", str, ...))
     command(parse_mut_vcf, ("--input", str, ...), ("--out", str, ...), ("--bed", str, None))
     command(parse_vcf_coverage, ("--vcf", str, ...), ("--out", str, ...))
-    c = command(plot_h2, ("--data", str, ...), ("--graph", str, None), ("--min_r", float, None), ("--max_r", float, None), ("--out", str, None))
-    c.add_argument("--pops", nargs="+")
+    c = command(plot_h2, ("--min_r", float, None), ("--max_r", float, None), ("--out", str, None))
+    c.add_argument("--data", nargs="+", required=True)
+    for flag in ("--pops", "--graph", "--labels"):
+        c.add_argument(flag, nargs="+")
     return p
 
 

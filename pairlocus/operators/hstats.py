@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genetics import different_alleles, heterozygous, ratio
-from .pairs import mean_product, pair_sums
+from .intervals import locate
+from .pairs import mean_product, pair_sums, windowed_pair_sums
 
 
 def triangle(populations: int) -> list[tuple[int, int, int]]:
@@ -148,9 +149,43 @@ def region_statistics(
         denominators = d2.unionByName(d1)
     h = one_locus(firsts[0], populations, ["chrom", "region"], two_sample).select("chrom", "region", F.lit(-1).alias("bin_id"), "stat_ord", "num")
     frame = framed(regions.select("chrom", "region"), len(edges), statistics).withColumn("bin_id", F.col("bin_id") - 1)
+    return with_denominators(frame, h2.unionByName(h), denominators)
+
+
+def of_windows(points: DataFrame, windows: DataFrame) -> DataFrame:
+    """``points`` with ``region``, once for each window whose first sites they may be."""
+    inside = windows.select("chrom", "start", F.least("l_end", "r_end").alias("end"), "region")
+    return locate(points, inside).drop("start", "end")
+
+
+def window_denominators(covered: DataFrame, windows: DataFrame, edges: Sequence[float], at: str = "pos", rate: str | None = None) -> DataFrame:
+    """``chrom, region, bin_id, denom`` of windows that may overlap, from positions: pairs, or products of rates; sites at bin -1."""
+    pairs = windowed_pair_sums(covered, windows, edges, at, [rate] if rate else None).select("chrom", "region", "bin_id", F.col("total").cast("double").alias("denom"))
+    held = of_windows(covered.select("chrom", "pos"), windows)
+    return pairs.unionByName(held.groupBy("chrom", "region").agg(F.lit(-1).alias("bin_id"), F.count("*").cast("double").alias("denom")))
+
+
+def window_statistics(
+    sites: DataFrame, windows: DataFrame, populations: int, edges: Sequence[float], denominators: DataFrame, at: str = "pos", two_sample: bool = True
+) -> DataFrame:
+    """``chrom, region, row_kind, bin_id, stat_ord, num, denom`` of ``windows(chrom, region, start, l_end, r_end)``, which may overlap.
+
+    As ``region_statistics``, but each window has its own right end: second sites lie below it.
+    """
+    quarters_of = _columns(populations, two_sample)
+    values = [f"_d{n}" for n in range(len(quarters_of))]
+    rows = sites.withColumns(dict(zip(values, quarters_of, strict=True)))
+    h2 = windowed_pair_sums(rows, windows, edges, at, values).select("chrom", "region", "bin_id", "stat_ord", (F.col("total") / 16).alias("num"))
+    held = of_windows(sites.select("chrom", "pos", "gt"), windows)
+    h = one_locus(held, populations, ["chrom", "region"], two_sample).select("chrom", "region", F.lit(-1).alias("bin_id"), "stat_ord", "num")
+    frame = framed(windows.select("chrom", "region").distinct(), len(edges), len(quarters_of)).withColumn("bin_id", F.col("bin_id") - 1)
+    return with_denominators(frame, h2.unionByName(h), denominators)
+
+
+def with_denominators(frame: DataFrame, nums: DataFrame, denominators: DataFrame) -> DataFrame:
     return (
-        frame.join(h2.unionByName(h), ["chrom", "region", "bin_id", "stat_ord"], "left")
-        .join(denominators, ["chrom", "region", "bin_id"], "left")
+        frame.join(nums, ["chrom", "region", "bin_id", "stat_ord"], "left")
+        .join(denominators.select("chrom", "region", "bin_id", "denom"), ["chrom", "region", "bin_id"], "left")
         .select(
             "chrom",
             "region",

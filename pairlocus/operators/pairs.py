@@ -21,10 +21,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import BUCKET, cut, merge
+from .intervals import BUCKET, cut, locate, merge
 
 
 def bins_table(df: DataFrame, edges: Sequence[float]) -> Column:
@@ -244,6 +245,77 @@ def by_halo(rows: DataFrame, edges: list, by: list[str], left_by: list[str], wid
     return copied.groupBy(*by, "bucket").applyInArrow(one, schema).groupBy(*keys, "bin_id").agg(F.sum("total").alias("total"))
 
 
+def limited_sums(at: np.ndarray, pos: np.ndarray, v: np.ndarray, left: dict[str, np.ndarray], edges: np.ndarray) -> np.ndarray:
+    """Sums by group, bin and value of left sites with the sites in order behind them and below their ``stop``.
+
+    ``left`` has ``at, pos, v, stop`` and the group's number as ``code``.
+    """
+    order = np.argsort(left["code"], kind="stable")
+    left = {k: x[order] for k, x in left.items()}
+    sums = np.zeros((len(at) + 1, v.shape[1]), v.dtype)
+    np.cumsum(v, axis=0, out=sums[1:])
+    out = np.zeros((int(left["code"].max(initial=-1)) + 1, len(edges) - 1, v.shape[1]), v.dtype)
+    for start in range(0, len(order), SLICE):
+        part = {k: x[start : start + SLICE] for k, x in left.items()}
+        own = part["code"]
+        runs = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        low, high = np.searchsorted(pos, part["pos"], side="right"), np.searchsorted(pos, part["stop"])
+        reached = [np.clip(np.searchsorted(at, part["at"] + e), low, np.maximum(high, low)) for e in edges]
+        for k, (a, b) in enumerate(zip(reached, reached[1:], strict=False)):
+            out[own[runs], k] += np.add.reduceat((sums[b] - sums[a]) * part["v"], runs, axis=0)
+    return out
+
+
+def windowed_pair_sums(
+    sites: DataFrame, windows: DataFrame, edges: Sequence[float], at: str = "pos", value: Sequence[str] | None = None, buckets: float | None = None
+) -> DataFrame:
+    """``chrom, region, stat_ord, bin_id, total``: pairs whose first site lies in a window, the second below its ``r_end``.
+
+    ``windows(chrom, region, start, l_end, r_end)`` may overlap, each with its own right end. Sites
+    move once as second ones and once for each window that holds them as first ones; ``at``
+    mustn't fall where the position ``pos`` rises. Windows with a first site have a row for each
+    value (1 if none is given) and bin.
+    """
+    edges = [float(e) for e in edges]
+    width, reach = float(buckets or max(edges[-1], 1e-9)), max(edges[-1] * (1 + 1e-9), 0.0)
+    values = F.array(*value) if value else F.array(F.lit(1).cast("long"))
+    rows = sites.select("chrom", "pos", F.col(at).alias("at"), values.alias("v"))
+    kind = rows.schema["v"].dataType.elementType.typeName()
+    whole = kind in ("long", "integer", "short", "byte")
+    number, size = (np.int64, "long") if whole else (np.float64, "double")
+    home = F.floor(F.col("at") / width).cast("long")
+    # Second sites that add nothing needn't move; a window counts its first ones all the same.
+    right = rows.where(F.exists("v", lambda x: x != 0)).withColumn("bucket", F.explode(F.sequence(F.floor((F.col("at") - reach) / width).cast("long"), home)))
+    inside = windows.select("chrom", "start", F.least("l_end", "r_end").alias("end"), "region", "r_end")
+    left = locate(rows, inside).select(*rows.columns, home.alias("bucket"), "region", "r_end")
+    steps, count = np.array(edges), len(value or [1])
+
+    def one(table: pa.Table) -> pa.Table:
+        def columns(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            v = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(number).reshape(len(part), count)
+            return part["at"].to_numpy().astype(float), part["pos"].to_numpy(), v
+
+        second = table.filter(pc.is_null(table["region"])).sort_by([("at", "ascending"), ("pos", "ascending")])
+        first = table.filter(pc.is_valid(table["region"]))
+        names = first["region"].combine_chunks().dictionary_encode()
+        place, pos, v = columns(first)
+        own = {"at": place, "pos": pos, "v": v, "stop": first["r_end"].to_numpy(), "code": names.indices.to_numpy().astype(np.int64)}
+        sums = limited_sums(*columns(second), own, steps)
+        groups, bins, stats = sums.shape
+        made = pa.table({
+            "region": names.dictionary.take(pa.array(np.repeat(np.arange(groups), bins * stats))),
+            "stat_ord": pa.array(np.tile(np.arange(stats, dtype=np.int32), groups * bins)),
+            "bin_id": pa.array(np.tile(np.repeat(np.arange(bins, dtype=np.int32), stats), groups)),
+            "total": pa.array(sums.reshape(-1)),
+        })
+        return made.add_column(0, "chrom", pa.array([table["chrom"][0].as_py()] * len(made), table.schema.field("chrom").type))
+
+    chrom = rows.schema["chrom"].dataType.simpleString()
+    both = left.unionByName(right, allowMissingColumns=True)
+    found = both.groupBy("chrom", "bucket").applyInArrow(one, f"chrom {chrom}, region string, stat_ord int, bin_id int, total {size}")
+    return found.groupBy("chrom", "region", "stat_ord", "bin_id").agg(F.sum("total").alias("total"))
+
+
 def covered_below(runs: DataFrame, probes: DataFrame, width: int = BUCKET) -> DataFrame:
     """``probes(chrom, x, ...)`` with ``c`` and ``p``: number and sum of the positions below x that ``runs`` cover.
 

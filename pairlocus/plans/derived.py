@@ -92,6 +92,22 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
     ).select("chrom", region_name(F.col("k")).alias("region"))
 
 
+def overlapping(spark: SparkSession, d: str) -> DataFrame:
+    """``chrom, region, start, l_end, r_end``: two windows from each start, of one and two tiles, each with its own right end."""
+    start = F.floor(F.col("k") / 2) * REGION
+    stop = start + (1 + F.col("k") % 2) * REGION
+    every = last_position(spark, d).select("chrom", "end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - 1) / REGION) * 2 + 1)).alias("k"))
+    return every.select("chrom", region_name(F.col("k")).alias("region"), start.alias("start"), F.least(stop, "end").alias("l_end"), F.least(stop + 5000, "end").alias("r_end"))
+
+
+def flat_map(spark: SparkSession, d: str) -> DataFrame:
+    """A map of binary fractions; every fourth stretch between knots has no recombination."""
+    k = F.col("k")
+    return last_position(spark, d).select(
+        "chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 4096) + 1)).alias("k")
+    ).select("chrom", (k * 4096).alias("bp"), (F.floor(k * 3 / 4) * 0.5).alias("cm"))
+
+
 def arms(spark: SparkSession, d: str) -> DataFrame:
     """``chrom, start, l_end, r_end`` of tiles of two arms, the last of which begins where the sites end."""
     whole = last_position(spark, d).select("chrom", F.floor(F.col("end") / 2).alias("centromere"), (F.col("end") + REGION).alias("end"))

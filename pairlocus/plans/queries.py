@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genetics as g
 from ..operators import bootstrap as boot
-from ..operators import hstats, intervals, likelihood, maps, pairs, quadrature, views
+from ..operators import hstats, intervals, lattice, likelihood, maps, pairs, quadrature, views
 from ..operators.container import Statistics
 from ..scratch import scratch, written
 from ..sources import bed, vcf
@@ -172,6 +172,9 @@ def quarter(i: int, j: int) -> str:
 LONG = f"d AS ({' UNION ALL '.join(f'SELECT chrom, pos, u, {n} AS stat_ord, {quarter(i, j)} AS d4 FROM sites' for n, i, j in TRIANGLE)})"
 
 
+EVERY_STATISTIC = f"stats(stat_ord) AS (VALUES {', '.join(f'({n})' for n, _, _ in TRIANGLE)})"
+
+
 def h_sql(where: str) -> str:
     return f"""WITH {SITES}, {LONG} SELECT chrom, CAST(stat_ord AS BIGINT) AS stat_ord, CAST(sum(d4) AS DOUBLE) / 4 AS num
         FROM d WHERE {where} GROUP BY chrom, stat_ord"""
@@ -266,6 +269,83 @@ def mask_pair_counts(spark: SparkSession, d: str) -> DataFrame:
     return long(pairs.mask_pair_counts(t.mask(spark, d), windows, t.BP_EDGES), "bin_id", "denom")
 
 
+WINDOWS = f"""windows AS (SELECT chrom, chrom || '_' || k AS region, (k // 2) * {t.REGION} AS start, least((k // 2) * {t.REGION} + (1 + k % 2) * {t.REGION}, stop) AS l_end,
+    least((k // 2) * {t.REGION} + (1 + k % 2) * {t.REGION} + 5000, stop) AS r_end FROM ends, (SELECT unnest(generate_series(0, (SELECT max(stop) FROM ends) // {t.REGION} * 2 + 1)) AS k) AS ks
+    WHERE (k // 2) * {t.REGION} < stop)"""
+MAPPED = "((pos // 4096) * 3 // 4) * 0.5::DOUBLE + (((pos // 4096 + 1) * 3 // 4) - ((pos // 4096) * 3 // 4)) * 0.5::DOUBLE * (pos % 4096) / 4096.0::DOUBLE"
+
+
+def ranked_sql(edges: list, at: str, rate: str, where: str) -> str:
+    """Every covered position is a row here; what lies below an edge is looked up among their running sums."""
+    steps = ", ".join(f"({k}, {e!r}::DOUBLE)" for k, e in enumerate(edges))
+    return f"""WITH {SITES}, {ENDS}, {MASK}, {merged_sql("m", "mask")}, {STEPS}, {WINDOWS}, edges(edge, e) AS (VALUES {steps}),
+    every AS (SELECT chrom, unnest(generate_series(lo, hi - 1)) AS pos FROM m),
+    rated AS (SELECT every.chrom, pos, {rate} AS u FROM every {where}),
+    placed AS (SELECT chrom, pos, u, CAST({at} AS DOUBLE) AS place, sum(u) OVER (PARTITION BY chrom ORDER BY pos) AS upto FROM rated),
+    tops AS (SELECT chrom, place, max(upto) AS upto FROM placed GROUP BY chrom, place),
+    w AS (SELECT windows.chrom, region, start, l_end, r_end, placed.upto AS most FROM windows ASOF JOIN placed ON placed.chrom = windows.chrom AND windows.r_end > placed.pos),
+    x AS (SELECT w.chrom, region, most, u, upto, place FROM w JOIN placed ON placed.chrom = w.chrom AND pos >= start AND pos < least(l_end, r_end)),
+    probes AS (SELECT chrom, region, most, u, upto, edge, place + e AS target FROM x CROSS JOIN edges),
+    found AS (SELECT region, edge, sum(u * greatest(least(coalesce(tops.upto, 0), most) - probes.upto, 0)) AS total
+              FROM probes ASOF LEFT JOIN tops ON tops.chrom = probes.chrom AND probes.target > tops.place GROUP BY region, edge)
+    SELECT region, CAST(a.edge AS BIGINT) AS bin_id, CAST(b.total - a.total AS BIGINT) AS denom FROM found AS a JOIN (SELECT region AS r, edge, total FROM found) AS b ON b.r = a.region AND b.edge = a.edge + 1
+    UNION ALL SELECT region, CAST(-1 AS BIGINT), count(*) FROM x GROUP BY region"""
+
+
+#: In cM: one bin has no width.
+INTERVAL_EDGES = [0.0, 0.0009765625, 0.015625, 0.0625, 0.0625, 0.25, 0.375]
+
+
+@query(ranked_sql(INTERVAL_EDGES, MAPPED, "1", ""))
+def mask_pair_counts_cm(spark: SparkSession, d: str) -> DataFrame:
+    """Callable pairs by map distance, from intervals: knots lie inside runs, and a quarter of the map is flat.
+
+    Windows overlap, two begin at each place. All map values are binary fractions, which the SQL adds up exactly.
+    """
+    runs = lattice.weighted_runs(intervals.merge(t.mask(spark, d)))
+    sums = lattice.interval_pair_sums(runs, t.overlapping(spark, d), INTERVAL_EDGES, t.flat_map(spark, d), 1 << 16)
+    return long(sums, "bin_id").drop("chrom")
+
+
+ON_STEPS = "JOIN steps ON steps.chrom = every.chrom AND pos >= steps.lo AND pos < steps.hi"
+
+
+@query(ranked_sql(t.BP_EDGES, "pos", "rate", ON_STEPS))
+def rate_pair_sums_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Products of mutation rates that are steps with gaps, by base pairs, from intervals."""
+    runs = lattice.weighted_runs(intervals.merge(t.mask(spark, d)), t.step_map(spark, d))
+    return long(lattice.interval_pair_sums(runs, t.overlapping(spark, d), t.BP_EDGES, width=1 << 16), "bin_id").drop("chrom")
+
+
+@query(ranked_sql(INTERVAL_EDGES, MAPPED, "rate", ON_STEPS))
+def rate_pair_sums_cm(spark: SparkSession, d: str) -> DataFrame:
+    """Products of rates by map distance: the denominators of a mutation-weighted run."""
+    runs = lattice.weighted_runs(intervals.merge(t.mask(spark, d)), t.step_map(spark, d))
+    return long(lattice.interval_pair_sums(runs, t.overlapping(spark, d), INTERVAL_EDGES, t.flat_map(spark, d), 1 << 16), "bin_id").drop("chrom")
+
+
+@query(
+    f"""WITH {SITES}, {ENDS}, {WINDOWS}, {LONG}, {BP}, {EVERY_STATISTIC},
+    h AS (SELECT region, stat_ord, CAST(-1 AS BIGINT) AS bin_id, sum(d4) / 4.0 AS num FROM d AS l JOIN windows AS w ON w.chrom = l.chrom AND l.pos >= start AND l.pos < least(l_end, r_end) GROUP BY region, stat_ord),
+    kept AS (SELECT * FROM d WHERE d4 > 0),
+    pairs AS (SELECT l.chrom AS chrom, l.stat_ord AS stat_ord, l.pos AS x, r.pos AS y, l.d4 * r.d4 AS p, bin_id FROM kept AS l JOIN kept AS r ON l.chrom = r.chrom AND l.stat_ord = r.stat_ord AND r.pos > l.pos AND r.pos < l.pos + 3162
+              JOIN bins ON r.pos >= l.pos + bins.lo AND r.pos < l.pos + bins.hi),
+    h2 AS (SELECT region, stat_ord, bin_id, sum(p) / 16.0 AS num FROM pairs JOIN windows AS w ON w.chrom = pairs.chrom AND x >= start AND x < l_end AND y < r_end GROUP BY region, stat_ord, bin_id),
+    nums AS (SELECT * FROM h UNION ALL SELECT * FROM h2), near AS (SELECT l.chrom AS chrom, l.pos AS x, r.pos AS y, bin_id FROM sites AS l JOIN sites AS r ON l.chrom = r.chrom AND r.pos > l.pos AND r.pos < l.pos + 3162
+              JOIN bins ON r.pos >= l.pos + bins.lo AND r.pos < l.pos + bins.hi),
+    denoms AS (SELECT region, CAST(-1 AS BIGINT) AS bin_id, count(*) AS denom FROM sites AS l JOIN windows AS w ON w.chrom = l.chrom AND l.pos >= start AND l.pos < least(l_end, r_end) GROUP BY region
+              UNION ALL SELECT region, bin_id, count(*) FROM near JOIN windows AS w ON w.chrom = near.chrom AND x >= start AND x < l_end AND y < r_end GROUP BY region, bin_id)
+    SELECT w.region, CAST(b.bin_id AS BIGINT) AS bin_id, CAST(s.stat_ord AS BIGINT) AS stat_ord, CAST(coalesce(num, 0) AS DOUBLE) AS num, CAST(coalesce(denom, 0) AS DOUBLE) AS denom
+    FROM windows AS w CROSS JOIN stats AS s CROSS JOIN (SELECT CAST(-1 AS BIGINT) AS bin_id UNION ALL SELECT bin_id FROM bins) AS b
+    LEFT JOIN nums ON nums.region = w.region AND nums.stat_ord = s.stat_ord AND nums.bin_id = b.bin_id LEFT JOIN denoms ON denoms.region = w.region AND denoms.bin_id = b.bin_id"""
+)
+def compute_h2_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that overlap, two from each start, each with its own right end; all sites are callable."""
+    windows, sites = t.overlapping(spark, d), t.sites(spark, d)
+    rows = hstats.window_statistics(sites, windows, t.SAMPLES, t.BP_EDGES, hstats.window_denominators(sites, windows, t.BP_EDGES))
+    return long(rows, "bin_id", "stat_ord").select("region", "bin_id", "stat_ord", "num", "denom")
+
+
 @query(
     f"""WITH {SITES} SELECT l.chrom AS chrom, round(avg(l.u * r.u), 8) AS mean_mut_prod FROM sites AS l JOIN sites AS r
     ON l.chrom = r.chrom AND r.pos > l.pos GROUP BY l.chrom"""
@@ -323,7 +403,7 @@ def ratio_means_mut_weighted(spark: SparkSession, d: str) -> DataFrame:
 # Regions and bootstrap
 
 TILES = series("tiles", t.REGION, "chrom || '_' || k AS region", 1)
-EVERY = f"stats(stat_ord) AS (VALUES {', '.join(f'({n})' for n, _, _ in TRIANGLE)})"
+EVERY = EVERY_STATISTIC
 
 
 def regional_sql(of: str, same: str = "true") -> str:
@@ -850,21 +930,41 @@ def plain_tiles(spark: SparkSession, d: str) -> DataFrame:
 # Variant tables
 
 
-@query(
-    """WITH a AS (SELECT o_custkey % 4 AS chrom, o_orderkey * 10 AS pos, 1 AS g FROM orders WHERE o_orderkey % 2 = 0),
-    b AS (SELECT o_custkey % 4 AS chrom, o_orderkey * 10 AS pos, 2 AS g FROM orders WHERE o_orderkey % 3 = 0)
-    SELECT coalesce(a.chrom, b.chrom) AS chrom, coalesce(a.pos, b.pos) AS pos, coalesce(a.g, 0) AS g_a, coalesce(b.g, 0) AS g_b FROM a FULL JOIN b ON a.chrom = b.chrom AND a.pos = b.pos"""
-)
+#: Three files: every so many orders, the alternatives, and the genotypes of their samples by the order's key.
+FILES = ((2, ("C",), ("1/1", "0/1")), (3, ("G", "C"), ("1/2",)), (5, ("T", "G"), ("2/2", "0/1")))
+
+
+def merged_alleles() -> str:
+    """Each file's alleles as letters, which need no numbers, beside the first file's order of them."""
+    parts = []
+    for n, (every, alts, gts) in enumerate(FILES):
+        letters = ["A", *alts]
+        alleles = ", ".join(f"'{letters[int(g.split('/')[k])]}' AS s{n}{j}{k}" for j, g in enumerate(gts) for k in (0, 1))
+        parts.append(f"f{n} AS (SELECT o_custkey % 4 AS chrom, o_orderkey * 10 AS pos, {alleles}, {list(alts)!r} AS alts FROM orders WHERE o_orderkey % {every} = 0)")
+    every = [f"s{n}{j}{k}" for n, (_, _, gts) in enumerate(FILES) for j in range(len(gts)) for k in (0, 1)]
+    sites = " UNION ".join(f"SELECT chrom, pos FROM f{n}" for n in range(len(FILES)))
+    joins = " ".join(f"LEFT JOIN f{n} ON f{n}.chrom = s.chrom AND f{n}.pos = s.pos" for n in range(len(FILES)))
+    first = "list_concat(list_concat(coalesce(f0.alts, []), coalesce(f1.alts, [])), coalesce(f2.alts, []))"
+    # An alternative's place among the distinct ones, in order of first appearance.
+    order = f"list_transform(list_filter(list_transform(range(1, len({first}) + 1), lambda i: CASE WHEN list_position({first}, {first}[i]) = i THEN {first}[i] END), lambda a: a IS NOT NULL), lambda a: a)"
+    numbers = ", ".join(f"CAST(CASE WHEN coalesce({c}, 'A') = 'A' THEN 0 ELSE list_position(alt, {c}) END AS BIGINT) AS {c}" for c in every)
+    return f"""WITH {", ".join(parts)}, s AS ({sites}), m AS (SELECT s.chrom, s.pos, {", ".join(every)}, {order} AS alt FROM s {joins})
+        SELECT chrom, pos, array_to_string(alt, ',') AS alt, {numbers} FROM m"""
+
+
+@query(merged_alleles())
 def variant_merge_outer(spark: SparkSession, d: str) -> DataFrame:
+    """Three files whose alternatives clash, merged in one pass."""
     rows = t.table(spark, d, "orders").select((F.col("o_custkey") % 4).alias("chrom"), (F.col("o_orderkey") * 10).alias("pos"), F.col("o_orderkey").alias("k"))
 
-    def file(every: int, gt: int) -> DataFrame:
-        kept = rows.where(F.col("k") % every == 0)
-        hom = F.struct(F.lit(gt).alias("a0"), F.lit(gt).alias("a1"))
-        return kept.select("chrom", "pos", F.lit("A").alias("ref"), F.array(F.lit("C")).alias("alt"), F.array(hom).alias("gt"))
+    def file(every: int, alts: tuple[str, ...], gts: tuple[str, ...]) -> DataFrame:
+        called = F.array(*[vcf.genotype(F.lit(g)) for g in gts])
+        return rows.where(F.col("k") % every == 0).select("chrom", "pos", F.lit("A").alias("ref"), F.array(*map(F.lit, alts)).alias("alt"), called.alias("gt"))
 
-    merged = vcf.merge_variants(file(2, 1), file(3, 2))
-    return merged.select("chrom", "pos", F.col("gt")[0]["a0"].alias("g_a"), F.col("gt")[1]["a0"].alias("g_b"))
+    merged = vcf.merge_variants(*[file(*f) for f in FILES])
+    names = [f"s{n}{j}" for n, (_, _, gts) in enumerate(FILES) for j in range(len(gts))]
+    alleles = [F.col("gt")[i][a].cast("long").alias(f"{s}{a[1]}") for i, s in enumerate(names) for a in ("a0", "a1")]
+    return merged.select("chrom", "pos", F.array_join("alt", ",").alias("alt"), *alleles)
 
 
 @query("SELECT p_partkey, p_brand || CASE WHEN p_partkey % 3 = 0 THEN ',x' ELSE '' END AS alt FROM part WHERE p_partkey % 3 <> 0")

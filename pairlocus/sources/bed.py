@@ -54,6 +54,11 @@ def read_mutation_map(spark: SparkSession, path: str, chrom: str) -> DataFrame:
     return df.where(F.col("u").isNotNull() & ~F.isnan("u")).select(F.lit(chrom).alias("chrom"), "start", "end", F.col("u").cast("double").alias("u"))
 
 
+def is_dense(spark: SparkSession, path: str) -> bool:
+    """Whether a mutation map has a row for each position."""
+    return path.rstrip("/").endswith(".parquet") and "pos" in spark.read.parquet(path).columns
+
+
 def write_bedgraph(df: DataFrame, path: str, sep: str = ",", compression: str = "none") -> None:
     first = [F.col("chrom").alias("#chrom"), F.col("start").alias("chromStart"), F.col("end").alias("chromEnd")]
     rest = [c for c in df.columns if c not in ("chrom", "start", "end")]
@@ -82,6 +87,23 @@ def read_windows(spark: SparkSession, path: str, chrom: str) -> DataFrame:
     )
 
 
+def read_numbered_windows(spark: SparkSession, path: str, chrom: str) -> DataFrame:
+    """``chrom, region, start, l_end, r_end`` of one file; a region's name has its number in the file."""
+    texts = spark.read.text(path, wholetext=True)
+    if texts.count() > 1:
+        raise ValueError("windows are numbered by their lines in one file")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
+    f = F.split(F.trim("line"), r"\s+")
+    numbers = [F.get(f, F.lit(i)).cast("double").cast("long").alias(n) for i, n in enumerate(("start", "l_end", "r_end"))]
+    rows = texts.select(F.posexplode(lines).alias("n", "line"))
+    return rows.select(F.lit(chrom).alias("chrom"), F.concat_ws("_", F.lit(chrom), F.col("n").cast("string")).alias("region"), *numbers)
+
+
+def whole_window(spark: SparkSession, chrom: str, end: int) -> DataFrame:
+    """A whole chromosome as its one window."""
+    return spark.createDataFrame([(chrom, f"{chrom}_0", 0, end, end)], "chrom string, region string, start long, l_end long, r_end long")
+
+
 def read_edges(spark: SparkSession, path: str) -> list[float]:
     """Bin edges, ascending: a short list by its nature."""
     rows = fields(spark, path).select(F.explode("f").alias("x")).select(F.col("x").cast("double").alias("x")).collect()

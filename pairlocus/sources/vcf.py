@@ -3,7 +3,10 @@
 A gzipped text is one partition: convert it once with ``write_sites`` and read the Parquet.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rate of one MR unit in a mutation file, for a site of two alternative states. Fixed value.
@@ -51,7 +54,6 @@ def read_genotypes(
     mask: DataFrame | None = None,
     min_length: int | None = None,
     region: tuple[int, ...] | None = None,
-    ancestral: DataFrame | None = None,
     multiallelic: bool = False,
     allow_missing: bool = False,
     samples: list[str] | None = None,
@@ -106,21 +108,42 @@ def variable(sites: DataFrame) -> DataFrame:
     return sites.where(F.exists("gt", lambda x: (x["a0"] > 0) | (x["a1"] > 0)))
 
 
-def merge_variants(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Samples of both side by side; where a file lacks a site, its samples have the reference."""
-    n = {}
-    for name, df in (("a", a), ("b", b)):
-        row = df.select(F.size("gt").alias("n")).first()
-        n[name] = row["n"] if row else 0
+def sample_count(df: DataFrame) -> int:
+    row = df.select(F.size("gt").alias("n")).first()
+    return row["n"] if row else 0
+
+
+def merge_variants(*tables: DataFrame, samples: Sequence[int] | None = None) -> DataFrame:
+    """``chrom, pos, ref, alt, gt``: samples of all tables side by side, in their order.
 
-    def filled(name: str) -> Column:
+    Alternatives are numbered anew: those of the first table that has the site, then what others
+    add, and genotypes follow. Where a table lacks a site its samples have the reference; missing
+    alleles stay missing. Sites are told apart by their reference, too; where a table repeats a
+    site, its n-th row goes with the n-th of the others. ``samples`` are the numbers of samples,
+    read from a row of each table if not given.
+
+    All tables move once, whatever their number, by site.
+    """
+    sizes = list(samples) if samples is not None else [sample_count(t) for t in tables]
+    key = ["chrom", "pos", "ref"]
+    rows = reduce(DataFrame.unionByName, [t.select(*key, "alt", "gt", F.lit(n).alias("file")) for n, t in enumerate(tables)])
+    again = Window.partitionBy(*key, "file").orderBy("alt", F.col("gt").cast("string"))
+    # What is dealt by site is dealt by site and anything else.
+    rows = rows.repartition(*key).withColumn("nth", F.row_number().over(again))
+    found = rows.groupBy(*key, "nth").agg(F.sort_array(F.collect_list(F.struct("file", "alt", "gt"))).alias("of"))  # a row a table
+    alts = F.filter(F.array_distinct(F.flatten(F.transform("of", lambda o: o["alt"]))), lambda a: a != ".")
+
+    def renumbered(allele: Column, own: Column) -> Column:
+        return F.when(allele > 0, F.array_position(F.col("alts"), F.get(own, allele - 1)).cast("int")).otherwise(allele)
+
+    def of_table(n: int, size: int) -> Column:
+        mine = F.get(F.filter("of", lambda o: o["file"] == n), F.lit(0))
+        gt = F.transform(mine["gt"], lambda x: F.struct(renumbered(x["a0"], mine["alt"]).alias("a0"), renumbered(x["a1"], mine["alt"]).alias("a1")))
         zero = F.struct(F.lit(0).alias("a0"), F.lit(0).alias("a1"))
-        return F.coalesce(F.col(f"{name}.gt"), F.array_repeat(zero, n[name]))
+        return F.coalesce(gt, F.array_repeat(zero, size))
 
-    on = ["chrom", "pos", "ref"]
-    return a.alias("a").join(b.alias("b"), on, "full").select(
-        *on, F.array_union(F.coalesce("a.alt", F.array()), F.coalesce("b.alt", F.array())).alias("alt"), F.concat(filled("a"), filled("b")).alias("gt")
-    )
+    every = F.concat(*[of_table(n, size) for n, size in enumerate(sizes)])
+    return found.withColumn("alts", alts).select(*key, F.col("alts").alias("alt"), every.alias("gt"))
 
 
 def summed_rates(rows: DataFrame, unit: float = RATE_UNIT) -> DataFrame:

@@ -120,7 +120,7 @@ def test_a_fitted_rate(spark, fitted):
 def test_windows_reach_to_their_right_ends(spark, files):
     """Some tiles only, two arms, and overlapping windows: all pairs up to r_end, and no others."""
     d, _ = files
-    windows = [(0, 300, 1800), (200, 500, 1800), (1800, 2100, 4000), (2050, 2300, 3000)]
+    windows = [(0, 300, 1800), (200, 500, 1800), (1800, 2100, 4000), (2050, 2300, 3000), (200, 900, 1000)]
     (d / "some").write_text("\n".join(" ".join(map(str, w)) for w in windows))
     (d / "bp").write_text("0 10 300 2500")
     cli.main(["parse_h2", "--vcf", f"{d}/v.vcf.gz", "--bed", f"{d}/m.bed", "--regions", f"{d}/some", "--bins", f"{d}/bp", "--chrom", "1", "--out", f"{d}/some_stats"])
@@ -129,13 +129,13 @@ def test_windows_reach_to_their_right_ends(spark, files):
     het = {int(f[1]) - 1: f[9] in ("0/1", "1/0") for f in (line.split("\t") for line in lines)}
     covered = [p for p in range(4000) if p < 1500 or p >= 2000]
     edges = [0, 10, 300, 2500]
-    for start, l_end, r_end in windows:
+    for n, (start, l_end, r_end) in enumerate(windows):
         for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             pairs = [(p, q) for p in covered if start <= p < l_end for q in range(p + max(lo, 1), min(p + hi, r_end)) if q < 1500 or q >= 2000]
-            (found,) = [r for r in rows if r.region == f"1_{start}" and r.row == k and r.stat_ord == 0]
+            (found,) = [r for r in rows if r.region == f"1_{n}" and r.row == k and r.stat_ord == 0]
             assert found.denom == len(pairs) and found.num == sum(het.get(p, False) and het.get(q, False) for p, q in pairs)
             assert (found.pop_i, found.low, found.high) == ("A", lo, hi)
-        (found,) = [r for r in rows if r.region == f"1_{start}" and r.row == -1 and r.stat_ord == 0]
+        (found,) = [r for r in rows if r.region == f"1_{n}" and r.row == -1 and r.stat_ord == 0]
         assert found.denom == sum(start <= p < l_end for p in covered)
     cli.main(["bootstrap_h2", "--inputs", f"{d}/some_stats", "--out", f"{d}/some_boot"])
     cli.main(["plot_h2", "--data", f"{d}/some_boot", "--out", f"{d}/curves"])
@@ -148,6 +148,11 @@ def test_windows_reach_to_their_right_ends(spark, files):
     cli.main(["plot_h2", "--data", f"{d}/some_boot", "--graph", f"{d}/g.yaml", "--max_r", "300", "--out", f"{d}/of_a"])
     want = {r.row: r["mean"] for r in spark.read.parquet(f"{d}/curves").where("stat_ord = 0 and row < 2").collect()}
     assert {r.row: r["mean"] for r in spark.read.parquet(f"{d}/of_a").collect()} == want
+    cli.main(["plot_h2", "--data", f"{d}/some_boot", f"{d}/some_boot", "--labels", "a", "b", "--graph", f"{d}/g.yaml", "--out", f"{d}/twice"])
+    twice = spark.read.parquet(f"{d}/twice").collect()
+    assert {(r.label, r.statistic) for r in twice} == {("a", "A"), ("b", "A")} and len(twice) == 2 * 4
+    with pytest.raises(ValueError, match="label"):
+        cli.main(["plot_h2", "--data", f"{d}/some_boot", f"{d}/some_boot"])
     both = Statistics.read(spark, f"{d}/some_boot")
     assert both.populations == ("A", "B") and both.edges == (0, 10, 300, 2500) and "A, B in 3 bins" in repr(both)
     turned = both.subset(["B", "A"])
@@ -168,15 +173,15 @@ def test_empty_windows_rates_and_options(spark, files):
     common = ["--vcf", f"{d}/two.vcf", "--bed", f"{d}/two.bed", "--regions", f"{d}/windows", "--bins", f"{d}/bp"]
     cli.main(["parse_h2", *common, "--chrom", "1", "--mut_map", f"{d}/rates", "--out", f"{d}/weighted"])
     rows = {(r.region, r.row, r.stat_ord): r for r in spark.read.parquet(f"{d}/weighted").collect()}
-    assert len(rows) == 3 * 3 * 3 and all((rows["1_1500", k, 0].num, rows["1_1500", k, 0].denom) == (0, 0) for k in (-1, 0, 1))
+    assert len(rows) == 3 * 3 * 3 and all((rows["1_1", k, 0].num, rows["1_1", k, 0].denom) == (0, 0) for k in (-1, 0, 1))
     assert rows["1_0", -1, 0].denom == 1000  # of chromosome 1 only
     rates = {r.region: (r.num_sites, r.mean_mut) for r in spark.read.parquet(f"{d}/weighted_rates").collect()}
-    assert rates == {"1_0": (1000, 2.0), "1_1500": (0, None), "1_2000": (2000, 3.0)}
+    assert rates == {"1_0": (1000, 2.0), "1_1": (0, None), "1_2": (2000, 3.0)}
     cli.main(["bootstrap_h2", "--inputs", f"{d}/weighted", "--rates", f"{d}/weighted_rates", "--out", f"{d}/weighted_boot"])
     means = {(r.row, r.stat_ord): r["mean"] for r in spark.read.parquet(f"{d}/weighted_boot/means").collect()}
     factor = ((1000 * 2 + 2000 * 3) / 3000) ** 2
     for k in (0, 1):
-        own = [rows[w, k, 0] for w in ("1_0", "1_1500", "1_2000")]
+        own = [rows[w, k, 0] for w in ("1_0", "1_1", "1_2")]
         assert means[k, 0] == pytest.approx(sum(r.num for r in own) / (sum(r.denom for r in own) / factor))
     with pytest.raises(ValueError, match="none of chromosome"):
         cli.main(["parse_h2", *common, "--chrom", "3", "--out", f"{d}/none"])
@@ -191,6 +196,46 @@ def test_empty_windows_rates_and_options(spark, files):
         cli.main(["bootstrap_h2", "--inputs", f"{d}/weighted", f"{d}/sites", "--out", f"{d}/bad"])
 
 
+def test_whole_chromosome_constant_rate_and_units(spark, files):
+    """Without regions the chromosome is one; a constant rate is a map; bins may be map distances."""
+    d, _ = files
+    (d / "cm").write_text("0 0.01 0.05")
+    common = ["--vcf", f"{d}/v.vcf.gz", "--bed", f"{d}/m.bed", "--chrom", "1"]
+    cli.main(["parse_h2", *common, "--bins", f"{d}/cm", "--bin_unit", "cM", "--rec_map", f"{d}/map", "--out", f"{d}/by_map"])
+    (d / "bp").write_text("0 100 500")
+    cli.main(["parse_h2", *common, "--bins", f"{d}/bp", "--out", f"{d}/by_bp"])
+    # One base pair is 1e-4 cM: bins of 0.01 cM are those of 100 base pairs.
+    rows = [{(r.region, r.row, r.stat_ord): (r.num, r.denom) for r in spark.read.parquet(f"{d}/{x}").collect()} for x in ("by_map", "by_bp")]
+    assert rows[0].keys() == rows[1].keys() and {k[0] for k in rows[0]} == {"1_0"}
+    assert all(rows[0][k][1] == pytest.approx(rows[1][k][1], rel=0.01) for k in rows[0])
+    r = 1e-6
+    (d / "r").write_text(f"0 {0.5 * (1 - (1 - 2 * r) ** 100.5)} {0.5 * (1 - (1 - 2 * r) ** 500.5)}")
+    (d / "half").write_text("0 100.5 500.5")
+    cli.main(["parse_h2", *common, "--bins", f"{d}/r", "--r", str(r), "--out", f"{d}/by_rate"])
+    cli.main(["parse_h2", *common, "--bins", f"{d}/half", "--out", f"{d}/by_half"])
+    rows = [{(r.region, r.row, r.stat_ord): (r.num, r.denom) for r in spark.read.parquet(f"{d}/{x}").collect()} for x in ("by_rate", "by_half")]
+    assert rows[0] == rows[1]
+    with pytest.raises(ValueError, match="map"):
+        cli.main(["parse_h2", *common, "--bins", f"{d}/bp", "--bin_unit", "r", "--out", f"{d}/none"])
+
+
+def test_dense_rates_and_steps_agree(spark, files):
+    """A dense array goes by position, steps by interval: the same denominators."""
+    d, _ = files
+    (d / "w").write_text("0 1000 3000\n500 2500 4000")
+    (d / "steps").write_text("chrom,start,end,u\n1,0,800,2.0\n1,900,2600,0.5\n")
+    spark.createDataFrame([(p, 2.0 if p < 800 else 0.5) for p in [*range(800), *range(900, 2600)]], "pos long, u double").write.parquet(f"{d}/dense.parquet")
+    common = ["--vcf", f"{d}/v.vcf.gz", "--bed", f"{d}/m.bed", "--chrom", "1", "--bins", f"{d}/bins", "--rec_map", f"{d}/map", "--regions", f"{d}/w"]
+    found = []
+    for x in ("steps", "dense.parquet"):
+        cli.main(["parse_h2", *common, "--mut_map", f"{d}/{x}", "--out", f"{d}/out_{x}"])
+        found.append({(r.region, r.row, r.stat_ord): (r.num, r.denom) for r in spark.read.parquet(f"{d}/out_{x}").collect()})
+        rates = {r.region: (r.num_sites, r.mean_mut) for r in spark.read.parquet(f"{d}/out_{x}_rates").collect()}
+        assert rates["1_0"] == (900, pytest.approx((800 * 2 + 100 * 0.5) / 900))
+    assert found[0].keys() == found[1].keys()
+    assert all(found[0][k] == pytest.approx(found[1][k], rel=1e-3) for k in found[0])
+
+
 def test_dense_mutation_rates(spark, tmp_path):
     from pairlocus.sources import bed
 

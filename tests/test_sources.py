@@ -1,5 +1,7 @@
 import gzip
 
+import random
+
 import pytest
 
 from pairlocus.sources import bed, vcf
@@ -63,11 +65,46 @@ def test_merged_files_fill_with_the_reference(spark):
     b = spark.createDataFrame([("1", 2, "A", ["G"], [(0, 1), (0, 0)]), ("1", 3, "T", ["G"], [(1, 1), (0, 1)])], schema)
     rows = {r.pos: r for r in vcf.merge_variants(a, b).collect()}
     assert alleles(rows[1]) == [(0, 1), (0, 0), (0, 0)]
-    assert alleles(rows[2]) == [(1, 1), (0, 1), (0, 0)] and rows[2].alt == ["C", "G"]
+    assert alleles(rows[2]) == [(1, 1), (0, 2), (0, 0)] and rows[2].alt == ["C", "G"]
     assert alleles(rows[3]) == [(0, 0), (1, 1), (0, 1)]
     assert sorted(r.pos for r in vcf.variable(vcf.merge_variants(a, b)).collect()) == [1, 2, 3]
 
 
+def test_alleles_of_many_files_keep_their_letters(spark):
+    """Four files of random alternatives, repeated and missing sites: every allele is the letter it was."""
+    rng = random.Random(4)
+    schema = "chrom string, pos long, ref string, alt array<string>, gt array<struct<a0: int, a1: int>>"
+    files, want = [], {}
+    for n in range(4):
+        rows = []
+        for pos in rng.sample(range(30), 18):
+            alt = rng.choice([["."], ["C"], ["G", "C"], ["T", "G", "<DEL>"]])
+            size = 0 if alt == ["."] else len(alt)
+            gt = [tuple(rng.choice([None, *range(size + 1)]) for _ in "ab") for _ in range(n % 2 + 1)]
+            rows.append(("1", pos, rng.choice("AA T".split())[0], alt, gt))
+        files.append(spark.createDataFrame(rows, schema))
+        for _, pos, ref, alt, gt in rows:
+            want.setdefault((pos, ref), {})[n] = [tuple(None if a is None else [ref, *alt][a] for a in g) for g in gt]
+    got = {(r.pos, r.ref): r for r in vcf.merge_variants(*files).collect()}
+    assert got.keys() == want.keys()
+    for (pos, ref), own in want.items():
+        row = got[pos, ref]
+        letters = [tuple(None if a is None else [ref, *row.alt][a] for a in g) for g in alleles(row)]
+        assert letters == [g for n in range(4) for g in own.get(n, [(ref, ref)] * (n % 2 + 1))]
+        assert len(set(row.alt)) == len(row.alt) and "." not in row.alt
+
+
+def test_repeated_sites_go_one_by_one(spark):
+    schema = "chrom string, pos long, ref string, alt array<string>, gt array<struct<a0: int, a1: int>>"
+    a = spark.createDataFrame([("1", 1, "A", ["C"], [(1, 1)]), ("1", 1, "A", ["G"], [(1, 0)])], schema)
+    b = spark.createDataFrame([("1", 1, "A", ["T"], [(0, 1)])], schema)
+    rows = sorted((r.alt, alleles(r)) for r in vcf.merge_variants(a, b).collect())
+    assert rows == [(["C", "T"], [(1, 1), (0, 2)]), (["G"], [(1, 0), (0, 0)])]
+    empty = spark.createDataFrame([], schema)
+    assert len(vcf.merge_variants(a, empty).collect()) == 2 and vcf.merge_variants(empty, empty).collect() == []
+    assert [alleles(r) for r in vcf.merge_variants(b, empty, samples=[1, 2]).collect()] == [[(0, 1), (0, 0), (0, 0)]]
+
+
 def test_sites_round_trip(spark, tmp_path):
     rows = [("1", p, [p]) for p in range(50)] + [("2", 7, [7])]
     vcf.write_sites(spark.createDataFrame(rows, "chrom string, pos long, gt array<int>"), str(tmp_path / "sites"))
