@@ -1,6 +1,7 @@
 """Variant files: text scans to ``chrom, pos, ref, alt, gt``, merging, mutation rates.
 
-A gzipped text is one partition: convert it once with ``write_sites`` and read the Parquet.
+A block-gzipped file is read in parts, and only where its index says that a region is. Any other
+gzipped text is one partition: convert it once with ``write_sites`` and read the Parquet.
 """
 
 from collections.abc import Sequence
@@ -9,9 +10,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import is_blocked, read_blocks, write_blocks
+
 #: Rate of one MR unit in a mutation file, for a site of two alternative states. Fixed value.
 RATE_UNIT = 1.015e-7 / 2
 FIXED_COLUMNS = 9
+#: Columns of the header line.
+HEADER = "#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".split()
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
@@ -33,11 +38,23 @@ def quality(sample: Column, format_: Column) -> Column:
     return F.when(at > 0, F.try_element_at(F.split(sample, ":"), at).try_cast("double"))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``f``: the fields of each line that isn't a header."""
+def lines(spark: SparkSession, path: str, chrom: str | None = None, region: Sequence[int] | None = None) -> DataFrame:
+    """``f``: the fields of each line that isn't a header.
+
+    Of a block-gzipped file only what may lie on ``chrom`` (with or without ``chr``) and in ``region`` is read.
+    """
     data = ~F.col("value").startswith("#") & (F.length("value") > 0)
+    if path.endswith((".gz", ".bgz")) and is_blocked(path):
+        rows = read_blocks(spark, path)
+        if chrom is not None:
+            rows = rows.where(F.col("chrom").isin(chrom, f"chr{chrom}", chrom.removeprefix("chr")))
+        if region is not None:
+            rows = rows.where((F.col("pos") >= int(region[0])) & (F.col("pos") < int(region[-1])))
+        rows = rows.select("value")
+    else:
+        rows = spark.read.text(path)
     # Filters may be evaluated together with later ones: a header's fields are null for them.
-    return spark.read.text(path).where(data).select(F.when(data, F.split("value", r"\s+")).alias("f"))
+    return rows.where(data).select(F.when(data, F.split("value", r"\s+")).alias("f"))
 
 
 def biallelic(df: DataFrame) -> DataFrame:
@@ -69,7 +86,7 @@ def read_genotypes(
     from ..operators.intervals import in_mask, longer_than
 
     f = F.col("f")
-    rows = lines(spark, path).select(F.get(f, F.lit(0)).alias("chrom"), (F.get(f, F.lit(1)).cast("long") - 1).alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.split(F.get(f, F.lit(4)), ",").alias("alt"), F.get(f, F.lit(8)).alias("format"), F.slice(f, FIXED_COLUMNS + 1, F.size(f)).alias("samples"))
+    rows = lines(spark, path, chrom, region).select(F.get(f, F.lit(0)).alias("chrom"), (F.get(f, F.lit(1)).cast("long") - 1).alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.split(F.get(f, F.lit(4)), ",").alias("alt"), F.get(f, F.lit(8)).alias("format"), F.slice(f, FIXED_COLUMNS + 1, F.size(f)).alias("samples"))
     if chrom is not None:
         rows = rows.where(F.regexp_replace("chrom", "^chr", "") == chrom.removeprefix("chr")).withColumn("chrom", F.lit(chrom))
     if region is not None:
@@ -168,3 +185,15 @@ def contig_lengths(spark: SparkSession, path: str) -> DataFrame:
 def write_sites(sites: DataFrame, path: str) -> None:
     """Parquet, by chromosome and in order of position, so that region scans skip files."""
     sites.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.partitionBy("chrom").parquet(path)
+
+
+def write_variants(sites: DataFrame, path: str, samples: Sequence[str], overwrite: bool = False) -> None:
+    """One block-gzipped variant file of ``chrom, pos, ref, alt, gt``, sorted, with its header and index."""
+    def allele(x: Column) -> Column:
+        return F.coalesce(x.cast("string"), F.lit("."))
+
+    called = F.transform("gt", lambda g: F.concat(allele(g["a0"]), F.lit("/"), allele(g["a1"])))
+    alts = F.when(F.size("alt") > 0, F.array_join("alt", ",")).otherwise(".")
+    fixed = [F.col("chrom").cast("string"), (F.col("pos") + 1).cast("string"), F.lit("."), F.col("ref"), alts, *[F.lit(x) for x in (".", ".", ".", "GT")]]
+    rows = sites.select(F.col("chrom").cast("string").alias("chrom"), F.col("pos").cast("long").alias("pos"), F.concat_ws("\t", *fixed, called).alias("value"))
+    write_blocks(rows, path, "##fileformat=VCFv4.2\n" + "\t".join([*HEADER, *samples]), overwrite)
