@@ -1,10 +1,14 @@
 """Statistics over regions, and resampling of regions with replacement.
 
 Region tables are long: ``region, row, stat_ord, num, denom`` with one ``row`` a bin, the
-one-locus row being ``H_ROW``. A draw is a row ``rep, draw, region``; it joins the regions'
-rows, so a region drawn twice counts twice.
+one-locus row being ``H_ROW``. A region that a replicate draws twice counts twice.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,27 +119,44 @@ def numbered(regions: DataFrame) -> DataFrame:
     )
 
 
-def draws(regions: DataFrame, reps: int, samples: int, seed: int = 0, generator: str = "hash") -> DataFrame:
-    """``rep, draw, region_ord``: seeded draws with replacement, a hash of seed, rep and draw.
+def draws(regions: DataFrame, reps: int, samples: int, seed: int = 0) -> DataFrame:
+    """``rep, draw, region_ord``: seeded draws with replacement.
 
-    The generator ``progression`` is the formula of FIXTURES.md, which other engines can repeat.
-    Its draws aren't independent and give wrong variances: it only serves to compare with SQL.
+    A draw is the first 60 bits of the MD5 of seed, rep and draw, joined by colons, modulo the number of regions.
     """
     spark = regions.sparkSession
     n = regions.agg(F.count("*").alias("n"))
-    mixed = {
-        "hash": F.xxhash64(F.lit(seed).cast("long"), "rep", "draw"),
-        "progression": (F.col("rep") * 7919 + F.col("draw") * 104729 + F.lit(seed)) % 1000003,
-    }[generator]
+    text = F.concat_ws(":", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col("draw").cast("string"))
     return (
         spark.range(reps)
         .withColumnRenamed("id", "rep")
         .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
         .crossJoin(F.broadcast(n))  # one row
-        .select("rep", "draw", F.pmod(mixed, F.col("n")).alias("region_ord"))
+        .select("rep", "draw", F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.col("n")).alias("region_ord"))
     )
 
 
+def region_vectors(stats: DataFrame, keys: list[tuple[int, int]]) -> DataFrame:
+    """``region, num, d``: a region's values in the order of ``keys(row, stat_ord)``, 0 where it has none, as binary doubles."""
+    place = {k: n for n, k in enumerate(keys)}
+
+    def one(table: pa.Table) -> pa.Table:
+        at = np.array([place[k] for k in zip(table["row"].to_pylist(), table["stat_ord"].to_pylist(), strict=True)])
+        vectors = []
+        for c in ("num", "d"):
+            values = np.zeros(len(place))
+            np.add.at(values, at, pc.fill_null(table[c], 0.0).to_numpy())
+            vectors.append(pa.array([values.tobytes()], pa.binary()))
+        return pa.table([table["region"].slice(0, 1), *vectors], ["region", "num", "d"])
+
+    rows = stats.select("region", "row", "stat_ord", F.col("num").cast("double").alias("num"), F.col("d").cast("double").alias("d"))
+    return rows.groupBy("region").applyInArrow(one, "region string, num binary, d binary")
+
+
+#: Replicates whose sums a task holds at a time.
+REPLICATES = 1 << 10
+
+
 def replicates(
     stats: DataFrame,
     reps: int | None = None,
@@ -143,35 +164,61 @@ def replicates(
     rates: DataFrame | None = None,
     target: float | None = None,
     seed: int = 0,
-    generator: str = "hash",
 ) -> DataFrame:
-    """``rep, row, stat_ord, value``: ratios of sums over drawn regions.
+    """``rep, row, stat_ord, value``: ratios of sums over drawn regions, all replicates in one pass.
 
-    By default there are as many replicates, and draws in each, as regions. Draws are counted
-    by (rep, region) first, so a replicate joins each region once. With ``rates``, denominators
-    are divided by the squared mean rate of all regions.
+    By default there are as many replicates, and draws in each, as regions. A region's values are
+    one vector, which goes with the list of the replicates that draw it and how often. Tasks
+    multiply and add up what they have as matrices, and only sums of whole replicates are shuffled.
+    With ``rates``, denominators are divided by the squared mean rate of all regions.
     """
     regions = numbered(stats)
     if reps is None or samples is None:
         n = regions.count()
         reps, samples = reps or n, samples or n
-    drawn = (
-        draws(regions, reps, samples, seed, generator)
-        .groupBy("rep", "region_ord")
-        .agg(F.count("*").alias("times"))
-        .join(regions, "region_ord")
-        .drop("region_ord")
-    )
     factor = None
     if rates is not None:
         stats = stats.crossJoin(F.broadcast(rate_factor(rates, [], target)))  # one row
         factor = F.col("factor")
-    return (
-        stats.withColumn("d", scaled(factor))
-        .join(drawn, "region")
-        .groupBy("rep", "row", "stat_ord")
-        .agg(ratio(F.sum(F.col("num") * F.col("times")), F.sum(F.col("d") * F.col("times"))).alias("value"))
+    keys = sorted((r["row"], r["stat_ord"]) for r in stats.select("row", "stat_ord").distinct().collect())  # a row a bin and statistic
+    drawn = (
+        draws(regions, reps, samples, seed)
+        .groupBy("region_ord", "rep")
+        .agg(F.count("*").alias("times"))
+        .groupBy("region_ord")
+        .agg(F.collect_list(F.struct("rep", "times")).alias("drawn"))  # an entry a replicate
+        .join(regions, "region_ord")
+        .select("region", "drawn.rep", "drawn.times")
     )
+    width, part = len(keys), REPLICATES
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]  # a task's regions, of a few kilobytes each
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        values = np.hstack([np.stack([np.frombuffer(v, float) for v in table[c].to_pylist()]) for c in ("num", "d")])
+        lists = [table[c].combine_chunks() for c in ("rep", "times")]
+        region = np.repeat(np.arange(len(table)), np.diff(lists[0].offsets.to_numpy()))
+        rep, times = (x.flatten().to_numpy() for x in lists)
+        for low in range(0, reps, part):
+            high = min(low + part, reps)
+            mine = (rep >= low) & (rep < high)
+            counts = np.zeros((high - low, len(table)))
+            counts[rep[mine] - low, region[mine]] = times[mine]
+            found = np.flatnonzero(counts.any(axis=1))
+            sums = counts[found] @ values
+            yield pa.RecordBatch.from_arrays([pa.array(found + low), pa.array([r.tobytes() for r in sums], pa.binary())], ["rep", "sums"])
+
+    def ratios(table: pa.Table) -> pa.Table:
+        sums = np.sum([np.frombuffer(v, float) for v in table["sums"].to_pylist()], axis=0)
+        num, d = sums[:width], sums[width:]
+        value = np.divide(num, d, out=np.zeros(width), where=d != 0)
+        rows, stat = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
+        return pa.table([pa.array([table["rep"][0].as_py()] * width, pa.int64()), rows, stat, pa.array(value, mask=d == 0)], ["rep", "row", "stat_ord", "value"])
+
+    vectors = region_vectors(stats.withColumn("d", scaled(factor)), keys).join(drawn, "region")
+    return vectors.mapInArrow(summed, "rep long, sums binary").groupBy("rep").applyInArrow(ratios, "rep long, row long, stat_ord long, value double")
 
 
 def covariances(reps: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
 """Gaussian composite likelihood of tables of means, by row (bin)."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bootstrap import H_ROW
+
 
 def quadratic_forms(data: DataFrame, model: DataFrame, precision: DataFrame) -> DataFrame:
     """``row, ll``: -(x - mu)' P (x - mu) of each row, without a constant or a half.
@@ -23,20 +27,52 @@ def quadratic_forms(data: DataFrame, model: DataFrame, precision: DataFrame) ->
     )
 
 
-def precision_2x2(cov: DataFrame) -> DataFrame:
-    """Inverses of 2 x 2 covariance matrices in long form, null where singular."""
-    wide = cov.groupBy("row").agg(
-        *[
-            F.max(F.when((F.col("stat_i") == i) & (F.col("stat_j") == j), F.col("cov"))).alias(f"c{i}{j}")
-            for i in (0, 1)
-            for j in (0, 1)
-        ]
-    )
-    det = F.nullif(F.col("c00") * F.col("c11") - F.col("c01") * F.col("c10"), F.lit(0.0))
-    cells = [(0, 0, F.col("c11")), (0, 1, -F.col("c01")), (1, 0, -F.col("c10")), (1, 1, F.col("c00"))]
-    return wide.select(
-        "row",
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("stat_i"), F.lit(j).alias("stat_j"), (v / det).alias("value")) for i, j, v in cells])
-        ).alias("cell"),
-    ).select("row", "cell.*")
+#: Eigenvalues below this share of the largest count as 0.
+SINGULAR = 1e-12
+
+
+def inverted(cov: np.ndarray) -> np.ndarray:
+    """The inverse of a covariance matrix by its Cholesky factor; the pseudo-inverse of a singular one."""
+    scale = np.sqrt(np.diag(cov))
+    if (scale > 0).all():
+        unit = cov / np.outer(scale, scale)
+        try:
+            factor = np.linalg.cholesky(unit)
+            if np.diag(factor).min() ** 2 > SINGULAR * len(cov):
+                half = np.linalg.solve(factor, np.eye(len(cov)))
+                return half.T @ half / np.outer(scale, scale)
+        except np.linalg.LinAlgError:
+            pass
+    return np.linalg.pinv(cov, rcond=SINGULAR, hermitian=True)
+
+
+def precisions(cov: DataFrame) -> DataFrame:
+    """``row, stat_i, stat_j, value``: the inverse of each row's matrix ``cov(row, stat_i, stat_j, cov)``.
+
+    A row's matrix, one entry a pair of statistics, is inverted in one task. Where it is singular,
+    as with fewer replicates than statistics, the pseudo-inverse serves; missing entries count as 0.
+    """
+
+    def one(table: pa.Table) -> pa.Table:
+        i, j = table["stat_i"].to_numpy(), table["stat_j"].to_numpy()
+        names = np.union1d(i, j)
+        c = np.zeros((len(names), len(names)))
+        c[np.searchsorted(names, i), np.searchsorted(names, j)] = np.nan_to_num(table["cov"].to_numpy())
+        inverse = inverted((c + c.T) / 2)
+        n = len(names)
+        columns = [np.full(n * n, table["row"][0].as_py()), np.repeat(names, n), np.tile(names, n), inverse.reshape(-1)]
+        return pa.table([pa.array(x) for x in columns], ["row", "stat_i", "stat_j", "value"])
+
+    rows = cov.select(*[F.col(c).cast("long").alias(c) for c in ("row", "stat_i", "stat_j")], F.col("cov").cast("double").alias("cov"))
+    return rows.groupBy("row").applyInArrow(one, "row long, stat_i long, stat_j long, value double")
+
+
+def bin_likelihoods(data: DataFrame, model: DataFrame, cov: DataFrame) -> DataFrame:
+    """``row, ll`` of means under a model's means, given their covariances."""
+    return quadratic_forms(data, model, precisions(cov))
+
+
+def total_likelihood(bins: DataFrame, include_h: bool = False) -> DataFrame:
+    """``ll``: the sum over the rows of bins, and over the one-locus row if asked for. One row."""
+    rows = bins if include_h else bins.where(F.col("row") != H_ROW)
+    return rows.agg(F.sum("ll").alias("ll"))

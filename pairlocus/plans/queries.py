@@ -428,9 +428,7 @@ REGIONS = regional_sql("{0}.chrom || '_' || ({0}.pos // " + str(t.REGION) + ")")
 RATES = f"rates AS (SELECT chrom || '_' || (pos // {t.REGION}) AS region, count(*) AS num_sites, avg(u) AS mean_mut FROM sites GROUP BY chrom, pos // {t.REGION})"
 FACTOR = "factor AS (SELECT (sum(num_sites * mean_mut) / sum(num_sites)) * (sum(num_sites * mean_mut) / sum(num_sites)) AS f FROM rates)"
 BASE = f"WITH {SITES}, {ENDS}, {TILES}, {EVERY}, {LONG}, {BP}, {REGIONS}, {RATES}, {FACTOR}"
-REPS, DRAWS, SEED = 12, 9, 5
-#: The draws that SQL can repeat.
-GENERATOR = "progression"
+REPS, SEED = 40, 5
 
 
 def region_table(spark: SparkSession, d: str) -> DataFrame:
@@ -515,8 +513,8 @@ def region_means_mut(spark: SparkSession, d: str) -> DataFrame:
 
 
 BOOT = f"""{BASE}, numbered AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS region_ord FROM (SELECT DISTINCT region FROM regional) AS x),
-    drawn AS (SELECT rep, region_ord FROM (SELECT rep, (rep * 7919 + draw * 104729 + {SEED}) % 1000003 % (SELECT count(*) FROM numbered) AS region_ord
-      FROM (SELECT unnest(generate_series(0, {REPS - 1})) AS rep) AS a, (SELECT unnest(generate_series(0, {DRAWS - 1})) AS draw) AS b) AS c),
+    drawn AS (SELECT rep, CAST('0x' || substr(md5('{SEED}:' || rep || ':' || draw), 1, 15) AS BIGINT) % (SELECT count(*) FROM numbered) AS region_ord
+      FROM (SELECT unnest(generate_series(0, {REPS - 1})) AS rep) AS a, (SELECT unnest(generate_series(0, (SELECT count(*) FROM numbered) - 1)) AS draw) AS b),
     reps AS (SELECT rep, row, stat_ord, sum(num) / nullif(sum(DENOM), 0) AS value FROM drawn JOIN numbered ON numbered.region_ord = drawn.region_ord
       JOIN regional ON regional.region = numbered.region, factor GROUP BY rep, row, stat_ord)"""
 COV = """ SELECT a.row AS row, CAST(a.stat_ord AS BIGINT) AS stat_i, CAST(b.stat_ord AS BIGINT) AS stat_j, round(covar_samp(a.value, b.value), 9) + 0.0 AS cov
@@ -525,18 +523,18 @@ COV = """ SELECT a.row AS row, CAST(a.stat_ord AS BIGINT) AS stat_i, CAST(b.stat
 
 @query(BOOT.replace("DENOM", "denom") + " SELECT rep, row, CAST(stat_ord AS BIGINT) AS stat_ord, round(value, 9) AS value FROM reps")
 def bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
-    return boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED, generator=GENERATOR).withColumn("value", F.round("value", 9))
+    return boot.replicates(region_table(spark, d), REPS, seed=SEED).withColumn("value", F.round("value", 9))
 
 
 @query(BOOT.replace("DENOM", "denom") + COV)
 def bootstrap_cov(spark: SparkSession, d: str) -> DataFrame:
-    reps = boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED, generator=GENERATOR)
+    reps = boot.replicates(region_table(spark, d), REPS, seed=SEED)
     return boot.covariances(reps).withColumn("cov", F.round("cov", 9) + 0.0)
 
 
 @query(BOOT.replace("DENOM", SCALED) + COV)
 def bootstrap_cov_mut(spark: SparkSession, d: str) -> DataFrame:
-    reps = boot.replicates(region_table(spark, d), REPS, DRAWS, region_rates(spark, d), seed=SEED, generator=GENERATOR)
+    reps = boot.replicates(region_table(spark, d), REPS, rates=region_rates(spark, d), seed=SEED)
     return boot.covariances(reps).withColumn("cov", F.round("cov", 9) + 0.0)
 
 
@@ -547,7 +545,7 @@ def bootstrap_cov_mut(spark: SparkSession, d: str) -> DataFrame:
     WHERE a.stat_ord IN (0, 4) AND b.stat_ord IN (0, 4) GROUP BY a.row, a.stat_ord, b.stat_ord"""
 )
 def cov_submatrix(spark: SparkSession, d: str) -> DataFrame:
-    reps = boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED, generator=GENERATOR)
+    reps = boot.replicates(region_table(spark, d), REPS, seed=SEED)
     cov = boot.subset_statistics(boot.covariances(reps), [4, 0])
     return long(cov, "stat_i", "stat_j").withColumn("cov", F.round("cov", 9) + 0.0)
 
@@ -560,19 +558,33 @@ def bin_subset(spark: SparkSession, d: str) -> DataFrame:
     return boot.region_means(kept).withColumn("mean", F.round("mean", 9))
 
 
-@query(
-    BOOT.replace("DENOM", "denom")
-    + """, two AS (SELECT rep, row, max(CASE WHEN stat_ord = 0 THEN value END) AS x, max(CASE WHEN stat_ord = 4 THEN value END) AS y FROM reps WHERE stat_ord IN (0, 4) GROUP BY rep, row),
-    c AS (SELECT row, var_samp(x) AS xx, var_samp(y) AS yy, covar_samp(x, y) AS xy, avg(x) AS mx, avg(y) AS my FROM two GROUP BY row)
-    SELECT row, round(-((0.5 * mx) * (0.5 * mx) * yy - 2 * (0.5 * mx) * (0.5 * my) * xy + (0.5 * my) * (0.5 * my) * xx) / nullif(xx * yy - xy * xy, 0), 4) AS ll FROM c"""
-)
-def gaussian_bin_ll(spark: SparkSession, d: str) -> DataFrame:
-    reps = written(boot.replicates(region_table(spark, d), REPS, DRAWS, seed=SEED, generator=GENERATOR), "replicates")
-    reps = boot.subset_statistics(reps, [0, 4])
+#: Forward elimination, a row and column at a time, of covariances with the differences beside them.
+ELIMINATED = f"""WITH RECURSIVE {BOOT.removeprefix("WITH ").replace("DENOM", "denom")},
+    found AS (SELECT row, stat_ord, avg(value) AS mean FROM reps GROUP BY row, stat_ord),
+    c AS (SELECT a.row AS row, a.stat_ord AS i, b.stat_ord AS j, covar_samp(a.value, b.value) AS cov FROM reps AS a JOIN reps AS b ON a.rep = b.rep AND a.row = b.row GROUP BY a.row, a.stat_ord, b.stat_ord),
+    lines AS (SELECT c.row, i, list_append(list(cov ORDER BY j), max(0.5 * mean)) AS line FROM c JOIN found ON found.row = c.row AND found.stat_ord = c.i GROUP BY c.row, i),
+    step AS (SELECT row, list(line ORDER BY i) AS m, 0.0::DOUBLE AS ll FROM lines GROUP BY row
+      UNION ALL SELECT row, list_transform(m[2:], lambda r: list_transform(range(2, len(r) + 1), lambda k: r[k] - r[1] / m[1][1] * m[1][k])), ll - m[1][len(m[1])] * m[1][len(m[1])] / m[1][1] FROM step WHERE len(m) > 0),
+    ll AS (SELECT row, ll FROM step WHERE len(m) = 0)"""
+
+
+def all_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Likelihoods of the mean replicate under half of it, over all statistics."""
+    reps = written(boot.replicates(region_table(spark, d), REPS, seed=SEED), "replicates")
     data = reps.groupBy("row", "stat_ord").agg(F.avg("value").alias("mean"))
-    model = data.withColumn("mean", F.col("mean") * 0.5)
-    ll = likelihood.quadratic_forms(data, model, likelihood.precision_2x2(boot.covariances(reps)))
-    return ll.withColumn("ll", F.round("ll", 4))
+    return likelihood.bin_likelihoods(data, data.withColumn("mean", F.col("mean") * 0.5), boot.covariances(reps))
+
+
+@query(ELIMINATED + " SELECT row, round(ll, 3) AS ll FROM ll")
+def gaussian_bin_ll(spark: SparkSession, d: str) -> DataFrame:
+    return all_bins(spark, d).withColumn("ll", F.round("ll", 3))
+
+
+@query(ELIMINATED + " SELECT round(sum(CASE WHEN row >= 0 THEN ll END), 2) AS ll, round(sum(ll), 2) AS ll_with_h FROM ll")
+def gaussian_total_ll(spark: SparkSession, d: str) -> DataFrame:
+    bins = written(all_bins(spark, d), "likelihoods")
+    whole = likelihood.total_likelihood(bins, True).withColumnRenamed("ll", "ll_with_h")
+    return likelihood.total_likelihood(bins).crossJoin(F.broadcast(whole)).select(F.round("ll", 2).alias("ll"), F.round("ll_with_h", 2).alias("ll_with_h"))  # one row each
 
 
 @query(
@@ -806,7 +818,7 @@ def stat_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def table_statistics(spark: SparkSession, d: str) -> Statistics:
     rows = region_table(spark, d)
-    reps = boot.replicates(rows, REPS, DRAWS, seed=SEED, generator=GENERATOR)
+    reps = boot.replicates(rows, REPS, seed=SEED)
     return Statistics(boot.region_means(rows), boot.covariances(reps), tuple(t.POPULATIONS), tuple(map(float, t.BP_EDGES)))
 
 
@@ -898,6 +910,21 @@ def vcf_coverage(spark: SparkSession, d: str) -> DataFrame:
     return vcf.coverage(spark, variant_file(spark, d))
 
 
+@query(
+    f"""WITH {SITES}, {ENDS} SELECT CAST(sites.chrom AS VARCHAR) AS chrom, pos, a0, b0, a3, b3 FROM sites JOIN ends ON ends.chrom = sites.chrom
+    WHERE sites.chrom = 2 AND pos >= (SELECT min(stop) // 4 FROM ends) AND pos < (SELECT min(stop) // 2 FROM ends)"""
+)
+def block_gzip_region(spark: SparkSession, d: str) -> DataFrame:
+    """All sites as one ordered block-gzipped file; a region of it is read by its index."""
+    path = f"{scratch(spark, 'blocks')}.vcf.gz"
+    sites = t.sites(spark, d).select(F.col("chrom").cast("string").alias("chrom"), "pos", F.lit("A").alias("ref"), F.array(F.lit("C")).alias("alt"), "gt")
+    vcf.write_variants(sites, path, t.POPULATIONS)
+    least = t.last_position(spark, d).agg(F.min("end").alias("end")).first()["end"]  # one row
+    rows = vcf.read_genotypes(spark, path, region=(least // 4, least // 2), chrom="2")
+    alleles = [F.col("gt")[s][a].cast("long").alias(f"{'ab'[a == 'a1']}{s}") for s in (0, 3) for a in ("a0", "a1")]
+    return rows.select("chrom", "pos", *alleles)
+
+
 @query(f"WITH {SITES}, {ENDS}, {MASK} SELECT CAST(chrom AS VARCHAR) AS chrom, lo AS start, hi AS \"end\" FROM mask WHERE hi - lo > 500")
 def bed_file(spark: SparkSession, d: str) -> DataFrame:
     path = filed(spark, t.mask(spark, d), lambda df, path: bed.write_bed(df, path, header=True, compression="gzip"))

@@ -66,12 +66,38 @@ def test_subsets_and_denominators(spark, stats):
     assert {r.denom for r in new} == {2.0}
 
 
+@pytest.mark.parametrize(("size", "rank"), [(1, 1), (2, 2), (10, 10), (10, 4), (70, 70)])
+def test_precisions_of_any_size(spark, size, rank):
+    rng = np.random.default_rng(size + rank)
+    covs = {}
+    for row in (-1, 0):
+        a = rng.normal(size=(size, rank)) * 10.0 ** rng.integers(-3, 4, size)[:, None]
+        covs[row] = a @ a.T
+    long = [(r, i, j, float(c[i, j])) for r, c in covs.items() for i in range(size) for j in range(size)]
+    rows = likelihood.precisions(spark.createDataFrame(long, "row long, stat_i int, stat_j int, cov double")).collect()
+    got = {r: np.zeros((size, size)) for r in covs}
+    for r in rows:
+        got[r.row][r.stat_i, r.stat_j] = r.value
+    for r, c in covs.items():
+        if rank == size:
+            assert got[r] @ c == pytest.approx(np.eye(size), abs=1e-4)
+        else:
+            assert c @ got[r] @ c == pytest.approx(c, rel=1e-3, abs=1e-6 * abs(c).max())
+    data = spark.createDataFrame([(r, s, 1.0 + s) for r in covs for s in range(size)], "row long, stat_ord int, mean double")
+    bins = likelihood.bin_likelihoods(data, data.withColumn("mean", F.lit(0.5)), spark.createDataFrame(long, "row long, stat_i int, stat_j int, cov double"))
+    found = {r.row: r.ll for r in bins.collect()}
+    dx = np.arange(size) + 0.5
+    assert all(found[r] == pytest.approx(-dx @ got[r] @ dx, rel=1e-6) for r in covs)
+    assert likelihood.total_likelihood(bins).first().ll == pytest.approx(found[0])
+    assert likelihood.total_likelihood(bins, True).first().ll == pytest.approx(found[0] + found[-1])
+
+
 def test_quadratic_forms_and_inverse(spark):
     cov = np.array([[2.0, 0.5], [0.5, 1.0]])
     long = spark.createDataFrame([(0, i, j, float(cov[i, j])) for i in (0, 1) for j in (0, 1)], "row long, stat_i int, stat_j int, cov double")
     data = spark.createDataFrame([(0, 0, 3.0), (0, 1, 1.0)], "row long, stat_ord int, mean double")
     model = spark.createDataFrame([(0, 0, 2.0), (0, 1, 3.0)], "row long, stat_ord int, mean double")
-    ll = likelihood.quadratic_forms(data, model, likelihood.precision_2x2(long)).first().ll
+    ll = likelihood.quadratic_forms(data, model, likelihood.precisions(long)).first().ll
     dx = np.array([1.0, -2.0])
     assert ll == pytest.approx(-dx @ np.linalg.inv(cov) @ dx)
 
