@@ -1,7 +1,9 @@
 """One- and two-sample heterozygosity, over sites (H) and over pairs of sites (H2)."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,36 @@ def select_populations(sites: DataFrame, samples: Sequence[str], wanted: Sequenc
 
 
 def one_locus(sites: DataFrame, populations: int, by: Sequence[str], two_sample: bool = True) -> DataFrame:
-    """``by, stat_ord, num``: H as sums over sites (whole quarters, divided at the end)."""
-    sums = [F.sum(q).alias(f"q{n}") for n, q in enumerate(_columns(populations, two_sample))]
-    wide = sites.groupBy(*by).agg(*sums)
-    return wide.select(*by, F.posexplode(F.array(*[F.col(f"q{n}") for n in range(len(sums))])).alias("stat_ord", "q")).select(
-        *by, "stat_ord", (F.coalesce("q", F.lit(0)) / 4).alias("num")
-    )
+    """``by, stat_ord, num``: H as sums over sites (whole quarters, divided at the end).
+
+    Tasks add up what they read, a block of statistics at a time; sums are shuffled, not sites.
+    """
+    by, made = list(by), quarters(populations, two_sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = np.zeros(len(batch), np.int64)
+            for c in by:
+                own = batch[c].dictionary_encode("encode")
+                codes = codes * len(own.dictionary) + own.indices.to_numpy()
+            _, heads, codes = np.unique(codes, return_index=True, return_inverse=True)
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(codes[order]) > 0))
+            v = batch["alleles"].flatten().to_numpy().reshape(len(batch), -1)[order]
+            first = 0
+            for block in made(v):
+                sums = np.add.reduceat(block, starts, axis=0)
+                rows = pa.array(np.repeat(heads, sums.shape[1]))
+                stats = np.tile(np.arange(first, first + sums.shape[1], dtype=np.int32), len(heads))
+                yield pa.RecordBatch.from_arrays([*[batch[c].take(rows) for c in by], pa.array(stats), pa.array(sums.reshape(-1))], [*by, "stat_ord", "q"])
+                first += sums.shape[1]
+
+    rows = sites.select(*by, alleles(F.col("gt")).alias("alleles"))
+    fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
+    sums = rows.mapInArrow(run, f"{fields}stat_ord int, q long")
+    return sums.groupBy(*by, "stat_ord").agg((F.sum("q") / 4).alias("num"))
 
 
 def _columns(populations: int, two_sample: bool) -> list[Column]:
@@ -51,14 +77,53 @@ def _columns(populations: int, two_sample: bool) -> list[Column]:
     return [heterozygous(gt[i]) * 4 if i == j else different_alleles(gt[i], gt[j]) for _, i, j in rows]
 
 
+#: Statistics whose values a task makes at a time.
+BLOCK = 64
+#: Largest edges in a bucket of variant sites, which are sparse: fewer sites are copied, fewer sums made.
+WIDER = 2
+
+
+def alleles(gt: Column) -> Column:
+    """The alleles of all samples, two a sample, in a byte each; -1 where one is missing."""
+    missing = F.lit(-1).cast("tinyint")
+    return F.flatten(F.transform(gt, lambda g: F.array(*[F.coalesce(g[a].cast("tinyint"), missing) for a in ("a0", "a1")])))
+
+
+def quarters(populations: int, two_sample: bool, block: int = BLOCK) -> Callable[[np.ndarray], Iterator[np.ndarray]]:
+    """A function from sites' alleles to four times their differences, a block of statistics at a time.
+
+    A sample without an allele differs from none.
+    """
+    pairs = [(i, j) for _, i, j in triangle(populations)] if two_sample else [(i, i) for i in range(populations)]
+
+    def run(v: np.ndarray) -> Iterator[np.ndarray]:
+        a, b = v[:, ::2], v[:, 1::2]
+        known = (a >= 0) & (b >= 0)
+        for start in range(0, len(pairs), block):
+            i, j = np.array(pairs[start : start + block]).T
+            different = sum((x[:, i] != y[:, j]).astype(np.int64) for x in (a, b) for y in (a, b))
+            own = 4 * (a[:, i] != b[:, i])
+            yield np.where(known[:, i] & known[:, j], np.where(i == j, own, different), 0)
+
+    return run
+
+
 def two_locus_sums(
     sites: DataFrame, populations: int, edges: Sequence[float], by: Sequence[str], at: str, left: str | None, left_by: Sequence[str], two_sample: bool, method: str
 ) -> DataFrame:
-    """``by, left_by, stat_ord, bin_id, num`` for groups with a difference: sites move once for all statistics."""
-    quarters_of = _columns(populations, two_sample)
-    values = [f"_d{n}" for n in range(len(quarters_of))]
-    rows = sites.withColumns(dict(zip(values, quarters_of, strict=True)))
-    sums = pair_sums(rows, edges, list(by), at, "pos", values, left, left_by, method)
+    """``by, left_by, stat_ord, bin_id, num`` for groups with a difference: sites move once for all statistics.
+
+    With the method ``halo`` alleles move, a byte each, and statistics are made where they are added up.
+    """
+    if method == "halo":
+        # Where all alleles are the same there is no difference.
+        rows = sites.withColumn("_alleles", alleles(F.col("gt"))).where(F.array_min("_alleles") != F.array_max("_alleles"))
+        sums = pair_sums(rows, edges, list(by), at, "pos", "_alleles", left, left_by, method, WIDER * float(edges[-1]), quarters(populations, two_sample))
+    else:
+        quarters_of = _columns(populations, two_sample)
+        values = [f"_d{n}" for n in range(len(quarters_of))]
+        rows = sites.withColumns(dict(zip(values, quarters_of, strict=True)))
+        sums = pair_sums(rows, edges, list(by), at, "pos", values, left, left_by, method)
     return sums.select(*by, *left_by, "stat_ord", "bin_id", (F.col("total") / 16).alias("num"))
 
 
@@ -172,13 +237,11 @@ def window_statistics(
 
     As ``region_statistics``, but each window has its own right end: second sites lie below it.
     """
-    quarters_of = _columns(populations, two_sample)
-    values = [f"_d{n}" for n in range(len(quarters_of))]
-    rows = sites.withColumns(dict(zip(values, quarters_of, strict=True)))
-    h2 = windowed_pair_sums(rows, windows, edges, at, values).select("chrom", "region", "bin_id", "stat_ord", (F.col("total") / 16).alias("num"))
+    rows = sites.withColumn("_alleles", alleles(F.col("gt")))
+    h2 = windowed_pair_sums(rows, windows, edges, at, "_alleles", WIDER * float(edges[-1]), quarters(populations, two_sample)).select("chrom", "region", "bin_id", "stat_ord", (F.col("total") / 16).alias("num"))
     held = of_windows(sites.select("chrom", "pos", "gt"), windows)
     h = one_locus(held, populations, ["chrom", "region"], two_sample).select("chrom", "region", F.lit(-1).alias("bin_id"), "stat_ord", "num")
-    frame = framed(windows.select("chrom", "region").distinct(), len(edges), len(quarters_of)).withColumn("bin_id", F.col("bin_id") - 1)
+    frame = framed(windows.select("chrom", "region").distinct(), len(edges), len(_columns(populations, two_sample))).withColumn("bin_id", F.col("bin_id") - 1)
     return with_denominators(frame, h2.unionByName(h), denominators)
 
 

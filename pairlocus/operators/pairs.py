@@ -17,7 +17,7 @@ Three plans give the same numbers:
 """
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,9 @@ def prepared(
 ) -> DataFrame:
     """``by, left_by, at, order, v, l``: what the plans read; sites of value 0 add nothing.
 
-    Of several values ``v`` is an array.
+    Of several values ``v`` is an array; a column that is one stays as it is.
     """
+    listed = isinstance(value, str) and sites.schema[value].dataType.typeName() == "array"
     several = value is not None and not isinstance(value, str)
     v = F.array(*value) if several else F.col(value) if value else F.lit(1).cast("long")
     rows = sites.select(
@@ -57,7 +58,7 @@ def prepared(
     )
     if several:
         return rows.where(F.exists("v", lambda x: x != 0))
-    return rows.where(F.col("v") != 0) if value else rows
+    return rows.where(F.col("v") != 0) if value and not listed else rows
 
 
 def pair_sums(
@@ -71,6 +72,7 @@ def pair_sums(
     left_by: Sequence[str] = (),
     method: str = "halo",
     buckets: float | None = None,
+    expand: Callable[[np.ndarray], Iterator[np.ndarray]] | None = None,
 ) -> DataFrame:
     """``by, left_by, bin_id, total``: the sum of v_i * v_j over pairs in each bin.
 
@@ -78,14 +80,17 @@ def pair_sums(
     one type, whose sums get a row each with their number as ``stat_ord``; ``left`` a boolean
     column of sites that may come first; ``left_by`` columns of the first site that also
     group; ``order`` breaks the ties of ``at``. ``buckets`` is the width of a bucket, by default
-    the largest edge (at least).
+    the largest edge (at least). With ``expand`` (of ``halo`` only) the columns are no values but what
+    they are made of: it gives the values of a task's sites, some columns at a time.
     """
     left_by = list(left_by)
     edges = [type(e)(e) for e in edges]
     rows = prepared(sites, by, at, order, value, left, left_by)
     width = float(buckets or max(edges[-1], 1e-9))
     if method == "halo":
-        return by_halo(rows, edges, by, left_by, width)
+        return by_halo(rows, edges, by, left_by, width, expand)
+    if expand is not None:
+        raise ValueError("only the method halo makes values of others")
     if value is not None and not isinstance(value, str):
         by = [*by, "stat_ord"]
         rows = rows.select("*", F.posexplode("v").alias("stat_ord", "one")).where("one != 0").drop("v").withColumnRenamed("one", "v")
@@ -214,24 +219,40 @@ def binned_sums(at: np.ndarray, v: np.ndarray, first: np.ndarray, codes: np.ndar
     return out
 
 
-def by_halo(rows: DataFrame, edges: list, by: list[str], left_by: list[str], width: float) -> DataFrame:
+def whole_number(kind: str) -> bool:
+    return kind in ("long", "integer", "short", "byte")
+
+
+def matrix_of(column: pa.ChunkedArray, several: bool, number: type) -> np.ndarray:
+    """A row of values for each site."""
+    v = column.combine_chunks()
+    return (v.flatten() if several else v).to_numpy(zero_copy_only=False).astype(number, copy=False).reshape(len(column), -1)
+
+
+def as_they_are(v: np.ndarray) -> Iterator[np.ndarray]:
+    yield v
+
+
+def by_halo(
+    rows: DataFrame, edges: list, by: list[str], left_by: list[str], width: float, expand: Callable[[np.ndarray], Iterator[np.ndarray]] | None = None
+) -> DataFrame:
     reach = float(edges[-1]) * (1 + 1e-9)
     first = F.floor((F.col("at") - F.lit(max(reach, 0.0))) / width).cast("long")
     last = F.floor(F.col("at") / width).cast("long")
     copied = rows.withColumn("home", last).withColumn("bucket", F.explode(F.sequence(first, last)))
     kind = rows.schema["v"].dataType
     several = kind.typeName() == "array"
-    whole = (kind.elementType if several else kind).typeName() in ("long", "integer", "short", "byte")
+    whole = whole_number((kind.elementType if several else kind).typeName())
     steps, number = np.array(edges, float), np.int64 if whole else np.float64
+    made, shipped = expand or as_they_are, np.int8 if expand else number
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("at", "ascending"), ("order", "ascending")]).combine_chunks()
-        v = table["v"].combine_chunks()
-        v = (v.flatten() if several else v).to_numpy(zero_copy_only=False).astype(number).reshape(len(table), -1)
+        v, at = matrix_of(table["v"], several, shipped), table["at"].to_numpy().astype(float)
         left = np.flatnonzero(table["l"].to_numpy() & (table["home"].to_numpy() == table["bucket"].to_numpy()))
         kept = table.take(pa.array(left)).select([*by, *left_by])
         codes, heads = groups_of([kept[c].to_numpy() for c in left_by], len(left)) if len(left) else (left, left)
-        sums = binned_sums(table["at"].to_numpy().astype(float), v, left, codes, steps)
+        sums = np.concatenate([binned_sums(at, block, left, codes, steps) for block in made(v)], axis=2)
         groups, bins, stats = sums.shape
         out = kept.take(pa.array(np.repeat(heads, bins * stats)))
         if several:
@@ -266,49 +287,59 @@ def limited_sums(at: np.ndarray, pos: np.ndarray, v: np.ndarray, left: dict[str,
     return out
 
 
+EMPTY = pa.schema([("chrom", pa.string()), ("region", pa.string()), ("stat_ord", pa.int32()), ("bin_id", pa.int32()), ("total", pa.int64())]).empty_table()
+
+
 def windowed_pair_sums(
-    sites: DataFrame, windows: DataFrame, edges: Sequence[float], at: str = "pos", value: Sequence[str] | None = None, buckets: float | None = None
+    sites: DataFrame,
+    windows: DataFrame,
+    edges: Sequence[float],
+    at: str = "pos",
+    value: Sequence[str] | None = None,
+    buckets: float | None = None,
+    expand: Callable[[np.ndarray], Iterator[np.ndarray]] | None = None,
 ) -> DataFrame:
     """``chrom, region, stat_ord, bin_id, total``: pairs whose first site lies in a window, the second below its ``r_end``.
 
     ``windows(chrom, region, start, l_end, r_end)`` may overlap, each with its own right end. Sites
     move once as second ones and once for each window that holds them as first ones; ``at``
     mustn't fall where the position ``pos`` rises. Windows with a first site have a row for each
-    value (1 if none is given) and bin.
+    value (1 if none is given) and bin. ``expand`` is that of ``pair_sums``.
     """
     edges = [float(e) for e in edges]
     width, reach = float(buckets or max(edges[-1], 1e-9)), max(edges[-1] * (1 + 1e-9), 0.0)
-    values = F.array(*value) if value else F.array(F.lit(1).cast("long"))
+    values = F.array(F.lit(1).cast("long")) if not value else F.col(value) if isinstance(value, str) else F.array(*value)
     rows = sites.select("chrom", "pos", F.col(at).alias("at"), values.alias("v"))
-    kind = rows.schema["v"].dataType.elementType.typeName()
-    whole = kind in ("long", "integer", "short", "byte")
+    whole = whole_number(rows.schema["v"].dataType.elementType.typeName())
     number, size = (np.int64, "long") if whole else (np.float64, "double")
+    made, shipped = expand or as_they_are, np.int8 if expand else number
     home = F.floor(F.col("at") / width).cast("long")
     # Second sites that add nothing needn't move; a window counts its first ones all the same.
     right = rows.where(F.exists("v", lambda x: x != 0)).withColumn("bucket", F.explode(F.sequence(F.floor((F.col("at") - reach) / width).cast("long"), home)))
     inside = windows.select("chrom", "start", F.least("l_end", "r_end").alias("end"), "region", "r_end")
     left = locate(rows, inside).select(*rows.columns, home.alias("bucket"), "region", "r_end")
-    steps, count = np.array(edges), len(value or [1])
+    steps = np.array(edges)
 
     def one(table: pa.Table) -> pa.Table:
-        def columns(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            v = part["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(number).reshape(len(part), count)
-            return part["at"].to_numpy().astype(float), part["pos"].to_numpy(), v
-
         second = table.filter(pc.is_null(table["region"])).sort_by([("at", "ascending"), ("pos", "ascending")])
         first = table.filter(pc.is_valid(table["region"]))
         names = first["region"].combine_chunks().dictionary_encode()
-        place, pos, v = columns(first)
-        own = {"at": place, "pos": pos, "v": v, "stop": first["r_end"].to_numpy(), "code": names.indices.to_numpy().astype(np.int64)}
-        sums = limited_sums(*columns(second), own, steps)
+        own = {"at": first["at"].to_numpy().astype(float), "pos": first["pos"].to_numpy(), "stop": first["r_end"].to_numpy(), "code": names.indices.to_numpy().astype(np.int64)}
+        if not len(first):
+            return EMPTY.cast(pa.schema([("chrom", table.schema.field("chrom").type), *list(EMPTY.schema)[1:-1], ("total", pa.int64() if whole else pa.float64())]))
+        # Sites of both sides as one matrix, so that an empty side has as many columns.
+        both = matrix_of(pa.chunked_array([*first["v"].chunks, *second["v"].chunks]), True, shipped)
+        at, pos = second["at"].to_numpy().astype(float), second["pos"].to_numpy()
+        parts = [limited_sums(at, pos, block[len(first) :], own | {"v": block[: len(first)]}, steps) for block in made(both)]
+        sums = np.concatenate(parts, axis=2)
         groups, bins, stats = sums.shape
-        made = pa.table({
+        out = pa.table({
             "region": names.dictionary.take(pa.array(np.repeat(np.arange(groups), bins * stats))),
             "stat_ord": pa.array(np.tile(np.arange(stats, dtype=np.int32), groups * bins)),
             "bin_id": pa.array(np.tile(np.repeat(np.arange(bins, dtype=np.int32), stats), groups)),
             "total": pa.array(sums.reshape(-1)),
         })
-        return made.add_column(0, "chrom", pa.array([table["chrom"][0].as_py()] * len(made), table.schema.field("chrom").type))
+        return out.add_column(0, "chrom", pa.array([table["chrom"][0].as_py()] * len(out), table.schema.field("chrom").type))
 
     chrom = rows.schema["chrom"].dataType.simpleString()
     both = left.unionByName(right, allowMissingColumns=True)

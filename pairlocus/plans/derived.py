@@ -31,6 +31,20 @@ def sites(spark: SparkSession, d: str, *others: str) -> DataFrame:
     )
 
 
+#: Samples of the wide table.
+MANY = 40
+
+
+def many_samples(spark: SparkSession, d: str) -> DataFrame:
+    """``chrom, pos, gt`` of MANY samples, by the formulas of the first ones."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    gts = [
+        F.struct(((k * (2 * s + 3) + c) % 5 < 2).cast("int").alias("a0"), ((k * (3 * s + 5) + 2 * c) % 7 < 3).cast("int").alias("a1"))
+        for s in range(MANY)
+    ]
+    return table(spark, d, "orders").select((c % 4).alias("chrom"), (k * 10 + c % 10).alias("pos"), F.array(*gts).alias("gt"))
+
+
 def last_position(spark: SparkSession, d: str) -> DataFrame:
     return sites(spark, d).groupBy("chrom").agg((F.max("pos") + 1).alias("end"))
 

@@ -221,6 +221,35 @@ def h2_triangle(spark: SparkSession, d: str) -> DataFrame:
     return long(hstats.two_locus(t.sites(spark, d), t.SAMPLES, t.BP_EDGES, ["chrom"]), "stat_ord", "bin_id")
 
 
+def many_sql() -> str:
+    """All statistics of many samples side by side, as sums of products over pairs, then one a row."""
+    alleles = ", ".join(
+        f"CAST((o_orderkey*{2 * s + 3} + o_custkey) % 5 < 2 AS INT) AS a{s}, CAST((o_orderkey*{3 * s + 5} + 2*o_custkey) % 7 < 3 AS INT) AS b{s}" for s in range(t.MANY)
+    )
+    kinds = [(n, f"d{n}") for n, _, _ in hstats.triangle(t.MANY)]
+    each = ", ".join(f"{quarter(i, j)} AS d{n}" for n, i, j in hstats.triangle(t.MANY))
+    sums = ", ".join(f"CAST(sum(l.{d} * r.{d}) AS DOUBLE) / 16 AS {d}" for _, d in kinds)
+    ones = ", ".join(f"CAST(sum({d}) AS DOUBLE) / 4 AS {d}" for _, d in kinds)
+    row = f"unnest(range({len(kinds)})) AS stat_ord, unnest([{', '.join(d for _, d in kinds)}]) AS num"
+    return f"""WITH s AS (SELECT o_custkey % 4 AS chrom, o_orderkey * 10 + o_custkey % 10 AS pos, {alleles} FROM orders), {BP}, wide AS (SELECT chrom, pos, {each} FROM s),
+    h2 AS (SELECT l.chrom AS chrom, bin_id, {sums} FROM wide AS l JOIN wide AS r ON l.chrom = r.chrom AND r.pos > l.pos AND r.pos < l.pos + 3162
+           JOIN bins ON r.pos >= l.pos + bins.lo AND r.pos < l.pos + bins.hi GROUP BY l.chrom, bin_id),
+    h AS (SELECT chrom, -1 AS bin_id, {ones} FROM wide GROUP BY chrom),
+    found AS (SELECT chrom, bin_id, {row} FROM h2 UNION ALL SELECT chrom, bin_id, {row} FROM h)
+    SELECT k.chrom, CAST(k.bin_id AS BIGINT) AS bin_id, CAST(k.stat_ord AS BIGINT) AS stat_ord, coalesce(num, 0) AS num
+    FROM (SELECT chrom, bin_id, unnest(range({len(kinds)})) AS stat_ord FROM (SELECT DISTINCT chrom FROM s) AS c CROSS JOIN (SELECT bin_id FROM bins UNION ALL SELECT -1) AS b) AS k
+    LEFT JOIN found AS f ON f.chrom = k.chrom AND f.bin_id = k.bin_id AND f.stat_ord = k.stat_ord"""
+
+
+@query(many_sql())
+def h2_many_samples(spark: SparkSession, d: str) -> DataFrame:
+    """H and H2 of forty samples: 820 statistics, of which only the alleles are shuffled."""
+    sites = t.many_samples(spark, d)
+    h2 = hstats.two_locus(sites, t.MANY, t.BP_EDGES, ["chrom"])
+    h = hstats.one_locus(sites, t.MANY, ["chrom"]).withColumn("bin_id", F.lit(-1))
+    return long(h2.unionByName(h), "bin_id", "stat_ord")
+
+
 @query(h2_sql(listed(ONE)))
 def one_sample_h2(spark: SparkSession, d: str) -> DataFrame:
     rows = hstats.two_locus(t.sites(spark, d), t.SAMPLES, t.BP_EDGES, ["chrom"])

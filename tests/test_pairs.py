@@ -173,3 +173,30 @@ def test_pairs_of_a_mask_from_its_intervals(spark, width):
         spark.createDataFrame(mask, "chrom string, start long, end long"), spark.createDataFrame(windows, "chrom string, region string, start long, l_end long, r_end long"), edges, width
     )
     assert {(r.region, r.bin_id): r.denom for r in got.collect()} == want
+
+
+def test_many_samples_equal_single_statistics(spark):
+    """Statistics made from packed alleles, some missing, are those of all pairs of samples and sites."""
+    import random
+
+    from pairlocus.operators import hstats
+
+    rng, samples = random.Random(8), 12
+    rows = [(1 + n % 2, 7 * n + rng.randint(0, 5), [(rng.choice([None, 0, 1, 2]), rng.choice([0, 1])) for _ in range(samples)]) for n in range(60)]
+    sites = spark.createDataFrame(rows, "chrom int, pos long, gt array<struct<a0: int, a1: int>>")
+
+    def d(a, b, same):
+        if None in (*a, *b):
+            return 0
+        return 4 * (a[0] != a[1]) if same else sum(x != y for x in a for y in b)
+
+    edges, want, ones = [0, 20, 100], {}, {}
+    for n, i, j in hstats.triangle(samples):
+        value = {(c, p): d(gt[i], gt[j], i == j) for c, p, gt in rows}
+        for c in (1, 2):
+            ones[c, n] = sum(v for (x, _), v in value.items() if x == c) / 4
+            for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+                want[c, n, k] = sum(v * w for (x, p), v in value.items() for (y, q), w in value.items() if x == y == c and p < q and lo <= q - p < hi) / 16
+    got = {(r.chrom, r.stat_ord, r.bin_id): r.num for r in hstats.two_locus(sites, samples, edges, ["chrom"]).collect()}
+    assert got == want
+    assert {(r.chrom, r.stat_ord): r.num for r in hstats.one_locus(sites, samples, ["chrom"]).collect()} == ones
