@@ -8,7 +8,7 @@ to end with a separator behind each, and cut every ``capacity`` ids: all sequenc
 lies behind the last full one is cut into powers of two, which need no padding, either.
 
 Where a document begins on the line is its task's running sum plus the totals of the ranges before,
-so no task holds the line. Ids are made once and move once.
+so no task holds the line. Ids are made once, kept in two bytes each if that suffices, and move once.
 
 Nulls: a null text counts as empty (one separator); null or repeated document ids are rows like
 others, ordered by id within a key and by place in a file within an id. Documents without tokens
@@ -20,12 +20,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packing import CAPACITY, token_ids
+from .packing import CAPACITY, token_ids, tokenizer
 from .text import small_batches, written
 
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 15
@@ -91,21 +90,27 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def kind_of(tokenizer_path: str) -> str:
+    """In how many bytes ids are kept."""
+    return "<u2" if tokenizer(tokenizer_path).n_vocab <= 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``doc_id, ids, c0, c1, ...``: ids as 32-bit numbers with the separator, and the projections."""
-    along = directions()
+    """``doc_id, ids, n, c0, c1, ...``: ids with the separator, how many they are, and the projections."""
+    along, kind = directions(), kind_of(tokenizer_path)
 
     def run(batches):
         for batch in small_batches(batches, rows=1000, mb=4):
             ids, at = token_ids(batch["text"], tokenizer_path)
             where = projected(ids.astype(np.int64), at, along)
-            whole = np.insert(ids.astype("<u4"), at[1:], SEPARATOR)
-            ends = 4 * (at + np.arange(len(at))).astype(np.int64)
-            own = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(whole.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], own, *[pa.array(c) for c in where.T]], ["doc_id", "ids", *[f"c{k}" for k in range(DIMENSIONS)]])
+            whole = np.insert(ids.astype(kind), at[1:], SEPARATOR)
+            ends = (at + np.arange(len(at))).astype(np.int64)
+            own = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((ends * whole.itemsize).astype(np.int32).tobytes()), pa.py_buffer(whole.tobytes())])
+            columns = [batch["doc_id"], own, pa.array(np.diff(ends)), *[pa.array(c) for c in where.T]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n", *[f"c{k}" for k in range(DIMENSIONS)]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, ids binary, {', '.join(f'c{k} double' for k in range(DIMENSIONS))}")
+    return rows.mapInArrow(run, f"doc_id long, ids binary, n long, {', '.join(f'c{k} double' for k in range(DIMENSIONS))}")
 
 
 def steps(scale: list[tuple[float, float]]) -> list[Column]:
@@ -131,24 +136,23 @@ def keyed(tokens: DataFrame) -> DataFrame:
 
 
 def laid(tokens: DataFrame) -> DataFrame:
-    """``doc_id, ids, curve, part, start``: in order of the curve; ``start`` counts ids from the first of the range."""
-    at = tokens.metadataColumn("_metadata")
-    keys = ["curve", "doc_id", "_file", "_row"]
-    placed = keyed(tokens.select("*", F.xxhash64(at["file_path"]).alias("_file"), at["row_index"].alias("_row")))
-    dealt = placed.select("doc_id", "ids", *[k for k in keys if k != "doc_id"]).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    """``file, row, part, start``: rows in order of the curve; ``start`` counts ids from the first of the range.
+
+    Ids don't move here.
+    """
+    keys = ["curve", "doc_id", "file", "row"]
+    dealt = keyed(tokens).select(*keys, "n").repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
         part, begun = TaskContext.get().partitionId(), 0
         for batch in batches:
-            sizes = pc.binary_length(batch["ids"]).to_numpy().astype(np.int64) // 4
+            sizes = batch["n"].to_numpy()
             starts = begun + np.cumsum(sizes) - sizes
             begun += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["ids"], batch["curve"], pa.array([part] * len(batch), pa.int32()), pa.array(starts, pa.int64())],
-                ["doc_id", "ids", "curve", "part", "start"],
-            )
+            columns = [batch["file"], batch["row"], pa.array([part] * len(batch), pa.int32()), pa.array(starts, pa.int64()), batch["n"]]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "row", "part", "start", "n"])
 
-    return dealt.mapInArrow(run, "doc_id long, ids binary, curve long, part int, start long")
+    return dealt.mapInArrow(run, "file long, row long, part int, start long, n long")
 
 
 def rest_of(total: int, capacity: int) -> list[int]:
@@ -164,10 +168,11 @@ def rest_of(total: int, capacity: int) -> list[int]:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: one row a piece."""
     tokens = written(tokenised(docs, tokenizer_path), "curve-tokens", 1000, 4)
-    line = written(laid(tokens), "curve-line", 1000, 4)
-    size = F.length("ids") / 4
+    at = tokens.metadataColumn("_metadata")
+    tokens = tokens.select("*", F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("row"))
+    line, kind = written(laid(tokens), "curve-line"), kind_of(tokenizer_path)
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = line.groupBy("part").agg(F.sum(size).cast("long").alias("ids"))
+    parts = line.groupBy("part").agg(F.sum("n").alias("ids"))
     total = parts.agg(F.sum("ids").alias("n")).first()["n"] or 0
     tail = np.array(rest_of(total, capacity), np.int64)
     # A row a range, whatever the number of documents.
@@ -178,8 +183,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
         for batch in batches:
             out = defaultdict(list)
             for doc_id, ids, at in zip(batch["doc_id"].to_pylist(), batch["ids"], batch["at"].to_pylist(), strict=True):
-                own = memoryview(ids.as_buffer())
-                n = len(own) // 4
+                own = np.frombuffer(ids.as_buffer(), kind)
+                n = len(own)
                 begin = at
                 while begin < at + n:
                     if begin < tail[0]:
@@ -192,14 +197,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
                     out["doc_id"].append(doc_id)
                     out["start"].append(begin - at)
                     out["length"].append(stop - begin)
-                    out["ids_crc32"].append(zlib.crc32(own[4 * (begin - at) : 4 * (stop - at)]))
+                    out["ids_crc32"].append(zlib.crc32(own[begin - at : stop - at].astype("<u4").tobytes()))
                     out["doc_tokens"].append(n)
                     out["sequence_id"].append(sequence)
                     out["offset"].append(begin - first)
                     begin = stop
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in PIECES], schema=PIECES)
 
-    placed = line.join(F.broadcast(begins), F.col("part") == F.col("_part")).select("doc_id", "ids", (F.col("start") + F.col("begin")).alias("at"))
+    places = line.join(F.broadcast(begins), F.col("part") == F.col("_part")).select("file", "row", (F.col("start") + F.col("begin")).alias("at"))
+    placed = tokens.select("file", "row", "doc_id", "ids").join(places, ["file", "row"]).select("doc_id", "ids", "at")
     return placed.mapInArrow(run, ", ".join(f"{f.name} long" for f in PIECES))
 
 
