@@ -12,7 +12,7 @@ from ..operators import bootstrap as boot
 from ..operators import hstats, intervals, lattice, likelihood, maps, pairs, quadrature, views
 from ..operators.container import Statistics
 from ..scratch import scratch, written
-from ..sources import bed, vcf
+from ..sources import bed, dense, vcf
 from . import derived as t
 
 QUERIES: dict = {}
@@ -965,6 +965,29 @@ def bedgraph_file(spark: SparkSession, d: str) -> DataFrame:
     return bed.read_bedgraph(spark, filed(spark, t.step_map(spark, d), bed.write_bedgraph))
 
 
+@query(f"WITH {SITES}, {ENDS}, {STEPS} SELECT CAST(chrom AS VARCHAR) AS chrom, lo AS start, hi AS \"end\", CAST(rate AS DOUBLE) AS u FROM steps")
+def bedgraph_one_file(spark: SparkSession, d: str) -> DataFrame:
+    """The steps as one ordered, block-gzipped file, and back."""
+    path = f"{scratch(spark, 'steps')}.bedgraph.gz"
+    bed.write_ordered(t.step_map(spark, d).repartition(5), path, sep=",")
+    return bed.read_bedgraph(spark, path)
+
+
+@query(
+    f"""WITH {SITES} SELECT s.chrom, s.pos, CAST(r.u AS DOUBLE) AS u FROM sites AS s JOIN (SELECT pos, u FROM sites WHERE chrom = 1) AS r ON r.pos = s.pos WHERE s.chrom = 1
+    UNION ALL SELECT -1 AS chrom, count(*) AS pos, CAST(sum(u) AS DOUBLE) AS u FROM sites WHERE chrom = 1"""
+)
+def dense_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of a chromosome as a dense array: written, read in parts, and gathered at its sites; its number of rates and their sum."""
+    path = f"{scratch(spark, 'rates')}.npy"
+    own = t.sites(spark, d).where("chrom = 1").select("chrom", "pos", F.col("u").cast("double").alias("u"))
+    dense.write_dense(own, path)
+    rates = dense.read_dense(spark, path, 1 << 16)
+    found = maps.gather(own.select("chrom", "pos"), rates.withColumn("chrom", F.lit(1).cast("long")))
+    total = rates.agg(F.lit(-1).cast("long").alias("chrom"), F.count("*").alias("pos"), F.sum("u").alias("u"))
+    return found.unionByName(total)
+
+
 @query(
     f"""WITH {SITES}, {ENDS}, {series("tiles", t.REGION, "k*25000 AS start, stop", 0)}
     SELECT '7' AS chrom, start, least(start + 25000, stop) AS l_end, stop AS r_end FROM tiles WHERE start < stop"""

@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import write_blocks
+from .dense import read_dense
+
 
 def fields(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("f"))
@@ -42,21 +45,29 @@ def read_bedgraph(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def read_mutation_map(spark: SparkSession, path: str, chrom: str) -> DataFrame:
-    """``chrom, start, end, u`` of a bedGraph, or of a Parquet table ``start, end, u`` or ``pos, u`` of one chromosome.
+    """``chrom, start, end, u`` of a bedGraph, a dense array (``.npy``), or a Parquet table ``start, end, u`` or ``pos, u`` of one chromosome.
 
-    A dense array of rates is a table ``pos, u``: positions from 0, without those that lack a rate.
+    A table ``pos, u`` is a dense array, too: positions from 0, without those that lack a rate.
     """
-    if not path.rstrip("/").endswith(".parquet"):
+    if not is_table(path) and not is_array(path):
         return read_bedgraph(spark, path)
-    df = spark.read.parquet(path)
+    df = read_dense(spark, path) if is_array(path) else spark.read.parquet(path)
     if "pos" in df.columns:
         df = df.select(F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "u")
     return df.where(F.col("u").isNotNull() & ~F.isnan("u")).select(F.lit(chrom).alias("chrom"), "start", "end", F.col("u").cast("double").alias("u"))
 
 
+def is_table(path: str) -> bool:
+    return path.rstrip("/").endswith(".parquet")
+
+
+def is_array(path: str) -> bool:
+    return path.endswith(".npy")
+
+
 def is_dense(spark: SparkSession, path: str) -> bool:
     """Whether a mutation map has a row for each position."""
-    return path.rstrip("/").endswith(".parquet") and "pos" in spark.read.parquet(path).columns
+    return is_array(path) or (is_table(path) and "pos" in spark.read.parquet(path).columns)
 
 
 def write_bedgraph(df: DataFrame, path: str, sep: str = ",", compression: str = "none") -> None:
@@ -65,6 +76,18 @@ def write_bedgraph(df: DataFrame, path: str, sep: str = ",", compression: str =
     df.select(*first, *rest).orderBy("#chrom", "chromStart").write.csv(path, sep=sep, header=True, compression=compression)
 
 
+def write_ordered(df: DataFrame, path: str, sep: str = "\t", header: bool = True, overwrite: bool = False) -> None:
+    """One sorted, block-gzipped file of ``chrom, start, end`` and other columns, with its header once and an index.
+
+    Nothing has the file's name before it is whole.
+    """
+    rest = [c for c in df.columns if c not in ("chrom", "start", "end")]
+    names = sep.join(["#chrom", "chromStart", "chromEnd", *rest])
+    line = F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in ("chrom", "start", "end", *rest)])
+    rows = df.select(F.col("chrom").cast("string").alias("chrom"), F.col("start").cast("long").alias("pos"), line.alias("value"))
+    write_blocks(rows, path, names if header else "", overwrite)
+
+
 def read_recombination_map(spark: SparkSession, path: str, chrom: str, map_column: str = "Map(cM)") -> DataFrame:
     """``chrom, bp, cm`` of a map text whose header names ``Position(bp)`` and the map's column."""
     first = spark.read.text(path).first()
