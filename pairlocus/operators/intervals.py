@@ -163,12 +163,24 @@ def plain_tiles(length: int, size: int, spark) -> DataFrame:
     )
 
 
+#: Tiles whose lengths are added up in one group.
+TILES = 1 << 12
+
+
 def random_tiles(length: int, scale: float, spark, seed: int = 1) -> DataFrame:
-    """Tiles with exponential lengths (rounded up), the last one cut at ``length``."""
+    """``start, end``: tiles with exponential lengths (rounded up) of mean ``scale``, the last one cut at ``length``.
+
+    Lengths come from the MD5 of seed and number, its first 60 bits as a fraction. They are added
+    up in groups of numbers, and the sums of the groups before are added to those.
+    """
     n = int(4 * length / scale) + 64
-    sizes = spark.range(0, n).select("id", F.ceil(-scale * F.ln(1 - F.rand(seed))).cast("long").alias("size"))
-    line = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sizes.select("id", "size", F.sum("size").over(line).alias("end")).withColumn("start", F.col("end") - F.col("size"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("double") / float(1 << 60)
+    sizes = spark.range(0, n).select("id", F.floor(F.col("id") / TILES).alias("group"), F.ceil(-scale * F.ln(1 - drawn)).cast("long").alias("size"))
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # a row for TILES tiles
+    groups = sizes.groupBy("group").agg(F.sum("size").alias("all")).select("group", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before"))
+    line = Window.partitionBy("group").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sizes.withColumn("own", F.sum("size").over(line)).join(groups, "group").withColumn("end", F.col("own") + F.col("before"))
+    ends = ends.withColumn("start", F.col("end") - F.col("size"))
     return ends.where((F.col("start") < length) & (F.col("size") > 0)).select("start", F.least("end", F.lit(length)).alias("end"))
 
 

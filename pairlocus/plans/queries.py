@@ -1066,3 +1066,101 @@ def mut_vcf_rates(spark: SparkSession, d: str) -> DataFrame:
 def autosomes(spark: SparkSession, d: str) -> DataFrame:
     name = F.when(F.col("o_orderstatus") == "F", "chrX").otherwise(F.concat(F.lit("chr"), (F.col("o_custkey") % 4).cast("string")))
     return vcf.autosomal(t.table(spark, d, "orders").select("o_orderkey", name.alias("chrom")))
+
+
+# Readers of files, and the command that puts them together
+
+
+@query(
+    f"""WITH {SITES}, k AS (SELECT pos, pos // 5000 AS k FROM sites WHERE chrom = 1) SELECT pos,
+    round(k*0.5 + (k % 3)*0.125 + (((k+1)*0.5 + ((k+1) % 3)*0.125) - (k*0.5 + (k % 3)*0.125)) * (pos - k*5000) / 5000.0, 9) AS cm FROM k"""
+)
+def rec_map_file(spark: SparkSession, d: str) -> DataFrame:
+    """A map as text with a header and other columns, interpolated at a chromosome's sites."""
+    knots = t.rec_map(spark, d).where("chrom = 1").select(F.concat_ws(" ", F.lit("1"), F.col("bp").cast("string"), F.lit("0.5"), F.col("cm").cast("string")).alias("value"), "bp")
+
+    def write(df: DataFrame, path: str) -> None:
+        head = spark.createDataFrame([("Chromosome Position(bp) Rate(cM/Mb) Map(cM)", -1)], "value string, bp long")
+        df.unionByName(head).coalesce(1).sortWithinPartitions("bp").select("value").write.text(path)  # a line a knot of one chromosome
+
+    knots = maps.checked_map(bed.read_recombination_map(spark, filed(spark, knots, write), "1"))
+    sites = t.sites(spark, d).where("chrom = 1").select(F.lit("1").alias("chrom"), "pos")
+    return maps.interpolate(sites, knots).select("pos", F.round("cm", 9).alias("cm"))
+
+
+@query(
+    """SELECT 'chr' || l_linenumber AS chrom, CAST(l_partkey AS BIGINT) AS pos, round(sum(l_discount) * 1.015e-7 / 2 * 1e9, 6) AS u FROM lineitem
+    WHERE l_linenumber <> 7 GROUP BY l_linenumber, l_partkey"""
+)
+def mut_vcf_file(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of a mutation file: alternatives of a position summed, other than autosomes left out."""
+    number = F.col("l_linenumber").cast("string")
+    chrom = F.when(F.col("l_linenumber") == 7, "chrX").otherwise(F.concat(F.lit("chr"), number))
+    info = F.concat(F.lit("AC=1;MR="), F.col("l_discount").cast("string"), F.lit(";X=2"))
+    fields = [chrom, (F.col("l_partkey") + 1).cast("string"), F.lit("."), F.lit("A"), F.lit("C"), F.lit("."), F.lit("PASS"), info]
+    lines = t.table(spark, d, "lineitem").select(F.concat_ws("\t", *fields).alias("value"))
+    rates = vcf.read_mutation_rates(spark, filed(spark, lines, lambda df, path: df.write.text(path), "##contig=<ID=chr1,length=9>"))
+    return rates.select("chrom", "pos", F.round(F.col("u") * 1e9, 6).alias("u"))
+
+
+@query(
+    f"""WITH {SITES}, n AS (SELECT max(pos) AS n FROM sites), ids AS (SELECT unnest(generate_series(0, 4 * n // 500 + 63)) AS id, n FROM n),
+    sizes AS (SELECT id, n, CAST(ceil(-500.0::DOUBLE * ln(1 - CAST('0x' || substr(md5('7:' || id), 1, 15) AS BIGINT) / 1152921504606846976.0::DOUBLE)) AS BIGINT) AS size FROM ids),
+    line AS (SELECT n, size, CAST(sum(size) OVER (ORDER BY id) AS BIGINT) AS stop FROM sizes)
+    SELECT stop - size AS start, least(stop, n) AS "end" FROM line WHERE stop - size < n AND size > 0"""
+)
+def random_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Regions with exponential lengths, over the whole of the positions."""
+    length = t.sites(spark, d).agg(F.max("pos").alias("n")).first()["n"]  # one row
+    return intervals.random_tiles(length, 500.0, spark, 7)
+
+
+#: A recombination fraction a base pair.
+RATE = 1e-6
+
+
+@query(
+    f"""WITH {SITES}, {bins(t.CM_EDGES)}, m AS (SELECT chrom, pos, pos * {g.haldane_edges([RATE])[0]!r}::DOUBLE AS cm FROM sites),
+    found AS (SELECT l.chrom AS chrom, bin_id, count(*) AS total FROM m AS l JOIN m AS r ON l.chrom = r.chrom AND r.pos > l.pos AND r.pos < l.pos + 3300 AND r.cm < l.cm + 0.32::DOUBLE
+              JOIN bins ON r.cm >= l.cm + bins.lo::DOUBLE AND r.cm < l.cm + bins.hi::DOUBLE GROUP BY l.chrom, bin_id)
+    SELECT g.chrom, CAST(b.bin_id AS BIGINT) AS bin_id, CAST(coalesce(f.total, 0) AS BIGINT) AS total
+    FROM (SELECT DISTINCT chrom FROM sites) AS g CROSS JOIN bins AS b LEFT JOIN found AS f ON f.chrom = g.chrom AND f.bin_id = b.bin_id"""
+)
+def pair_counts_constant_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Bins in cM under one recombination fraction a base pair."""
+    mapped = t.sites(spark, d).select("chrom", "pos", g.constant_map(F.col("pos"), RATE).alias("cm"))
+    return long(pairs.pair_sums(mapped, t.CM_EDGES, ["chrom"], "cm"), "bin_id")
+
+
+def command_sql() -> str:
+    """Sums over sites in the mask and products of rates over its positions, by window, of one chromosome."""
+    of_rates = ranked_sql(t.BP_EDGES, "pos", "rate", ON_STEPS)
+    cut = of_rates.index("SELECT region, CAST(a.edge AS BIGINT)")
+    return f"""{of_rates[:cut].rstrip()}, denoms AS ({of_rates[cut:]}), {LONG}, {EVERY_STATISTIC}, {BP},
+    held AS (SELECT d.* FROM d JOIN m ON m.chrom = d.chrom AND d.pos >= lo AND d.pos < hi WHERE d.chrom = 1),
+    h AS (SELECT region, stat_ord, CAST(-1 AS BIGINT) AS bin_id, sum(d4) / 4.0 AS num FROM held AS l JOIN windows AS w ON w.chrom = l.chrom AND l.pos >= start AND l.pos < least(l_end, r_end) GROUP BY region, stat_ord),
+    h2 AS (SELECT region, l.stat_ord AS stat_ord, bin_id, sum(l.d4 * r.d4) / 16.0 AS num FROM held AS l JOIN held AS r ON l.stat_ord = r.stat_ord AND l.d4 > 0 AND r.d4 > 0 AND r.pos > l.pos AND r.pos < l.pos + 3162
+           JOIN bins ON r.pos >= l.pos + bins.lo AND r.pos < l.pos + bins.hi JOIN windows AS w ON w.chrom = 1 AND l.pos >= start AND l.pos < l_end AND r.pos < r_end GROUP BY region, l.stat_ord, bin_id),
+    nums AS (SELECT * FROM h UNION ALL SELECT * FROM h2)
+    SELECT w.region, CAST(b.bin_id AS BIGINT) AS "row", CAST(s.stat_ord AS BIGINT) AS stat_ord, CAST(coalesce(num, 0) AS DOUBLE) AS num, CAST(coalesce(denom, 0) AS DOUBLE) AS denom
+    FROM (SELECT * FROM windows WHERE chrom = 1) AS w CROSS JOIN stats AS s CROSS JOIN (SELECT CAST(-1 AS BIGINT) AS bin_id UNION ALL SELECT bin_id FROM bins) AS b
+    LEFT JOIN nums ON nums.region = w.region AND nums.stat_ord = s.stat_ord AND nums.bin_id = b.bin_id LEFT JOIN denoms ON denoms.region = w.region AND denoms.bin_id = b.bin_id"""
+
+
+@query(command_sql())
+def parse_h2_files(spark: SparkSession, d: str) -> DataFrame:
+    """The command on a chromosome's files: variants, mask, rates by step, bins, and windows that overlap."""
+    from ..cli import parse_h2, parser
+
+    base = scratch(spark, "command")
+    sites = t.sites(spark, d).select(F.col("chrom").cast("string").alias("chrom"), "pos", F.lit("A").alias("ref"), F.array(F.lit("C")).alias("alt"), "gt")
+    vcf.write_variants(sites, f"{base}.vcf.gz", t.POPULATIONS)
+    bed.write_ordered(t.mask(spark, d), f"{base}.bed.gz")
+    bed.write_ordered(t.step_map(spark, d), f"{base}.rates.gz", sep=",")
+    # Windows of one chromosome, and a line of bins.
+    lines = t.overlapping(spark, d).where("chrom = 1").orderBy(F.split("region", "_")[1].cast("long"))
+    lines.select("start", "l_end", "r_end").coalesce(1).write.csv(f"{base}.windows", sep=" ")
+    spark.createDataFrame([(" ".join(map(str, t.BP_EDGES)),)], "value string").coalesce(1).write.text(f"{base}.bins")
+    files = {"vcf": f"{base}.vcf.gz", "bed": f"{base}.bed.gz", "mut_map": f"{base}.rates.gz", "regions": f"{base}.windows", "bins": f"{base}.bins", "out": f"{base}.out"}
+    asked = parser().parse_args(["parse_h2", "--chrom", "1", *[x for k, v in files.items() for x in (f"--{k}", v)]])
+    return long(parse_h2(spark, asked), "row", "stat_ord").select("region", "row", "stat_ord", "num", "denom")
