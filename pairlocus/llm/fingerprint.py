@@ -1,16 +1,19 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraphs.
 
 A text is cut into paragraphs at line and sentence ends; those of more than ``LONGEST``
-characters are cut further behind words that their own letters select, so that an edit changes
-the paragraphs it touches and no others. Each paragraph's digest (with its number among equal
+characters are cut further behind words that their own letters select, and what still is long for
+want of spaces behind characters that those before them select, so that in any script an edit
+changes the paragraphs it touches and no others. Each paragraph's digest (with its number among equal
 ones) is added to three cells of a small table: a count, the xor of the digests and the xor of
 their checks. The tables of two versions subtract cell by cell; what both hold cancels, and
 peeling cells with a single digest recovers the digests that differ, and on which side. Where
 peeling gets stuck the two are sketched again, at least twice as large, until it succeeds.
 
 The likeness of two fingerprints is the share of paragraphs they have in common (Jaccard),
-from the numbers of paragraphs and of recovered differences. The string of a fingerprint is
-its smallest table.
+from the numbers of paragraphs and of recovered differences. The string of a fingerprint is a
+table that grows with its paragraphs, its size a power of two: tables of two sizes compare at the
+smaller one, as cells fold onto each other. ``likeness_of`` compares two strings, texts that differ
+by half or less, in general, without the texts.
 
 Nulls: a null text counts as empty, and empty texts are alike (1); a null document id comes
 before all others. Rows that repeat an id, or have none, follow each other in the order in which
@@ -54,12 +57,39 @@ def cut_by_words(paragraph: str) -> list[str]:
             parts.append(paragraph[start:end])
             start = end
     parts.append(paragraph[start:])
-    return [p[i : i + 4 * LONGEST] for p in parts for i in range(0, len(p), 4 * LONGEST)]
+    return [q for p in parts for q in (cut_by_characters(p) if len(p) > 4 * LONGEST else (p,))]
+
+
+#: Characters that select a cut, the fewest between two cuts, and one place in how many is selected.
+WINDOW, FEWEST, SELECTED = 8, LONGEST // 2, 64
+
+
+def cut_by_characters(run: str) -> list[str]:
+    """Parts of a run behind characters that are selected by a hash of the last WINDOW ones; none where it repeats."""
+    codes = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - WINDOW + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        h = (h ^ codes[k : n + k]) * _M[k % 4]
+    ends = np.flatnonzero(mixed(h, 1) % np.uint64(SELECTED) == 0) + WINDOW
+    parts, start = [], 0
+    for end in ends.tolist():
+        if end - start >= FEWEST:
+            parts.append(run[start:end])
+            start = end
+    return [*parts, run[start:]]
+
+
+#: Sentence ends that no space follows. Fixed values.
+FULL_STOPS = "。！？"
 
 
 def paragraphs(text: str) -> list[str]:
     """Parts of a text at line and sentence ends, and of long ones."""
-    parts = text.replace(". ", ".\n").split("\n")
+    text = text.replace(". ", ".\n")
+    for c in FULL_STOPS:
+        text = text.replace(c, c + "\n")
+    parts = text.split("\n")
     if max(map(len, parts)) > LONGEST:
         parts = [q for p in parts for q in (cut_by_words(p) if len(p) > LONGEST else (p,))]
     return [p for p in parts if p]
@@ -133,13 +163,45 @@ class Sketches:
         return np.concatenate(keys), np.concatenate(sets), np.concatenate(sides), left == 0
 
     def strings(self) -> list[str]:
-        rows = np.dtype([("count", "<i2"), ("key", "<u8"), ("check", "<u2")])
-        cells = np.zeros(len(self.count), rows)
-        cells["count"], cells["key"], cells["check"] = self.count, self.key, self.check & np.uint64(0xFFFF)
-        data, ends = cells.tobytes(), (self.ends * rows.itemsize).tolist()
+        cells = np.zeros(len(self.count), CELL)
+        cells["count"], cells["key"], cells["check"] = self.count, self.key, self.check
+        data, ends = cells.tobytes(), (self.ends * CELL.itemsize).tolist()
         return [base64.b64encode(data[i:j]).decode() for i, j in zip([0, *ends[:-1]], ends, strict=False)]
 
 
+#: A cell of a published table.
+CELL = np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u8")])
+
+
+def published_sizes(owner: np.ndarray, sets: int) -> np.ndarray:
+    """Cells of each part of the published tables: powers of two, three quarters of the paragraphs at least in all parts."""
+    n = np.maximum(np.bincount(owner, minlength=sets), 1)
+    return np.maximum(SMALLEST, 1 << np.ceil(np.log2(np.maximum(n / 4, 1))).astype(np.int64))
+
+
+def table_of(string: str, size: int | None = None) -> Sketches:
+    """The table of a fingerprint's string, folded to a smaller size if asked."""
+    cells = np.frombuffer(base64.b64decode(string), CELL)
+    own = len(cells) // 3
+    out = Sketches(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.array([size or own]))
+    parts = cells.reshape(3, -1, size or own)
+    out.count = parts["count"].sum(axis=1).reshape(-1).astype(np.int64)
+    out.key, out.check = (np.bitwise_xor.reduce(parts[c], axis=1).reshape(-1) for c in ("key", "check"))
+    return out
+
+
+def likeness_of(a: str, b: str) -> float | None:
+    """The likeness of two fingerprints, from their strings alone; None where the tables are too small for the differences."""
+    size = min(len(base64.b64decode(x)) // CELL.itemsize // 3 for x in (a, b))
+    tables = [table_of(x, size) for x in (a, b)]
+    n = [int(t.count.sum()) // 3 for t in tables]
+    keys, _, _, done = tables[0].minus(tables[1]).peel()
+    if not done.all():
+        return None
+    common = (sum(n) - len(keys)) / 2
+    return common / (sum(n) - common) if sum(n) else 1.0
+
+
 def only(keys: np.ndarray, owner: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of some sets, which are numbered anew."""
     number = np.full(int(owner.max(initial=-1)) + 2, -1)
@@ -191,12 +253,11 @@ def compare(texts: list[str], following: list[str]) -> dict[str, list]:
     after[[i + 1 for i in extra if i + 1 < n]] = -1
     other = keys[after[owner] >= 0], after[owner][after[owner] >= 0]
     edit = digests(new)
-    size = np.full(n, SMALLEST)
     return {
         "n_chars": list(map(len, texts)),
         "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new],
-        "fingerprint": Sketches(*own, size).strings(),
-        "edited_fingerprint": Sketches(*edit, size).strings(),
+        "fingerprint": Sketches(*own, published_sizes(own[1], n)).strings(),
+        "edited_fingerprint": Sketches(*edit, published_sizes(edit[1], n)).strings(),
         "near_edited": likeness(own, edit, n),
         "near_next": likeness(own, other, n),
     }

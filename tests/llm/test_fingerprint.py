@@ -74,6 +74,39 @@ def test_an_edit_changes_what_it_touches():
     assert "".join(fp.paragraphs("y" * 5000 + " z. " + text)).replace(" ", "") == ("y" * 5000 + "z." + text).replace(" ", "")
 
 
+def test_an_edit_of_text_without_spaces_changes_what_it_touches():
+    """One character put before, or into, a long run of Chinese characters, with or without full stops."""
+    rng = random.Random(6)
+    for stops in ("", "。"):
+        text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) + (stops if rng.random() < 0.02 else "") for _ in range(5000))
+        old = Counter(fp.paragraphs(text))
+        assert "".join(fp.paragraphs(text)) == text and sum(old.values()) > 40
+        for at in (0, 2500):
+            new = Counter(fp.paragraphs(text[:at] + "好" + text[at:]))
+            assert sum((old - new).values()) <= 2 and sum((new - old).values()) <= 2
+    assert fp.paragraphs("一" * 100_000) == ["一" * 100_000]
+
+
+def test_strings_give_the_likeness():
+    """Two strings peel where texts differ by half or less, whatever the sizes of their tables."""
+    rng = random.Random(7)
+    peeled = asked = 0
+    for n in (0, 1, 3, 10, 50, 400):
+        for _ in range(20):
+            text = ". ".join(" ".join(words(rng, rng.randint(3, 12))) for _ in range(n))
+            new = fp.edited(text, ". ".join(" ".join(words(rng, 8)) for _ in range(rng.choice([n, 3 * n]))))
+            out = fp.compare([text, new], [new, text])
+            got = fp.likeness_of(*out["fingerprint"])
+            asked += 1
+            if got is not None:
+                peeled += 1
+                assert got == pytest.approx(out["near_next"][0]) == pytest.approx(jaccard(text, new))
+    assert peeled > 0.95 * asked
+    many = " ".join(f"{i:x}" for i in range(300_000))
+    (string,) = fp.compare([many], [many])["fingerprint"]
+    assert int(fp.table_of(string).count.sum()) == 3 * len(fp.paragraphs(many)) and fp.likeness_of(string, string) == 1.0
+
+
 def test_recovered_paragraphs(spark):
     rng = random.Random(5)
     rows = []
