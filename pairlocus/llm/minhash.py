@@ -10,11 +10,15 @@ as concentrated as for independent coordinates.
 
 Bands of coordinates give bucket keys. Documents with equal sets are one class from the start
 and only one row of a class goes on, so a group of copies costs one row. Classes that meet in
-a bucket are a cluster, through bucket hubs. The sets of a cluster are made again and verified
-in whole numbers of common shingles: a cluster that fits into a block (by the sizes of its sets)
-in one piece; of a larger one each class against a hub first, and then only those that aren't
-linked with the hub against those of the cluster whose sizes allow a link, in pieces of two
-blocks. A group of near copies thus costs a pass, not all its pairs, and no link between classes
+a bucket are a cluster, through bucket hubs. A cluster that doesn't fit into a block (by the sizes
+of its sets), as of many pages of one template, is parted once more: two linked sets share one of
+their rarest shingles, of which as many are looked at as a link can do without, and one more.
+Shingles are ordered by how often a bounded sample of the cluster has them; any order is exact, a
+good one leaves the template's shingles to the end. Classes that share one of these are a smaller
+cluster. The sets of a cluster are made again and verified in whole numbers of common shingles: a
+cluster of one block in one piece; of a larger one each class against a hub first, and then only
+those that aren't linked with the hub against those of the cluster whose sizes allow a link, in
+pieces of two blocks. A group of near copies thus costs a pass, not all its pairs, and no link between classes
 of different components is left out. Only links that connect a piece are written. Components
 follow from the links.
 
@@ -29,7 +33,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import hot_join, located, numbered, removed, small_batches, whole_text, written
@@ -198,19 +202,101 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, file long, row long, n long, class binary, bands array<long>")
 
 
-def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """``node, cluster``: classes that meet in a bucket, directly or by others.
+def candidate_clusters(classes: DataFrame, keys: str = "bands") -> DataFrame:
+    """``node, cluster``: classes that meet in a bucket, a number of the array ``keys``, directly or by others.
 
-    A node is a 64-bit hash of the class; two classes of one node are candidates like others.
+    A node is a 64-bit hash of the class; two classes of one node are candidates like others. Members
+    of a bucket that very many share stay where they are.
     """
-    members = classes.select(F.xxhash64("class").alias("node"), F.explode("bands").alias("key")).repartition("key")
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = members.join(hubs, "key").where(F.col("node") != F.col("hub"))
+    members = written(classes.select(F.xxhash64("class").alias("node"), F.explode(keys).alias("key")), "near-buckets")
+    hubs = written(members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs-of-buckets")
+    met = hot_join(members, hubs, "key", "n").where(F.col("hub").isNotNull() & (F.col("node") != F.col("hub")))
     labels = connected(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    removed(members)
     heads = labels.select(F.col("label").alias("node"), "label").distinct()
     return labels.unionByName(heads).select("node", F.col("label").alias("cluster"))
 
 
+def texts_of(rows: DataFrame, at: str, members: DataFrame) -> DataFrame:
+    """``file, row, text`` of the rows of ``members(file, row)``; other texts don't move."""
+    chosen, n = numbered(rows, at, members.select("file", "row", F.lit(1).alias("n")), 1)
+    return chosen.where(F.col(n) == 1).select(
+        F.col(f"`{at}`.file").alias("file"), F.col(f"`{at}`.row").alias("row"), whole_text(rows).alias("text")
+    )
+
+
+def sets_of(texts: DataFrame, k: int) -> DataFrame:
+    """``class, set``: the shingles of each of ``texts(text)``, and the class that they are."""
+
+    def cut(batches):
+        for batch in small_batches(batches, rows=500, mb=2):
+            data = set_bytes(*shingle_sets(batch["text"].to_pylist(), k))
+            names = [xxhash.xxh3_128_digest(s) for s in data]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["class", "set"])
+
+    return texts.select("text").mapInArrow(cut, "class binary, set binary")
+
+
+def chunks_of(block: int) -> Column:
+    """How many blocks a group's classes fill."""
+    return F.ceil(F.sum(F.col("n") + CLASS_COST) / block).cast("int")
+
+
+def rarest(tokens: np.ndarray, known: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set of which a linked set has one at least: its rarest by ``times`` of the ``known`` ones."""
+    place = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
+    often = np.where(known[place] == tokens, times[place], 0) if len(known) else np.zeros(len(tokens))
+    needed = -(-len(tokens) * percent // 100)
+    return tokens[np.lexsort((tokens, often))[: len(tokens) - needed + 1]]
+
+
+def parted(rows: DataFrame, at: str, members: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """``members(class, cluster, n, file, row)`` with clusters of more than a block cut into smaller ones, no link being lost."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("classes"), chunks_of(block).alias("chunks"))
+    sizes = written(sizes, "near-sizes")
+    dealt = written(hot_join(members, sizes, "cluster", "classes"), "near-parted")
+    large = dealt.where("chunks > 1")
+    if large.isEmpty():
+        return members
+    sets = written(sets_of(texts_of(rows, at, large), k), "near-large-sets", 500, 2)
+    held = written(large.select("class", "cluster", "chunks").join(sets, "class"), "near-large", 500, 2)
+    # About a block of each cluster, drawn by hash.
+    drawn = held.where(F.pmod(F.xxhash64(F.lit(1), "class"), F.col("chunks")) == 0)
+
+    def counted(table: pa.Table) -> pa.Table:
+        tokens, times = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]), return_counts=True)
+        often = times > 1
+        columns = [table["cluster"].slice(0, 1), *[pa.array([x.tobytes()], pa.binary()) for x in (tokens[often], times[often].astype(np.int64))]]
+        return pa.table(columns, ["cluster", "set", "times"])
+
+    common = written(drawn.groupBy("cluster").applyInArrow(counted, "cluster long, set binary, times binary"), "near-common")
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    of_chunk = common.join(sizes, "cluster").select("cluster", every, "set", "times")
+    own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int").alias("chunk")
+    chunked = held.select("cluster", own, "class", "set").unionByName(of_chunk, allowMissingColumns=True)
+
+    def prefixes(table: pa.Table) -> pa.Table:
+        known, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for data, counts in zip(table["set"].to_pylist(), table["times"].to_pylist(), strict=True):
+            if counts is not None:
+                known, times = np.frombuffer(data, np.uint64), np.frombuffer(counts, np.int64)
+        salt = mixed(np.array([table["cluster"][0].as_py()]).astype(np.int64).view(np.uint64), 3)
+        names, keys = [], []
+        for name, data in zip(table["class"].to_pylist(), table["set"].to_pylist(), strict=True):
+            if name is not None:
+                names.append(name)
+                keys.append((rarest(np.frombuffer(data, np.uint64), known, times, percent) ^ salt).view(np.int64))
+        return pa.table({"class": pa.array(names, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    keyed = chunked.groupBy("cluster", "chunk").applyInArrow(prefixes, "class binary, keys array<long>")
+    smaller = candidate_clusters(keyed, "keys")
+    new = large.select("class", "n", "file", "row", F.xxhash64("class").alias("node")).join(smaller, "node").drop("node")
+    found = written(dealt.where("chunks = 1").select(*members.columns).unionByName(new.select(*members.columns)), "near-smaller")
+    for old in (sets, held):
+        removed(old)
+    return found
+
+
 def links_of(names: list[bytes], sets: list[np.ndarray], percent: int) -> pa.Table:
     root = linked_roots(sets, percent)
     found = [(names[i], names[r]) for i, r in enumerate(root.tolist()) if r != i]
@@ -265,34 +351,21 @@ def verified_links(rows: DataFrame, at: str, members: DataFrame, k: int, percent
     that is larger.
     """
 
-    def texts_of(members: DataFrame) -> DataFrame:
-        chosen, n = numbered(rows, at, members.select("file", "row", F.lit(1).alias("n")), 1)
-        return chosen.where(F.col(n) == 1).select(
-            F.col(f"`{at}`.file").alias("file"), F.col(f"`{at}`.row").alias("row"), whole_text(rows).alias("text")
-        )
-
-    cost = F.sum(F.col("n") + CLASS_COST)
     clusters = written(
         members.groupBy("cluster").agg(
-            F.count("*").alias("classes"), F.min("class").alias("hub"), F.ceil(cost / block).cast("int").alias("chunks")
+            F.count("*").alias("classes"), F.min("class").alias("hub"), chunks_of(block).alias("chunks")
         ),
         "near-clusters",
     )
     dealt = written(hot_join(members, clusters, "cluster", "classes"), "near-dealt")
     small = dealt.where("chunks = 1").select("file", "row", "cluster", "class")
     # Always by shuffle, the few columns of the members being what tasks hash.
-    links = cluster_links(texts_of(small).join(small.hint("shuffle_hash"), ["file", "row"]).select("cluster", "class", "text"), k, percent)
+    links = cluster_links(texts_of(rows, at, small).join(small.hint("shuffle_hash"), ["file", "row"]).select("cluster", "class", "text"), k, percent)
     large = dealt.where("chunks > 1")
     if large.isEmpty():
         return links
 
-    def cut(batches):
-        for batch in small_batches(batches, rows=500, mb=2):
-            data = set_bytes(*shingle_sets(batch["text"].to_pylist(), k))
-            names = [xxhash.xxh3_128_digest(s) for s in data]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["class", "set"])
-
-    sets = written(texts_of(large).select("text").mapInArrow(cut, "class binary, set binary"), "near-sets", 500, 2)
+    sets = written(sets_of(texts_of(rows, at, large), k), "near-sets", 500, 2)
     large = large.select("class", "cluster", "n", "classes", "hub", "chunks")
     own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
@@ -307,7 +380,7 @@ def verified_links(rows: DataFrame, at: str, members: DataFrame, k: int, percent
         .drop("chunks", "classes", "hub")
     )
     left = written(left, "near-left")
-    groups = left.groupBy("cluster", "band", "near").agg(F.count("*").alias("rows"), F.ceil(cost / block).cast("int").alias("blocks"))
+    groups = left.groupBy("cluster", "band", "near").agg(F.count("*").alias("rows"), chunks_of(block).alias("blocks"))
     # At most two rows a band, and bands are logarithms of sizes.
     listed = groups.groupBy("cluster").agg(F.collect_list(F.struct("band", "near", "blocks")).alias("groups"), F.sum("rows").alias("classes"))
     mine = F.filter("groups", lambda g: (g["band"] == F.col("band")) & (g["near"] == F.col("near")))[0]["blocks"]
@@ -354,7 +427,7 @@ def components(rows: DataFrame, at: str, k: int, percent: int, block: int = BLOC
     )
     clusters = candidate_clusters(classes)
     members = classes.select("class", "n", "at.file", "at.row", F.xxhash64("class").alias("node")).join(clusters, "node")
-    members = written(members.drop("node"), "near-members")
+    members = parted(rows, at, written(members.drop("node"), "near-members"), k, percent, block)
     labels = connected(verified_links(rows, at, members, k, percent, block))
     heads = labels.select(F.col("label").alias("node"), "label").distinct()
     labels = written(labels.unionByName(heads).select(F.col("node").alias("class"), "label"), "near-labels")

@@ -72,6 +72,45 @@ def test_large_clusters_are_cut_in_blocks(make_docs, block):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, 3, 85)
 
 
+def test_pages_of_one_template_are_parted(make_docs, monkeypatch):
+    """Pages that share half their shingles, some with near copies: what is verified grows with them, not with their square."""
+    seen = Counter()
+    verified = minhash.verified_links
+
+    def counted(rows, at, members, *options):
+        sizes = members.groupBy("cluster").count().collect()
+        seen["members"], seen["most"] = sum(r["count"] for r in sizes), max((r["count"] for r in sizes), default=0)
+        return verified(rows, at, members, *options)
+
+    monkeypatch.setattr(minhash, "verified_links", counted)
+    rng = random.Random(12)
+    template = words(rng, 140)
+    rows = []
+    for n in range(2000):
+        own = template + words(rng, 70)
+        rows.append((n, " ".join(own)))
+        if n % 50 == 0:
+            rows += [(10_000 + n, " ".join([*own[:-2], "other", "end"])), (20_000 + n, " ".join([*own, "tail"]))]
+    found = minhash.near_duplicates(make_docs(rows), 3, 85, 50_000).collect()
+    assert Counter(r.component_id for r in found if r.component_id != r.doc_id) == Counter({n: 2 for n in range(0, 2000, 50)})
+    # Families of three, and few pages that share a rare shingle by chance, in small clusters.
+    assert seen["members"] <= 500 and seen["most"] <= 20
+
+
+def test_rarest_shingles_meet_wherever_sets_are_linked():
+    rng = np.random.default_rng(8)
+    known = np.arange(1, 60, dtype=np.uint64)
+    times = rng.integers(2, 9, len(known))
+    for _ in range(2000):
+        a, b = (np.unique(rng.integers(1, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in "ab")
+        if rng.random() < 0.8:
+            b = np.unique(np.concatenate((a[: len(a) - len(a) // 12], b[: len(a) // 12])))
+        for percent in (80, 85, 100):
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                assert len(np.intersect1d(*(minhash.rarest(x, known, times, percent) for x in (a, b))))
+
+
 def test_links_at_the_threshold_are_found():
     """Bands find nearly all pairs at 0.85, and the count of common shingles is exact for large sets."""
     rng = np.random.default_rng(3)
@@ -109,7 +148,7 @@ def test_one_of_each(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     left = minhash.one_of_each(docs)
     assert left.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [1, 3, 4, None, None, 5, 6, 7, 8]))
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [1, 3, 4, None, None, 5, 6, 7, 8, 9]))
     assert minhash.one_of_each(make_docs([])).count() == 0
 
 
