@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import BUCKET, cut
-from .maps import interpolate
+from .maps import followed, interpolate
 
 
 def floor_sum(n: int, m: int, a: int, b: int) -> int:
@@ -220,11 +220,9 @@ def stretches_reached(homes: DataFrame, knots: DataFrame | None, reach: float, w
 
 def map_segments(knots: DataFrame, width: int) -> DataFrame:
     """``chrom, bucket, bp0, cm0, bp1, cm1``: each line between two knots, in all stretches that it meets."""
-    order = Window.partitionBy("chrom").orderBy("bp")
-    lines = knots.select(
-        "chrom", F.col("bp").cast("double").alias("bp0"), F.col("cm").cast("double").alias("cm0"),
-        F.lead("bp").over(order).cast("double").alias("bp1"), F.lead("cm").over(order).cast("double").alias("cm1"),
-    ).where("bp1 is not null")
+    ends = {"bp0": "bp", "cm0": "cm", "bp1": "after.bp", "cm1": "after.cm"}
+    lines = followed(knots.select("chrom", "bp", "cm")).where("after is not null")
+    lines = lines.select("chrom", *[F.col(c).cast("double").alias(n) for n, c in ends.items()])
     met = F.sequence(F.floor(F.col("bp0") / width), F.floor(F.col("bp1") / width))
     return lines.select("*", F.explode(met).alias("bucket"))
 

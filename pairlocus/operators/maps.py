@@ -6,29 +6,38 @@ from pyspark.sql import functions as F
 from .intervals import locate
 
 
+#: Positions of a stretch in which knots are put in order.
+STRETCH = 1 << 22
+
+
+def followed(knots: DataFrame, width: int = STRETCH) -> DataFrame:
+    """``chrom, bp, cm`` with ``after``, the next knot of the chromosome, as struct<bp, cm>; null for the last.
+
+    Knots are put in order by stretch; the last of a stretch is followed by the first of the next
+    one that has any, so only a knot a stretch is ordered by chromosome.
+    """
+    knot = F.struct("bp", "cm")
+    placed = knots.withColumn("stretch", F.floor(F.col("bp") / width))
+    heads = placed.groupBy(F.col("chrom").alias("of"), F.col("stretch").alias("number")).agg(F.min(knot).alias("head"))
+    heads = heads.withColumn("head", F.lead("head").over(Window.partitionBy("of").orderBy("number")))
+    inside = placed.withColumn("after", F.lead(knot).over(Window.partitionBy("chrom", "stretch").orderBy("bp", "cm")))
+    found = inside.join(heads, (F.col("chrom") == F.col("of")) & (F.col("stretch") == F.col("number")))
+    return found.select(*knots.columns, F.coalesce("after", "head").alias("after"))
+
+
 def checked_map(knots: DataFrame) -> DataFrame:
     """``chrom, bp, cm`` as given; reading it fails where bp doesn't ascend or cm descends."""
-    order = Window.partitionBy("chrom").orderBy("bp")
-    bad = (F.lag("bp").over(order) >= F.col("bp")) | (F.lag("cm").over(order) > F.col("cm"))
-    return (
-        knots.withColumn("bad", F.coalesce(bad, F.lit(False)))
-        .where(F.when(F.col("bad"), F.raise_error(F.lit("map positions must ascend"))).isNull())
-        .drop("bad")
-    )
+    bad = F.coalesce((F.col("after.bp") <= F.col("bp")) | (F.col("after.cm") < F.col("cm")), F.lit(False))
+    kept = followed(knots).where(F.when(bad, F.raise_error(F.lit("map positions must ascend"))).isNull())
+    return kept.drop("after")
 
 
 def interpolate(points: DataFrame, knots: DataFrame, width: int = 1 << 16) -> DataFrame:
     """Points with ``cm``, interpolated between the knots of their chromosome, clamped outside."""
-    order = Window.partitionBy("chrom").orderBy("bp")
     spans = (
-        knots.select(
-            "chrom",
-            F.col("bp").alias("start"),
-            F.lead("bp").over(order).alias("end"),
-            F.col("cm").alias("cm0"),
-            F.lead("cm").over(order).alias("cm1"),
-        )
-        .where("end is not null")
+        followed(knots.select("chrom", "bp", "cm"))
+        .where("after is not null")
+        .select("chrom", F.col("bp").alias("start"), F.col("after.bp").alias("end"), F.col("cm").alias("cm0"), F.col("after.cm").alias("cm1"))
         .select(
             "chrom", F.ceil("start").cast("long").alias("start"), F.ceil("end").cast("long").alias("end"),
             F.col("start").alias("bp0"), F.col("end").alias("bp1"), "cm0", "cm1",

@@ -117,3 +117,24 @@ def test_buckets_make_no_difference(spark, random_spans):
         assert spans(intervals.intersect(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), width=width)) == runs_of(covered(a) & covered(b))
         positions = spark.createDataFrame([("1", p) for p in covered(a)], "chrom string, pos long")
         assert spans(intervals.runs(positions, width)) == runs_of(covered(a))
+
+
+def test_knots_are_followed_across_stretches(spark):
+
+    rng = random.Random(2)
+    rows = [(c, float(p), p / 7) for c in ("a", "b") for p in sorted(rng.sample(range(100_000), 60))]
+    knots = spark.createDataFrame(rows, "chrom string, bp double, cm double").repartition(5)
+    got = {(r.chrom, r.bp): tuple(r.after) if r.after else None for r in maps.followed(knots, 1000).collect()}
+    assert got == {(c, p): next(((q, v) for d, q, v in rows if d == c and q > p), None) for c, p, _ in rows}
+    assert maps.checked_map(knots).count() == len(rows)
+    for bad in [("a", rows[3][1], 9.0), ("b", 99_999.5, -1.0)]:
+        with pytest.raises(Exception, match="must ascend"):
+            maps.checked_map(spark.createDataFrame([*rows, bad], "chrom string, bp double, cm double")).collect()
+
+
+def test_random_tiles_cover_the_whole(spark):
+    rows = sorted(tuple(r) for r in intervals.random_tiles(3_000_000, 200.0, spark, 4).collect())
+    assert rows[0][0] == 0 and rows[-1][1] == 3_000_000
+    assert all(a[1] == b[0] for a, b in zip(rows, rows[1:], strict=False))
+    assert sum(e - s for s, e in rows) / len(rows) == pytest.approx(200, rel=0.05)
+    assert sorted(tuple(r) for r in intervals.random_tiles(3_000_000, 200.0, spark, 4).collect()) == rows
