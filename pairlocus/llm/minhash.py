@@ -10,8 +10,8 @@ as concentrated as for independent coordinates.
 
 Bands of coordinates give bucket keys. Documents with equal sets are one class from the start
 and only one row of a class goes on, so a group of copies costs one row. Classes that meet in
-a bucket are a cluster, through bucket hubs. A cluster that doesn't fit into a block (by the sizes
-of its sets), as of many pages of one template, is parted once more: two linked sets share one of
+a bucket are a cluster, through bucket hubs. A cluster of very many blocks (by the sizes of its
+sets), as of many pages of one template, is parted once more: two linked sets share one of
 their rarest shingles, of which as many are looked at as a link can do without, and one more.
 Shingles are ordered by how often a bounded sample of the cluster has them; any order is exact, a
 good one leaves the template's shingles to the end. Classes that share one of these are a smaller
@@ -202,17 +202,23 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, file long, row long, n long, class binary, bands array<long>")
 
 
+#: Parts of a bucket that very many classes share.
+SALTS = 256
+
+
 def candidate_clusters(classes: DataFrame, keys: str = "bands") -> DataFrame:
     """``node, cluster``: classes that meet in a bucket, a number of the array ``keys``, directly or by others.
 
-    A node is a 64-bit hash of the class; two classes of one node are candidates like others. Members
-    of a bucket that very many share stay where they are.
+    A node is a 64-bit hash of the class; two classes of one node are candidates like others. A
+    bucket is dealt in SALTS parts with a hub each, and the hubs meet in their least one.
     """
-    members = written(classes.select(F.xxhash64("class").alias("node"), F.explode(keys).alias("key")), "near-buckets")
-    hubs = written(members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-hubs-of-buckets")
-    met = hot_join(members, hubs, "key", "n").where(F.col("hub").isNotNull() & (F.col("node") != F.col("hub")))
-    labels = connected(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    removed(members)
+    node = F.xxhash64("class").alias("node")
+    members = classes.select(node, F.explode(keys).alias("key")).withColumn("salt", F.pmod("node", F.lit(SALTS))).repartition("key", "salt")
+    hubs = members.groupBy("key", "salt").agg(F.min("node").alias("hub"))
+    tops = hubs.groupBy("key").agg(F.min("hub").alias("top"))
+    own = members.join(hubs, ["key", "salt"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    edges = own.unionByName(hubs.join(tops, "key").select(F.col("hub").alias("a"), F.col("top").alias("b")))
+    labels = connected(edges.where("a != b").distinct())
     heads = labels.select(F.col("label").alias("node"), "label").distinct()
     return labels.unionByName(heads).select("node", F.col("label").alias("cluster"))
 
@@ -250,15 +256,20 @@ def rarest(tokens: np.ndarray, known: np.ndarray, times: np.ndarray, percent: in
     return tokens[np.lexsort((tokens, often))[: len(tokens) - needed + 1]]
 
 
+#: Blocks of a cluster that are verified against each other; larger ones are parted first.
+PARTED = 32
+
+
 def parted(rows: DataFrame, at: str, members: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """``members(class, cluster, n, file, row)`` with clusters of more than a block cut into smaller ones, no link being lost."""
+    """``members(class, cluster, n, file, row)`` with clusters of very many blocks cut into smaller ones, no link being lost."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("classes"), chunks_of(block).alias("chunks"))
     sizes = written(sizes, "near-sizes")
-    dealt = written(hot_join(members, sizes, "cluster", "classes"), "near-parted")
-    large = dealt.where("chunks > 1")
-    if large.isEmpty():
+    if sizes.where(F.col("chunks") > PARTED).isEmpty():
         return members
-    sets = written(sets_of(texts_of(rows, at, large), k), "near-large-sets", 500, 2)
+    dealt = written(hot_join(members, sizes, "cluster", "classes"), "near-parted")
+    large = dealt.where(F.col("chunks") > PARTED)
+    sizes = sizes.where(F.col("chunks") > PARTED)
+    sets = sets_of(texts_of(rows, at, large), k)
     held = written(large.select("class", "cluster", "chunks").join(sets, "class"), "near-large", 500, 2)
     # About a block of each cluster, drawn by hash.
     drawn = held.where(F.pmod(F.xxhash64(F.lit(1), "class"), F.col("chunks")) == 0)
@@ -291,9 +302,8 @@ def parted(rows: DataFrame, at: str, members: DataFrame, k: int, percent: int, b
     keyed = chunked.groupBy("cluster", "chunk").applyInArrow(prefixes, "class binary, keys array<long>")
     smaller = candidate_clusters(keyed, "keys")
     new = large.select("class", "n", "file", "row", F.xxhash64("class").alias("node")).join(smaller, "node").drop("node")
-    found = written(dealt.where("chunks = 1").select(*members.columns).unionByName(new.select(*members.columns)), "near-smaller")
-    for old in (sets, held):
-        removed(old)
+    found = written(dealt.where(F.col("chunks") <= PARTED).select(*members.columns).unionByName(new.select(*members.columns)), "near-smaller")
+    removed(held)
     return found
 
 
