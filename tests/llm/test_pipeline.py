@@ -79,7 +79,7 @@ def test_odd_rows_and_empty_tables(spark, tmp_path, make_docs, odd_rows):
 def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 RUDE = ("zarkoffblat", "quixnagler")
