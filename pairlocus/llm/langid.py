@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import hot_join, small_batches, whole_text, written
+from .text import hot_join, removed, small_batches, whole_text, written
 
 #: Elements whose content isn't the page's own text.
 ASIDE = ("script", "style", "nav", "footer", "head", "aside", "noscript")
@@ -33,6 +33,8 @@ COMMENT = re.compile(r"<!--")
 DECLARED = re.compile(r"<html\b[^<>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 #: Languages of country suffixes, where they aren't their own two letters.
 SUFFIXES = {"at": "de", "ch": "de", "uk": "en", "us": "en", "au": "en", "ie": "en", "mx": "es", "ar": "es", "co": "es", "be": "fr"}
+#: Languages beyond ``most_languages``.
+OTHER = "und"
 #: A page's trigrams are far from independent: their log-likelihood counts for so much.
 TEMPER = 0.1
 
@@ -96,16 +98,29 @@ def trigram_slots(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return h[same].astype(np.int64), owner[2:][same]
 
 
-def fit(docs: DataFrame, fit_rows: int = 20_000, bits: int = 16) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, fit_rows: int = 20_000, bits: int = 16, most_languages: int = 200) -> tuple[list[str], np.ndarray]:
     """Languages, and log-probabilities of the hashed trigrams of each, one row a language.
 
-    About ``fit_rows`` documents of each language are drawn, or all that there are.
+    About ``fit_rows`` documents of each language are drawn, or all that there are. Languages
+    beyond the ``most_languages`` with most documents (ties by name) are one language, OTHER.
     """
-    known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "")).withColumn("lang", F.lower("lang"))
-    sizes = known.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("n"))
-    # One row a language.
-    drawn = known.join(F.broadcast(sizes), F.col("lang") == F.col("of_lang")).where(
-        F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < F.lit(fit_rows) / F.greatest("n", F.lit(fit_rows)) * (1 << 20)
+    known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != ""))
+    known = known.select("doc_id", F.lower("lang").alias("lang"), whole_text(known).alias("text"))
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("n")), "lang-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    top = sizes.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    removed(sizes)
+
+    def share(n: int) -> float:
+        return fit_rows / max(n, fit_rows) * (1 << 20)
+
+    # At most ``most_languages`` rows.
+    own = known.sparkSession.createDataFrame([(r.lang, r.lang, share(r.n)) for r in top], "of string, class string, share double")
+    rest = F.lit(share(total - sum(r.n for r in top)))
+    drawn = (
+        known.join(F.broadcast(own), F.col("lang") == F.col("of"), "left")
+        .where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < F.coalesce("share", rest))
+        .select(F.coalesce("class", F.lit(OTHER)).alias("lang"), "text")
     )
 
     def run(batches):
@@ -116,27 +131,26 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, bits: int = 16) -> tuple[list[s
             names = np.array(langs, object)
             for lang in set(langs):
                 mine = np.flatnonzero(names == lang)
-                own = np.bincount(slots[np.isin(owner, mine)], minlength=1 << bits)
-                counts[lang] = counts.get(lang, 0) + own
-        for lang, own in counts.items():
-            seen = np.flatnonzero(own)
+                counted = np.bincount(slots[np.isin(owner, mine)], minlength=1 << bits)
+                counts[lang] = counts.get(lang, 0) + counted
+        for lang, counted in counts.items():
+            seen = np.flatnonzero(counted)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int64()), pa.array(own[seen], pa.int64())],
+                [pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int64()), pa.array(counted[seen], pa.int64())],
                 ["lang", "slot", "n"],
             )
 
-    counted = (
-        drawn.select("lang", whole_text(drawn).alias("text"))
-        .mapInArrow(run, "lang string, slot long, n long")
-        .groupBy("lang", "slot")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
-    languages = sorted(set(counted["lang"].to_pylist()))
-    table = np.zeros((len(languages), 1 << bits))
-    place = {x: i for i, x in enumerate(languages)}
-    table[[place[x] for x in counted["lang"].to_pylist()], counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    return languages, np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * (1 << bits)))
+    def one_row(group: pa.Table) -> pa.Table:
+        n = np.zeros(1 << bits)
+        n[group["slot"].to_numpy()] = group["n"].to_numpy()
+        row = np.log((n + 0.5) / (n.sum() + 0.5 * (1 << bits))).astype(np.float32)
+        return pa.table({"lang": group["lang"].slice(0, 1), "row": pa.array([row.tobytes()], pa.binary())})
+
+    # A group has a row a slot.
+    counted = drawn.mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    rows = sorted(counted.groupBy("lang").applyInArrow(one_row, "lang string, row binary").collect(), key=lambda r: r.lang)
+    table = np.array([np.frombuffer(r.row, np.float32) for r in rows], np.float32).reshape(len(rows), 1 << bits)
+    return [r.lang for r in rows], table
 
 
 def page_evidence(pages: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
@@ -195,9 +209,17 @@ def identify(pages: DataFrame, docs: DataFrame, strength: float = 4.0, **options
     seen = page_evidence(pages, languages, table).withColumn("vote", best).withColumn("site", F.coalesce("host", F.lit("")))
     seen = written(seen, "lang-pages", 2000, 8)
 
+    def by_language(rows: DataFrame, by: list[Column], name: str) -> DataFrame:
+        """Votes of each group as an array by language, from a row a group and language that it has."""
+        few = rows.groupBy(*by, "vote").agg(F.count("*").alias("n"))
+        pairs = F.collect_list(F.when(F.col("vote").isNotNull(), F.struct("vote", "n")))
+        groups = few.groupBy(*[c for c in few.columns if c not in ("vote", "n")])
+        found = groups.agg(F.map_from_entries(pairs).alias("has"), F.coalesce(F.sum("n"), F.lit(0)).alias(f"{name}_pages"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("has", i).cast("double"), F.lit(0.0)))
+        return found.withColumn(name, every).drop("has")
+
     def votes(by: list[str], prefix: str) -> DataFrame:
-        counts = [F.coalesce(F.sum((F.col("vote") == i).cast("double")), F.lit(0.0)) for i in range(n)]
-        return seen.groupBy(*[F.col(c).alias(f"{prefix}_{c}") for c in by]).agg(F.array(*counts).alias(prefix), F.count("*").alias(f"{prefix}_pages"))
+        return by_language(seen, [F.col(c).alias(f"{prefix}_{c}") for c in by], prefix)
 
     def prior(counts: Column, wider: Column) -> Column:
         total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
@@ -216,17 +238,12 @@ def identify(pages: DataFrame, docs: DataFrame, strength: float = 4.0, **options
             F.col("of_host_pages").alias("site_pages"),
         )
     )
-    every = F.array(*[F.coalesce(F.sum((F.col("vote") == i).cast("double")), F.lit(0.0)) for i in range(n)])
     trust = {}
     for kind in ("declared", "addressed"):
-        trust[kind] = (
-            seen.where(F.col(kind).isNotNull())
-            .groupBy(F.when(F.array_contains(names, F.col(kind)), F.col(kind)).otherwise("?").alias(f"{kind}_is"))
-            .agg(every.alias(f"{kind}_votes"))
-        )
-        rows = trust[kind].select(F.sum(F.lit(1)).alias("n"), *[F.sum(F.col(f"{kind}_votes")[i]).alias(f"s{i}") for i in range(n)])
-        sums = rows.select(F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) for i in range(n)]).alias(f"{kind}_all"))
-        trust[kind] = trust[kind].crossJoin(F.broadcast(sums)).select(
+        given = seen.where(F.col(kind).isNotNull())
+        is_ = F.when(F.array_contains(names, F.col(kind)), F.col(kind)).otherwise("?").alias(f"{kind}_is")
+        sums = by_language(given, [], f"{kind}_all").drop(f"{kind}_all_pages")
+        trust[kind] = by_language(given, [is_], f"{kind}_votes").crossJoin(F.broadcast(sums)).select(
             f"{kind}_is",
             F.zip_with(f"{kind}_votes", f"{kind}_all", lambda v, a: F.ln((v + 0.5) / (a + 0.5 * (n + 1)))).alias(f"{kind}_ll"),
         )

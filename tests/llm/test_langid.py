@@ -66,6 +66,20 @@ def test_every_language_is_in_the_model(spark):
     assert languages == ["de", "en"]
 
 
+def test_many_odd_languages(spark, corpus):
+    """Thousands of odd values are one language; the real ones stay as they are."""
+    rng = random.Random(8)
+    odd = [(10_000 + i, prose(rng, "fr", 5), f"x{i}") for i in range(3000)]
+    docs = corpus.union(spark.createDataFrame(odd, corpus.schema)).where("lang != 'fr'")
+    languages, table = langid.fit(docs, most_languages=2)
+    assert languages == ["de", "en", langid.OTHER] and table.shape == (3, 1 << 16) and table.dtype == np.float32
+    alone, rows = langid.fit(corpus.where("lang != 'fr'"))
+    assert alone == ["de", "en"] and (table[:2] == rows).all()
+    pages = [(i, "http://h.example/", f"<p>{prose(rng, lang, 80)}") for i, lang in enumerate(["de", "en", "fr"])]
+    found = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs, most_languages=2)
+    assert {r.page_id: r.text_lang for r in found.collect()} == {0: "de", 1: "en", 2: langid.OTHER}
+
+
 def test_declared_language_after_a_long_comment(spark, corpus):
     pages = [(1, "http://h.example/", "<!--" + " x" * 9000 + "--><html lang='fr'><body>")]
     (row,) = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), corpus).collect()
