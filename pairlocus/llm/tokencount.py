@@ -7,8 +7,9 @@ space that follows something else, at line ends), and each distinct stretch of a
 merged once; documents add up the counts of their stretches.
 
 Counts equal the library's for BPE models with byte fallback, the identity normaliser and a
-dummy prefix; a model with pieces that span the end of a word is refused. Nulls: a null text counts as empty and has no tokens; null or repeated document
-ids are rows like others. Empty tables give no rows.
+dummy prefix; a model with pieces that span the end of a word is refused, and so is one on whose
+``PROBES`` the library's counts are others. Nulls: a null text counts as empty and has no tokens;
+null or repeated document ids are rows like others. Empty tables give no rows.
 """
 
 import functools
@@ -26,6 +27,11 @@ from .text import small_batches
 SPACE = "▁"
 #: Stretches whose counts a worker remembers at a time.
 REMEMBERED = 800_000
+#: Texts whose counts a model must agree on with the library when it is loaded.
+PROBES = [
+    "", " ", "  ", "plain words, 1234567 and so on.", " leads", "trails ", "two  spaces   three", "\t tab\r\n\nline ends \n",
+    "ﬁ ½ Ａ e\u0301 é \u00a0 \u3000 \u200b", "日本語 😀 \u0000 \ue000", "<s> </s> <unk> <pad> <0x41>", "\u2581 \u2581\u2581a", "a" * 70,
+]
 #: Bits of a symbol's number.
 SHIFT = 24
 
@@ -62,6 +68,9 @@ class PieceModel:
         self.cuts_lines = not any("\n" in p and len(p) > 1 for p in pieces)
         self.known: dict[str, int] = {}
         self.known_lines: dict[str, int] = {}
+        # What isn't read from the pieces (normaliser, dummy prefix, special strings) must be as assumed.
+        if count_batch(pa.array(PROBES), self).tolist() != [len(x) for x in model.encode(PROBES)]:
+            raise ValueError(f"the library counts otherwise than by merges of pieces: {path}")
 
     def symbol(self, part: str) -> int | None:
         """Number of a piece or of a single character, which costs its bytes if it is no piece."""

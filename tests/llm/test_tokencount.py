@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
 
 from pairlocus.llm import tokencount
@@ -27,3 +28,10 @@ def test_rows(make_docs, odd_rows):
         want.append((doc_id, len((text or "").encode()), n, n > 4096))
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
     assert tokencount.count_tokens(make_docs([]), PATH).count() == 0
+
+
+def test_a_model_that_counts_otherwise_is_refused(monkeypatch):
+    counted = tokencount.count_batch
+    monkeypatch.setattr(tokencount, "count_batch", lambda texts, model: counted(texts, model) + 1)
+    with pytest.raises(ValueError, match="otherwise"):
+        tokencount.PieceModel(PATH)
