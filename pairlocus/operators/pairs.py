@@ -13,7 +13,8 @@ Three plans give the same numbers:
 ``ranks``  native: how many sites lie below ``at_i + edge`` comes from running sums in buckets of
            the position plus the totals of the buckets before; pairs are never made, but every
            left site is a row for each edge, and for each value.
-``join``   a band self-join; its work is the number of pairs. For small groups, and as a check.
+``join``   a band self-join by buckets of the position; its work is the number of pairs near each
+           other. For few of them, and as a check.
 """
 
 import math
@@ -28,14 +29,11 @@ from pyspark.sql import functions as F
 from .intervals import BUCKET, cut, locate, merge
 
 
-def bins_table(df: DataFrame, edges: Sequence[float]) -> Column:
-    """An array of structs (bin_id, lo, hi) to explode."""
-    return F.array(
-        *[
-            F.struct(F.lit(k).alias("bin_id"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-            for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-        ]
-    )
+def buckets_of(edges: list, width: float) -> tuple[Column, Column]:
+    """The first bucket of the position ``at`` that has left sites which reach it, and its own."""
+    reach = float(edges[-1]) * (1 + 1e-9)
+    first = F.floor((F.col("at") - F.lit(max(reach, 0.0))) / width).cast("long")
+    return first, F.floor(F.col("at") / width).cast("long")
 
 
 def prepared(
@@ -109,21 +107,21 @@ def pair_sums(
 
 
 def by_join(rows: DataFrame, edges: list, by: list[str], left_by: list[str], width: float) -> DataFrame:
-    a, b = rows.where("l").alias("a"), rows.drop(*left_by).alias("b")
-    later = (F.col("b.at") > F.col("a.at")) | ((F.col("b.at") == F.col("a.at")) & (F.col("b.order") > F.col("a.order")))
-    on = later & (F.col("b.at") < F.col("a.at") + F.lit(edges[-1]))
+    """Sites meet in buckets of the position, right ones being copied to those that reach them."""
+    first, home = buckets_of(edges, width)
+    a = rows.where("l").withColumn("bucket", home).alias("a")
+    b = rows.drop(*left_by).withColumn("bucket", F.explode(F.sequence(first, home))).alias("b")
+    x, y = F.col("a.at"), F.col("b.at")
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (y < x + F.lit(edges[-1])) & (y >= x + F.lit(edges[0]))
+    on = on & ((y > x) | ((y == x) & (F.col("b.order") > F.col("a.order"))))
     for c in by:
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    paired = a.join(b, on).select(
-        *[F.col(f"a.{c}") for c in [*by, *left_by]],
-        F.col("a.at").alias("x"),
-        F.col("b.at").alias("y"),
-        (F.col("a.v") * F.col("b.v")).alias("vv"),
-        F.explode(bins_table(rows, edges)).alias("bin"),
-    )
+    # Bins follow each other, so a pair lies in the first whose end it doesn't reach.
+    place = F.coalesce(*[F.when(y < x + F.lit(e), F.lit(k)) for k, e in enumerate(edges[1:])])
     return (
-        paired.where((F.col("y") >= F.col("x") + F.col("bin.lo")) & (F.col("y") < F.col("x") + F.col("bin.hi")))
-        .groupBy(*by, *left_by, F.col("bin.bin_id").alias("bin_id"))
+        a.join(b, on)
+        .select(*[F.col(f"a.{c}") for c in [*by, *left_by]], place.alias("bin_id"), (F.col("a.v") * F.col("b.v")).alias("vv"))
+        .groupBy(*by, *left_by, "bin_id")
         .agg(F.sum("vv").alias("total"))
     )
 
@@ -236,9 +234,7 @@ def as_they_are(v: np.ndarray) -> Iterator[np.ndarray]:
 def by_halo(
     rows: DataFrame, edges: list, by: list[str], left_by: list[str], width: float, expand: Callable[[np.ndarray], Iterator[np.ndarray]] | None = None
 ) -> DataFrame:
-    reach = float(edges[-1]) * (1 + 1e-9)
-    first = F.floor((F.col("at") - F.lit(max(reach, 0.0))) / width).cast("long")
-    last = F.floor(F.col("at") / width).cast("long")
+    first, last = buckets_of(edges, width)
     copied = rows.withColumn("home", last).withColumn("bucket", F.explode(F.sequence(first, last)))
     kind = rows.schema["v"].dataType
     several = kind.typeName() == "array"

@@ -200,3 +200,24 @@ def test_many_samples_equal_single_statistics(spark):
     got = {(r.chrom, r.stat_ord, r.bin_id): r.num for r in hstats.two_locus(sites, samples, edges, ["chrom"]).collect()}
     assert got == want
     assert {(r.chrom, r.stat_ord): r.num for r in hstats.one_locus(sites, samples, ["chrom"]).collect()} == ones
+
+
+def test_join_compares_only_sites_of_near_buckets(spark):
+    """In one large group the band join meets neighbours, not all pairs: the bucket is one of its keys."""
+    sites = spark.range(3000).select(F.lit(1).cast("long").alias("chrom"), (F.col("id") * 40).alias("pos"))
+    got = pairs.pair_sums(sites, EDGES, ["chrom"], "pos", method="join")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert any("Join" in line and "bucket" in line for line in plan.splitlines())
+    assert found(got) == {(1, 0): 0, (1, 1): 0, (1, 2): 2999 + 2998}
+
+
+@pytest.mark.parametrize("edges", [[5, 20, 20, 60], [0.5, 3.0, 41.0]])
+@pytest.mark.parametrize("method", METHODS)
+def test_first_edges_above_zero_and_bins_without_width(spark, method, edges):
+    rng = random.Random(6)
+    at, sites = 0, []
+    for n in range(80):
+        at += rng.randint(0, 9)
+        sites.append((n % 2, n, at, 1 + n % 3))
+    got = pairs.pair_sums(table(spark, sites), edges, ["chrom"], "at", value="v", method=method)
+    assert found(got) == brute(sites, edges)
