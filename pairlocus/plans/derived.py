@@ -84,10 +84,9 @@ def step_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    """``user_id, at, event_id``: seconds since 1970."""
-    return table(spark, d, "events").select(
-        "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id"
-    )
+    """``user_id, at, event_id`` of known users: seconds since 1970, rounded, halves to even ones."""
+    at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    return table(spark, d, "events").where("user_id is not null").select("user_id", at.alias("at"), "event_id")
 
 
 def region_name(number: Column) -> Column:

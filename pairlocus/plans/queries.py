@@ -142,7 +142,9 @@ def pair_counts_left_limited(spark: SparkSession, d: str) -> DataFrame:
 )
 def pair_counts_events_by_user(spark: SparkSession, d: str) -> DataFrame:
     sums = pairs.pair_sums(t.events(spark, d), t.SECOND_EDGES, ["user_id"], "at", order="event_id", buckets=1e7)
-    return long(sums.groupBy("bin_id").agg(F.sum("total").alias("total")), "bin_id")
+    every = spark.range(len(t.SECOND_EDGES) - 1).select(F.col("id").alias("bin_id"))  # bins without pairs are there too
+    found = every.join(sums.groupBy("bin_id").agg(F.sum("total").alias("total")), "bin_id", "left")
+    return found.select("bin_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"))
 
 
 @query(

@@ -51,3 +51,19 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_seconds_of_events_are_rounded(spark, tmp_path):
+    """Fractions of a second round to whole ones, halves to even ones, as in the SQL; unknown users pair with nobody; empty bins are there."""
+    seconds = [0.4, 10.4, 20.5, 21.5, 80.6, 80.4, 141.0, 745.5]
+    rows = [(n, 1 + n % 2, f"2024-01-01 00:{int(s) // 60:02d}:{s % 60:09.6f}") for n, s in enumerate(seconds + [11.6, 12.5])]
+    rows += [(50, None, "2024-01-01 00:00:00"), (51, None, "2024-01-01 00:00:05")]
+    for name, kept in (("some", rows), ("none", rows[:0])):
+        folder = tmp_path / name
+        table = spark.createDataFrame(kept, "event_id long, user_id long, at string").selectExpr("event_id", "cast(at as timestamp_ntz) as ts", "user_id")
+        table.coalesce(1).write.parquet(str(folder / "events.parquet"))
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+        want = duck.execute(queries.ORACLE_SQL["pair_counts_events_by_user"]).fetchall()
+        got = queries.QUERIES["pair_counts_events_by_user"](spark, str(folder)).collect()
+        assert sorted((r.bin_id, r.total) for r in got) == sorted(want)
