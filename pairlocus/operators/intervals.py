@@ -44,16 +44,24 @@ def united(parts: DataFrame, width: int) -> DataFrame:
     return inner.unionByName(islands(parts.where(touch), ["chrom"]).select("chrom", "start", "end"))
 
 
+def merged_parts(intervals: DataFrame, width: int) -> DataFrame:
+    """``chrom, bucket, start, end``: unions within buckets.
+
+    They are dealt by bucket in any case: rows that lie by chromosome would meet Spark's windows as they are.
+    """
+    return islands(cut(intervals, width).repartition("chrom", "bucket"), ["chrom", "bucket"])
+
+
 def merge(intervals: DataFrame, width: int = BUCKET) -> DataFrame:
     """Unions of overlapping and adjacent intervals."""
-    return united(islands(cut(intervals, width), ["chrom", "bucket"]), width)
+    return united(merged_parts(intervals, width), width)
 
 
 def intersect(*tables: DataFrame, width: int = BUCKET) -> DataFrame:
     """What all tables cover: in each bucket a sweep over starts and ends of their merged parts."""
     steps = None
     for t in tables:
-        m = islands(cut(t, width), ["chrom", "bucket"])
+        m = merged_parts(t, width)
         edges = m.select("chrom", "bucket", F.col("start").alias("pos"), F.lit(1).alias("step")).unionByName(
             m.select("chrom", "bucket", F.col("end").alias("pos"), F.lit(-1).alias("step"))
         )

@@ -54,33 +54,45 @@ def middles(spark: SparkSession, d: str) -> DataFrame:
     return last_position(spark, d).select(F.col("chrom").alias("of"), F.floor(F.col("end") / 2).alias("middle"))
 
 
+#: Rows of a series that a task makes.
+SERIES = 1 << 14
+
+
+def series(spark: SparkSession, d: str, step: int, extra: int = 0) -> DataFrame:
+    """``chrom, end, k``: k = 0, 1, ... floor(end / step) + extra for each chromosome, made by many tasks.
+
+    A row a chromosome is collected. Rows exploded from those of ``last_position`` would stay in the
+    chromosome's task, also for what goes by chromosome and bucket.
+    """
+    found = None
+    for row in last_position(spark, d).where("end is not null").collect():
+        n = row["end"] // step + extra + 1
+        part = spark.range(0, n, 1, max(2, -(-n // SERIES))).select(
+            F.lit(row["chrom"]).cast("long").alias("chrom"), F.lit(row["end"]).cast("long").alias("end"), F.col("id").alias("k")
+        )
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], "chrom long, end long, k long") if found is None else found
+
+
 def rec_map(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
-    return last_position(spark, d).select(
-        "chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 5000) + 1)).alias("k")
-    ).select("chrom", (k * 5000).alias("bp"), (k * 0.5 + (k % 3) * 0.125).alias("cm"))
+    return series(spark, d, 5000, 1).select("chrom", (k * 5000).alias("bp"), (k * 0.5 + (k % 3) * 0.125).alias("cm"))
 
 
 def mask(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
-    return last_position(spark, d).select(
-        "chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 700))).alias("k")
-    ).select("chrom", (k * 700).alias("start"), (k * 700 + 400 + (k % 4) * 100).alias("end"))
+    return series(spark, d, 700).select("chrom", (k * 700).alias("start"), (k * 700 + 400 + (k % 4) * 100).alias("end"))
 
 
 def second_mask(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
-    return last_position(spark, d).select(
-        "chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 1100))).alias("k")
-    ).select("chrom", (k * 1100 + 50).alias("start"), (k * 1100 + 650).alias("end"))
+    return series(spark, d, 1100).select("chrom", (k * 1100 + 50).alias("start"), (k * 1100 + 650).alias("end"))
 
 
 def step_map(spark: SparkSession, d: str) -> DataFrame:
     """A mutation map of steps of 1000 bp, with gaps."""
     k = F.col("k")
-    return last_position(spark, d).select(
-        "chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 1000))).alias("k")
-    ).where("k % 5 <> 4").select("chrom", (k * 1000).alias("start"), ((k + 1) * 1000).alias("end"), (1 + k % 9).alias("u"))
+    return series(spark, d, 1000).where("k % 5 <> 4").select("chrom", (k * 1000).alias("start"), ((k + 1) * 1000).alias("end"), (1 + k % 9).alias("u"))
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -100,25 +112,22 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:
     """``chrom, region``: all regions, and one that lies behind the last site of each chromosome."""
-    return last_position(spark, d).select(
-        "chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / REGION) + 1)).alias("k")
-    ).select("chrom", region_name(F.col("k")).alias("region"))
+    return series(spark, d, REGION, 1).select("chrom", region_name(F.col("k")).alias("region"))
 
 
 def overlapping(spark: SparkSession, d: str) -> DataFrame:
     """``chrom, region, start, l_end, r_end``: two windows from each start, of one and two tiles, each with its own right end."""
     start = F.floor(F.col("k") / 2) * REGION
     stop = start + (1 + F.col("k") % 2) * REGION
-    every = last_position(spark, d).select("chrom", "end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - 1) / REGION) * 2 + 1)).alias("k"))
+    tile = F.explode(F.array(F.col("k") * 2, F.col("k") * 2 + 1)).alias("k")
+    every = series(spark, d, REGION).where(F.col("k") * REGION < F.col("end")).select("chrom", "end", tile)
     return every.select("chrom", region_name(F.col("k")).alias("region"), start.alias("start"), F.least(stop, "end").alias("l_end"), F.least(stop + 5000, "end").alias("r_end"))
 
 
 def flat_map(spark: SparkSession, d: str) -> DataFrame:
     """A map of binary fractions; every fourth stretch between knots has no recombination."""
     k = F.col("k")
-    return last_position(spark, d).select(
-        "chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 4096) + 1)).alias("k")
-    ).select("chrom", (k * 4096).alias("bp"), (F.floor(k * 3 / 4) * 0.5).alias("cm"))
+    return series(spark, d, 4096, 1).select("chrom", (k * 4096).alias("bp"), (F.floor(k * 3 / 4) * 0.5).alias("cm"))
 
 
 def arms(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -138,3 +139,13 @@ def test_random_tiles_cover_the_whole(spark):
     assert all(a[1] == b[0] for a, b in zip(rows, rows[1:], strict=False))
     assert sum(e - s for s, e in rows) / len(rows) == pytest.approx(200, rel=0.05)
     assert sorted(tuple(r) for r in intervals.random_tiles(3_000_000, 200.0, spark, 4).collect()) == rows
+
+
+def test_rows_dealt_by_chromosome_are_merged_by_bucket(spark):
+    """Rows that lie by chromosome are dealt out again, or a task would get all of one."""
+    rows = [("1", 10 * k, 10 * k + 5 + k % 7) for k in range(200)]
+    by_chrom = spark.createDataFrame(rows, SCHEMA).repartition(4, "chrom")
+    for got in (intervals.merge(by_chrom, 64), intervals.intersect(by_chrom, by_chrom, width=64)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"Exchange hashpartitioning\(chrom#\d+L?, bucket#\d+L?", plan)
+        assert spans(got) == runs_of(covered(rows))
