@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from pairlocus.plans import queries
+from pairlocus.plans import derived, queries
 
 DATA = Path("/root/testdata/sf0.001")
 #: The smallest tables have a dozen regions, whose covariances of ten statistics have no inverse.
@@ -67,3 +67,13 @@ def test_seconds_of_events_are_rounded(spark, tmp_path):
         want = duck.execute(queries.ORACLE_SQL["pair_counts_events_by_user"]).fetchall()
         got = queries.QUERIES["pair_counts_events_by_user"](spark, str(folder)).collect()
         assert sorted((r.bin_id, r.total) for r in got) == sorted(want)
+
+
+def test_series_are_made_by_many_tasks(spark):
+    """Intervals of a chromosome don't come out of one task; there are as many as the tables' last positions ask for."""
+    d = str(DATA)
+    ends = {r.chrom: r.end for r in derived.last_position(spark, d).collect()}
+    for table, step, extra in ((derived.mask, 700, 0), (derived.second_mask, 1100, 0), (derived.rec_map, 5000, 1), (derived.flat_map, 4096, 1), (derived.tiles, derived.REGION, 1)):
+        rows = table(spark, d)
+        assert {r.chrom: r["count"] for r in rows.groupBy("chrom").count().collect()} == {c: end // step + extra + 1 for c, end in ends.items()}
+        assert rows.rdd.getNumPartitions() >= 2 * len(ends)
