@@ -126,11 +126,30 @@ class Runs:
         return base + w * (x - low) if w else base
 
 
-def reach_of(a: int, b: int, stop: int, edge: float, lines: Lines, runs: Runs):
+def reached(x: int, edge: Fraction, lines: Lines) -> int | float:
+    """Y(x)."""
+    k = lines.segment(x)
+    p, q, d = lines.lines[k]
+    return lines.reaching((p * x + q) * edge.denominator + edge.numerator * d, d * edge.denominator, k)[1]
+
+
+def reaches_of(a: int, b: int, stops: list[int], edge: Fraction, lines: Lines, runs: Runs) -> list:
+    """``reach_of`` for each of ``stops``: those that lie behind all Y(x) have the same."""
+    if edge <= 0 or len(stops) == 1:
+        return [reach_of(a, b, stop, edge, lines, runs) for stop in stops]
+    most, top, found = reached(b - 1, edge, lines), max(stops), {}
+    for stop in stops:
+        end = top if most < stop else stop
+        if end not in found:
+            found[end] = reach_of(a, b, end, edge, lines, runs)
+    return [found[top if most < stop else stop] for stop in stops]
+
+
+def reach_of(a: int, b: int, stop: int, edge: float | Fraction, lines: Lines, runs: Runs):
     """The sum over x from a to b - 1 of the weight from x + 1 up to Y(x), or up to ``stop``."""
     if edge <= 0 or a >= b:
         return 0
-    e = Fraction(edge)
+    e = edge if isinstance(edge, Fraction) else Fraction(edge)
     whole, x, ky = 0, a, lines.segment(a)
     end_weight = runs.weight_below(stop)
     while x < b:
@@ -245,6 +264,7 @@ def interval_pair_sums(
     the number of first positions. Weights of a whole-number type give whole numbers.
     """
     edges = [float(e) for e in edges]
+    exact = [Fraction(e) for e in edges]
     mapped, whole = knots is not None, runs.schema["u"].dataType.typeName() in ("long", "integer", "short", "byte")
     first = first_pieces(runs, windows, width)
     top = runs.groupBy("chrom").agg(F.floor((F.max("end") - 1) / width).alias("last"))
@@ -267,11 +287,17 @@ def interval_pair_sums(
         here = Runs(*(own[c].to_pylist() for c in ("start", "end", "u")))
         scale = Lines(list(zip(*(lines[c].to_pylist() for c in ("bp0", "cm0", "bp1", "cm1")), strict=True)) if mapped else None)
         found: dict[str, list] = {}
+        # A piece of first positions may lie in several windows.
+        pieces: dict[tuple, list] = {}
         for region, stop, a, b, u in zip(*(firsts[c].to_pylist() for c in ("region", "r_end", "start", "end", "u")), strict=True):
             totals = found.setdefault(region, [0] * (len(edges) + 1))
             totals[-1] += b - a
-            for k, e in enumerate(edges):
-                totals[k] += u * reach_of(a, b, stop, e, scale, here)
+            pieces.setdefault((a, b, u), []).append((totals, stop))
+        for (a, b, u), held in pieces.items():
+            stops = [stop for _, stop in held]
+            for k, e in enumerate(exact):
+                for (totals, _), v in zip(held, reaches_of(a, b, stops, e, scale, here), strict=True):
+                    totals[k] += u * v
         out = [(region, k if k < len(edges) else -1, v) for region, totals in found.items() for k, v in enumerate(totals)]
         columns = zip(*out, strict=True) if out else ((), (), ())
         kinds = (pa.string(), pa.int32(), pa.int64() if whole else pa.float64())

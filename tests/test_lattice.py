@@ -106,3 +106,17 @@ def test_rates_and_masks(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(float(want[k])) for k in want)
     rates = {r.region: (r.num_sites, r.mean_mut) for r in lattice.interval_rates(runs, windows).collect()}
     assert rates == {"w": (12, pytest.approx((5 * 0.5 + 7 * 0.25) / 12)), "v": (0, None)}
+
+
+def test_pieces_that_windows_share_are_summed_once(monkeypatch):
+    """Right ends behind all that a piece reaches take one sum; nearer ones their own."""
+    lines = lattice.Lines([(0, 0.0, 40, 2.0), (40, 2.0, 60, 2.0), (60, 2.0, 100, 5.0)])
+    runs, calls, plain = lattice.Runs([0, 30, 70], [20, 60, 95], [1, 3, 2]), [], lattice.reach_of
+    monkeypatch.setattr(lattice, "reach_of", lambda *x: calls.append(x) or plain(*x))
+    for a, b in ((2, 9), (33, 50), (80, 95)):
+        for edge in (Fraction(0), Fraction(1, 4), Fraction(1, 2), Fraction(9)):
+            stops = [12, 100, 60, 90, 95, 100, 120]
+            assert lattice.reaches_of(a, b, stops, edge, lines, runs) == [plain(a, b, stop, edge, lines, runs) for stop in stops]
+    calls.clear()
+    lattice.reaches_of(2, 9, [40, 60, 90], Fraction(1, 4), lines, runs)
+    assert len(calls) == 1
