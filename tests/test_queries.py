@@ -77,3 +77,11 @@ def test_series_are_made_by_many_tasks(spark):
         rows = table(spark, d)
         assert {r.chrom: r["count"] for r in rows.groupBy("chrom").count().collect()} == {c: end // step + extra + 1 for c, end in ends.items()}
         assert rows.rdd.getNumPartitions() >= 2 * len(ends)
+
+
+def test_steps_of_rates_are_made_by_many_tasks(spark):
+    ends = {r.chrom: r.end for r in derived.last_position(spark, str(DATA)).collect()}
+    steps = derived.step_map(spark, str(DATA))
+    want = {(c, 1000 * k, 1000 * k + 1000, 1 + k % 9) for c, end in ends.items() for k in range(end // 1000 + 1) if k % 5 != 4}
+    assert {tuple(r) for r in steps.collect()} == want
+    assert steps.rdd.getNumPartitions() >= 2 * len(ends)
